@@ -117,7 +117,7 @@ _SF_Z = "value / 12 - 4"
 @query(
     "sf05_sf06_sf07_functions",
     f"""WITH v AS (SELECT event_id, value, {_SF_Z} AS z FROM events)
-SELECT event_id, {rs('root=sqrt(value)', 'size=abs(z)', 'odds=exp(z)', f"law={cdf('z')}", f"p={p_two('z')}",
+SELECT event_id, {rs('root=sqrt(value)', 'size=abs(z)', 'odds=exp(z / 10)', f"law={cdf('z')}", f"p={p_two('z')}",
   'h=2 * asin(sqrt(least(value / 1000, 1))) - 2 * asin(sqrt(0.12))')} FROM v""",
 )
 def sf05(spark, sf_dir):
@@ -129,7 +129,7 @@ def sf05(spark, sf_dir):
             "event_id",
             F.sqrt("value").alias("root"),
             F.abs("z").alias("size"),
-            F.exp("z").alias("odds"),
+            F.exp(F.col("z") / 10).alias("odds"),
             normal_cdf(F.col("z")).alias("law"),
             two_sided_p(F.col("z")).alias("p"),
             cohens_h(F.least(F.col("value") / 1000, F.lit(1.0)), F.lit(0.12)).alias("h"),

@@ -1,6 +1,6 @@
 """Collects all catalogue modules."""
 
-from armscope.plans import cat_clean, cat_effects  # noqa: F401
+from armscope.plans import cat_clean, cat_effects, cat_power  # noqa: F401
 from armscope.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
