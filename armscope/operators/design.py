@@ -13,7 +13,6 @@ from armscope.functions.hashing import hash_arm, split_arm
 from armscope.functions.tails import chi_square_tail, two_sided_p
 from armscope.operators.means import welch_t
 from armscope.operators.proportions import two_proportion_z
-from armscope.operators.ranks import _with_group
 from armscope.spec import ExperimentSpec
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from armscope.functions.effects import ratio
 from armscope.functions.timing import bucket_label, half_open_bucket
+from armscope.operators.joins import attach_per_group
 from armscope.operators.summaries import paired_arms
 from armscope.spec import ExperimentSpec
 
@@ -53,7 +54,7 @@ def histogram(
         F.col("_v").isNotNull()
     )
     edges = data.groupBy(*groups).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    placed = data.join(edges, groups)
+    placed = attach_per_group(data, edges, groups)
     width = (F.col("_hi") - F.col("_lo")) / bins
     slot = F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), width)), F.lit(0))
     counted = (

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from armscope.functions.effects import ratio, verdict
 from armscope.functions.tails import student_p, two_sided_p
-from armscope.operators.ranks import _with_group, quantiles
+from armscope.operators.joins import attach_per_group
+from armscope.operators.ranks import quantiles
 from armscope.operators.summaries import paired_arms
 from armscope.spec import ExperimentSpec
 
@@ -109,7 +110,7 @@ def location_summary(
         F.count(value).alias("n"), F.avg(value).alias("mean_s"), F.stddev_samp(value).alias("sd_s")
     )
     medians = quantiles(data, groups, value, {"median_s": 0.5})
-    both = _with_group(means, medians, groups)
+    both = attach_per_group(means, medians, groups)
     control = F.max(F.when(F.col("arm") == spec.control, F.col("mean_s"))).over(
         Window.partitionBy(*spec.keys, *by)
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from armscope.functions.effects import ratio, verdict
 from armscope.functions.tails import kolmogorov_tail, normal_cdf, two_sided_p
+from armscope.operators.joins import attach_per_group
 from armscope.session import materialise
 from armscope.spec import ExperimentSpec
 
@@ -21,7 +22,7 @@ from armscope.spec import ExperimentSpec
 def running_sums(
     rows: DataFrame, groups: Sequence[str], order: Sequence[str], sums: Sequence[str], slices: int | None = None
 ) -> DataFrame:
-    """Add ``<col>_before``: the total of each column over smaller ``order`` values in the same group.
+    """Add ``<col>_before``, the total over smaller ``order`` values in the group, and ``<col>_total``.
 
     ``order`` must be unique per group. Slice numbers are written out before they are used, since
     they have to be the same in the slice totals and in the rows.
@@ -33,21 +34,22 @@ def running_sums(
     )
     # At most (slices + groups) rows: a group covers neighbouring slices.
     totals = sliced.groupBy(*groups, "_slice").agg(*[F.sum(c).alias(c) for c in sums])
-    earlier = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*groups)
+    earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)],
-        F.col("_slice").alias("_s"),
+        *groups,
+        "_slice",
         *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}_offset") for c in sums],
+        *[F.sum(c).over(whole).alias(f"{c}_total") for c in sums],
     )
     inside = (
         Window.partitionBy(*groups, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
     local = sliced.withColumns({f"_{c}_local": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
-    same = F.col("_slice") == F.col("_s")
-    for i, g in enumerate(groups):
-        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    return local.join(offsets, same).select(
-        *rows.columns, *[(F.col(f"_{c}_local") + F.col(f"_{c}_offset")).alias(f"{c}_before") for c in sums]
+    return attach_per_group(local, offsets, [*groups, "_slice"]).select(
+        *rows.columns,
+        *[(F.col(f"_{c}_local") + F.col(f"_{c}_offset")).alias(f"{c}_before") for c in sums],
+        *[f"{c}_total" for c in sums],
     )
 
 
@@ -128,26 +130,9 @@ def quantiles(df: DataFrame, groups: Sequence[str], value: str, probabilities: M
     """Exact quantiles with linear interpolation; no task buffers the values of a group."""
     counts = compressed(df, groups, value, {"c": F.lit(True)})
     ranked = running_sums(counts, groups, ["value"], ["c"])
-    # The rows need their group's size; it has one row per group.
-    sizes = counts.groupBy(*groups).agg(F.sum("c").alias("_n"))
-    return _interpolate(_with_group(ranked, sizes, groups), groups, probabilities)
-
-
-def _with_group(rows: DataFrame, per_group: DataFrame, groups: Sequence[str]) -> DataFrame:
-    renamed = per_group.select(
-        *[F.col(g).alias(f"_h{i}") for i, g in enumerate(groups)],
-        *[c for c in per_group.columns if c not in groups],
-    )
-    same = F.lit(True)
-    for i, g in enumerate(groups):
-        same = same & F.col(g).eqNullSafe(F.col(f"_h{i}"))
-    return rows.join(renamed, same).drop(*[f"_h{i}" for i in range(len(groups))])
-
-
-def _interpolate(ranked: DataFrame, groups: Sequence[str], probabilities: Mapping[str, float]) -> DataFrame:
     picks = []
     for name, q in probabilities.items():
-        position = (F.col("_n") - 1) * F.lit(float(q))
+        position = (F.col("c_total") - 1) * F.lit(float(q))
         for side, index in (("lo", F.floor(position)), ("hi", F.ceil(position))):
             held = (F.col("c_before") <= index) & (index < F.col("c_before") + F.col("c"))
             picks.append(F.max(F.when(held, F.col("value"))).alias(f"_{name}_{side}"))
@@ -173,7 +158,7 @@ def describe(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
         F.max(v).alias("max"),
     )
     quarters = quantiles(df, groups, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    return _with_group(moments, quarters, groups).select(
+    return attach_per_group(moments, quarters, groups).select(
         *groups, "n", "mean", "sd", "min", "q25", "q50", "q75", "max"
     )
 
@@ -207,16 +192,14 @@ def normality(df: DataFrame, spec: ExperimentSpec, value: str | None = None, by:
     groups = [*spec.keys, *by, "arm"]
     counts = compressed(data, groups, "value", {"c": F.lit(True)})
     ranked = running_sums(counts, groups, ["value"], ["c"])
-    moments = data.groupBy(*groups).agg(
-        F.count("value").alias("_n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")
-    )
-    rows = _with_group(ranked, moments, groups)
+    moments = data.groupBy(*groups).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    rows = attach_per_group(ranked, moments, groups)
     rows = rows.withColumn("_standard", ratio(F.col("value") - F.col("mean"), F.col("sd")))
     rows = rows.withColumn("_law", normal_cdf(F.col("_standard")))
-    below = F.abs(ratio(F.col("c_before"), F.col("_n")) - F.col("_law"))
-    upto = F.abs(ratio(F.col("c_before") + F.col("c"), F.col("_n")) - F.col("_law"))
+    below = F.abs(ratio(F.col("c_before"), F.col("c_total")) - F.col("_law"))
+    upto = F.abs(ratio(F.col("c_before") + F.col("c"), F.col("c_total")) - F.col("_law"))
     out = rows.groupBy(*groups).agg(
-        F.max("_n").alias("n"),
+        F.max("c_total").alias("n"),
         F.max("mean").alias("mean"),
         F.max("sd").alias("sd"),
         F.max(F.greatest(below, upto)).alias("ks"),

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from armscope.functions.hashing import hash_number
-from armscope.operators.ranks import _with_group, running_sums
+from armscope.operators.joins import attach_per_group
+from armscope.operators.ranks import running_sums
 
 _CELLS = 4096
 _SALTS = 64
@@ -39,7 +40,7 @@ def fixed_size_sample(
     )
     if strict:
         cutoffs = cutoffs.filter(F.col("_size") >= k)
-    near = _with_group(hashed, cutoffs, groups).filter(F.col("_cell") <= F.col("_cut"))
+    near = attach_per_group(hashed, cutoffs, groups).filter(F.col("_cell") <= F.col("_cut"))
     near = near.withColumn("_salt", F.col("_hash") % _SALTS)
     for parts in ([*groups, "_salt"], groups):
         order = Window.partitionBy(*parts).orderBy("_hash", *unit)

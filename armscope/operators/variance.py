@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from armscope.functions.effects import ratio
 from armscope.functions.tails import student_p, two_sided_p
+from armscope.operators.joins import attach_per_group
 from armscope.spec import ExperimentSpec
 
 
@@ -47,7 +48,7 @@ def cuped_adjust(
 ) -> DataFrame:
     """Row-level y - theta (x - mean x). The slope table has one row per experiment."""
     slopes = cuped_theta(df, spec, y, x, ddof).withColumnsRenamed({"theta": "_theta", "mean_x": "_mean_x"})
-    joined = df.join(slopes.drop("n"), list(spec.keys))
+    joined = attach_per_group(df, slopes.drop("n"), spec.keys)
     adjusted = F.col(y) - F.col("_theta") * (F.col(x) - F.col("_mean_x"))
     return joined.withColumn(out, adjusted).drop("_theta", "_mean_x")
 

@@ -178,3 +178,67 @@ def student_p(t: str, df: str, steps: int = 4000) -> str:
     area = f"(SELECT sum({weight} * {node}) FROM range(0, {steps + 1}) AS nodes(i)) * {top} / {3 * steps}"
     scale = f"exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt(pi())"
     return f"(1 - 2 * {scale} * {area})"
+
+
+def glm(source: str, y: str, xs: list[str], family: str = "binomial", offset: str = "0", rounds: int = 8) -> str:
+    """CTE chain fitting a logit or Poisson regression by Newton steps, unrolled.
+
+    Each step sums the gradient and the information matrix over all rows and eliminates the one-row
+    system; ends in ``glm(term, coef, se)``.
+    """
+    names = ["intercept", *xs]
+    k = len(names)
+    x = ["1.0::double", *[f"{c}::double" for c in xs]]
+    start = "0.0::double" if family == "binomial" else f"(SELECT ln(sum({y}) / sum(exp({offset}))) FROM {source})"
+    out = [
+        "glm_0 AS MATERIALIZED (SELECT "
+        + ", ".join(f"{start if i == 0 else '0.0::double'} AS b{i}" for i in range(k))
+        + ")"
+    ]
+
+    def sums(step: int) -> str:
+        eta = " + ".join([f"({offset})", *[f"b{i} * x{i}" for i in range(k)]])
+        mean, weight = ("1 / (1 + exp(-eta))", "mu * (1 - mu)") if family == "binomial" else ("exp(eta)", "mu")
+        cells = [f"sum(w * x{i} * x{j}) AS a{i}_{j}" for i in range(k) for j in range(i, k)]
+        grads = [f"sum((y - mu) * x{i}) AS a{i}_{k}" for i in range(k)]
+        betas = [f"any_value(b{i}) AS b{i}" for i in range(k)]
+        return (
+            f"SELECT {', '.join(cells + grads + betas)} FROM (SELECT *, {weight} AS w FROM (SELECT *, {mean} AS mu FROM "
+            f"(SELECT *, {eta} AS eta FROM (SELECT {y}::double AS y, {offset} AS off, "
+            + ", ".join(f"{x[i]} AS x{i}" for i in range(k))
+            + f" FROM {source}), glm_{step})))"
+        ).replace(f"({offset}) +", "off +")
+
+    def eliminate(tag: str, first: str, width: int) -> str:
+        # Sums hold the upper triangle only; the first step mirrors it.
+        previous, steps = first, []
+        for pivot in range(k):
+            cols = []
+            for i in range(k):
+                for j in range(width):
+                    if i == pivot:
+                        cols.append(f"a{pivot}_{j} / a{pivot}_{pivot} AS a{i}_{j}")
+                    else:
+                        cols.append(f"a{i}_{j} - a{i}_{pivot} / a{pivot}_{pivot} * a{pivot}_{j} AS a{i}_{j}")
+            keep = ", ".join(f"b{i}" for i in range(k))
+            steps.append(f"{tag}_{pivot} AS MATERIALIZED (SELECT {', '.join(cols)}, {keep} FROM {previous})")
+            previous = f"{tag}_{pivot}"
+        return ", ".join(steps)
+
+    mirror = [f"a{min(i, j)}_{max(i, j)} AS a{i}_{j}" for i in range(k) for j in range(k)]
+    keep = [f"b{i}" for i in range(k)]
+    for step in range(rounds):
+        grads = [f"a{i}_{k}" for i in range(k)]
+        out.append(f"sum_{step} AS MATERIALIZED ({sums(step)})")
+        out.append(f"sys_{step} AS MATERIALIZED (SELECT {', '.join(mirror + grads + keep)} FROM sum_{step})")
+        out.append(eliminate(f"el_{step}", f"sys_{step}", k + 1))
+        moved = ", ".join(f"b{i} + a{i}_{k} AS b{i}" for i in range(k))
+        out.append(f"glm_{step + 1} AS MATERIALIZED (SELECT {moved} FROM el_{step}_{k - 1})")
+    unit = [f"{float(i == j)}::double AS a{i}_{k + j}" for i in range(k) for j in range(k)]
+    out.append(f"sum_{rounds} AS MATERIALIZED ({sums(rounds)})")
+    out.append(f"sys_{rounds} AS MATERIALIZED (SELECT {', '.join(mirror + unit + keep)} FROM sum_{rounds})")
+    out.append(eliminate("inv", f"sys_{rounds}", 2 * k))
+    rows = " UNION ALL ".join(
+        f"SELECT '{n}' AS term, b{i} AS coef, sqrt(a{i}_{k + i}) AS se FROM inv_{k - 1}" for i, n in enumerate(names)
+    )
+    return ", ".join(out) + f", glm AS ({rows})"

@@ -37,7 +37,11 @@ def order_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per event; the page contradicts the arm where the payload's k is 0."""
-    events = table(spark, sf_dir, "events")
+    return as_exposures(table(spark, sf_dir, "events"))
+
+
+def as_exposures(events: DataFrame) -> DataFrame:
+    """The exposure columns of an events table, batch or stream."""
     return (
         events.select(
             F.lit("events").alias("experiment"),
@@ -90,3 +94,16 @@ def pre_post_units(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("experiment", F.lit("events"))
         .withColumn("group", hash_arm(SALT, F.col("user_id")))
     )
+
+
+def user_edges(spark: SparkSession, sf_dir: str, steps: tuple[int, ...] = (1, 7)) -> DataFrame:
+    """A sparse neighbour graph of customers: each key with the keys ``steps`` further on."""
+    customer = table(spark, sf_dir, "customer")
+    ahead = F.array(*[F.col("c_custkey") + s for s in steps])
+    return customer.select(F.col("c_custkey").alias("src"), F.explode(ahead).alias("dst"))
+
+
+def list_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Click events on two interleaved lists: the parity of the payload's k names the list."""
+    clicks = event_exposures(spark, sf_dir).filter("event_type = 'click'")
+    return clicks.withColumn("list", F.when(F.col("k") % 2 == 0, "A").otherwise("B"))
