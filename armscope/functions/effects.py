@@ -11,6 +11,15 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def at_least(value: Column, low: float) -> Column:
+    """The greater of both; null stays null (``greatest`` would skip it)."""
+    return F.when(value >= low, value).when(value < low, F.lit(float(low)))
+
+
+def at_most(value: Column, high: float) -> Column:
+    return F.when(value <= high, value).when(value > high, F.lit(float(high)))
+
+
 def cohens_h(p1: Column, p2: Column) -> Column:
     return 2 * F.asin(F.sqrt(p1)) - 2 * F.asin(F.sqrt(p2))
 

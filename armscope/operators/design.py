@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from armscope.functions.effects import ratio
+from armscope.functions.effects import at_least, ratio
 from armscope.functions.hashing import hash_arm, split_arm
 from armscope.functions.tails import chi_square_tail, two_sided_p
 from armscope.operators.means import welch_t
@@ -56,7 +56,7 @@ def contingency_chi_square(cells: DataFrame, groups: Sequence[str], row: str, co
             "df": (F.col("n_rows") - 1) * (F.col("n_columns") - 1),
         }
     )
-    return out.withColumn("p_value", chi_square_tail(F.greatest(F.col("chi2"), F.lit(0.0)), F.col("df"))).drop("_q")
+    return out.withColumn("p_value", chi_square_tail(at_least(F.col("chi2"), 0.0), F.col("df"))).drop("_q")
 
 
 def layer_independence(units: DataFrame, unit: str, salts: Sequence[str]) -> DataFrame:

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from armscope.functions.effects import ratio
+from armscope.functions.effects import at_least, ratio
+from armscope.functions.tails import two_sided_p
 from armscope.operators.means import two_sample_z
 from armscope.spec import ExperimentSpec
 
@@ -112,8 +113,6 @@ def quasi_poisson(
     the two fitted rates over its degrees of freedom; also gives the moment estimate of the negative
     binomial's 1/size.
     """
-    from armscope.functions.tails import two_sided_p
-
     e = F.col(exposure).cast("double") if exposure else F.lit(1.0)
     y = F.col(count).cast("double")
     columns = []
@@ -145,8 +144,8 @@ def quasi_poisson(
         {
             "rate_ratio": ratio(F.col("rate_t"), F.col("rate_c")),
             "se_log_poisson": se,
-            "se_log": se * F.sqrt(F.greatest(F.col("dispersion"), F.lit(1.0))),
-            "inverse_size": F.greatest(ratio(F.col("dispersion") - 1, mean), F.lit(0.0)),
+            "se_log": se * F.sqrt(at_least(F.col("dispersion"), 1.0)),
+            "inverse_size": at_least(ratio(F.col("dispersion") - 1, mean), 0.0),
         }
     )
     m = m.withColumn("z", ratio(F.ln("rate_ratio"), F.col("se_log")))

@@ -123,7 +123,7 @@ def duration_days(
         "n_required",
         "daily_units",
         days.alias("min_days"),
-        (F.greatest(F.ceil(days / 7), F.lit(1)) * 7).alias("planned_days"),
+        (F.when(days.isNotNull(), F.greatest(F.ceil(days / 7), F.lit(1))) * 7).alias("planned_days"),
     )
 
 

@@ -64,7 +64,7 @@ def two_proportion_z(
     df: DataFrame, spec: ExperimentSpec, metric: str | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
     """Two-proportion z test per experiment, cell and treatment. Null statistics where an arm is empty."""
-    return with_z_test(paired_arms(df, spec, metric, by), spec).drop("mean_c", "mean_t", "var_c", "var_t")
+    return with_z_test(paired_arms(df, spec, metric, by, moments=False), spec)
 
 
 def stratified_z(df: DataFrame, spec: ExperimentSpec, metric: str | None = None) -> DataFrame:
@@ -104,7 +104,7 @@ def chi_square_2x2(
     df: DataFrame, spec: ExperimentSpec, metric: str | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
     """Chi-square of arm against a 0/1 outcome, without continuity correction; equals z squared."""
-    cells = paired_arms(df, spec, metric, by)
+    cells = paired_arms(df, spec, metric, by, moments=False)
     a, b = F.col("total_c").cast("double"), F.col("n_c") - F.col("total_c")
     c, d = F.col("total_t").cast("double"), F.col("n_t") - F.col("total_t")
     n = a + b + c + d
@@ -128,7 +128,7 @@ def stratum_adjusted(df: DataFrame, spec: ExperimentSpec, metric: str | None = N
     Also the difference post-stratified to the population shares, with its standard error. Strata
     lacking an arm carry no information and drop out of all three.
     """
-    s = paired_arms(df, spec, metric, by=(spec.stratum,)).filter((F.col("n_c") > 0) & (F.col("n_t") > 0))
+    s = paired_arms(df, spec, metric, (spec.stratum,), moments=False).filter((F.col("n_c") > 0) & (F.col("n_t") > 0))
     n1, n2 = F.col("n_t").cast("double"), F.col("n_c").cast("double")
     x1, x2 = F.col("total_t").cast("double"), F.col("total_c").cast("double")
     n = n1 + n2

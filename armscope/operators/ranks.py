@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from armscope.functions.effects import ratio, verdict
+from armscope.functions.effects import at_least, at_most, ratio, verdict
 from armscope.functions.tails import kolmogorov_tail, normal_cdf, two_sided_p
 from armscope.operators.joins import attach_per_group
 from armscope.session import materialise
@@ -85,9 +85,9 @@ def rank_sums(df: DataFrame, groups: Sequence[str], value: str, first: Column, s
             "sigma": F.sqrt(n1 * n2 / 12 * ((n + 1) - ratio(F.col("_ties"), n * (n - 1)))),
         }
     )
-    shift = F.greatest(F.abs(F.col("u") - n1 * n2 / 2) - 0.5, F.lit(0.0))
+    shift = at_least(F.abs(F.col("u") - n1 * n2 / 2) - 0.5, 0.0)
     out = out.withColumn("z", ratio(shift, F.col("sigma")))
-    return out.withColumn("p_value", F.least(two_sided_p(F.col("z")), F.lit(1.0))).drop("_ties")
+    return out.withColumn("p_value", at_most(two_sided_p(F.col("z")), 1.0)).drop("_ties")
 
 
 def mann_whitney(

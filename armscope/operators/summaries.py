@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from armscope.functions.effects import ratio
@@ -43,22 +43,21 @@ def paired_arms(
     metric: str | None = None,
     by: Sequence[str] = (),
     where: Column | None = None,
+    moments: bool = True,
 ) -> DataFrame:
     """One row per experiment, ``by`` cell and treatment: n, total, mean and variance of both arms.
 
     A single aggregate serves all arms (``_c`` control, ``_t`` treatment); an arm without rows has
-    n = 0 and null moments.
+    n = 0 and null moments. Tests on counts need no ``moments``.
     """
     y = F.col(metric or spec.metric)
     if where is not None:
         y = F.when(where, y)
     # Count data keep exact integer totals.
-    stats = {
-        "n": F.count,
-        "total": F.sum,
-        "mean": lambda c: F.avg(c.cast("double")),
-        "var": lambda c: F.var_samp(c.cast("double")),
-    }
+    stats = {"n": F.count, "total": F.sum}
+    if moments:
+        stats["mean"] = lambda c: F.avg(c.cast("double"))
+        stats["var"] = lambda c: F.var_samp(c.cast("double"))
     columns = []
     for i, arm in enumerate(spec.arms):
         mine = F.when(F.col(spec.arm) == arm, y)
@@ -117,7 +116,5 @@ def class_ratio(df: DataFrame, spec: ExperimentSpec, label: str | None = None) -
 
 def share_of_total(df: DataFrame, value: str, out: str = "share", by: Sequence[str] = ()) -> DataFrame:
     """Value divided by its total, for small result tables."""
-    from pyspark.sql import Window
-
     total = F.sum(value).over(Window.partitionBy(*by))
     return df.withColumn(out, F.coalesce(ratio(F.col(value), total), F.lit(0.0)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from armscope.functions.effects import ratio
+from armscope.functions.effects import at_least, ratio
 from armscope.functions.tails import student_p, two_sided_p
 from armscope.operators.joins import attach_per_group
 from armscope.spec import ExperimentSpec
@@ -71,7 +71,7 @@ def cuped_report(
             + theta * theta * F.col(f"vx{suffix}")
         )
 
-    m = m.withColumns({f"va{s}": F.greatest(adjusted(s), F.lit(0.0)) for s in ("", "_c", "_t")})
+    m = m.withColumns({f"va{s}": at_least(adjusted(s), 0.0) for s in ("", "_c", "_t")})
     m = m.withColumns(
         {
             "diff": F.col("y_c") - F.col("y_t"),

@@ -164,7 +164,7 @@ v3 AS (
   FROM v2
 ),
 v4 AS (SELECT *, {div('greatest(abs(u - cast(n1 as double) * n2 / 2) - 0.5, 0)', 'sigma')} AS z FROM v3),
-mw AS (SELECT *, least({p_two('z')}, 1.0) AS p_value FROM v4)"""
+mw AS (SELECT *, CASE WHEN z IS NOT NULL THEN least({p_two('z')}, 1.0) END AS p_value FROM v4)"""
 
 
 def student_p(t: str, df: str, steps: int = 4000) -> str:

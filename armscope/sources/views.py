@@ -12,8 +12,20 @@ SALT = "exp1"
 SPLIT_DAY = "2024-01-16"
 
 
+# Declared, so that planning a query reads no file footers.
+SCHEMAS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _page(arm, flipped):
@@ -35,6 +47,20 @@ def order_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("landing_page", _page(F.col("group"), F.col("seq") % 73 == 0))
 
 
+def fleet_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many experiments in one log: each order priority is one, with its own assignment salt."""
+    orders = table(spark, sf_dir, "orders")
+    return orders.select(
+        F.col("o_orderpriority").alias("experiment"),
+        F.col("o_orderkey").alias("seq"),
+        F.col("o_custkey").alias("user_id"),
+        F.col("o_orderdate").alias("ts"),
+        hash_arm(F.col("o_orderpriority"), F.col("o_custkey")).alias("group"),
+        (F.col("o_orderstatus") == "F").cast("int").alias("converted"),
+        F.col("o_totalprice").alias("amount"),
+    ).withColumn("landing_page", _page(F.col("group"), F.col("seq") % 73 == 0))
+
+
 def event_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per event; the page contradicts the arm where the payload's k is 0."""
     return as_exposures(table(spark, sf_dir, "events"))
