@@ -265,7 +265,7 @@ def fold_aucs(
     side, and no final model is fitted on all rows.
     """
     with cached(df) as data, ThreadPool(min(parallelism, folds)) as pool:
-        fit_one = inheritable_thread_target(
+        fit_one = inheritable_thread_target(df.sparkSession)(
             lambda k: estimator.fit(data.filter(F.col(fold) != k))
         )
         fitted = pool.map(fit_one, range(folds))
