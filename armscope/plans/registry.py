@@ -48,6 +48,13 @@ def orders_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.prepare(orders_log(spark, sf_dir), views.user_countries(spark, sf_dir), SPEC)
 
 
+def fleet_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned units of several experiments in one table."""
+    return prep.prepare(
+        views.fleet_exposures(spark, sf_dir), views.user_countries(spark, sf_dir), SPEC
+    )
+
+
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.event_exposures(spark, sf_dir)
 

@@ -74,6 +74,18 @@ firsts AS (
   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, seq) = 1
 ),
 u AS (SELECT firsts.*, dim.country FROM firsts JOIN dim USING (user_id))"""
+FLEET_UNITS = f"""{COUNTRIES},
+log AS (
+  SELECT experiment, o_orderkey AS seq, o_custkey AS user_id, o_orderdate AS ts, arm,
+         CASE WHEN (arm = 'treatment') <> (o_orderkey % 73 = 0) THEN 'new_page' ELSE 'old_page' END AS page,
+         cast(o_orderstatus = 'F' as int) AS converted, o_totalprice AS amount
+  FROM (SELECT *, o_orderpriority AS experiment, {arm('o_custkey', 'o_orderpriority')} AS arm FROM orders)
+),
+firsts AS (
+  SELECT * FROM log WHERE NOT {WRONG}
+  QUALIFY row_number() OVER (PARTITION BY experiment, user_id ORDER BY ts, seq) = 1
+),
+u AS (SELECT firsts.*, dim.country FROM firsts JOIN dim USING (user_id))"""
 EVENTS_LOG = f"""
 log AS (
   SELECT *, CASE WHEN (arm = 'treatment') <> (k = 0) THEN 'new_page' ELSE 'old_page' END AS page

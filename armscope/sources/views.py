@@ -28,37 +28,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _page(arm, flipped):
-    seen_new = (arm == "treatment") != flipped
+def _page(flipped):
+    seen_new = (F.col("group") == "treatment") != flipped
     return F.when(seen_new, "new_page").otherwise("old_page")
 
 
-def order_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order; the page contradicts the arm on every 73rd order key."""
-    orders = table(spark, sf_dir, "orders")
+def once_per_row(**columns):
+    """Columns from a generator of one row, which the optimizer does not copy into filters.
+
+    A filter moves below a plain projection together with the expressions it uses, so a hash would be
+    computed again for every mention.
+    """
+    return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+
+
+def _exposures_of_orders(orders: DataFrame, experiment, salt) -> DataFrame:
     return orders.select(
-        F.lit("orders").alias("experiment"),
+        experiment.alias("experiment"),
         F.col("o_orderkey").alias("seq"),
         F.col("o_custkey").alias("user_id"),
         F.col("o_orderdate").alias("ts"),
-        hash_arm(SALT, F.col("o_custkey")).alias("group"),
+        once_per_row(group=hash_arm(salt, F.col("o_custkey"))),
         (F.col("o_orderstatus") == "F").cast("int").alias("converted"),
         F.col("o_totalprice").alias("amount"),
-    ).withColumn("landing_page", _page(F.col("group"), F.col("seq") % 73 == 0))
+    ).withColumn("landing_page", _page(F.col("seq") % 73 == 0))
+
+
+def order_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order; the page contradicts the arm on every 73rd order key."""
+    return _exposures_of_orders(table(spark, sf_dir, "orders"), F.lit("orders"), SALT)
 
 
 def fleet_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many experiments in one log: each order priority is one, with its own assignment salt."""
-    orders = table(spark, sf_dir, "orders")
-    return orders.select(
-        F.col("o_orderpriority").alias("experiment"),
-        F.col("o_orderkey").alias("seq"),
-        F.col("o_custkey").alias("user_id"),
-        F.col("o_orderdate").alias("ts"),
-        hash_arm(F.col("o_orderpriority"), F.col("o_custkey")).alias("group"),
-        (F.col("o_orderstatus") == "F").cast("int").alias("converted"),
-        F.col("o_totalprice").alias("amount"),
-    ).withColumn("landing_page", _page(F.col("group"), F.col("seq") % 73 == 0))
+    priority = F.col("o_orderpriority")
+    return _exposures_of_orders(table(spark, sf_dir, "orders"), priority, priority)
 
 
 def event_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,13 +78,14 @@ def as_exposures(events: DataFrame) -> DataFrame:
             F.col("event_id").alias("seq"),
             "user_id",
             "ts",
-            hash_arm(SALT, F.col("user_id")).alias("group"),
+            once_per_row(
+                group=hash_arm(SALT, F.col("user_id")), k=F.get_json_object("props", "$.k").cast("int")
+            ),
             (F.col("event_type") == "purchase").cast("int").alias("converted"),
             "event_type",
             "value",
-            F.get_json_object("props", "$.k").cast("int").alias("k"),
         )
-        .withColumn("landing_page", _page(F.col("group"), F.col("k") == 0))
+        .withColumn("landing_page", _page(F.col("k") == 0))
         .withColumn("time_seconds", seconds_of_hour(F.col("ts")))
     )
 

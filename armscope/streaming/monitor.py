@@ -113,9 +113,10 @@ def alarms(totals: DataFrame, spec: ExperimentSpec, max_mismatch_rate: float = 0
 
 
 def alarm_writer(spec: ExperimentSpec, totals_folder: str, alarms_folder: str, max_mismatch_rate: float = 0.02):
-    """A ``foreachBatch`` function: store the batch's arm totals, then write alarms over all of them.
+    """A ``foreachBatch`` function: carry the arm totals forward, then write alarms over them.
 
-    Each batch owns a sub-folder that it overwrites, so a batch that is run again counts once.
+    Each batch adds its rows to the totals of the batch before it and owns the folder it overwrites, so
+    a batch that is run again counts once, and only one earlier folder is read.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -125,9 +126,15 @@ def alarm_writer(spec: ExperimentSpec, totals_folder: str, alarms_folder: str, m
             F.sum(spec.metric).alias("total"),
             F.count_if(mismatch(spec)).alias("mismatched"),
         )
+        if batch_id > 0:
+            before = spark.read.schema(totals.schema).parquet(f"{totals_folder}/batch={batch_id - 1}")
+            totals = (
+                totals.unionByName(before)
+                .groupBy(*spec.keys, "arm")
+                .agg(*[F.sum(c).alias(c) for c in ("n", "total", "mismatched")])
+            )
         totals.write.mode("overwrite").parquet(f"{totals_folder}/batch={batch_id}")
-        # Batches after this one may be on disk when a query restarts from an older checkpoint.
-        so_far = spark.read.parquet(totals_folder).filter(F.col("batch") <= batch_id)
+        so_far = spark.read.schema(totals.schema).parquet(f"{totals_folder}/batch={batch_id}")
         found = alarms(so_far, spec, max_mismatch_rate)
         found.write.mode("overwrite").parquet(f"{alarms_folder}/batch={batch_id}")
 
