@@ -165,11 +165,22 @@ def poisson_table(
     return wald_table(model, names, df.sparkSession, spec.ci_z).withColumnRenamed("odds_ratio", "rate_ratio")
 
 
-def logistic(label: str, columns: Sequence[str], scale: Sequence[str] | None = None) -> Pipeline:
-    """Unpenalised logistic regression; ``scale`` names the columns to standardise (all by default)."""
-    fit = LogisticRegression(
-        labelCol=label, featuresCol="features", regParam=0.0, maxIter=1000, tol=1e-10, standardization=True
-    )
+def logistic(
+    label: str, columns: Sequence[str], scale: Sequence[str] | None = None, many_features: bool = False
+) -> Pipeline:
+    """Unpenalised logistic regression; ``scale`` names the columns to standardise (all by default).
+
+    Reweighted least squares needs one pass per step and few steps; ``many_features`` takes the
+    gradient solver instead, which has no limit on the number of features.
+    """
+    if many_features:
+        fit = LogisticRegression(
+            labelCol=label, featuresCol="features", regParam=0.0, maxIter=1000, tol=1e-10, standardization=True
+        )
+    else:
+        fit = GeneralizedLinearRegression(
+            labelCol=label, featuresCol="features", family="binomial", link="logit", maxIter=1000, tol=1e-10
+        )
     return Pipeline(stages=[*scaled_stages(columns, scale), fit])
 
 
@@ -222,7 +233,13 @@ def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
 def scored(model: PipelineModel, df: DataFrame, out: str = "score") -> DataFrame:
     """The probability of class 1 as a column of the row."""
     keep = df.columns
-    return model.transform(df).withColumn(out, vector_to_array("probability")[1]).select(*keep, out)
+    predicted = model.transform(df)
+    if "probability" in predicted.columns:
+        chance = vector_to_array("probability")[1]
+    else:
+        # A generalised linear model predicts the mean itself.
+        chance = F.col("prediction")
+    return predicted.withColumn(out, chance).select(*keep, out)
 
 
 def coefficient_table(model: PipelineModel, names: Sequence[str], spark) -> DataFrame:

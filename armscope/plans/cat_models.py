@@ -131,14 +131,14 @@ _LOGIT_SQL = f"WITH {EVENTS_ROWS}, {_F}, {_TIME_SCALED}, {glm('ft', 'converted',
 
 @query(
     "st27_odds_ratios",
-    f"{_LOGIT_SQL} SELECT term AS feature, {r('coef', 4)} AS coef, {r('exp(coef)', 4)} AS odds_ratio FROM glm",
+    f"{_LOGIT_SQL} SELECT term AS feature, {rs('coef', 'odds_ratio=exp(coef)')} FROM glm",
 )
 def st27(spark, sf_dir):
-    """ST27, ML3, CD6: unpenalised logistic regression, time standardised (an iterative fit: four digits)."""
+    """ST27, ML3, CD6: unpenalised logistic regression, time standardised."""
     model = models.fit(models.logistic("converted", MAIN, ["time_seconds"]), _frame(spark, sf_dir, MAIN))
     # The assembled order puts the scaled columns first.
     names = ["time_seconds", *[c for c in MAIN if c != "time_seconds"]]
-    return rounded(models.coefficient_table(model, names, spark), 4)
+    return rounded(models.coefficient_table(model, names, spark))
 
 
 _ETA = " + ".join(
@@ -149,14 +149,14 @@ _ETA = " + ".join(
 
 @query(
     "ml04_logistic_scores",
-    f"{_LOGIT_SQL} SELECT seq, cast(converted as int) AS converted, {r(f'1 / (1 + exp(-({_ETA})))', 4)} AS score FROM ft",
+    f"{_LOGIT_SQL} SELECT seq, cast(converted as int) AS converted, {r(f'1 / (1 + exp(-({_ETA})))')} AS score FROM ft",
 )
 def ml04(spark, sf_dir):
     """Probability of conversion on every row."""
     frame = _frame(spark, sf_dir, MAIN)
     model = models.fit(models.logistic("converted", MAIN, ["time_seconds"]), frame)
     return rounded(
-        models.scored(model, frame).select("seq", F.col("converted").cast("int").alias("converted"), "score"), 4
+        models.scored(model, frame).select("seq", F.col("converted").cast("int").alias("converted"), "score")
     )
 
 
@@ -164,12 +164,12 @@ def ml04(spark, sf_dir):
     "ml05_logistic_auc",
     f"""{_LOGIT_SQL}, scores AS MATERIALIZED (SELECT experiment, converted, 1 / (1 + exp(-({_ETA}))) AS score FROM ft),
 {mid_ranked('scores', 'score', '', 'converted = 1')}
-SELECT experiment, n1 AS n_positive, n2 AS n_negative, {r(div('u', 'cast(n1 as double) * n2'), 4)} AS auc FROM mw""",
+SELECT experiment, n1 AS n_positive, n2 AS n_negative, {r(div('u', 'cast(n1 as double) * n2'))} AS auc FROM mw""",
 )
 def ml05_logistic(spark, sf_dir):
     frame = _frame(spark, sf_dir, MAIN)
     model = models.fit(models.logistic("converted", MAIN, ["time_seconds"]), frame)
-    return rounded(ranks.auc(models.scored(model, frame), ["experiment"], "score", "converted"), 4)
+    return rounded(ranks.auc(models.scored(model, frame), ["experiment"], "score", "converted"))
 
 
 _COVARIATES = [c for c in MAIN if c != "is_treatment"]
@@ -179,20 +179,16 @@ _CUPED_ETA = " + ".join(
 )
 
 
-def _cuped_digits(text: str, digits: int) -> str:
-    return text.replace(" as double), 6)", f" as double), {digits})")
-
-
 @query(
     "st26_cuped_by_model",
     f"""WITH {EVENTS_ROWS}, {_F}, {_scaled_sql(_COVARIATES)}, {glm('fs', 'converted', _COVARIATES, rounds=7)},
 sc AS MATERIALIZED (SELECT experiment, arm, converted::double AS converted, 1 / (1 + exp(-({_CUPED_ETA}))) AS score FROM fs),
 {_CUPED_SQL.format(src='sc', y='converted', x='score')}
-SELECT experiment, {_cuped_digits(_CUPED_COLUMNS, 4)}, false AS covariate_pre_period FROM q""",
+SELECT experiment, {_CUPED_COLUMNS}, false AS covariate_pre_period FROM q""",
 )
 def st26(spark, sf_dir):
     """Covariate: the prediction of a logistic model on the non-treatment features."""
-    return rounded(models.cuped_by_model(events_features(spark, sf_dir), SPEC, _COVARIATES), 4)
+    return rounded(models.cuped_by_model(events_features(spark, sf_dir), SPEC, _COVARIATES))
 
 
 @query("ml07_forest_importances")

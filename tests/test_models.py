@@ -27,7 +27,7 @@ def test_logit_recovers_planted_effects(planted, spec):
         assert abs(rows[term].coef - want) < 4 * rows[term].se
     assert rows["is_treatment"].p_value < 1e-6
     assert rows["x"].odds_ratio == pytest.approx(math.exp(rows["x"].coef))
-    lbfgs = models.fit(models.logistic("converted", ["x", "is_treatment"], ["x"]),
+    lbfgs = models.fit(models.logistic("converted", ["x", "is_treatment"], ["x"], many_features=True),
                        models.training_frame(planted, ["x", "is_treatment"], "converted"))
     table = rows_by(models.coefficient_table(lbfgs, ["x", "is_treatment"], planted.sparkSession), "feature")
     assert table["is_treatment"].coef == pytest.approx(rows["is_treatment"].coef, abs=1e-5)
