@@ -118,8 +118,9 @@ au AS (SELECT experiment, max(p_value) FILTER (scope = 'all') AS aux_p_all, max(
 j AS (
   SELECT core.*, anyc AND anyt AS strata_disagree, CASE WHEN oc THEN anyt ELSE anyc END AS reverses_overall,
     {2 * _ZZ**2!r} / (2 * asin(sqrt(p_c)) - 2 * asin(sqrt(p_c * 1.01))) ** 2 AS n_required,
-    n_guardrails, n_worse, n_subgroups, n_harmed, n_helped, mismatch_rate, ratio_alarm, true AS has_date, aux_p_all, aux_p_converted
-  FROM core JOIN si USING (experiment) JOIN sg USING (experiment) JOIN gr USING (experiment) JOIN qa USING (experiment)
+    n_guardrails, n_worse, coalesce(n_subgroups, 0) AS n_subgroups, coalesce(n_harmed, 0) AS n_harmed,
+    coalesce(n_helped, 0) AS n_helped, mismatch_rate, ratio_alarm, true AS has_date, aux_p_all, aux_p_converted
+  FROM core JOIN si USING (experiment) LEFT JOIN sg USING (experiment) JOIN gr USING (experiment) JOIN qa USING (experiment)
     JOIN sr USING (experiment) JOIN au USING (experiment)),
 f AS (SELECT *, n_required / least(n_c, n_t) AS shortfall, p_value < 0.05 AS significant,
   least(aux_p_all, aux_p_converted) < 0.05 AS auxiliary_moved, NOT ratio_alarm AS quality_ok FROM j),
