@@ -23,7 +23,7 @@ from armscope.operators.variance import cuped_report
 from armscope.session import shared_folder
 from armscope.spec import ExperimentSpec
 
-# Settings of the reference models.
+# Seed and settings of the forest and the boosted trees.
 SEED = 42
 FOREST = {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 100}
 BOOSTING = {
@@ -185,7 +185,7 @@ def logistic(
 
 
 def forest(label: str, columns: Sequence[str], **settings) -> Pipeline:
-    """Random forest with the reference settings; needs ``class_weight`` (see ``with_balanced_weights``)."""
+    """Random forest with the fixed settings above; needs ``class_weight`` (see ``with_balanced_weights``)."""
     fit = RandomForestClassifier(
         labelCol=label, featuresCol="features", weightCol="class_weight", seed=SEED, **{**FOREST, **settings}
     )
@@ -193,7 +193,7 @@ def forest(label: str, columns: Sequence[str], **settings) -> Pipeline:
 
 
 def boosting(label: str, columns: Sequence[str], **settings) -> Pipeline:
-    """Gradient boosting with the reference settings; needs ``class_weight`` (see ``with_positive_weight``)."""
+    """Gradient boosting with the fixed settings above; needs ``class_weight`` (see ``with_positive_weight``)."""
     fit = GBTClassifier(
         labelCol=label, featuresCol="features", weightCol="class_weight", seed=SEED, **{**BOOSTING, **settings}
     )

@@ -102,8 +102,7 @@ def daily_units(log: DataFrame, spec: ExperimentSpec, ts: str = "ts") -> DataFra
     day = F.to_date(F.col(ts)).alias("day")
     return (
         log.select(*spec.keys, spec.unit, day)
-        .groupBy(*spec.keys, "day", spec.unit)
-        .agg(F.lit(1).alias("_one"))
+        .distinct()
         .groupBy(*spec.keys, "day")
         .agg(F.count(spec.unit).alias("units"))
     )

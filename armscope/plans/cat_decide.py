@@ -11,7 +11,7 @@ from armscope.plans.cat_power import METRICS, metric_sql
 from armscope.plans.registry import SPEC, events_rows, orders_log, orders_units, prepost_units, query, rounded
 from armscope.plans.sqltext import ORDERS_LOG, ORDERS_UNITS, PREPOST, WRONG, div, mid_ranked, p_two, paired, r, rs, z_test
 from armscope.plans.statistical import record_for
-from armscope.session import new_folder
+from armscope.session import materialise, new_folder
 from armscope.sources.tables import write_tables
 
 _PRACTICAL = """CASE WHEN -ci_low < 0 THEN 'harmful' WHEN -ci_low < {m} THEN 'negligible' WHEN -ci_high >= {m} THEN 'useful'
@@ -135,8 +135,10 @@ rec AS (SELECT *, CASE WHEN NOT quality_ok THEN 'repair_assignment_and_rerun' WH
 
 
 def _record(spark, sf_dir):
+    # Eight results come from the units: write them out once.
+    units = materialise(orders_units(spark, sf_dir))
     return record_for(
-        orders_log(spark, sf_dir), orders_units(spark, sf_dir), SPEC, MIN_EFFECT, "amount", GUARDRAILS
+        orders_log(spark, sf_dir), units, SPEC, MIN_EFFECT, "amount", GUARDRAILS
     )
 
 

@@ -24,13 +24,12 @@ def build_session(app: str = "armscope", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir``, or a temporary one where it is unset.
-
-    The temporary folder serves local runs only; a cluster names its own.
-    """
+    """Folder all executors can reach: ``spark.checkpoint.dir``, or a temporary one in local mode."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
         folder = tempfile.mkdtemp(prefix="armscope-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
