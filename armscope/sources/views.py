@@ -37,21 +37,24 @@ def once_per_row(**columns):
     """Columns from a generator of one row, which the optimizer does not copy into filters.
 
     A filter moves below a plain projection together with the expressions it uses, so a hash would be
-    computed again for every mention.
+    computed again for every mention. A constant experiment name stays a column here, so that grouping
+    and joining by it are planned as for a log that holds many.
     """
     return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
 
 
 def _exposures_of_orders(orders: DataFrame, experiment, salt) -> DataFrame:
-    return orders.select(
-        experiment.alias("experiment"),
+    keyed = orders.select("*", once_per_row(experiment=experiment, group=hash_arm(salt, F.col("o_custkey"))))
+    return keyed.select(
+        "experiment",
         F.col("o_orderkey").alias("seq"),
         F.col("o_custkey").alias("user_id"),
         F.col("o_orderdate").alias("ts"),
-        once_per_row(group=hash_arm(salt, F.col("o_custkey"))),
+        "group",
         (F.col("o_orderstatus") == "F").cast("int").alias("converted"),
         F.col("o_totalprice").alias("amount"),
-    ).withColumn("landing_page", _page(F.col("seq") % 73 == 0))
+        _page(F.col("o_orderkey") % 73 == 0).alias("landing_page"),
+    )
 
 
 def order_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,21 +75,26 @@ def event_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def as_exposures(events: DataFrame) -> DataFrame:
     """The exposure columns of an events table, batch or stream."""
-    return (
-        events.select(
-            F.lit("events").alias("experiment"),
-            F.col("event_id").alias("seq"),
-            "user_id",
-            "ts",
-            once_per_row(
-                group=hash_arm(SALT, F.col("user_id")), k=F.get_json_object("props", "$.k").cast("int")
-            ),
-            (F.col("event_type") == "purchase").cast("int").alias("converted"),
-            "event_type",
-            "value",
-        )
-        .withColumn("landing_page", _page(F.col("k") == 0))
-        .withColumn("time_seconds", seconds_of_hour(F.col("ts")))
+    keyed = events.select(
+        "*",
+        once_per_row(
+            experiment=F.lit("events"),
+            group=hash_arm(SALT, F.col("user_id")),
+            k=F.get_json_object("props", "$.k").cast("int"),
+        ),
+    )
+    return keyed.select(
+        "experiment",
+        F.col("event_id").alias("seq"),
+        "user_id",
+        "ts",
+        "group",
+        "k",
+        (F.col("event_type") == "purchase").cast("int").alias("converted"),
+        "event_type",
+        "value",
+        _page(F.col("k") == 0).alias("landing_page"),
+        seconds_of_hour(F.col("ts")).alias("time_seconds"),
     )
 
 
@@ -122,8 +130,7 @@ def pre_post_units(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count_if(late & (F.col("event_type") == "purchase")).alias("purchases"),
             F.count_if(late & (F.col("event_type") == "error")).alias("errors"),
         )
-        .withColumn("experiment", F.lit("events"))
-        .withColumn("group", hash_arm(SALT, F.col("user_id")))
+        .select("*", once_per_row(experiment=F.lit("events"), group=hash_arm(SALT, F.col("user_id"))))
     )
 
 
