@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from armscope.llm import near_duplicates as near
+from armscope.llm import toxicity
 from armscope.llm.ship import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,3 +37,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
+@query("op2_toxicity_chain")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -6,7 +6,7 @@ texts, in parts of about ``PART_BYTES``; a longer text is a part of its own. A n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +19,8 @@ _BASE = _U(0x9E3779B97F4A7C15)
 _BASE_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BREAK = np.zeros(256, bool)
 _BREAK[[0x20, *range(0x09, 0x0E)]] = True
+# Also ASCII punctuation and control codes: what stays are letters, digits and all non-ASCII bytes.
+LETTERS_ONLY = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
@@ -64,15 +66,19 @@ class Part:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """One 64-bit hash a word; ``lower`` folds A-Z."""
+        return self.slices(lower)(self.starts, self.ends)
+
+    def slices(self, lower: bool = False) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """A function from starts and ends, in bytes, to 64-bit hashes of those slices."""
         data = _LOWER[self.data] if lower else self.data
         up, down = powers(len(data))
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE_CODES[data] * up[: len(data)], out=total[1:])
-        return mixed((total[self.ends] - total[self.starts]) * down[self.starts])
+        return lambda starts, ends: mixed((total[ends] - total[starts]) * down[starts])
 
 
-def parts(texts: pa.Array, part_bytes: int = PART_BYTES) -> Iterator[Part]:
-    """Cuts a batch of texts (string or binary) into parts; text never crosses a part."""
+def parts(texts: pa.Array, part_bytes: int = PART_BYTES, breaks: np.ndarray = _BREAK) -> Iterator[Part]:
+    """Cuts a batch of texts (string or binary) into parts; no text crosses a part. breaks: bytes between words."""
     column = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     column = column.cast(pa.large_binary()).fill_null(b"")
     n = len(column)
@@ -83,12 +89,12 @@ def parts(texts: pa.Array, part_bytes: int = PART_BYTES) -> Iterator[Part]:
     while row < n:
         last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + part_bytes, "right")) - 1)
         own = offsets[row : last + 1] - offsets[row]
-        yield _part(row, data[offsets[row] : offsets[last]], own)
+        yield _part(row, data[offsets[row] : offsets[last]], own, breaks)
         row = last
 
 
-def _part(first_row: int, data: np.ndarray, offsets: np.ndarray) -> Part:
-    size, inside = len(data), ~_BREAK[data]
+def _part(first_row: int, data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> Part:
+    size, inside = len(data), ~breaks[data]
     begins, stops = inside.copy(), inside.copy()
     if size:
         begins[1:] &= ~inside[:-1]
