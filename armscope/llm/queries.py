@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from armscope.llm import decontaminate
 from armscope.llm import near_duplicates as near
 from armscope.llm import toxicity
 from armscope.llm.ship import ship
@@ -42,3 +43,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_toxicity_chain")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_cgk_decontamination")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
