@@ -27,7 +27,7 @@ _LOWER[0x41:0x5B] += 0x20
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spreads 64 bits: a bijection that makes sums and products of hashes independent."""
-    x = np.asarray(x, np.uint64)
+    x = np.atleast_1d(np.asarray(x, np.uint64))
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
     return x ^ (x >> _U(31))
