@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from armscope.llm import decontaminate
+from armscope.llm import decontaminate, mixing
 from armscope.llm import near_duplicates as near
 from armscope.llm import toxicity
 from armscope.llm.ship import ship
@@ -48,3 +48,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_cgk_decontamination")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_block_mixing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mixed_sizes(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
