@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from armscope.llm import decontaminate, mixing
 from armscope.llm import near_duplicates as near
-from armscope.llm import toxicity
+from armscope.llm import token_files, toxicity
 from armscope.llm.ship import ship
+from armscope.session import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: The public vocabulary file of the token query; a parameter, never copied.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -54,3 +57,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mixed_sizes(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query("op4_rans_tokens")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = token_files.TokenSpec(TOKENIZER)
+    return token_files.token_digest(table(spark, sf_dir, "documents"), new_folder(spark, "tokens"), spec)
