@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from armscope.llm import decontaminate, mixing
+from armscope.llm import decontaminate, line_frequency, mixing
 from armscope.llm import near_duplicates as near
 from armscope.llm import token_files, toxicity
 from armscope.llm.ship import ship
@@ -63,3 +63,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = token_files.TokenSpec(TOKENIZER)
     return token_files.token_digest(table(spark, sf_dir, "documents"), new_folder(spark, "tokens"), spec)
+
+
+@query("op10_site_line_frequency", line_frequency.sql())
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_frequency.without_boilerplate(table(spark, sf_dir, "pages"))
