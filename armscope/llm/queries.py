@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from armscope.llm import decontaminate, line_frequency, mixing
 from armscope.llm import near_duplicates as near
-from armscope.llm import token_files, toxicity
+from armscope.llm import quality_cascade, token_files, toxicity
 from armscope.llm.ship import ship
 from armscope.session import new_folder
 
@@ -68,3 +68,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_site_line_frequency", line_frequency.sql())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.without_boilerplate(table(spark, sf_dir, "pages"))
+
+
+@query("op5_quality_cascade", quality_cascade.SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cascade.quality(table(spark, sf_dir, "documents"))
