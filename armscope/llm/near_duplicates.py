@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,7 +91,8 @@ def estimates(differing: np.ndarray, bits: int, samples: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, spec: NearDuplicates) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, keys, sketch): s1 and s2 name the set, keys are its band keys."""
+    """(doc_id, n_shingles, s1, s2, keys, sketch, tags): s1 and s2 name the set, keys are its band keys, tags
+    their low 32 bits: by them, a pair that shares several bands is looked at in the first only."""
     rng = np.random.default_rng(spec.seed)
     factors = (rng.integers(0, 1 << 31, spec.samples, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
     shifts = rng.integers(0, 1 << 32, spec.samples, dtype=np.uint32)
@@ -100,7 +100,7 @@ def signatures(docs: DataFrame, spec: NearDuplicates) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, one, two, keys, sketches = [], [], [], [], []
+            counts, one, two, keys, sketches, tags = [], [], [], [], [], []
             for part in words.parts(batch.column(1)):
                 for found in shingle_sets(part, spec.shingle):
                     counts.append(len(found))
@@ -109,12 +109,14 @@ def signatures(docs: DataFrame, spec: NearDuplicates) -> DataFrame:
                     if not len(found):
                         keys.append(np.zeros(0, np.int64))
                         sketches.append(b"")
+                        tags.append(b"")
                         continue
                     least = min_samples(found, factors, shifts)
                     key = band_no.copy()
                     for row in range(spec.rows):
                         key = words.mixed(key * np.uint64(0x9E3779B97F4A7C15) + least[row : spec.bands * spec.rows : spec.rows])
                     keys.append(key.view(np.int64))
+                    tags.append(key.astype(np.uint32).tobytes())
                     sketches.append(odd_sketch(least, spec.bits))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -124,72 +126,121 @@ def signatures(docs: DataFrame, spec: NearDuplicates) -> DataFrame:
                     pa.array(np.array(two, np.uint64).view(np.int64), pa.int64()),
                     pa.array(keys, pa.list_(pa.int64())),
                     pa.array(sketches, pa.binary()),
+                    pa.array(tags, pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "s1", "s2", "keys", "sketch"],
+                ["doc_id", "n_shingles", "s1", "s2", "keys", "sketch", "tags"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(
-        sign, "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>, sketch binary"
+        sign, "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>, sketch binary, tags binary"
     )
 
 
+def _forest(x: np.ndarray, y: np.ndarray, far: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Kruskal: which of the edges x-y between ``node`` labels make a spanning forest, the least ``far`` first."""
+    root, keep = np.arange(node.max() + 1), []
+    order = np.argsort(far, kind="stable")
+    while len(order):
+        for e in order[: 4 * len(root)].tolist():
+            p, q = node[x[e]], node[y[e]]
+            while root[p] != p:
+                root[p] = p = root[root[p]]
+            while root[q] != q:
+                root[q] = q = root[root[q]]
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                keep.append(e)
+        while (root != root[root]).any():
+            root = root[root]
+        order = order[4 * len(root) :]
+        order = order[root[node[x[order]]] != root[node[y[order]]]]
+    return np.array(keep, np.int64)
+
+
+def _cell_pairs(cell: pa.Table, spec: NearDuplicates, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (a, b), a < b, of one cell; of all shared bands, only the first one yields a pair."""
+    ids, one = np.unique(cell.column("doc_id").to_numpy(), return_index=True)
+    none = np.zeros(0, np.int64)
+    if len(ids) < 2:
+        return none, none
+    label, side = (cell.column(c).to_numpy()[one] for c in ("component", "i"))
+    low, high, band = (cell.column(c)[0].as_py() for c in ("low", "high", "band"))
+    sketch, tags = cell.column("sketch").to_pylist(), cell.column("tags").to_pylist()
+    bitmaps = np.frombuffer(b"".join(sketch[i] for i in one), np.uint64).reshape(len(ids), -1)
+    tags = np.frombuffer(b"".join(tags[i] for i in one), np.uint32).reshape(len(ids), -1)[:, :band]
+    bits, samples = spec.bits, spec.samples
+    most = int(np.floor(bits / 2 * (1 - np.exp(-4 * samples * (1 - spec.sketch_bound) / bits))))
+    first, second, far = [none], [none], [none]
+    for at in range(0, len(ids), 256):
+        rows = slice(at, at + 256)
+        off = np.zeros((len(ids[rows]), len(ids)), np.uint16)
+        for w in range(bitmaps.shape[1]):
+            off += np.bitwise_count(bitmaps[rows, w, None] ^ bitmaps[None, :, w])
+        fits = (off <= most) & (ids[rows, None] < ids[None, :]) & (label[rows, None] != label[None, :])
+        if low != high:
+            fits &= side[rows, None] != side[None, :]
+        x, y = np.nonzero(fits)
+        new = np.ones(len(x), bool)
+        for k in range(band):
+            new &= tags[x + at, k] != tags[y, k]
+        x, y = x[new], y[new]
+        first.append(x + at)
+        second.append(y)
+        far.append(off[x, y].astype(np.int64))
+    x, y, far = map(np.concatenate, (first, second, far))
+    if forest and len(x):
+        keep = _forest(x, y, far, np.unique(label, return_inverse=True)[1])
+        x, y = x[keep], y[keep]
+    return ids[x], ids[y]
+
+
 def _bucket_pairs(members: DataFrame, spec: NearDuplicates, forest: bool) -> DataFrame:
     """Pairs (a, b), a < b, of bucket members with different ``component`` that the sketch can't rule out.
 
-    members: key, doc_id, component, sketch. A bucket beyond ``BLOCK`` members is dealt to cells, one for
-    each pair of blocks. ``forest``: of each cell, only a spanning forest of the likeliest pairs.
+    members: key, band, doc_id, component, sketch, tags. A bucket beyond ``BLOCK`` members is dealt to cells,
+    one for each pair of blocks. ``forest``: of each cell, only a spanning forest of the likeliest pairs.
     """
     size = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = members.join(size, "key").withColumn("g", F.ceil(F.col("n") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int")
     cells = (
-        blocks.withColumn("i", own)
+        members.join(size, "key")
+        .withColumn("g", F.ceil(F.col("n") / BLOCK).cast("int"))
+        .withColumn("i", own)
         .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
         .select(
-            "key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "i", "doc_id", "component", "sketch"
+            "key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "band", "i", "doc_id", "component",
+            "sketch", "tags",
         )
-    )
-    bound, bits, samples = spec.sketch_bound, spec.bits, spec.samples
-    most = int(np.floor(bits / 2 * (1 - np.exp(-4 * samples * (1 - bound) / bits))))
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("doc_id").drop_duplicates("doc_id")
-        ids, label = group["doc_id"].to_numpy(), group["component"].to_numpy()
-        bitmaps = np.frombuffer(b"".join(group["sketch"]), np.uint64).reshape(len(ids), -1)
-        low, high, side = group["low"].iat[0], group["high"].iat[0], group["i"].to_numpy()
-        first, second, far = [], [], []
-        for at in range(0, len(ids), 256):
-            rows = slice(at, at + 256)
-            off = np.zeros((len(ids[rows]), len(ids)), np.uint16)
-            for w in range(bitmaps.shape[1]):
-                off += np.bitwise_count(bitmaps[rows, w, None] ^ bitmaps[None, :, w])
-            fits = (off <= most) & (ids[rows, None] < ids[None, :]) & (label[rows, None] != label[None, :])
-            if low != high:
-                fits &= side[rows, None] != side[None, :]
-            x, y = np.nonzero(fits)
-            first.append(x + at)
-            second.append(y)
-            far.append(off[x, y])
-        x, y, far = map(np.concatenate, (first, second, far))
-        if forest and len(x):
-            # Kruskal over the labels, likeliest first
-            _, node = np.unique(label, return_inverse=True)
-            root, keep = list(range(node.max() + 1)), []
-            for e in np.argsort(far, kind="stable"):
-                p, q = node[x[e]], node[y[e]]
-                while root[p] != p:
-                    root[p] = root[root[p]]
-                    p = root[p]
-                while root[q] != q:
-                    root[q] = root[root[q]]
-                    q = root[q]
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-                    keep.append(e)
-            x, y = x[keep], y[keep]
-        return pd.DataFrame({"a": ids[x], "b": ids[y]})
-
-    return cells.groupBy("key", "low", "high").applyInPandas(compare, "a long, b long").distinct()
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells come one after the other; what a batch leaves of its last cell waits for the next batch."""
+        waiting: pa.Table | None = None
+
+        def pairs(table: pa.Table, whole: bool) -> tuple[list, pa.Table | None]:
+            table = table.combine_chunks()
+            key, low, high = (table.column(c).to_numpy() for c in ("key", "low", "high"))
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+            edges = np.concatenate([[0], cuts, [table.num_rows]])
+            last = len(edges) - 1 if whole else len(edges) - 2
+            found = [_cell_pairs(table.slice(p, q - p), spec, forest) for p, q in zip(edges[:last], edges[1 : last + 1])]
+            return found, None if whole else table.slice(int(edges[-2]))
+
+        def batch_of(found: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in (0, 1)], ["a", "b"]
+            )
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            found, waiting = pairs(table if waiting is None else pa.concat_tables([waiting, table]), False)
+            if found:
+                yield batch_of(found)
+        if waiting is not None and waiting.num_rows:
+            yield batch_of(pairs(waiting, True)[0])
+
+    dealt = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, spec: NearDuplicates) -> DataFrame:
@@ -234,25 +285,23 @@ def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) ->
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("class_id"))
     of_doc = shared.written(
-        full.join(classes, ["n_shingles", "s1", "s2"]).select("doc_id", "class_id", "keys", "sketch"), "classes"
+        full.join(classes, ["n_shingles", "s1", "s2"]).select("doc_id", "class_id", "keys", "sketch", "tags"), "classes"
     )
     chosen = of_doc.where("doc_id = class_id").dropDuplicates(["doc_id"])
-    bands = chosen.select(F.explode("keys").alias("key"), "doc_id", F.col("doc_id").alias("component"), "sketch")
-
     def bucket_members(nodes: DataFrame) -> DataFrame:
         """Members of the buckets that hold more than one component; sketches come in by id."""
-        keys = nodes.select(F.explode("keys").alias("key"), "doc_id", "component")
+        keys = nodes.select(F.posexplode("keys").alias("band", "key"), "doc_id", "component")
         several = keys.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-        return keys.join(several.select("key"), "key").join(nodes.select("doc_id", "sketch"), "doc_id")
+        return keys.join(several.select("key"), "key").join(nodes.select("doc_id", "sketch", "tags"), "doc_id")
 
-    nodes = chosen.select("doc_id", F.col("doc_id").alias("component"), "keys", "sketch")
+    nodes = chosen.select("doc_id", F.col("doc_id").alias("component"), "keys", "sketch", "tags")
     tried = shared.written(_bucket_pairs(bucket_members(nodes), spec, forest=True), "pairs")
     links = shared.written(confirmed(tried, docs, spec), "confirmed")
     found = shared.components(links)
     nodes = (
         nodes.drop("component")
         .join(found, nodes.doc_id == found.node, "left")
-        .select("doc_id", F.coalesce("component", "doc_id").alias("component"), "keys", "sketch")
+        .select("doc_id", F.coalesce("component", "doc_id").alias("component"), "keys", "sketch", "tags")
     )
     rest = _bucket_pairs(bucket_members(nodes), spec, forest=False).join(tried, ["a", "b"], "left_anti")
     more = shared.written(confirmed(shared.written(rest, "pairs"), docs, spec), "confirmed")
