@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from armscope.llm import decontaminate, line_frequency, mixing
+from armscope.llm import decontaminate, language_kn, line_frequency, mixing
 from armscope.llm import near_duplicates as near
 from armscope.llm import quality_cascade, token_files, toxicity
 from armscope.llm.ship import ship
@@ -73,3 +73,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_quality_cascade", quality_cascade.SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cascade.quality(table(spark, sf_dir, "documents"))
+
+
+@query("op6_kneser_ney_language")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_kn.predicted_languages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected", "cross_entropy")
