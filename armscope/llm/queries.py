@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from armscope.llm import decontaminate, language_kn, line_frequency, mixing
 from armscope.llm import near_duplicates as near
-from armscope.llm import quality_cascade, token_files, toxicity
+from armscope.llm import quality_cascade, substring_automata, suffix_pfp, token_files, toxicity
 from armscope.llm.ship import ship
 from armscope.session import new_folder
 
@@ -79,3 +79,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_kn.predicted_languages(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected", "cross_entropy")
+
+
+@query("op1_suffix_automata_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_automata.without_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op3_prefix_free_parsing_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_pfp.without_repeats(table(spark, sf_dir, "documents"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from armscope.session import new_folder
@@ -77,3 +78,23 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             )
         before = after
     raise RuntimeError(f"links did not settle in {max_rounds} rounds")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps: its cleaner follows the driver's garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def tagged(docs: DataFrame, in_order: bool = False) -> DataFrame:
+    """(row, doc_id, packed), written: row is a unique number; ``in_order``: ascending with doc_id, nulls first.
+
+    Rows of one id follow each other by the hash of their text.
+    """
+    body = packed(docs.select("doc_id", "text"))
+    if in_order:
+        body = body.withColumn("h", F.xxhash64("packed")).repartitionByRange("doc_id", "h")
+        body = body.sortWithinPartitions("doc_id", "h").drop("h")
+    out = written(body.select(F.monotonically_increasing_id().alias("row"), "doc_id", "packed"), "tagged")
+    release(docs.sparkSession)
+    return out
