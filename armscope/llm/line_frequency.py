@@ -6,7 +6,7 @@ and dropped from all pages of the host.
 
 Counts are combined before the shuffle, and lines travel as two 64-bit hashes. A host has at most
 (mean lines a page) * 100 / percent boilerplate lines, so its list is one short row however many pages it has;
-pages meet that row in one join, whose hot hosts adaptive execution splits.
+pages meet that row in one join, by host and ``salts`` salts.
 
 Defined cases: a page without html has no lines. A url without a scheme and host, or a null one, belongs to
 host ''. Repeated rows count as pages of their own. Null ids are kept. Lines are compared after trimming; a
@@ -34,6 +34,7 @@ EDGES = r"^\s+|\s+$"
 class LineSpec:
     percent: int = 10
     min_pages: int = 3
+    salts: int = 32
 
 
 def host_of(url: Column) -> Column:
@@ -76,8 +77,12 @@ def without_boilerplate(pages: DataFrame, spec: LineSpec = LineSpec()) -> DataFr
     kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(
         F.filter("lines", lambda x: ~F.array_contains(F.col("drop"), digest(x)))
     )
+    # a host may hold a third of all pages: they are dealt by host and salt, to a copy of its list each
+    salt = F.pmod(F.xxhash64("page_id", F.size("lines")), F.lit(spec.salts))
+    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spec.salts - 1).cast("long"))))
     return (
-        cut.join(found, "host", "left")
+        cut.withColumn("salt", salt)
+        .join(found, ["host", "salt"], "left")
         .select("page_id", "host", "lines", kept.alias("kept"))
         .select(
             "page_id",

@@ -198,7 +198,8 @@ def mix(docs: DataFrame, spec: MixSpec = MixSpec()) -> Mix:
         end.alias("end"),
         F.explode(F.sequence(F.expr(f"start div {spec.block}"), F.expr(f"(start + size - 1) div {spec.block}"))).alias("block"),
     )
-    taken = pieces.join(uses, ["source_no", "block"]).select(
+    # the slots come from a short range, from which the optimizer would guess a small table and broadcast it
+    taken = pieces.join(uses.hint("merge"), ["source_no", "block"]).select(
         "row",
         (F.greatest("start", F.col("block") * b) - F.col("start")).alias("first"),
         (F.least("end", (F.col("block") + 1) * b) - F.col("start")).alias("last"),
