@@ -17,9 +17,9 @@ import zlib
 import numpy as np
 
 HEAD = struct.Struct("<4sHHIIIII")
-LANES = 512
-CHECKPOINT = 256
-BITS = 20
+LANES = 1024
+CHECKPOINT = 128
+BITS = 18
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 
@@ -58,7 +58,8 @@ class Table:
     @property
     def symbol(self) -> np.ndarray:
         if self._symbol is None:
-            self._symbol = np.repeat(np.arange(len(self.frequency), dtype=np.uint32), self.frequency.astype(np.int64))
+            kind = np.uint16 if len(self.frequency) <= 1 << 16 else np.uint32  # small, so that it stays in a cache
+            self._symbol = np.repeat(np.arange(len(self.frequency), dtype=kind), self.frequency.astype(np.int64))
         return self._symbol
 
 
@@ -79,8 +80,8 @@ def encode(ids: np.ndarray, table: Table, lanes: int = LANES, every: int = CHECK
             out.append((spill & np.uint64(0xFFFFFFFF)).astype(np.uint32))
             written += len(spill)
             x[full] = spill >> _WORD
-        turns, rest = np.divmod(x, f)
-        state[: len(own)] = (turns << bits) + rest + c
+        turns = x // f
+        state[: len(own)] = (turns << bits) + (x - turns * f) + c
         if t % every == 0:
             marks.append((written, state.copy()))
     marks = marks[::-1] or [(0, state)]

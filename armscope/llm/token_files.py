@@ -16,6 +16,7 @@ written. Extra columns are ignored. An empty table makes an empty folder, and re
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
@@ -28,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from armscope.llm import rans, shared
+from armscope.llm import rans, shared, words
 
 
 @dataclass(frozen=True)
@@ -37,7 +38,7 @@ class TokenSpec:
     end_id: int = 0
     block_tokens: int = 1 << 18
     file_bytes: int = 16 << 20
-    kept_words: int = 700_000  # words whose ids a worker remembers before it starts anew
+    kept_words: int = 900_000  # words whose ids a worker remembers before it starts anew
 
 
 # White space other than space and line feed: texts that hold some are encoded as a whole.
@@ -73,47 +74,90 @@ class Encoder:
 
     def _forget(self) -> None:
         self.places, self.flat, self.n_flat = _Places(), np.zeros(1 << 16, np.uint32), 0
-        self.ends = np.zeros(1 << 16, np.int64)
-        self.n_known = 0
+        self.starts, self.ends, self.n_known = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+
+    def _room(self, name: str, size: int) -> None:
+        own = getattr(self, name)
+        while len(own) < size:
+            own = np.concatenate([own, np.zeros_like(own)])
+        setattr(self, name, own)
 
     def _learn(self) -> None:
-        new = self.places.new
+        """Encodes the new words. A comma or full stop after a letter is a piece of its own, so such words are
+        put together from the word and the mark."""
+        places, new = self.places, self.places.new
         if not new:
             return
-        found = self.tokenizer.encode_batch_fast(
-            [w[1:] if w[0] == "\0" else w if w[0] == "\n" else " " + w for w in new], add_special_tokens=False
-        )
-        ids = [e.ids for e in found]
+        plain, joint, marks, at = [], [], [], 0
+        while at < len(new):  # grows while words are split
+            w = new[at]
+            if w[-1] in ",." and len(w) > 1 and w[-2].isalpha():
+                joint.append((self.n_known + at, places[w[:-1]], places["\0" + w[-1]]))
+            else:
+                plain.append(self.n_known + at)
+            at += 1
+        texts = [new[i - self.n_known] for i in plain]
+        texts = [w[1:] if w[0] == "\0" else w if w[0] == "\n" else " " + w for w in texts]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        need = self.n_flat + int(sizes.sum())
-        while len(self.flat) < need:
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(self.ends) < self.n_known + len(ids):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.flat[self.n_flat : need] = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
-        self.ends[self.n_known : self.n_known + len(ids)] = self.n_flat + np.cumsum(sizes)
-        self.n_flat, self.n_known = need, self.n_known + len(ids)
+        self.n_known += len(new)
+        self._room("starts", self.n_known)
+        self._room("ends", self.n_known)
+        own = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        self._put(np.array(plain, np.int64), sizes, own)
+        if joint:
+            place, core, mark = np.array(joint, np.int64).T
+            sizes = self.ends[core] - self.starts[core]
+            whole = np.zeros(int(sizes.sum()) + len(joint), np.uint32)
+            last = np.cumsum(sizes + 1) - 1
+            stay = np.ones(len(whole), bool)
+            stay[last] = False
+            whole[stay] = self.flat[words.spread(self.starts[core], sizes)]
+            whole[last] = self.flat[self.starts[mark]]
+            self._put(place, sizes + 1, whole)
         new.clear()
 
-    def ids(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        if (
-            text[0] in " \n" or text[-1] in " \n" or "\0" in text
-            or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text)
-        ):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+    def _put(self, place: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self._room("flat", self.n_flat + len(ids))
+        self.flat[self.n_flat : self.n_flat + len(ids)] = ids
+        self.ends[place] = self.n_flat + np.cumsum(sizes)
+        self.starts[place] = self.ends[place] - sizes
+        self.n_flat += len(ids)
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
         if self.n_known > self.spec.kept_words:
             self._forget()
-        # keys: a word after a space as it is, after a line feed with it, the text's first word with \0
-        pieces = ("\0" + text).replace("\n", " \n").split(" ")
-        at = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
+        out: list[np.ndarray | None] = [None] * len(texts)
+        pieces, counts, looked_up = [], [], []
+        for i, text in enumerate(texts):
+            if not text:
+                out[i] = np.zeros(0, np.uint32)
+            elif (
+                text[0] in " \n" or text[-1] in " \n" or "\0" in text
+                or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text)
+            ):
+                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            else:
+                # keys: a word after a space as it is, after a line feed with it, the text's first word with \0
+                own = ("\0" + text).replace("\n", " \n").split(" ")
+                pieces.append(own)
+                counts.append(len(own))
+                looked_up.append(i)
+        if not looked_up:
+            return out
+        find = map(self.places.__getitem__, itertools.chain.from_iterable(pieces))
+        at = np.fromiter(find, np.int64, sum(counts))
         self._learn()
-        stop = self.ends[at]
-        start = np.where(at > 0, self.ends[at - 1], 0)
-        size = stop - start
-        first = np.cumsum(size) - size
-        return self.flat[np.arange(int(size.sum())) - np.repeat(first - start, size)]
+        starts, sizes = self.starts[at], self.ends[at] - self.starts[at]
+        ids = self.flat[words.spread(starts, sizes)]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
+        for i, own in zip(looked_up, np.split(ids, ends[:-1])):
+            out[i] = own
+        return out
+
+    def ids(self, text: str) -> np.ndarray:
+        return self.many([text])[0]
 
 
 _BLOCK = "file int, block int, doc_ids array<long>, doc_tokens array<long>, ids binary"
@@ -146,15 +190,16 @@ def token_blocks(docs: DataFrame, spec: TokenSpec) -> DataFrame:
             )
 
         for batch in batches:
-            for f, d, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                file = f
-                found = np.concatenate([encoder.ids(shared.unpacked([t])[0].decode()), end])
-                ids.append(d)
-                own.append(found)
-                n += len(found)
-                if n >= spec.block_tokens:
-                    yield row()
-                    block, ids, own, n = block + 1, [], [], 0
+            for at in range(0, batch.num_rows, 256):
+                files, doc_ids, bodies = (c.to_pylist() for c in batch.slice(at, 256).columns)
+                found = encoder.many([t.decode() for t in shared.unpacked(bodies)])
+                for file, d, x in zip(files, doc_ids, found):
+                    ids.append(d)
+                    own.append(np.concatenate([x, end]))
+                    n += len(own[-1])
+                    if n >= spec.block_tokens:
+                        yield row()
+                        block, ids, own, n = block + 1, [], [], 0
         if own:
             yield row()
 
