@@ -46,27 +46,36 @@ def two_sided_p(z: Column) -> Column:
     return 2 * normal_tail(F.abs(z))
 
 
+SERIES_DF = 20_000
+
+
 def chi_square_tail(x: Column, df: Column) -> Column:
     """P(X > x) of a chi-square with a whole number ``df`` of degrees of freedom.
 
-    Sums x^k / k!! terms, which are finite for whole df; only meant for result rows.
+    Sums exp(-x/2) x^k / k!! terms, which are finite for whole df; each is taken from its logarithm, so
+    none over- or underflows. Beyond ``SERIES_DF``, the cube-root normal law (error below 1e-6 there).
+    Only meant for result rows.
     """
     odd = df % 2 == 1
     shift = F.when(odd, 1).otherwise(0)
     count = F.floor(df / 2).cast("int")
-    # Each term follows from the one before by the next odd (or even) number.
+    safe = F.greatest(x, F.lit(1e-300))
+    log_x = F.ln(safe)
+    start = F.when(odd, log_x / 2 + math.log(math.sqrt(2 / math.pi))).otherwise(0.0) - safe / 2
+    # Each term's logarithm follows from the one before by the next odd (or even) number.
     series = F.aggregate(
         F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
-        F.struct(F.lit(0.0).alias("total"), F.when(odd, F.sqrt(x)).otherwise(1.0).alias("term")),
+        F.struct(F.lit(0.0).alias("total"), start.alias("term")),
         lambda s, k: F.struct(
-            (s["total"] + s["term"]).alias("total"), (s["term"] * x / (2 * k + shift)).alias("term")
+            (s["total"] + F.exp(s["term"])).alias("total"), (s["term"] + log_x - F.ln(2 * k + shift)).alias("term")
         ),
         lambda s: s["total"],
     )
-    odd_tail = two_sided_p(F.sqrt(x)) + F.when(
-        count > 0, math.sqrt(2 / math.pi) * F.exp(-x / 2) * series
-    ).otherwise(0.0)
-    return F.when((df >= 1) & (x >= 0), F.when(odd, odd_tail).otherwise(F.exp(-x / 2) * series))
+    exact = F.when(odd, two_sided_p(F.sqrt(x)) + F.when(count > 0, series).otherwise(0.0)).otherwise(series)
+    spread = 2 / (9 * df.cast("double"))
+    cube = (F.pow(x / df, 1 / 3) - (1 - spread)) / F.sqrt(spread)
+    tail = F.when(df <= SERIES_DF, F.least(exact, F.lit(1.0))).otherwise(1 - normal_cdf(cube))
+    return F.when((df >= 1) & (x == 0), 1.0).when((df >= 1) & (x > 0), tail)
 
 
 def kolmogorov_tail(x: Column, terms: int = 100) -> Column:
@@ -80,14 +89,15 @@ def kolmogorov_tail(x: Column, terms: int = 100) -> Column:
     return F.when(x < 0.2, 1.0).when(x >= 0.2, F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * series)))
 
 
-def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Continued fraction of the incomplete beta function (modified Lentz), vectorised."""
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray, steps: int = 10_000) -> np.ndarray:
+    """Continued fraction of the incomplete beta function (modified Lentz), vectorised; NaN where it does not settle."""
     tiny = 1e-300
     c = np.ones_like(x)
     d = 1 - (a + b) * x / (a + 1)
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
     h = d.copy()
-    for m in range(1, 400):
+    settled = np.zeros(x.shape, bool)
+    for m in range(1, steps):
         for numerator in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -96,14 +106,22 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             d = 1 / np.where(np.abs(d) < tiny, tiny, d)
             c = 1 + numerator / c
             c = np.where(np.abs(c) < tiny, tiny, c)
-            h = h * d * c
-        if np.all(np.abs(d * c - 1) < 1e-15):
+            h = np.where(settled, h, h * d * c)
+        settled |= np.abs(d * c - 1) < 1e-15
+        if settled.all():
             break
-    return h
+    return np.where(settled, h, np.nan)
+
+
+def _log_half_beta(a: np.ndarray) -> np.ndarray:
+    """log B(a, 1/2); for large ``a`` from the asymptotic difference of the two log-gammas."""
+    exact = np.array([math.lgamma(v) + math.lgamma(0.5) - math.lgamma(v + 0.5) for v in np.minimum(a, 1e6)])
+    far = 0.5 * math.log(math.pi) - 0.5 * np.log(a) + 1 / (8 * a) - 1 / (192 * a**3)
+    return np.where(a < 1e4, exact, far)
 
 
 def student_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """P(|T| > |t|) for real ``df``, as the regularised incomplete beta function."""
+    """P(|T| > |t|) for real ``df``, as the regularised incomplete beta function; NaN where that does not settle."""
     t, df = np.asarray(t, dtype=float), np.asarray(df, dtype=float)
     out = np.full(t.shape, np.nan)
     ok = np.isfinite(t) & np.isfinite(df) & (df > 0)
@@ -111,13 +129,13 @@ def student_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
         tt, nu = t[ok], df[ok]
         a, b, x = nu / 2, np.full(nu.shape, 0.5), nu / (nu + tt * tt)
         y = tt * tt / (nu + tt * tt)
-        log_beta = np.array([math.lgamma(v) + math.lgamma(0.5) - math.lgamma(v + 0.5) for v in a])
         with np.errstate(divide="ignore"):
-            front = np.exp(a * np.log(x) + b * np.log(y) - log_beta)
+            front = np.exp(-a * np.log1p(tt * tt / nu) + b * np.log(y) - _log_half_beta(a))
         # The fraction converges on the side of the mean; take the complement on the other.
         low = x < (a + 1) / (a + b + 2)
-        direct = front * _beta_fraction(a, b, x) / a
-        mirrored = 1 - front * _beta_fraction(b, a, y) / b
+        safe_x, safe_y = np.where(low, x, 0.5 * (a + 1) / (a + b + 2)), np.where(low, 0.0, y)
+        direct = front * _beta_fraction(a, b, safe_x) / a
+        mirrored = 1 - front * _beta_fraction(b, a, safe_y) / b
         out[ok] = np.clip(np.where(low, direct, mirrored), 0, 1)
     return out
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from armscope.functions.effects import at_least, ratio
 from armscope.functions.hashing import hash_arm, split_arm
 from armscope.functions.tails import chi_square_tail, two_sided_p
+from armscope.operators.arms import each_treatment
 from armscope.operators.means import welch_t
 from armscope.operators.proportions import two_proportion_z
 from armscope.spec import ExperimentSpec
@@ -133,6 +134,7 @@ def stratum_balance(units: DataFrame, spec: ExperimentSpec) -> DataFrame:
     return contingency_chi_square(cells, spec.keys, spec.stratum, "arm")
 
 
+@each_treatment
 def standardised_differences(units: DataFrame, spec: ExperimentSpec, covariates: Sequence[str]) -> DataFrame:
     """(mean treatment - mean control) / pooled sd for each covariate, from one scan."""
     columns = []

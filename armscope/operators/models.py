@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from armscope.functions.effects import ratio
+from armscope.functions.tails import two_sided_p
 from armscope.operators.joins import attach_per_group
 from armscope.operators.ranks import auc
 from armscope.operators.summaries import share_of_total
@@ -150,9 +152,106 @@ def fit_glm(
     return model.stages[-1], list(columns)
 
 
+def single_experiment(df: DataFrame, spec: ExperimentSpec) -> None:
+    """MLlib fits one model: rows of several experiments must not be pooled into it. See ``fleet_glm``."""
+    keys = [k for k in spec.keys if k in df.columns]
+    if keys and len(df.select(*keys).distinct().limit(2).collect()) > 1:
+        raise ValueError(f"several values of {keys}: fit each experiment on its own, or use fleet_glm")
+
+
+def fleet_glm(
+    df: DataFrame,
+    spec: ExperimentSpec,
+    label: str,
+    columns: Sequence[str],
+    family: str = "binomial",
+    offset: str | None = None,
+    steps: int = 30,
+    tol: float = 1e-10,
+) -> DataFrame:
+    """A logit (binomial) or log-linear (poisson) model of every experiment, all fitted together.
+
+    Each Newton step is one grouped aggregate of the weighted sums over all experiments; only those sums, a
+    row an experiment, come to the driver, where the small systems are solved. An experiment whose system is
+    singular (an empty arm, a constant column) gets null estimates.
+    """
+    if family not in ("binomial", "poisson"):
+        raise ValueError(family)
+    keys, k = list(spec.keys), len(columns) + 1
+    x = [F.lit(1.0), *[F.col(c) for c in columns]]
+    cells = [(i, j) for i in range(k) for j in range(i, k)]
+    off = F.col(offset).cast("double") if offset else F.lit(0.0)
+    fits: dict[tuple, dict] = {}
+    with cached(training_frame(df, columns, label, [*keys, *([offset] if offset else [])])) as rows:
+        y = F.col(label)
+        for r in rows.groupBy(*keys).agg(F.sum(y).alias("_y"), F.sum(F.exp(off)).alias("_e"), F.count(y).alias("_n")).collect():
+            beta = np.zeros(k)
+            if family == "poisson" and r["_y"] and r["_e"]:
+                beta[0] = np.log(r["_y"] / r["_e"])
+            fits[tuple(r[c] for c in keys)] = {"beta": beta, "n": r["_n"], "cov": None, "open": True}
+        fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keys]
+        schema = ", ".join([*[f.replace(" ", "_fit ", 1) for f in fields], *[f"b{i} double" for i in range(k)]])
+        for _ in range(steps):
+            live = {key: fit for key, fit in fits.items() if fit["open"]}
+            if not live:
+                break
+            betas = rows.sparkSession.createDataFrame([(*key, *map(float, fit["beta"])) for key, fit in live.items()], schema)
+            same = F.lit(True)
+            for c in keys:
+                same = same & F.col(c).eqNullSafe(F.col(f"{c}_fit"))
+            eta = off
+            for i in range(k):
+                eta = eta + F.col(f"b{i}") * x[i]
+            mu = 1 / (1 + F.exp(-F.col("_eta"))) if family == "binomial" else F.exp("_eta")
+            weight = F.col("_mu") * (1 - F.col("_mu")) if family == "binomial" else F.col("_mu")
+            sums = (
+                rows.join(betas, same)
+                .withColumn("_eta", eta)
+                .withColumn("_mu", mu)
+                .withColumn("_w", weight)
+                .groupBy(*keys)
+                .agg(
+                    *[F.sum(F.col("_w") * x[i] * x[j]).alias(f"a{i}_{j}") for i, j in cells],
+                    *[F.sum((y - F.col("_mu")) * x[i]).alias(f"g{i}") for i in range(k)],
+                )
+            )
+            for r in sums.collect():
+                fit = live[tuple(r[c] for c in keys)]
+                information = np.zeros((k, k))
+                for i, j in cells:
+                    information[i, j] = information[j, i] = r[f"a{i}_{j}"]
+                try:
+                    if not np.isfinite(information).all() or np.linalg.cond(information) > 1e14:
+                        raise np.linalg.LinAlgError
+                    fit["cov"] = np.linalg.inv(information)
+                except np.linalg.LinAlgError:
+                    fit |= {"cov": None, "open": False}
+                    continue
+                step = fit["cov"] @ np.array([r[f"g{i}"] for i in range(k)])
+                fit["beta"] = fit["beta"] + step
+                fit["open"] = bool(np.abs(step).max() > tol)
+    out = []
+    for key, fit in fits.items():
+        done = fit["cov"] is not None and not fit["open"]
+        for i, term in enumerate(["intercept", *columns]):
+            estimate = (float(fit["beta"][i]), float(np.sqrt(fit["cov"][i, i]))) if done else (None, None)
+            out.append((*key, term, fit["n"], *estimate))
+    table = df.sparkSession.createDataFrame(out, ", ".join([*fields, "term string, n long, coef double, se double"]))
+    ratio_name = "odds_ratio" if family == "binomial" else "rate_ratio"
+    return table.withColumn("z", F.col("coef") / F.col("se")).withColumns(
+        {
+            "p_value": two_sided_p(F.col("z")),
+            "ci_low": F.col("coef") - spec.ci_z * F.col("se"),
+            "ci_high": F.col("coef") + spec.ci_z * F.col("se"),
+            ratio_name: F.exp("coef"),
+        }
+    )
+
+
 def logit_table(
     df: DataFrame, label: str, columns: Sequence[str], spec: ExperimentSpec, scale: bool = False
 ) -> DataFrame:
+    single_experiment(df, spec)
     model, names = fit_glm(df, label, columns, scale=scale)
     return wald_table(model, names, df.sparkSession, spec.ci_z)
 
@@ -161,6 +260,7 @@ def poisson_table(
     df: DataFrame, count: str, columns: Sequence[str], spec: ExperimentSpec, log_exposure: str | None = None
 ) -> DataFrame:
     """Poisson regression; ``odds_ratio`` is then a rate ratio and is named so."""
+    single_experiment(df, spec)
     model, names = fit_glm(df, count, columns, "poisson", "log", log_exposure)
     return wald_table(model, names, df.sparkSession, spec.ci_z).withColumnRenamed("odds_ratio", "rate_ratio")
 
@@ -320,6 +420,7 @@ def cuped_by_model(
     The covariate is fitted on the same outcomes, so it is flagged as not pre-period.
     """
     label = label or spec.metric
+    single_experiment(df, spec)
     frame = training_frame(df, columns, label, [*spec.keys, spec.arm])
     model = fit(logistic(label, columns), frame)
     return cuped_report(scored(model, frame), spec, label, "score", pre_period=False)
@@ -330,6 +431,9 @@ def t_learner(
 ) -> DataFrame:
     """Uplift per row: the difference of two boosted regressions, one fitted on each arm."""
     label = label or spec.metric
+    single_experiment(df, spec)
+    if len(spec.treatments) > 1:
+        raise ValueError("uplift compares one treatment with the control: choose one")
     frame = training_frame(df, columns, label, [*spec.keys, spec.arm])
     options = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "minInstancesPerNode": 50, **settings}
     out = assembler(columns).transform(frame)
@@ -368,6 +472,7 @@ def cuped_by_embedding(
     df: DataFrame, spec: ExperimentSpec, embedding: str, label: str, ridge: float = 1.0
 ) -> DataFrame:
     """Adjustment by a linear prediction of the outcome from an embedding array."""
+    single_experiment(df, spec)
     frame = df.select(
         *spec.keys,
         spec.arm,
@@ -379,6 +484,7 @@ def cuped_by_embedding(
     )
     with cached(frame) as train:
         model = learner.fit(train)
-    return cuped_report(model.transform(frame), spec, label, "score", pre_period=True)
+    # fitted on the outcomes it then adjusts, so it does not precede the experiment
+    return cuped_report(model.transform(frame), spec, label, "score", pre_period=False)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from armscope.functions.effects import at_least, ratio
 from armscope.functions.tails import two_sided_p
+from armscope.operators.arms import each_treatment
 from armscope.operators.means import two_sample_z
 from armscope.spec import ExperimentSpec
 
@@ -104,6 +105,7 @@ def correct_p_values(
     return out.drop("_rank")
 
 
+@each_treatment
 def quasi_poisson(
     df: DataFrame, spec: ExperimentSpec, count: str, exposure: str | None = None, by: Sequence[str] = ()
 ) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from armscope.functions.effects import at_least, at_most, ratio, verdict
 from armscope.functions.tails import kolmogorov_tail, normal_cdf, two_sided_p
+from armscope.operators.arms import each_treatment
 from armscope.operators.joins import attach_per_group
 from armscope.session import materialise
 from armscope.spec import ExperimentSpec
@@ -90,6 +91,7 @@ def rank_sums(df: DataFrame, groups: Sequence[str], value: str, first: Column, s
     return out.withColumn("p_value", at_most(two_sided_p(F.col("z")), 1.0)).drop("_ties")
 
 
+@each_treatment
 def mann_whitney(
     df: DataFrame, spec: ExperimentSpec, value: str | None = None, by: Sequence[str] = ()
 ) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from armscope.operators.arms import each_treatment
 from armscope.operators.proportions import with_z_test
 from armscope.operators.summaries import paired_arms
 from armscope.spec import ExperimentSpec
@@ -28,6 +29,7 @@ def _arms_by_day(daily: DataFrame, spec: ExperimentSpec, day: str) -> DataFrame:
     return daily.groupBy(*spec.keys, day).agg(*columns)
 
 
+@each_treatment
 def lift_by_exposure_day(
     log: DataFrame, spec: ExperimentSpec, metric: str | None = None, ts: str = "ts"
 ) -> DataFrame:
@@ -49,6 +51,7 @@ def lift_by_exposure_day(
     )
 
 
+@each_treatment
 def peeking_guard(
     log: DataFrame, spec: ExperimentSpec, planned_n: int, metric: str | None = None, ts: str = "ts"
 ) -> DataFrame:

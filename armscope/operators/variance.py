@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from armscope.functions.effects import at_least, ratio
 from armscope.functions.tails import student_p, two_sided_p
+from armscope.operators.arms import each_treatment
 from armscope.operators.joins import attach_per_group
 from armscope.spec import ExperimentSpec
 
@@ -36,6 +37,7 @@ def _theta(pooled_ddof: int):
     return theta * ratio(F.col("n"), F.col("n") - 1) if pooled_ddof else theta
 
 
+@each_treatment
 def cuped_theta(df: DataFrame, spec: ExperimentSpec, y: str, x: str, ddof: int = 1) -> DataFrame:
     """The adjustment slope and the covariate's mean, over the units of all arms."""
     return _moments(df, spec, y, x).select(
@@ -43,6 +45,7 @@ def cuped_theta(df: DataFrame, spec: ExperimentSpec, y: str, x: str, ddof: int =
     )
 
 
+@each_treatment
 def cuped_adjust(
     df: DataFrame, spec: ExperimentSpec, y: str, x: str, out: str = "y_adj", ddof: int = 1
 ) -> DataFrame:
@@ -53,6 +56,7 @@ def cuped_adjust(
     return joined.withColumn(out, adjusted).drop("_theta", "_mean_x")
 
 
+@each_treatment
 def cuped_report(
     df: DataFrame, spec: ExperimentSpec, y: str, x: str, ddof: int = 1, pre_period: bool = True
 ) -> DataFrame:
@@ -105,6 +109,7 @@ def cuped_report(
     )
 
 
+@each_treatment
 def ancova(
     df: DataFrame, spec: ExperimentSpec, y: str, x: str, p_values: bool = True
 ) -> DataFrame:

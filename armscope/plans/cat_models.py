@@ -8,8 +8,8 @@ from armscope.functions.hashing import hash_arm
 from armscope.operators import models, ranks, sampling
 from armscope.plans.cat_clean import _BUCKET_SQL
 from armscope.plans.cat_power import _CUPED_COLUMNS, _CUPED_SQL
-from armscope.plans.registry import REGIONS, SPEC, events_features, prepost_units, query, rounded
-from armscope.plans.sqltext import EVENTS_ROWS, PREPOST, div, glm, mid_ranked, p_two, r, rs
+from armscope.plans.registry import REGIONS, SPEC, events_features, fleet_units, prepost_units, query, rounded
+from armscope.plans.sqltext import EVENTS_ROWS, FLEET_UNITS, PREPOST, div, glm, mid_ranked, p_two, r, rs
 from armscope.sources import views
 
 MAIN = models.main_features(SPEC, REGIONS)
@@ -61,6 +61,24 @@ def st16(spark, sf_dir):
     )
 
 
+_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+_FLEET_LOGIT = " UNION ALL ".join(
+    f"""SELECT '{name}' AS experiment, * FROM (WITH {FLEET_UNITS},
+fx AS (SELECT *, cast(arm = 'treatment' as int) AS is_treatment, amount / 100000 AS size FROM u WHERE experiment = '{name}'),
+{glm('fx', 'converted', ['size', 'is_treatment'])} {_wald_sql()})"""
+    for name in _PRIORITIES
+)
+
+
+@query("st15_fleet_logit", _FLEET_LOGIT)
+def st15_fleet(spark, sf_dir):
+    """A logit of every experiment of the fleet, fitted together, never pooled."""
+    units = fleet_units(spark, sf_dir).withColumns(
+        {"is_treatment": (F.col("group") == "treatment").cast("int"), "size": F.col("amount") / 100000}
+    )
+    return rounded(models.fleet_glm(units, SPEC, "converted", ["size", "is_treatment"]).drop("n"))
+
+
 def _scaled_sql(columns: list[str], table: str = "fs") -> str:
     cols = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS {c}" for c in columns)
     return f"{table} AS MATERIALIZED (SELECT experiment, arm, seq, converted, {cols} FROM fx)"
