@@ -223,26 +223,28 @@ def mixed_documents(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
     text: the words taken in the first round, then those taken once more, in their order, joined by one
     space; n_chars, if there, is their length. All other columns are unchanged.
     """
-    tagged = shared.written(docs.select(F.monotonically_increasing_id().alias("row"), *docs.columns), "tagged")
-    pieces = mix(tagged.select("row", "doc_id", "text", "source"), spec).taken.groupBy("row").agg(
+    # the document's own columns stay in a struct: they may have any name
+    whole = F.struct(*docs.columns).alias("doc")
+    tagged = shared.written(docs.select(F.monotonically_increasing_id().alias("row"), whole), "tagged")
+    pieces = mix(tagged.select("row", "doc.doc_id", "doc.text", "doc.source"), spec).taken.groupBy("row").agg(
         F.sort_array(F.collect_list(F.struct("first", "last", "uses"))).alias("pieces")  # of one document
     )
     names, schema = docs.columns, docs.schema
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for part in words.parts(batch.column(names.index("text"))):
+            own, texts = pa.RecordBatch.from_struct_array(batch.column(0)), []
+            for part in words.parts(own.column(names.index("text"))):
                 body = part.data.tobytes()
                 for r, (a, b) in enumerate(zip(part.first_word[:-1], part.first_word[1:])):
-                    lot = batch.column(len(names))[part.first_row + r].as_py()
+                    lot = batch.column(1)[part.first_row + r].as_py()
                     cut = [body[s:e] for s, e in zip(part.starts[a:b].tolist(), part.ends[a:b].tolist())]
                     turns = range(max(p["uses"] for p in lot))
                     texts.append(b" ".join(w for t in turns for p in lot if p["uses"] > t for w in cut[p["first"] : p["last"]]))
-            columns = dict(zip(names, batch.columns))
+            columns = dict(zip(names, own.columns))
             columns["text"] = pa.array([t.decode() for t in texts], pa.string())
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([len(t.decode()) for t in texts]).cast(columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
-    return tagged.join(pieces, "row").select(*names, "pieces").mapInArrow(rebuild, schema)
+    return tagged.join(pieces, "row").select("doc", "pieces").mapInArrow(rebuild, schema)

@@ -200,7 +200,9 @@ def _bucket_pairs(members: DataFrame, spec: NearDuplicates, forest: bool) -> Dat
     members: key, band, doc_id, component, sketch, tags. A bucket beyond ``BLOCK`` members is dealt to cells,
     one for each pair of blocks. ``forest``: of each cell, only a spanning forest of the likeliest pairs.
     """
-    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written first, here and below: a join of two plain exchanges is one whose hot keys can be split
+    members = shared.written(members, "members")
+    size = shared.written(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     own = F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int")
     cells = (
         members.join(size, "key")
@@ -283,7 +285,7 @@ def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) ->
     """
     signed = shared.written(signatures(docs, spec), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("class_id"))
+    classes = shared.written(full.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("class_id")), "class-ids")
     of_doc = shared.written(
         full.join(classes, ["n_shingles", "s1", "s2"]).select("doc_id", "class_id", "keys", "sketch", "tags"), "classes"
     )
@@ -291,13 +293,15 @@ def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) ->
     def bucket_members(nodes: DataFrame) -> DataFrame:
         """Members of the buckets that hold more than one component; sketches come in by id."""
         keys = nodes.select(F.posexplode("keys").alias("band", "key"), "doc_id", "component")
-        several = keys.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-        return keys.join(several.select("key"), "key").join(nodes.select("doc_id", "sketch", "tags"), "doc_id")
+        ends = keys.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+        several = shared.written(ends.where("x <> y").select("key"), "buckets")
+        return keys.join(several, "key").join(nodes.select("doc_id", "sketch", "tags"), "doc_id")
 
     nodes = chosen.select("doc_id", F.col("doc_id").alias("component"), "keys", "sketch", "tags")
     tried = shared.written(_bucket_pairs(bucket_members(nodes), spec, forest=True), "pairs")
     links = shared.written(confirmed(tried, docs, spec), "confirmed")
     found = shared.components(links)
+    shared.release(docs.sparkSession)
     nodes = (
         nodes.drop("component")
         .join(found, nodes.doc_id == found.node, "left")

@@ -129,12 +129,15 @@ def repeated(tagged: DataFrame, spec: Windows, decide: Decide) -> DataFrame:
     """(row, spans): stretches [start, end) of symbols that repeated windows cover, unmerged, of rows that have some."""
     spark = tagged.sparkSession
     found = occurrences(tagged, spec)
-    anchors = (
+    # written first: a join of two plain exchanges is one whose hot keys adaptive execution can split
+    anchors = shared.written(
         found.groupBy("a")
         .agg(F.count(F.lit(1)).alias("c"), F.min("p").alias("low"), F.max("p").alias("high"))
         .where("c > 1")
-        .select("a", (F.col("low") != F.col("high")).alias("mixed"))
+        .select("a", (F.col("low") != F.col("high")).alias("mixed")),
+        "anchors",
     )
+    shared.release(spark)
     again = shared.written(found.join(anchors, "a"), "pieces")
     shared.release(spark)
     kinds = shared.written(
