@@ -1,7 +1,7 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
 A document is contaminated by an item if some stretch of its words is within ``tolerance`` times the item's
-length of it in word edits (insert, delete, replace). Words are letters and digits, A-Z lower-cased.
+length of it in word edits (insert, delete, replace). Words are letters and digits, lower-cased.
 
 1. An item of n words that survives k edits keeps one of k + 1 pieces whole, so only windows around such a
    piece can match. This filter loses nothing.
@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,9 +108,13 @@ def best_edit(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def lowered(texts: pa.Array) -> pa.Array:
+    return pc.utf8_lower(texts.cast(pa.large_string()))
+
+
 def make_block(ids: list, texts: list[str], spec: LeakSpec) -> Block:
-    part = next(words.parts(pa.array(texts, pa.string()), part_bytes=1 << 62, breaks=words.LETTERS_ONLY), None)
-    hashes = part.hashes(lower=True)
+    part = next(words.parts(lowered(pa.array(texts, pa.string())), part_bytes=1 << 62, breaks=words.LETTERS_ONLY))
+    hashes = part.hashes()
     cut = [hashes[a:b] for a, b in zip(part.first_word[:-1], part.first_word[1:])]
     keep = [i for i, x in enumerate(cut) if len(x)]
     ids, items = [ids[i] for i in keep], [cut[i] for i in keep]
@@ -168,8 +173,8 @@ def finder(block: Block, spec: LeakSpec) -> Callable[[pa.Array], list[tuple[int,
 
     def find(texts: pa.Array) -> list[tuple[int, int, int, int]]:
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for part in words.parts(texts, breaks=words.LETTERS_ONLY):
-            symbols = part.hashes(lower=True)
+        for part in words.parts(lowered(texts), breaks=words.LETTERS_ONLY):
+            symbols = part.hashes()
             found = windows(part, symbols)
             if not len(found):
                 continue

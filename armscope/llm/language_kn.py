@@ -123,6 +123,8 @@ def _distinct(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.nda
 def fit(grams: dict[str, tuple[np.ndarray, np.ndarray]], spec: KnSpec) -> Models:
     """grams: language -> (codes of its distinct longest n-grams, one a row; their counts)."""
     languages, order = sorted(grams), spec.order
+    if not languages:
+        return Models([], spec, [], np.zeros(0, np.float32))
     per_level: list[dict] = [{} for _ in range(order)]
     floor = []
     for language in languages:
