@@ -1,4 +1,4 @@
-"""Sends the package to the Python workers, where it is not installed."""
+"""Prepares a session: the package for its Python workers, and batches that fit whole texts."""
 
 from __future__ import annotations
 
@@ -8,11 +8,16 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+BATCH_ROWS = 1000
 _SENT: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Once a Spark application: hand the package to the executors as ``--py-files`` would."""
+    """Once a Spark application: hand the package to the executors as ``--py-files`` would.
+
+    Batches are set to so many rows that a batch of whole texts takes megabytes, not hundreds of them.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     context = spark.sparkContext
     if context.applicationId in _SENT:
         return

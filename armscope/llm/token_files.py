@@ -38,7 +38,7 @@ class TokenSpec:
     end_id: int = 0
     block_tokens: int = 1 << 18
     file_bytes: int = 16 << 20
-    kept_words: int = 900_000  # words whose ids a worker remembers before it starts anew
+    kept_words: int = 600_000  # words whose ids a worker remembers before it starts anew
 
 
 # White space other than space and line feed: texts that hold some are encoded as a whole.
