@@ -107,8 +107,8 @@ def sample_ratio(
     by: Sequence[str] = (),
     alarm: float = 0.001,
 ) -> DataFrame:
-    """Chi-square of observed arm sizes against planned shares (equal by default)."""
-    shares = shares or {arm: 1.0 for arm in spec.arms}
+    """Chi-square of observed arm sizes against planned shares (the spec's by default)."""
+    shares = shares or spec.planned_shares
     total_share = sum(shares.values())
     counts = units.groupBy(*spec.keys, *by).agg(
         *[F.count_if(F.col(spec.arm) == arm).alias(f"n_{arm}") for arm in shares]

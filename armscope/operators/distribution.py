@@ -8,23 +8,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from armscope.functions.effects import ratio
-from armscope.functions.timing import bucket_label, half_open_bucket
+from armscope.functions.timing import BUCKET_MINUTES, LAST_MINUTE, bucket_label, half_open_bucket
 from armscope.operators.joins import attach_per_group
 from armscope.operators.summaries import paired_arms
 from armscope.spec import ExperimentSpec
 
 
 def bucket_rates(
-    df: DataFrame, spec: ExperimentSpec, metric: str | None = None, compat: bool = False
+    df: DataFrame,
+    spec: ExperimentSpec,
+    metric: str | None = None,
+    compat: bool = False,
+    width: int = BUCKET_MINUTES,
+    last: int = LAST_MINUTE,
+    overflow: bool = False,
 ) -> DataFrame:
-    """Conversion by half-open ten-minute bucket and arm, in percent, with the point difference.
+    """Conversion by half-open bucket of ``width`` minutes and arm, in percent, with the point difference.
+
+    Rows at or past ``last`` minutes are in no bucket, or with ``overflow`` in one of their own.
 
     Descriptive only where the treatment can shift the time itself. An arm without rows in a bucket
     has a null rate, or 0 in compat mode.
     """
-    bucketed = df.withColumn("bucket_low", half_open_bucket(F.col(spec.time) / 60)).filter(
-        F.col("bucket_low").isNotNull()
-    )
+    minutes = F.col(spec.time) / 60
+    low = half_open_bucket(minutes, width, last)
+    if overflow:
+        low = F.when(minutes >= last, F.lit(last)).otherwise(low)
+    bucketed = df.withColumn("bucket_low", low).filter(F.col("bucket_low").isNotNull())
     cells = paired_arms(bucketed, spec, metric, ("bucket_low",))
     control, treatment = F.col("mean_c") * 100, F.col("mean_t") * 100
     if compat:
@@ -33,7 +43,9 @@ def bucket_rates(
         *spec.keys,
         "treatment",
         "bucket_low",
-        bucket_label(F.col("bucket_low")).alias("bucket"),
+        F.when(F.col("bucket_low") >= last, F.lit(f"{last}+"))
+        .otherwise(bucket_label(F.col("bucket_low"), width))
+        .alias("bucket"),
         "n_c",
         "n_t",
         control.alias("control_pct"),

@@ -55,7 +55,10 @@ def with_z_test(cells: DataFrame, spec: ExperimentSpec) -> DataFrame:
         {
             "verdict": verdict(F.col("p_value"), spec.alpha),
             "direction": direction(p1, p2),
+            # The interval is control minus treatment. The first flag, kept as it was, bounds the control's
+            # gain; the second one bounds the treatment's, which is what a launch asks for.
             "negligible": (F.col("p_value") >= spec.alpha) & (F.col("ci_high") * 100 < spec.negligible_pp),
+            "gain_negligible": (F.col("p_value") >= spec.alpha) & (-F.col("ci_low") * 100 < spec.negligible_pp),
         }
     )
 
@@ -190,5 +193,6 @@ def subgroup_effects(
 
 def ranked_effects(effects: DataFrame, spec: ExperimentSpec) -> DataFrame:
     """Subgroup effects in ascending order with their rank."""
-    order = Window.partitionBy(*spec.keys, "treatment").orderBy("cate_pp")
+    cell = [c for c in effects.columns if c not in (*spec.keys, "treatment", "cate_pp")]
+    order = Window.partitionBy(*spec.keys, "treatment").orderBy("cate_pp", *cell)
     return effects.withColumn("effect_rank", F.row_number().over(order)).orderBy("effect_rank")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from armscope.functions.hashing import hash_arm, hash_number
@@ -126,6 +128,22 @@ def mb08(spark, sf_dir):
     return rounded(design.sample_ratio(orders_units(spark, sf_dir), SPEC))
 
 
+@query(
+    "mb08_planned_split",
+    f"""WITH {EVENTS_LOG}, n AS (SELECT experiment, count(DISTINCT user_id) FILTER ({hashed("'split:' || user_id")} % 10 < 7) AS n_control,
+  count(DISTINCT user_id) FILTER ({hashed("'split:' || user_id")} % 10 >= 7) AS n_treatment FROM log GROUP BY experiment),
+q AS (SELECT *, n_control + n_treatment AS n FROM n),
+x AS (SELECT *, sqrt(power(n_control - 0.7 * n, 2) / (0.7 * n) + power(n_treatment - 0.3 * n, 2) / (0.3 * n)) AS root FROM q)
+SELECT experiment, n_control, n_treatment, {rs('chi2=root * root')}, {r(p_two('root'))} AS p_value, {p_two('root')} < 0.001 AS mismatch_alarm FROM x""",
+)
+def mb08_planned(spark, sf_dir):
+    """A 70:30 split, checked against the shares in the spec."""
+    users = events_log(spark, sf_dir).select("experiment", "user_id").distinct()
+    bucket = F.conv(F.substring(F.md5(F.concat(F.lit("split:"), F.col("user_id").cast("string"))), 1, 8), 16, 10).cast("bigint")
+    users = users.withColumn("group", F.when(bucket % 10 < 7, "control").otherwise("treatment"))
+    return rounded(design.sample_ratio(users, replace(SPEC, shares=(0.7, 0.3))))
+
+
 @query("mb08_sample_ratio_by_stratum", f"WITH {ORDERS_UNITS}, {_ratio_sql('country')}")
 def mb08_strata(spark, sf_dir):
     return rounded(design.sample_ratio(orders_units(spark, sf_dir), SPEC, by=["country"]))

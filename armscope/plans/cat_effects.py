@@ -40,7 +40,7 @@ def st01(spark, sf_dir):
 
 _Z_COLUMNS = f"""n_c, cast(total_c as bigint) AS total_c, n_t, cast(total_t as bigint) AS total_t,
  {rs('p_c', 'p_t', 'p_pool', 'diff', 'se_pooled', 'se_diff', 'z', 'ci_low', 'ci_high', 'p_value')},
- verdict, direction, negligible"""
+ verdict, direction, negligible, gain_negligible"""
 
 
 @query(
@@ -387,6 +387,18 @@ def st14(spark, sf_dir):
     return rounded(distribution.bucket_rates(events_rows(spark, sf_dir), SPEC))
 
 
+@query(
+    "st14_with_overflow",
+    f"""WITH {EVENTS_ROWS}, b AS (SELECT *, least(cast(floor(time_seconds / 300) * 5 as int), 30) AS bucket_low FROM e),
+cells AS ({paired('b', 'converted', 'bucket_low')})
+SELECT experiment, treatment, bucket_low, CASE WHEN bucket_low = 30 THEN '30+' ELSE bucket_low || '-' || (bucket_low + 5) END AS bucket,
+ n_c, n_t, {rs('control_pct=mean_c * 100', 'treatment_pct=mean_t * 100', 'diff_pp=(mean_t - mean_c) * 100')} FROM cells""",
+)
+def st14_overflow(spark, sf_dir):
+    """Five-minute buckets up to half an hour; what comes later has a bucket of its own."""
+    return rounded(distribution.bucket_rates(events_rows(spark, sf_dir), SPEC, width=5, last=30, overflow=True))
+
+
 @query(
     "ag14_histogram",
     f"""WITH {EVENTS_ROWS}, m AS (SELECT min(time_seconds / 60) AS lo, max(time_seconds / 60) AS hi FROM e),

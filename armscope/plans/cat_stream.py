@@ -82,12 +82,16 @@ def sm02(spark, sf_dir):
 @query(
     "sm03_alarms",
     f"""WITH {EVENTS_LOG},
-w AS (SELECT experiment, count(*) FILTER (arm = 'control') AS n_c, count(*) FILTER (arm = 'treatment') AS n_t,
-  sum(converted) FILTER (arm = 'control') AS total_c, sum(converted) FILTER (arm = 'treatment') AS total_t,
+w AS (SELECT experiment, 'treatment' AS treatment, count(DISTINCT user_id) FILTER (arm = 'control') AS n_units_c,
+  count(DISTINCT user_id) FILTER (arm = 'treatment') AS n_units_t,
+  count(*) FILTER (arm = 'control' AND NOT {WRONG}) AS n_c, count(*) FILTER (arm = 'treatment' AND NOT {WRONG}) AS n_t,
+  sum(converted) FILTER (arm = 'control' AND NOT {WRONG}) AS total_c,
+  sum(converted) FILTER (arm = 'treatment' AND NOT {WRONG}) AS total_t,
   {div(f'count(*) FILTER {WRONG}', 'count(*)')} AS mismatch_rate FROM log GROUP BY experiment), {z_test('w')},
-q AS (SELECT *, {div('n_c - n_t', 'sqrt(n_c + n_t)')} AS rz FROM zt), p AS (SELECT *, {p_two('rz')} AS rp FROM q)
-SELECT experiment, n_c, n_t, {rs('mismatch_rate')}, mismatch_rate > 0.02 AS mismatch_alarm, {r('rp')} AS ratio_p_value,
- rp < 0.001 AS ratio_alarm, {rs('z', 'p_value')} FROM p""",
+q AS (SELECT *, {div('n_units_c - n_units_t', 'sqrt(n_units_c + n_units_t)')} AS rz FROM zt),
+p AS (SELECT *, {p_two('rz')} AS rp FROM q)
+SELECT experiment, treatment, n_units_c, n_units_t, {rs('mismatch_rate')}, mismatch_rate > 0.02 AS mismatch_alarm,
+ {r('rp')} AS ratio_p_value, rp < 0.001 AS ratio_alarm, {rs('z', 'p_value')} FROM p""",
 )
 def sm03(spark, sf_dir):
     home = new_folder(spark, "alarms")

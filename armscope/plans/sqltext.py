@@ -145,7 +145,8 @@ z3 AS (SELECT *, {p_two('z')} AS p_value FROM z2),
 zt AS (
   SELECT *, CASE WHEN p_value < 0.05 THEN 'significant' WHEN p_value >= 0.05 THEN 'not_significant' END AS verdict,
          CASE WHEN p_c > p_t THEN 'control_higher' WHEN p_c <= p_t THEN 'treatment_higher' END AS direction,
-         p_value >= 0.05 AND ci_high * 100 < 0.1 AS negligible
+         p_value >= 0.05 AND ci_high * 100 < 0.1 AS negligible,
+         p_value >= 0.05 AND -ci_low * 100 < 0.1 AS gain_negligible
   FROM z3
 )"""
 

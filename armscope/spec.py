@@ -32,14 +32,26 @@ class ExperimentSpec:
     power: float = 0.80
     # 1.96 rather than the exact quantile, the usual rounded constant.
     ci_z: float = 1.96
-    # A difference whose upper bound is below this many percentage points is negligible.
+    # A gain of the treatment whose upper bound is below this many percentage points is negligible.
     negligible_pp: float = 0.1
     min_cell: int = 100
+    # Planned shares of the control and the treatments, in their order; equal unless given.
+    shares: tuple[float, ...] = ()
+
+    def __post_init__(self) -> None:
+        if self.shares and len(self.shares) != len(self.arms):
+            raise ValueError("one share for the control and one for each treatment")
 
     @property
     def arms(self) -> tuple[str, ...]:
         return (self.control, *self.treatments)
 
+    @property
+    def planned_shares(self) -> dict[str, float]:
+        """Share of each arm; they sum to 1."""
+        shares = self.shares or (1.0,) * len(self.arms)
+        return {arm: share / sum(shares) for arm, share in zip(self.arms, shares)}
+
     @property
     def z_alpha(self) -> float:
         return NormalDist().inv_cdf(1 - self.alpha / 2)

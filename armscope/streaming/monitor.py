@@ -77,75 +77,115 @@ def append_to_folder(stream: DataFrame, folder: str, checkpoint: str) -> Streami
     )
 
 
-def alarms(totals: DataFrame, spec: ExperimentSpec, max_mismatch_rate: float = 0.02) -> DataFrame:
-    """Mismatch and sample-ratio alarms and the current z from per-arm totals (keys, arm, n, total, mismatched).
+def alarms(
+    totals: DataFrame, spec: ExperimentSpec, max_mismatch_rate: float = 0.02, ratio_alarm: float = 0.001
+) -> DataFrame:
+    """Mismatch and sample-ratio alarms and the current z from per-arm totals.
 
-    Totals have one row per arm, however many windows or batches went into them.
+    totals: keys, arm, n_rows, n_units, mismatched, and n and total of the metric without mismatched rows, as
+    batch tests take them. The ratio compares units, not rows, with the planned shares. One row a treatment.
     """
+    names = ("n_rows", "n_units", "mismatched", "n", "total")
+    shares, spec_treatments = spec.planned_shares, spec.treatments
+
+    def of(arm: str, name: str):
+        return F.coalesce(F.sum(F.when(F.col("arm") == arm, F.col(name))), F.lit(0))
+
     wide = totals.groupBy(*spec.keys).agg(
-        *[
-            F.coalesce(F.sum(F.when(F.col("arm") == arm, F.col(c))), F.lit(0)).alias(f"{name}_{suffix}")
-            for suffix, arm in (("c", spec.control), ("t", spec.treatments[0]))
-            for c, name in (("n", "n"), ("total", "total"), ("mismatched", "bad"))
-        ]
+        *[of(spec.control, c).alias(f"{c}_c") for c in names],
+        F.array(*[F.struct(F.lit(t).alias("treatment"), *[of(t, c).alias(f"{c}_t") for c in names]) for t in spec_treatments]).alias(
+            "_arms"
+        ),
     )
-    tested = with_z_test(wide, spec)
-    n_c, n_t = F.col("n_c").cast("double"), F.col("n_t").cast("double")
+    paired = wide.select(*spec.keys, *[f"{c}_c" for c in names], F.inline("_arms"))
+    tested = with_z_test(paired, spec)
+    u_c, u_t = F.col("n_units_c").cast("double"), F.col("n_units_t").cast("double")
+    share = F.lit(None).cast("double")
+    for t in spec_treatments:  # the control's share of the two arms compared
+        share = F.when(F.col("treatment") == t, shares[spec.control] / (shares[spec.control] + shares[t])).otherwise(share)
     tested = tested.withColumns(
         {
-            "mismatch_rate": ratio(F.col("bad_c") + F.col("bad_t"), n_c + n_t),
-            # Two equal arms: chi-square with one degree of freedom is the square of this.
-            "_ratio_z": ratio(n_c - n_t, F.sqrt(n_c + n_t)),
+            "mismatch_rate": ratio(F.col("mismatched_c") + F.col("mismatched_t"), F.col("n_rows_c") + F.col("n_rows_t")),
+            # Chi-square with one degree of freedom is the square of this.
+            "_ratio_z": ratio(u_c - (u_c + u_t) * share, F.sqrt((u_c + u_t) * share * (1 - share))),
         }
     )
     tested = tested.withColumn("ratio_p_value", two_sided_p(F.col("_ratio_z")))
     return tested.select(
         *spec.keys,
-        "n_c",
-        "n_t",
+        "treatment",
+        "n_units_c",
+        "n_units_t",
         "mismatch_rate",
         (F.col("mismatch_rate") > max_mismatch_rate).alias("mismatch_alarm"),
         "ratio_p_value",
-        (F.col("ratio_p_value") < 0.001).alias("ratio_alarm"),
+        (F.col("ratio_p_value") < ratio_alarm).alias("ratio_alarm"),
         "z",
         "p_value",
     )
 
 
-def alarm_writer(spec: ExperimentSpec, totals_folder: str, alarms_folder: str, max_mismatch_rate: float = 0.02):
+def alarm_writer(
+    spec: ExperimentSpec,
+    totals_folder: str,
+    alarms_folder: str,
+    max_mismatch_rate: float = 0.02,
+    ratio_alarm: float = 0.001,
+):
     """A ``foreachBatch`` function: carry the arm totals forward, then write alarms over them.
 
-    Each batch adds its rows to the totals of the batch before it and owns the folder it overwrites, so
-    a batch that is run again counts once, and only one earlier folder is read.
+    Each batch adds its rows to the totals of the batch before it and owns the folders it overwrites, so a
+    batch that is run again counts once. Units are counted at their first batch: the units of a batch that
+    no batch before it has seen are kept in a table of their own.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        totals = batch.groupBy(*spec.keys, F.col(spec.arm).alias("arm")).agg(
-            F.count(spec.metric).alias("n"),
-            F.sum(spec.metric).alias("total"),
-            F.count_if(mismatch(spec)).alias("mismatched"),
-        )
+        arm, bad = F.col(spec.arm).alias("arm"), F.coalesce(mismatch(spec), F.lit(False))
+        good = F.when(~bad, F.col(spec.metric))
+        keys = [*spec.keys, spec.unit, "arm"]
+        seen = batch.where(F.col(spec.unit).isNotNull()).select(*spec.keys, spec.unit, arm).distinct()
         if batch_id > 0:
-            before = spark.read.schema(totals.schema).parquet(f"{totals_folder}/batch={batch_id - 1}")
-            totals = (
-                totals.unionByName(before)
-                .groupBy(*spec.keys, "arm")
-                .agg(*[F.sum(c).alias(c) for c in ("n", "total", "mismatched")])
+            known = spark.read.schema(seen.schema).parquet(
+                *[f"{totals_folder}/units/batch={b}" for b in range(batch_id)]
             )
-        totals.write.mode("overwrite").parquet(f"{totals_folder}/batch={batch_id}")
-        so_far = spark.read.schema(totals.schema).parquet(f"{totals_folder}/batch={batch_id}")
-        found = alarms(so_far, spec, max_mismatch_rate)
+            same = [seen[c].eqNullSafe(known[c]) for c in keys]
+            seen = seen.join(known, same, "left_anti")
+        seen.write.mode("overwrite").parquet(f"{totals_folder}/units/batch={batch_id}")
+        new = spark.read.schema(seen.schema).parquet(f"{totals_folder}/units/batch={batch_id}")
+        counted = batch.groupBy(*spec.keys, arm).agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count_if(bad).alias("mismatched"),
+            F.count(good).alias("n"),
+            F.sum(good).alias("total"),
+        ).withColumn("n_units", F.lit(0).cast("bigint"))
+        units = new.groupBy(*spec.keys, "arm").agg(F.count(F.lit(1)).alias("n_units"))
+        totals = counted.unionByName(units, allowMissingColumns=True)
+        names = ("n_rows", "mismatched", "n", "total", "n_units")
+        if batch_id > 0:
+            before = spark.read.schema(totals.schema).parquet(f"{totals_folder}/arms/batch={batch_id - 1}")
+            totals = totals.unionByName(before)
+        totals = totals.groupBy(*spec.keys, "arm").agg(*[F.sum(c).alias(c) for c in names])
+        totals.write.mode("overwrite").parquet(f"{totals_folder}/arms/batch={batch_id}")
+        so_far = spark.read.schema(totals.schema).parquet(f"{totals_folder}/arms/batch={batch_id}")
+        found = alarms(so_far, spec, max_mismatch_rate, ratio_alarm)
         found.write.mode("overwrite").parquet(f"{alarms_folder}/batch={batch_id}")
 
     return write
 
 
 def run_alarms(
-    stream: DataFrame, spec: ExperimentSpec, totals_folder: str, alarms_folder: str, checkpoint: str
+    stream: DataFrame,
+    spec: ExperimentSpec,
+    totals_folder: str,
+    alarms_folder: str,
+    checkpoint: str,
+    max_mismatch_rate: float = 0.02,
+    ratio_alarm: float = 0.001,
 ) -> StreamingQuery:
+    writer = alarm_writer(spec, totals_folder, alarms_folder, max_mismatch_rate, ratio_alarm)
     return (
-        stream.writeStream.foreachBatch(alarm_writer(spec, totals_folder, alarms_folder))
+        stream.writeStream.foreachBatch(writer)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -81,7 +81,7 @@ def test_alarms_accumulate_and_repeat_safely(spark, spec, tmp_path):
     again = rows_by(spark.read.parquet(f"{home}/alarms"), "batch")
     assert once == again
     last = again[1]
-    assert (last.n_c, last.n_t) == (400, 200)
+    assert (last.n_units_c, last.n_units_t) == (400, 200)
     assert last.ratio_alarm and last.mismatch_alarm and abs(last.mismatch_rate - 0.1) < 1e-9
 
 
@@ -91,7 +91,7 @@ def test_alarm_stream_and_drift(spark, spec, tmp_path):
         write_batch(spark, folder, f"d{d}", [row(i, i, f"2024-01-0{d} 10:00:00", "control" if i % 2 else "treatment", i % 4 == 0 and 1 or 0) for i in range(40)])
     monitor.run_alarms(source(spark, folder), spec, f"{home}/totals", f"{home}/alarms", f"{home}/ck").awaitTermination()
     alarms = rows_by(spark.read.parquet(f"{home}/alarms"), "batch")
-    assert max(alarms) == 2 and alarms[2].n_c == 60 and not alarms[2].ratio_alarm
+    assert max(alarms) == 2 and alarms[2].n_units_c == 20 and not alarms[2].ratio_alarm
     windows = run(spark, monitor.windowed_counts(source(spark, folder), spec), f"{home}/w")
     drift = monitor.effect_drift(windows, spec).orderBy("window_start").collect()
     assert [r.lift_pp for r in drift] == [50.0, 50.0] and drift[-1].running_lift_pp == 50.0
