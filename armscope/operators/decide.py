@@ -116,7 +116,8 @@ def decision_code(
         .when(significant, "launch")
         .when(practical.isin("negligible", "harmful"), "do_not_launch")
         .when(underpowered, "redesign")
-        .otherwise("do_not_launch")
+        # enough units and still an open interval: no evidence against the effect either
+        .otherwise("continue")
     )
 
 
@@ -153,7 +154,8 @@ def decision_record(
         quality.select(*spec.keys, "mismatch_rate", "ratio_alarm", "has_date"), list(spec.keys), "left"
     )
     if auxiliary is not None:
-        out = out.join(auxiliary.select(*spec.keys, "aux_p_all", "aux_p_converted"), list(spec.keys), "left")
+        own = [*spec.keys, *(c for c in ("treatment",) if c in auxiliary.columns)]
+        out = out.join(auxiliary.select(*own, "aux_p_all", "aux_p_converted"), own, "left")
     for name in ("n_guardrails", "n_worse", "n_subgroups", "n_harmed", "n_helped"):
         if name not in out.columns:
             out = out.withColumn(name, F.lit(0).cast("bigint"))
@@ -190,10 +192,20 @@ def decision_record(
         .when(F.col("decision") == "launch_by_segment", "launch_helped_segments_only")
         .when(F.col("decision") == "launch", "monitor_after_launch")
         .when(F.col("decision") == "redesign", "plan_sample_for_effect")
+        .when(F.col("decision") == "continue", "extend_until_interval_closes")
         .when(F.col("reverses_overall"), "test_reversed_stratum_separately")
         .otherwise("stop_experiment")
     )
-    return out.withColumn("next_step", next_step)
+    risks = {
+        "rows_mismatched": F.col("mismatch_rate") > 0,
+        "arm_sizes_off_plan": F.col("ratio_alarm"),
+        "no_date": ~F.col("has_date"),
+        "confounding_by_stratum": F.col("strata_disagree"),
+        "no_subgroup_large_enough": F.col("n_subgroups") == 0,
+        "underpowered": F.col("underpowered"),
+    }
+    named = F.array_compact(F.array(*[F.when(found, name) for name, found in risks.items()]))
+    return out.withColumns({"next_step": next_step, "risks": named})
 
 
 def decision_matrix(record: DataFrame, spec: ExperimentSpec) -> DataFrame:

@@ -10,8 +10,9 @@ from armscope.plans.cat_effects import _subgroups
 from armscope.plans.cat_power import METRICS, metric_sql
 from armscope.plans.registry import SPEC, events_rows, orders_log, orders_units, prepost_units, query, rounded
 from armscope.plans.sqltext import ORDERS_LOG, ORDERS_UNITS, PREPOST, WRONG, div, mid_ranked, p_two, paired, r, rs, z_test
-from armscope.plans.statistical import record_for
+from armscope.plans.statistical import record_for, statistical_analysis
 from armscope.session import materialise, new_folder
+from armscope.sources import views
 from armscope.sources.tables import write_tables
 
 _PRACTICAL = """CASE WHEN -ci_low < 0 THEN 'harmful' WHEN -ci_low < {m} THEN 'negligible' WHEN -ci_high >= {m} THEN 'useful'
@@ -127,11 +128,14 @@ f AS (SELECT *, n_required / least(n_c, n_t) AS shortfall, p_value < 0.05 AS sig
 d AS (SELECT *, shortfall > 1 AS underpowered, CASE WHEN NOT quality_ok THEN 'redesign' WHEN n_worse > 0 THEN 'do_not_launch'
   WHEN significant AND effect < 0 THEN 'do_not_launch' WHEN significant AND practical = 'negligible' THEN 'do_not_launch'
   WHEN significant AND (reverses_overall OR n_harmed > 0) THEN 'launch_by_segment' WHEN significant THEN 'launch'
-  WHEN practical IN ('negligible', 'harmful') THEN 'do_not_launch' WHEN shortfall > 1 THEN 'redesign' ELSE 'do_not_launch' END AS decision FROM f),
+  WHEN practical IN ('negligible', 'harmful') THEN 'do_not_launch' WHEN shortfall > 1 THEN 'redesign' ELSE 'continue' END AS decision FROM f),
 rec AS (SELECT *, CASE WHEN NOT quality_ok THEN 'repair_assignment_and_rerun' WHEN n_worse > 0 THEN 'fix_guardrails'
   WHEN decision = 'launch_by_segment' THEN 'launch_helped_segments_only' WHEN decision = 'launch' THEN 'monitor_after_launch'
-  WHEN decision = 'redesign' THEN 'plan_sample_for_effect' WHEN reverses_overall THEN 'test_reversed_stratum_separately'
-  ELSE 'stop_experiment' END AS next_step FROM d)"""
+  WHEN decision = 'redesign' THEN 'plan_sample_for_effect' WHEN decision = 'continue' THEN 'extend_until_interval_closes' WHEN reverses_overall THEN 'test_reversed_stratum_separately'
+  ELSE 'stop_experiment' END AS next_step,
+  concat_ws(',', CASE WHEN mismatch_rate > 0 THEN 'rows_mismatched' END, CASE WHEN ratio_alarm THEN 'arm_sizes_off_plan' END,
+    CASE WHEN NOT has_date THEN 'no_date' END, CASE WHEN strata_disagree THEN 'confounding_by_stratum' END,
+    CASE WHEN n_subgroups = 0 THEN 'no_subgroup_large_enough' END, CASE WHEN underpowered THEN 'underpowered' END) AS risks FROM d)"""
 
 
 def _record(spark, sf_dir):
@@ -147,12 +151,12 @@ def _record(spark, sf_dir):
     f"""{_RECORD_SQL} SELECT experiment, treatment, decision, next_step, n_c, n_t, {rs('effect', 'effect_low', 'effect_high', 'p_value')},
  practical, strata_disagree, reverses_overall, {r('n_required', 3)} AS n_required, {r('shortfall', 4)} AS shortfall, n_guardrails, n_worse,
  n_subgroups, n_harmed, n_helped, {rs('mismatch_rate', 'aux_p_all', 'aux_p_converted')}, ratio_alarm, has_date, significant, underpowered,
- auxiliary_moved, quality_ok FROM rec""",
+ auxiliary_moved, quality_ok, risks FROM rec""",
 )
 def mb25(spark, sf_dir):
     record = _record(spark, sf_dir)
     record = record.withColumns({"n_required": F.round("n_required", 3), "shortfall": F.round("shortfall", 4)})
-    return rounded(record)
+    return rounded(record.withColumn("risks", F.concat_ws(",", "risks")))
 
 
 @query(
@@ -193,3 +197,18 @@ def io05(spark, sf_dir):
             "experiment", "country", "treatment", "diff", "z", "p_value"
         )
     )
+
+
+@query("plan_statistical")
+def plan_statistical(spark, sf_dir):
+    """The whole analysis, step by step, as one long table: step, experiment, row as JSON. It joins the results
+    of all other queries of this kind, each of which has its SQL twin."""
+    steps = statistical_analysis(
+        orders_log(spark, sf_dir), views.user_countries(spark, sf_dir), SPEC, "amount", MIN_EFFECT, GUARDRAILS
+    )
+    out = None
+    for name, table in steps.items():
+        row = F.to_json(F.struct(*[c for c in table.columns if c != "experiment"]))
+        long = table.select(F.lit(name).alias("step"), "experiment", row.alias("result"))
+        out = long if out is None else out.unionByName(long)
+    return out

@@ -36,7 +36,8 @@ def auxiliary_tests(units: DataFrame, spec: ExperimentSpec, value: str) -> DataF
         F.col("scope").isNotNull()
     )
     tests = ranks.mann_whitney(scoped, spec, value, by=["scope"])
-    return tests.groupBy(*spec.keys).agg(
+    own = [*spec.keys, *(c for c in ("treatment",) if c in tests.columns)]
+    return tests.groupBy(*own).agg(
         *[F.max(F.when(F.col("scope") == s, F.col("p_value"))).alias(f"aux_p_{s}") for s in ("all", "converted")]
     )
 

@@ -17,7 +17,7 @@ from armscope.plans.statistical import statistical_analysis
         (True, True, "useful", False, False, False, False, "redesign"),
         (False, True, "negligible", False, False, True, True, "do_not_launch"),
         (False, True, "inconclusive", False, False, True, True, "redesign"),
-        (False, True, "inconclusive", False, False, False, True, "do_not_launch"),
+        (False, True, "inconclusive", False, False, False, True, "continue"),
     ],
 )
 def test_decision_rules(spark, sig, up, practical, worse, differ, weak, ok, want):
