@@ -62,12 +62,17 @@ Decide = Callable[[list[Piece]], list[np.ndarray]]
 
 
 class Sequence:
-    """Hashes of any stretch of a sequence of symbols."""
+    """Hashes of any stretch of a sequence of symbols, which are hashes themselves."""
 
     def __init__(self, symbols: np.ndarray):
         self.up, self.down = words.powers(len(symbols))
         self.total = np.zeros(len(symbols) + 1, np.uint64)
-        np.cumsum(words.mixed(symbols) * self.up[: len(symbols)], out=self.total[1:])
+        np.cumsum(symbols * self.up[: len(symbols)], out=self.total[1:])
+
+    def each(self, size: int) -> np.ndarray:
+        """Hashes of all stretches of ``size`` symbols."""
+        n = len(self.total) - size
+        return words.mixed((self.total[size:] - self.total[:n]) * self.down[:n])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return words.mixed((self.total[ends] - self.total[starts]) * self.down[starts])
@@ -80,8 +85,8 @@ def pieces(symbols: np.ndarray, offsets: np.ndarray, spec: Windows) -> tuple[np.
     if n < spec.window:
         return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
     stretch = Sequence(symbols)
-    at = np.arange(n - spec.gram + 1)
-    grams = stretch(at, at + spec.gram)
+    grams = stretch.each(spec.gram)
+    at = np.arange(len(grams))
     # the low bits tell where the least gram is; of equal grams the leftmost counts, so that equal windows agree
     marked = (grams & ~np.uint64(PLACE)) | (at & PLACE).astype(np.uint64)
     least = words.sliding(marked, width)

@@ -38,19 +38,42 @@ class ParsingSpec:
     modulus: int = 16
 
 
+PACKED = 7
+
+
+def _refined(rank: np.ndarray, place: np.ndarray, key: np.ndarray) -> None:
+    """Splits the groups of equal ``rank`` among ``place`` by ``key``; a rank is the place of its group's first."""
+    own = rank[place]
+    # one sort key where it fits: ranks are below the length, and so are keys after the first round
+    order = np.argsort(own * (len(rank) + 2) + key if own.any() else key, kind="stable")
+    r, k = own[order], key[order]
+    index = np.arange(len(order))
+    new_group = np.ones(len(order), bool)
+    new_group[1:] = r[1:] != r[:-1]
+    new = new_group.copy()
+    new[1:] |= k[1:] != k[:-1]
+    first = np.maximum.accumulate(np.where(new, index, 0))
+    rank[place[order]] = r + first - np.maximum.accumulate(np.where(new_group, index, 0))
+
+
 def suffix_ranks(codes: np.ndarray, room: np.ndarray) -> np.ndarray:
-    """Rank of each position's next ``room`` codes (shorter ones first), by prefix doubling."""
-    _, rank = np.unique(codes, return_inverse=True)
-    rank = rank.astype(np.int64) + 1
-    have, most = 1, int(room.max(initial=0))
-    while have < most:
-        ahead = np.zeros_like(rank)
-        ahead[:-have] = rank[have:]
-        ahead[room <= have] = 0
-        distinct, new = np.unique(rank * (len(rank) + 2) + ahead, return_inverse=True)
-        rank, have = new.astype(np.int64) + 1, have * 2
-        if len(distinct) == len(rank):
-            break
+    """Rank of each position's next ``room`` codes (shorter ones first), by prefix doubling.
+
+    Small codes are ranked ``PACKED`` at a time to begin with. A position whose codes are all ranked is done,
+    and so are all that equal it, so each round sorts only what is longer.
+    """
+    n = len(codes)
+    rank, every = np.zeros(n, np.int64), np.arange(n)
+    have = PACKED if n and codes.max() < 510 else 1
+    key = codes.astype(np.int64) + 1
+    if have > 1:
+        own, key = np.concatenate([key, np.zeros(have, np.int64)]), np.zeros(n, np.int64)
+        for k in range(have):
+            key = (key << 9) | np.where(room > k, own[k : k + n], 0)
+    _refined(rank, every, key)
+    while len(every := every[room[every] > have]):
+        _refined(rank, every, rank[every + have] + 1)
+        have *= 2
     return rank
 
 
@@ -97,7 +120,7 @@ def suffix_order(strings: list[bytes], places: np.ndarray, spec: ParsingSpec) ->
     phrase = np.minimum(np.searchsorted(ends, places + spec.trigger, "right"), np.searchsorted(ends, bounds[string + 1]))
     rest = word_rank[begin[parse[phrase]] + places - starts[phrase]]
     behind = np.where(last[phrase], 0, ahead[np.minimum(phrase + 1, len(parse) - 1)])
-    return places[np.lexsort((behind, rest))]
+    return places[np.argsort(rest * (len(parse) + 1) + behind, kind="stable")]
 
 
 def decide_by_suffix_order(spec: ParsingSpec) -> repeats.Decide:
@@ -112,17 +135,18 @@ def decide_by_suffix_order(spec: ParsingSpec) -> repeats.Decide:
         places = suffix_order(bodies, first[owner] + inside, spec)
         data = np.frombuffer(b"".join(bodies), np.uint8)
         string = np.searchsorted(first, places, "right") - 1
-        row = np.array([p.row for p in pieces])[string]
-        start = np.array([p.start for p in pieces])[string] + places - first[string]
+        # pieces of one text have windows of their own, in order: a place is its piece's rank and the offset
+        turn = np.empty(len(pieces), np.int64)
+        turn[np.lexsort((np.array([p.start for p in pieces]), np.array([p.row for p in pieces])))] = np.arange(len(pieces))
+        when = turn[string] * (1 + max(map(len, bodies))) + places - first[string]
         same = np.zeros(len(places), bool)  # as the one before
         view = np.lib.stride_tricks.sliding_window_view(data, width)
         for at in range(1, len(places), 1 << 15):
             stop = min(len(places), at + (1 << 15))
             same[at:stop] = (view[places[at:stop]] == view[places[at - 1 : stop - 1]]).all(axis=1)
-        group = np.cumsum(~same)
-        order = np.lexsort((start, row, group))
-        later = np.zeros(len(places), bool)
-        later[order[1:]] = group[order[1:]] == group[order[:-1]]
+        begins = np.flatnonzero(~same)
+        earliest = np.minimum.reduceat(when, begins)
+        later = when != np.repeat(earliest, np.diff(np.append(begins, len(places))))
         gone = np.zeros(first[-1], bool)
         gone[places[later]] = True
         return [gone[f : f + n] for f, n in zip(first[:-1], windows)]

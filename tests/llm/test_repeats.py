@@ -9,7 +9,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from armscope.llm import repeats, substring_automata, suffix_pfp  # noqa: E402
+from armscope.llm import repeats, substring_automata, suffix_pfp, words  # noqa: E402
 
 
 @pytest.mark.parametrize("hot", [20_000, 1])
@@ -48,7 +48,7 @@ def test_every_window_has_one_anchor_that_equal_windows_share(monkeypatch):
     for place in (15, (1 << 20) - 1):  # the first lets the low bits start anew often
         monkeypatch.setattr(repeats, "PLACE", place)
         for _ in range(60):
-            symbols = rng.integers(0, 2, rng.integers(8, 120)).astype(np.uint64)
+            symbols = words.mixed(rng.integers(0, 2, rng.integers(8, 120)).astype(np.uint64))
             offsets = np.array([0, len(symbols) // 2, len(symbols)])
             anchors, n = {}, 0
             for r, s, c, a, _ in zip(*repeats.pieces(symbols, offsets, spec)):
