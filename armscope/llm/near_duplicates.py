@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from armscope.llm import shared, words
 
-BLOCK = 4096
+BLOCK = 1024
 
 
 @dataclass(frozen=True)

@@ -153,7 +153,10 @@ def repeated(tagged: DataFrame, spec: Windows, decide: Decide) -> DataFrame:
         "kinds",
     )
     shared.release(spark)
-    across = shared.written(_across(tagged, kinds, spec, decide), "across")
+    decided, bodies = _across(tagged, kinds, spec, decide)
+    across = shared.written(decided, "across")
+    for used in (anchors, bodies):
+        shared.discard(used)
     shared.release(spark)
     whole = again.join(kinds.where("times > 1").select("a", "p", "first"), ["a", "p"])
     if spec.later_only:
@@ -163,8 +166,11 @@ def repeated(tagged: DataFrame, spec: Windows, decide: Decide) -> DataFrame:
     return spans.groupBy("row").agg(F.collect_list("span").alias("spans"))  # of one text
 
 
-def _across(tagged: DataFrame, kinds: DataFrame, spec: Windows, decide: Decide) -> DataFrame:
-    """(row, start, end): of first pieces of mixed anchors, the stretches whose windows repeat in other pieces."""
+def _across(tagged: DataFrame, kinds: DataFrame, spec: Windows, decide: Decide) -> tuple[DataFrame, DataFrame]:
+    """(row, start, end): of first pieces of mixed anchors, the stretches whose windows repeat in other pieces.
+
+    Also the written table of the pieces' symbols, from which they come.
+    """
     mixed = kinds.where("mixed")
     hot = mixed.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("a", F.lit(True).alias("hot"))
     wanted = (
@@ -243,9 +249,10 @@ def _across(tagged: DataFrame, kinds: DataFrame, spec: Windows, decide: Decide)
             yield decided()
 
     dealt = cut.where("body is not null").select("a", "times", "row", "start", "n", "body")
-    return (
-        dealt.repartition("a").sortWithinPartitions("a", "row", "start").mapInArrow(shards, "row long, start long, end long")
-    ).unionByName(counted)
+    found = dealt.repartition("a").sortWithinPartitions("a", "row", "start").mapInArrow(
+        shards, "row long, start long, end long"
+    )
+    return found.unionByName(counted), cut
 
 
 def covered(spans: list[dict], n: int) -> np.ndarray:
