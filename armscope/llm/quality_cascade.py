@@ -150,7 +150,7 @@ BASE_RULES = (
 RULES = (
     Rule("word_length", lambda t: (t.word_chars >= 2 * t.n_words) & (t.word_chars <= 15 * t.n_words)),
     Rule("few_symbols", lambda t: 10 * t.n_symbols <= t.n_words),
-    Rule("few_repeated_lines", lambda t: 10 * t.n_dup_lines <= 3 * t.n_lines),
+    Rule("few_repeated_lines", lambda t: 2 * t.n_dup_lines <= t.n_lines),
     Rule("words_have_letters", lambda t: 10 * t.word_has(_LETTER) >= 7 * t.n_words),
     Rule("few_digits", lambda t: 5 * t.per_row(_DIGIT[t.part.data]) <= t.word_chars),
     Rule("few_capitals", lambda t: 2 * t.per_row(_UPPER[t.part.data]) <= t.word_chars),
@@ -247,6 +247,6 @@ f AS (
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND 10 * n_symbols <= n_words
-    AND 10 * n_dup_lines <= 3 * n_lines AND 10 * lettered >= 7 * n_words AND 5 * digits <= word_chars
+    AND 2 * n_dup_lines <= n_lines AND 10 * lettered >= 7 * n_words AND 5 * digits <= word_chars
     AND 2 * capitals <= word_chars AND 10 * top <= 3 * n_words AS kept
 FROM b"""
