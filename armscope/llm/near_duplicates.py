@@ -15,7 +15,7 @@ for the sketch's bound. Nothing is capped: a bucket of any size is cut into bloc
 
 Defined cases: null or empty text and text without words have the empty set: linked with nothing, kept.
 Fewer words than a shingle: the whole sequence is the one shingle. Repeated rows (same id and text) stay
-repeated rows of one component. A null id is passed through with a null component and kept. Extra columns
+repeated rows of one component; of several texts under one id, the one with most shingles is compared. A null id is passed through with a null component and kept. Extra columns
 are ignored. An empty table gives an empty result.
 """
 
@@ -287,9 +287,13 @@ def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) ->
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = shared.written(full.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("class_id")), "class-ids")
     of_doc = shared.written(
-        full.join(classes, ["n_shingles", "s1", "s2"]).select("doc_id", "class_id", "keys", "sketch", "tags"), "classes"
+        full.join(classes, ["n_shingles", "s1", "s2"]).select(
+            "doc_id", "class_id", "n_shingles", "s1", "keys", "sketch", "tags"
+        ),
+        "classes",
     )
-    chosen = of_doc.where("doc_id = class_id").dropDuplicates(["doc_id"])
+    largest = F.max_by(F.struct("keys", "sketch", "tags"), F.struct("n_shingles", "s1")).alias("own")
+    chosen = of_doc.where("doc_id = class_id").groupBy("doc_id").agg(largest).select("doc_id", "own.*")
     def bucket_members(nodes: DataFrame) -> DataFrame:
         """Members of the buckets that hold more than one component; sketches come in by id."""
         keys = nodes.select(F.posexplode("keys").alias("band", "key"), "doc_id", "component")
