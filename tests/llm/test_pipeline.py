@@ -68,3 +68,11 @@ def test_queries_are_registered():
     assert "pipeline" in names
     assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= names
+
+
+def test_near_duplicate_stage_links_at_80_percent(spark):
+    docs = queries.table(spark, SF, "documents")
+    after = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).select("doc_id").collect()}
+    roots = brute.near_components(brute.pairs(docs), 80)
+    assert after == {i for i, r in roots.items() if i == r}
+    assert roots != brute.near_components(brute.pairs(docs))  # some pairs lie between 80 and 85
