@@ -8,6 +8,9 @@ every language, so most characters cost one lookup; others back off by stored co
 The prediction is the language with the lowest cross-entropy per character. How far the next best is behind
 (bits per character) is turned into a probability of being right by a logistic curve, fitted on a second
 sample (``calibration_docs`` of each language, disjoint from the first); below ``reject_below`` it is rejected.
+A language with fewer documents than both samples gives each its share (3 in 8 calibrate, by default, from
+three documents on). Once the curve is there, its models are fitted again with the calibration's documents, up
+to ``sample_docs``: what they predict rests on all there is.
 
 Only text and lang of the rows that ``learn`` admits are learned from; lang, source and id never enter a
 prediction. Defined cases: null text, or text without a letter, is ``und`` with score 0. Null lang is not
@@ -237,24 +240,27 @@ def _curve(margin: np.ndarray, right: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, learn: Column, spec: KnSpec = KnSpec()) -> Models:
     """Models of every lang value of the rows that ``learn`` admits; docs: doc_id, text, lang."""
     order = spec.order
-    ranked = (
-        docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    )
+    learnable = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    ranked = learnable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct()
     # of each language, so many ids: the window keeps only the first ranks of each task before the shuffle
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     most = spec.sample_docs + spec.calibration_docs
-    chosen = ranked.select("*", rank.alias("rank")).where(F.col("rank") <= most).select("doc_id", "rank").distinct()
-    sample = (
-        # bounded by the parameters and the number of languages
-        docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .select("doc_id", "text", "lang")
-        .join(F.broadcast(chosen), "doc_id")
+    chosen = ranked.select("*", rank.alias("rank")).where(F.col("rank") <= most)
+    # ``nth`` of the ranks so far calibrate: an even share of any number of documents
+    nth, ids = F.expr(f"rank * {spec.calibration_docs} div {most}"), F.count(F.lit(1)).over(Window.partitionBy("lang"))
+    fitted = F.col("ids") - F.expr(f"ids * {spec.calibration_docs} div {most}")
+    chosen = chosen.withColumns({"nth": nth, "ids": ids}).select(
+        "doc_id",
+        "lang",
+        (F.col("nth") > F.expr(f"(rank - 1) * {spec.calibration_docs} div {most}")).alias("calibrates"),
+        (fitted + F.col("nth") <= spec.sample_docs).alias("refits"),
     )
+    # bounded by the parameters and the number of languages
+    sample = learnable.join(F.broadcast(chosen), ["doc_id", "lang"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, lang, later in zip(*[c.to_pylist() for c in batch.columns]):
                 codes, targets, _ = characters([text], order)
                 windows = codes[targets[:, None] + np.arange(1 - order, 1)]
                 found, n = np.unique(windows, axis=0, return_counts=True)
@@ -262,21 +268,28 @@ def train(docs: DataFrame, learn: Column, spec: KnSpec = KnSpec()) -> Models:
                     [
                         pa.array([lang] * len(found), pa.string()),
                         pa.array([g.tobytes() for g in found], pa.binary()),
-                        pa.array(n, pa.int64()),
+                        pa.array(n * (not later), pa.int64()),
+                        pa.array(n * later, pa.int64()),
                     ],
-                    ["lang", "gram", "n"],
+                    ["lang", "gram", "n", "more"],
                 )
 
-    fitted_on = sample.where(F.col("rank") <= spec.sample_docs).select("text", "lang")
+    fitted_on = sample.where("not calibrates or refits").select("text", "lang", "calibrates")
     table = (
-        fitted_on.mapInArrow(count, "lang string, gram binary, n long")
+        fitted_on.mapInArrow(count, "lang string, gram binary, n long, more long")
         .groupBy("lang", "gram")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("n").alias("n"), F.sum("more").alias("more"))
         .toArrow()
     )
-    langs, n = table.column("lang").to_numpy(zero_copy_only=False), table.column("n").to_numpy()
+    langs = table.column("lang").to_numpy(zero_copy_only=False)
+    n, more = table.column("n").to_numpy(), table.column("more").to_numpy()
     codes = np.frombuffer(b"".join(table.column("gram").to_pylist()), np.uint32).reshape(-1, order)
-    models = fit({g: (codes[langs == g], n[langs == g].astype(float)) for g in sorted(set(langs))}, spec)
+
+    def fitted_to(counts: np.ndarray) -> Models:
+        own = {g: (langs == g) & (counts > 0) for g in sorted(set(langs))}
+        return fit({g: (codes[x], counts[x].astype(float)) for g, x in own.items()}, spec)
+
+    models = fitted_to(n)
 
     def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,12 +298,16 @@ def train(docs: DataFrame, learn: Column, spec: KnSpec = KnSpec()) -> Models:
             yield pa.RecordBatch.from_arrays([pa.array(margin), pa.array(right, pa.bool_())], ["margin", "right"])
 
     if len(models.languages) > 1:
-        second = sample.where(F.col("rank") > spec.sample_docs).select("text", "lang")
+        second = sample.where("calibrates").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("text", "lang")
         rows = second.mapInArrow(margins, "margin double, right boolean").orderBy("margin", "right").collect()
         if rows:
             models.slope, models.offset = _curve(
                 np.array([r.margin for r in rows]), np.array([r.right for r in rows], float)
             )
+    if more.any():
+        curve = models.slope, models.offset
+        models = fitted_to(n + more)
+        models.slope, models.offset = curve
     return models
 
 

@@ -125,6 +125,31 @@ def test_language_of_odd_documents(spark):
     assert kn.predicted_languages(docs.limit(0)).count() == 0
 
 
+def test_few_documents_a_language_are_calibrated(spark):
+    rng = random.Random(6)
+    own = {g: [brute.prose(rng, 1) + g for _ in range(12)] for g in ("aa", "bo", "ci", "du")}
+    anyone = [brute.prose(rng, 1) for _ in range(40)]
+    rows = []
+    for g, vocabulary in own.items():  # of 20 documents, 8 could be of any language
+        rows += [(len(rows) + i, " ".join(rng.choices(vocabulary if i < 12 else anyone, k=30 if i < 12 else 8)), g) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = kn.train(docs, F.lit(True))
+    assert models.slope > 0
+    new = [(1000 + i, " ".join(rng.choices(v, k=30)), None) for i, v in enumerate(own.values())]
+    new += [(2000 + i, " ".join(rng.choices(anyone, k=8)), None) for i in range(40)]
+    got = {r.doc_id: r for r in kn.languages(spark.createDataFrame(new, docs.schema), models).collect()}
+    assert len({r.score for r in got.values()}) > 10
+    assert all(r.lang_pred == g and not r.rejected for g, r in zip(own, (got[1000 + i] for i in range(4))))
+    assert sum(got[2000 + i].rejected for i in range(40)) >= 10
+
+
+def test_few_documents_are_all_fitted_in_the_end(spark):
+    docs = spark.createDataFrame([(i, f"{g}{g} word", g) for i, g in enumerate(["ab", "cd"] * 8)], "doc_id long, text string, lang string")
+    grams = kn.train(docs, F.lit(True), kn.KnSpec(order=3))
+    every = kn.train(docs, F.lit(True), kn.KnSpec(order=3, calibration_docs=0))
+    assert all((x.grams.keys == y.grams.keys).all() and (x.log_p == y.log_p).all() for x, y in zip(grams.levels, every.levels))
+
+
 def test_probabilities_of_a_context_sum_to_one():
     spec = kn.KnSpec(order=3)
     codes, targets, _ = kn.characters(["abacabad abba cab", "badcab dab"], 3)
