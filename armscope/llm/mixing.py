@@ -220,8 +220,9 @@ def mixed_sizes(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
 def mixed_documents(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
     """The mix with the columns of ``docs``: a row for each document of which the mix takes words.
 
-    text: the words taken in the first round, then those taken once more, in their order, joined by one
-    space; n_chars, if there, is their length. All other columns are unchanged.
+    text: the words taken in the first round, then those taken once more, in their order. Blocks that follow each
+    other make a run, which keeps the white space between its words; runs are joined by one space. n_chars, if
+    there, is the length. All other columns are unchanged.
     """
     # the document's own columns stay in a struct: they may have any name
     whole = F.struct(*docs.columns).alias("doc")
@@ -238,9 +239,17 @@ def mixed_documents(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
                 body = part.data.tobytes()
                 for r, (a, b) in enumerate(zip(part.first_word[:-1], part.first_word[1:])):
                     lot = batch.column(1)[part.first_row + r].as_py()
-                    cut = [body[s:e] for s, e in zip(part.starts[a:b].tolist(), part.ends[a:b].tolist())]
-                    turns = range(max(p["uses"] for p in lot))
-                    texts.append(b" ".join(w for t in turns for p in lot if p["uses"] > t for w in cut[p["first"] : p["last"]]))
+                    runs: list[list[int]] = []
+                    for t in range(max(p["uses"] for p in lot)):
+                        turn = len(runs)
+                        for p in lot:
+                            if p["uses"] <= t:
+                                continue
+                            if len(runs) > turn and runs[-1][1] == p["first"]:
+                                runs[-1][1] = p["last"]
+                            else:
+                                runs.append([p["first"], p["last"]])
+                    texts.append(b" ".join(body[part.starts[a + x] : part.ends[a + y - 1]] for x, y in runs))
             columns = dict(zip(names, own.columns))
             columns["text"] = pa.array([t.decode() for t in texts], pa.string())
             if "n_chars" in columns:

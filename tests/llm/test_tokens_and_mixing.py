@@ -127,6 +127,23 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     assert {r.doc_id for r in mixed.collect()} == {i for i, n in words.items() if n}
 
 
+def test_white_space_inside_a_run_stays(spark):
+    rng = random.Random(12)
+    texts = {i: "\n\n".join("\t" + brute.prose(rng, 7) + "  " + brute.prose(rng, 6) for _ in range(rng.randint(1, 9))) for i in range(60)}
+    docs = spark.createDataFrame([(i, t, "a") for i, t in texts.items()], "doc_id long, text string, source string")
+    mixed = mixing.mixed_documents(docs, mixing.MixSpec(share=1.0, block=16)).collect()
+    whole = [r for r in mixed if r.text == texts[r.doc_id].strip()]
+    assert len(whole) == len(texts)  # each word once: all blocks of a document are one run
+    parts = mixing.mixed_documents(docs, mixing.MixSpec(share=0.5, block=16)).collect()
+    assert any("\n\n\t" in r.text for r in parts)
+    for r in parts:  # the words between two joints are in the document as they are
+        left, known = r.text, texts[r.doc_id]
+        while left:
+            end = max(k for k in [*(m.start() for m in re.finditer(" ", left)), len(left)] if left[:k] in known)
+            assert end
+            left = left[end + 1 :]
+
+
 def test_odd_documents_are_mixed(spark):
     docs = brute.odd_documents(spark)
     got = mixing.mixed_sizes(docs).collect()
