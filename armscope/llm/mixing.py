@@ -78,16 +78,35 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _large_hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """A hypergeometric draw beyond numpy's sampler: by inversion of the law within 12 deviations of its mean.
+
+    What lies outside has a chance below 1e-30. Probabilities are taken relative to the mode's, by their ratios.
+    """
+    low, high = max(0, n - bad), min(good, n)
+    share = good / (good + bad)
+    spread = int(12 * np.sqrt(n * share * (1 - share) * ((good + bad - n) / max(1, good + bad - 1)))) + 60
+    mean = int(n * share)
+    low, high = max(low, mean - spread), min(high, mean + spread)
+    x = np.arange(low, high, dtype=np.float64)  # from x to x + 1
+    steps = np.log(good - x) + np.log(n - x) - np.log(x + 1) - np.log(bad - n + x + 1)
+    law = np.concatenate([[0.0], np.cumsum(steps)])
+    law = np.cumsum(np.exp(law - law.max()))
+    return low + int(np.searchsorted(law, rng.random() * law[-1], "right"))
+
+
 def _halve(quota: np.ndarray, slots: int, node: tuple[int, int], seed: int) -> np.ndarray:
     """How many of each source fall into the first ``slots`` of sum(quota) slots."""
     total = int(quota.sum())
+    rng = np.random.default_rng([seed, *node])
     if total < 10**9:
-        rng = np.random.default_rng([seed, *node])
         return rng.multivariate_hypergeometric(quota, slots, method="marginals")
-    # so many slots that chance is far below a percent of each count: the expected counts, made whole
-    exact = quota * (slots / total)
-    out = np.floor(exact).astype(np.int64)
-    out[np.argsort(out - exact, kind="stable")[: slots - int(out.sum())]] += 1
+    # numpy's sampler ends here: the same marginals one after the other
+    out, left = np.zeros_like(quota), slots
+    for i, own in enumerate(quota.tolist()):
+        total -= own
+        out[i] = _large_hypergeometric(rng, own, total, left) if own and left else 0
+        left -= int(out[i])
     return out
 
 

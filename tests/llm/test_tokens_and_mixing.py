@@ -103,6 +103,23 @@ def test_permutations_and_shards():
     assert (before == quota).all()
 
 
+def test_very_many_slots_are_drawn_too():
+    quota = np.array([2 * 10**9, 0, 10**9, 5])
+    slots, total = 1_200_000_000, int(quota.sum())
+    drawn = np.array([mixing._halve(quota, slots, (0, i), 41) for i in range(300)])
+    assert (drawn.sum(axis=1) == slots).all() and (drawn <= quota).all() and (drawn >= 0).all()
+    for i in (0, 2):
+        share = quota[i] / total
+        sd = np.sqrt(slots * share * (1 - share) * (total - slots) / (total - 1))
+        assert abs(drawn[:, i].mean() - slots * share) < 5 * sd / np.sqrt(300)
+        assert 0.8 < drawn[:, i].std() / sd < 1.2
+    rng = np.random.default_rng(3)  # the law itself, where numpy draws it as well
+    for good, bad, n in ((7, 5, 6), (3, 400, 50), (60, 2, 61)):
+        own = [mixing._large_hypergeometric(rng, good, bad, n) for _ in range(4000)]
+        assert abs(np.mean(own) - rng.hypergeometric(good, bad, n, 40_000).mean()) < 0.1
+    assert mixing._large_hypergeometric(rng, 5, 0, 3) == 3 and mixing._large_hypergeometric(rng, 5, 4, 9) == 5
+
+
 def test_mix_meets_targets_and_reruns_agree(spark):
     rng = random.Random(2)
     rows = [(i, brute.prose(rng, rng.randint(0, 200)), rng.choice(["a", "a", "b", "c", None])) for i in range(300)]
