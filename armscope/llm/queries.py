@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from armscope.llm import decontaminate, language_kn, line_frequency, mixing
+from armscope.llm import hard_negatives as hard
 from armscope.llm import near_duplicates as near
 from armscope.llm import quality_cascade, substring_automata, suffix_pfp, token_files, toxicity
 from armscope.llm.ship import ship
@@ -89,3 +91,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_prefix_free_parsing_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_pfp.without_repeats(table(spark, sf_dir, "documents"))
+
+
+#: Labels of every seventh vector are moved on by one, as noise.
+NOISY_LABEL = "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"
+
+
+@query("op11_angular_hard_negatives", hard.sql(NOISY_LABEL))
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.expr(NOISY_LABEL))
+    found = hard.hard_negatives(rows.withColumn("anchor", F.col("vec_id") % 50 == 0))
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
