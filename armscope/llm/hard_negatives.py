@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from armscope.llm import shared
@@ -291,12 +291,6 @@ def first_of(rows: DataFrame, keys: list[str], count: int, at: str) -> DataFrame
     return rows.withColumn(at, F.row_number().over(order)).where(F.col(at) <= count)
 
 
-def _bytes(*numbers: Column) -> Column:
-    """Whole numbers as bytes, least first, as numpy reads them."""
-    digits = [F.lpad(F.hex(n.cast("long")), 16, "0") for n in numbers]
-    return F.unhex(F.concat(*[F.substring(d, k, 2) for d in digits for k in range(15, 0, -2)]))
-
-
 def hard_negatives(rows: DataFrame, spec: HardNegatives = HardNegatives()) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score, positive_rank, anchor_no).
 
@@ -315,7 +309,7 @@ def hard_negatives(rows: DataFrame, spec: HardNegatives = HardNegatives()) -> Da
     near = shared.written(bounded_visits(anchors, groups, True, spread), "visits")
     found, floor = None, F.lit(_NONE)
     first = near.groupBy("query").agg(F.max_by("grp", F.struct("upper", "grp")).alias("grp"))
-    state = lambda least: F.concat(_bytes(F.col("id"), least), "angles")
+    state = lambda least: F.concat(vb.as_bytes(F.col("id"), least), "angles")
     schema = "query long, id long, score long"
     visits = first.join(anchors, "query").select("grp", "query", "vec", state(floor).alias("state"))
     found = shared.written(vb.met(laid, visits, best_partners(spec), schema), "positives")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armscope.llm import decontaminate, language_kn, line_frequency, mixing
+from armscope.llm import decontaminate, language_kn, learned_partitions, line_frequency, mixing
 from armscope.llm import hard_negatives as hard
 from armscope.llm import near_duplicates as near
 from armscope.llm import quality_cascade, substring_automata, suffix_pfp, token_files, toxicity
@@ -102,3 +102,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").withColumn("label", F.expr(NOISY_LABEL))
     found = hard.hard_negatives(rows.withColumn("anchor", F.col("vec_id") % 50 == 0))
     return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+@query("op13_learned_partition_neighbours")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    found = learned_partitions.nearest_neighbours(rows.withColumn("query", F.col("vec_id") % 100 == 0))
+    return found.select("query_id", "rank", "vec_id", "score")

@@ -35,6 +35,12 @@ def finite(vector: str) -> Column:
     )
 
 
+def as_bytes(*numbers: Column) -> Column:
+    """Whole numbers as bytes, least first, as numpy reads them."""
+    digits = [F.lpad(F.hex(n.cast("long")), 16, "0") for n in numbers]
+    return F.unhex(F.concat(*[F.substring(d, k, 2) for d in digits for k in range(15, 0, -2)]))
+
+
 def shaped(raw: bytes, n: int) -> np.ndarray:
     """The ``n`` vectors of a block."""
     return np.frombuffer(raw, np.float64).reshape(n, len(raw) // 8 // n)
@@ -94,14 +100,14 @@ def _batch(rows: list[tuple], names: Sequence[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, list(names))
 
 
-def met(laid: DataFrame, visits: DataFrame, work: Work, schema: str) -> DataFrame:
+def met(laid: DataFrame, visits: DataFrame, work: Work, schema: str, visits_a_task: int | None = None) -> DataFrame:
     """Run ``work`` on each group of ``laid`` with the queries that visit it; ``schema`` (long, double) is its results'.
 
     visits: (grp, query long, vec binary, state binary), one row for each query and group.
     """
     columns = [c.split()[0] for c in schema.split(",")]
     visits = shared.written(visits.select("grp", "query", "vec", "state"), "visits")
-    asked = visits.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / VISITS).cast("int").alias("turns"))
+    asked = visits.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / (visits_a_task or VISITS)).cast("int").alias("turns"))
     of_group = laid.join(asked, "grp").select(
         "grp", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), F.lit(0).alias("kind"),
         F.lit(0).cast("long").alias("query"), F.col("ids").alias("a"), F.col("vecs").alias("b"), F.col("note").alias("c"),

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from armscope.llm import hard_negatives as hard
+from armscope.llm import learned_partitions as lp
 from armscope.llm import vector_blocks
 
 ROWS = "vec_id long, embedding array<float>, label int, grp long, ids string, vec double, query int, score string"
@@ -91,3 +92,67 @@ def test_bounds_hold_and_filter():
         assert (low <= scores.min(axis=1)).all() and (scores.max(axis=1) <= high).all()
         closed += int((high < scores.max() * 0.5).sum())
     assert closed > 100  # of 220: most blocks of other clusters need no scoring
+
+
+def brute_nearest(rows, count=10):
+    own = [
+        (i, tuple(v)) for i, v, _ in rows
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)
+    ]
+    out = {}
+    for i, v in sorted({r for r in own if r[0] % 100 == 0}):
+        found = sorted((math.dist(v, y), k) for k, y in own if k != i and len(y) == len(v))[:count]
+        out.setdefault(i, []).append([(k, d) for d, k in found])
+    return out
+
+
+def searched(docs, spec):
+    found = lp.nearest_neighbours(docs.withColumn("query", F.col("vec_id") % 100 == 0), spec).collect()
+    out = {}
+    for r in sorted(found, key=lambda r: (r.query_id, r.query_no, r.rank)):
+        out.setdefault(r.query_id, {}).setdefault(r.query_no, []).append((r.rank, r.vec_id, r.score))
+    return out
+
+
+def test_whole_search_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vector_blocks, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(vector_blocks, "GROUP_BLOCKS", 3)
+    got = searched(table(spark, vectors()), lp.LearnedPartitions(sample=128, partitions=4, recall=1.0))
+    want = brute_nearest(vectors())
+    assert set(got) == {i for i, lists in want.items() if any(lists)}
+    for i, lists in want.items():
+        mine = [[(k, s) for _, k, s in sorted(rows)] for rows in got.get(i, {}).values()]
+        lists = [rows for rows in lists if rows]
+        assert sorted([k for k, _ in rows] for rows in mine) == sorted([k for k, _ in rows] for rows in lists)
+        assert all(rank == n + 1 for rows in got.get(i, {}).values() for n, (rank, _, _) in enumerate(sorted(rows)))
+        close = zip(sorted(mine), sorted(lists))
+        assert all(abs(a - b) < 1e-12 for m, w in close for (_, a), (_, b) in zip(m, w))
+
+
+def test_recall_with_few_parts_searched(spark):
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(40, 16)) * 3
+    x = (centers[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16))).astype(np.float32)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    spec = lp.LearnedPartitions(sample=1500, partitions=16)
+    docs = table(spark, rows)
+    model = lp.router(lp.taking_part(docs.withColumn("query", F.lit(False))), spec)
+    assert model.probes <= 8
+    got, want = searched(docs, spec), brute_nearest(rows)
+    hit = sum(len({k for _, k, _ in next(iter(got[i].values()))} & {k for k, _ in want[i][0]}) for i in want)
+    assert hit >= 0.9 * sum(len(lists[0]) for lists in want.values())
+
+
+def test_parts_are_equal_and_cut_few_edges():
+    rng = np.random.default_rng(1)
+    edges = np.array([(8 * (a // 8) + rng.integers(0, 8), a) for a in range(256) for _ in range(6)])
+    shuffled = rng.permutation(256)
+    part = lp.balanced_parts(256, shuffled[edges], 8, 3)
+    assert set(np.bincount(part)) == {32}
+    across = (part[shuffled[edges[:, 0]]] != part[shuffled[edges[:, 1]]]).mean()
+    assert across < 0.3  # 0.875 by chance
+
+
+def test_nothing_to_search(spark):
+    assert searched(table(spark, [(1, None, 1)]).limit(0), lp.LearnedPartitions()) == {}
+    assert searched(table(spark, [(100, [0.0], 1), (200, [1.0], 1), (201, None, 1)]), lp.LearnedPartitions()) == {}
