@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armscope.llm import decontaminate, language_kn, learned_partitions, line_frequency, mixing
+from armscope.llm import collocations, decontaminate, language_kn, learned_partitions, line_frequency, mixing
 from armscope.llm import hard_negatives as hard
 from armscope.llm import near_duplicates as near
 from armscope.llm import quality_cascade, substring_automata, suffix_pfp, token_files, toxicity
@@ -104,6 +104,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
 
+@query("op12_phrase_collocations", collocations.sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op13_learned_partition_neighbours")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
