@@ -203,7 +203,7 @@ def router(table: DataFrame, spec: LearnedPartitions) -> Router | None:
         parts *= 2
     if parts == 1:
         return Router(most.dim, (np.zeros((most.dim, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)), 1)
-    laid = shared.written(vb.blocks(chosen.withColumn("part", F.lit(0).cast("long")), ["part"], ["id"]), "sample-blocks")
+    laid = shared.written(vb.blocks(chosen.withColumn("part", F.lit(0).cast("long")), ["part"], ["id"], few=True), "sample-blocks")
     groups = F.array(*[F.lit(r.grp) for r in laid.select("grp").distinct().collect()])  # the sample's: a few
     visits = chosen.select(
         F.explode(groups).alias("grp"), F.col("id").alias("query"), "vec", vb.as_bytes(F.col("id")).alias("state")

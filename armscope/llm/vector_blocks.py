@@ -53,10 +53,14 @@ def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False), offsets
 
 
-def blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], note: Callable[[np.ndarray], bytes] | None = None) -> DataFrame:
+def blocks(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], note: Callable[[np.ndarray], bytes] | None = None,
+    few: bool = False,
+) -> DataFrame:
     """(grp, *keys, n, ids, vecs, note) of rows (*keys, *order, id, vec): whole numbers as keys, vec as float64 bytes.
 
     A block and a group have rows of one key only; rows lie in ``order``. ``note`` describes a block's vectors.
+    ``few``: the rows are of a bounded number and are laid down by one task, in as few groups as can be.
     """
     kinds = [f"{k} long" for k in keys]
 
@@ -87,7 +91,8 @@ def blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], note: Cal
             yield _batch([block()], names)
 
     names = ["grp", *keys, "n", "ids", "vecs", "note"]
-    ordered = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    dealt = rows.repartition(1) if few else rows.repartitionByRange(*keys, *order)
+    ordered = dealt.sortWithinPartitions(*keys, *order)
     schema = f"grp long, {', '.join(kinds)}, n int, ids binary, vecs binary, note binary"
     return ordered.select(*keys, "id", "vec").mapInArrow(pack, schema)
 
