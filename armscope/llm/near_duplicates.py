@@ -1,22 +1,26 @@
 """MinHash near-dedup with odd sketches.
 
-1. Each document becomes the set of its distinct word shingles (64-bit hashes, A-Z lower-cased). Documents
-   with the same set form one class; its smallest id stands for it in all further steps.
+1. Each text becomes the set of its distinct word shingles (64-bit hashes, A-Z lower-cased). Texts with the same
+   set form one class, the node of all further steps; a class is named by its smallest id. Ids with texts in several
+   classes link them.
 2. MinHash samples of the set give band keys, and are folded into a parity bitmap (odd sketch): sample i
    flips the bit that a hash of (i, sample) names. Two bitmaps differ in the parity of the samples that the
    sets do not share, so their XOR population count estimates high similarities precisely.
-3. Representatives that share a band key are compared by sketch, in blocks. Those that the sketch can't rule
-   out are confirmed on the full sets: first a spanning forest of the likeliest pairs of each bucket, then,
-   for buckets that still hold several components, every further pair across components.
-4. Links give components. Pairs that are already connected are not looked at again: they change nothing.
+3. ``star_rounds`` times, each bucket of nodes with one band key that still holds several components gets a leader.
+   Of its leaders, a node takes the one with the nearest sketch; those that the sketch can't rule out are confirmed
+   on the full sets. So most of a large group is one component after as many pairs as it has members.
+4. Then, in buckets that still hold several components, every further pair across components that the sketch can't
+   rule out is confirmed. Members of a bucket's largest component only meet those outside it: n nodes of which u are
+   outside make n * u pairs of bitmaps to compare, dealt to cells of two blocks of ``BLOCK`` nodes.
+5. Links give components. Pairs that are already connected are not looked at again: they change nothing.
 
 A pair at the threshold is missed with probability (1 - t^r)^b, 5e-7 with the defaults, plus about as much
-for the sketch's bound. Nothing is capped: a bucket of any size is cut into blocks of ``BLOCK`` members.
+for the sketch's bound. Nothing is capped.
 
 Defined cases: null or empty text and text without words have the empty set: linked with nothing, kept.
-Fewer words than a shingle: the whole sequence is the one shingle. Repeated rows (same id and text) stay
-repeated rows of one component; of several texts under one id, the one with most shingles is compared. A null id is passed through with a null component and kept. Extra columns
-are ignored. An empty table gives an empty result.
+Fewer words than a shingle: the whole sequence is the one shingle. Rows of one id are one document, whatever their
+texts: each has a row of its own in the result, and all have one component. A null id is passed through with a null
+component and kept. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,6 +49,7 @@ class NearDuplicates:
     samples: int = 384
     bits: int = 1024
     sigmas: float = 5.0
+    star_rounds: int = 2
     seed: int = 17
 
     @property
@@ -53,6 +58,11 @@ class NearDuplicates:
         t = self.percent / 100
         return t - self.sigmas * float(np.sqrt(t * (1 - t) / self.samples))
 
+    @property
+    def most_differing(self) -> int:
+        """The greatest XOR population count of two bitmaps whose estimate is not below the bound."""
+        return int(np.floor(self.bits / 2 * (1 - np.exp(-4 * self.samples * (1 - self.sketch_bound) / self.bits))))
+
 
 def shingle_sets(part: words.Part, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text of a part."""
@@ -91,8 +101,8 @@ def estimates(differing: np.ndarray, bits: int, samples: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, spec: NearDuplicates) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, keys, sketch, tags): s1 and s2 name the set, keys are its band keys, tags
-    their low 32 bits: by them, a pair that shares several bands is looked at in the first only."""
+    """(doc_id, text_hash, n_shingles, s1, s2, keys, sketch, tags): s1 and s2 name the set, keys are its band keys,
+    tags their low 32 bits: by them, a pair that shares several bands is looked at in the first only."""
     rng = np.random.default_rng(spec.seed)
     factors = (rng.integers(0, 1 << 31, spec.samples, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
     shifts = rng.integers(0, 1 << 32, spec.samples, dtype=np.uint32)
@@ -101,7 +111,7 @@ def signatures(docs: DataFrame, spec: NearDuplicates) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, one, two, keys, sketches, tags = [], [], [], [], [], []
-            for part in words.parts(batch.column(1)):
+            for part in words.parts(batch.column(2)):
                 for found in shingle_sets(part, spec.shingle):
                     counts.append(len(found))
                     one.append(words.mixed(found).sum(dtype=np.uint64))
@@ -120,7 +130,7 @@ def signatures(docs: DataFrame, spec: NearDuplicates) -> DataFrame:
                     sketches.append(odd_sketch(least, spec.bits))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    *batch.columns[:2],
                     pa.array(counts, pa.int64()),
                     pa.array(np.array(one, np.uint64).view(np.int64), pa.int64()),
                     pa.array(np.array(two, np.uint64).view(np.int64), pa.int64()),
@@ -128,38 +138,53 @@ def signatures(docs: DataFrame, spec: NearDuplicates) -> DataFrame:
                     pa.array(sketches, pa.binary()),
                     pa.array(tags, pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "s1", "s2", "keys", "sketch", "tags"],
+                ["doc_id", "text_hash", "n_shingles", "s1", "s2", "keys", "sketch", "tags"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        sign, "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>, sketch binary, tags binary"
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        sign,
+        "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, keys array<long>, sketch binary, tags binary",
     )
 
 
-def _forest(x: np.ndarray, y: np.ndarray, far: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Kruskal: which of the edges x-y between ``node`` labels make a spanning forest, the least ``far`` first."""
-    root, keep = np.arange(node.max() + 1), []
-    order = np.argsort(far, kind="stable")
-    while len(order):
-        for e in order[: 4 * len(root)].tolist():
-            p, q = node[x[e]], node[y[e]]
-            while root[p] != p:
-                root[p] = p = root[root[p]]
-            while root[q] != q:
-                root[q] = q = root[root[q]]
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                keep.append(e)
-        while (root != root[root]).any():
-            root = root[root]
-        order = order[4 * len(root) :]
-        order = order[root[node[x[order]]] != root[node[y[order]]]]
-    return np.array(keep, np.int64)
-
-
-def _cell_pairs(cell: pa.Table, spec: NearDuplicates, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+def _star_pairs(members: DataFrame, nodes: DataFrame, spec: NearDuplicates, turn: int) -> DataFrame:
+    """Pairs (a, b), a < b: each node and the nearest, by sketch, of the leaders of its buckets in other components.
+
+    members: key, node, component, sketch; nodes: node, component, sketch. A bucket's leader is the member of least hash; ``turn`` changes the hash.
+    """
+    members = shared.written(members.select("key", "node", "component", "sketch"), "members")
+    by_hash = F.struct(F.xxhash64("node", F.lit(turn)), "node")
+    leaders = members.groupBy("key").agg(F.min_by("node", by_hash).alias("leader"))
+    of_leader = leaders.join(
+        nodes.select(F.col("node").alias("leader"), F.col("component").alias("other"), F.col("sketch").alias("its_sketch")), "leader"
+    )
+    # written first: a join of two plain exchanges is one whose hot keys can be split
+    of_leader = shared.written(of_leader, "leaders")
+    both = members.join(of_leader, "key").where("component <> other").select("node", "leader", "sketch", "its_sketch")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            one, two = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in (2, 3)
+            )
+            off = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)
+            kept = pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(off)], ["node", "leader", "off"])
+            yield kept.filter(pa.array(off <= spec.most_differing))
+
+    found = both.mapInArrow(near, "node long, leader long, off long")
+    best = found.groupBy("node").agg(F.min_by("leader", F.struct("off", "leader")).alias("leader"))
+    pairs = best.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    out = shared.written(pairs, "pairs")
+    for used in (members, of_leader):
+        shared.discard(used)
+    return out
+
+
+def _cell_pairs(cell: pa.Table, spec: NearDuplicates) -> tuple[np.ndarray, np.ndarray]:
     """The pairs (a, b), a < b, of one cell; of all shared bands, only the first one yields a pair."""
-    ids, one = np.unique(cell.column("doc_id").to_numpy(), return_index=True)
+    ids, one = np.unique(cell.column("node").to_numpy(), return_index=True)
     none = np.zeros(0, np.int64)
     if len(ids) < 2:
         return none, none
@@ -168,49 +193,47 @@ def _cell_pairs(cell: pa.Table, spec: NearDuplicates, forest: bool) -> tuple[np.
     sketch, tags = cell.column("sketch").to_pylist(), cell.column("tags").to_pylist()
     bitmaps = np.frombuffer(b"".join(sketch[i] for i in one), np.uint64).reshape(len(ids), -1)
     tags = np.frombuffer(b"".join(tags[i] for i in one), np.uint32).reshape(len(ids), -1)[:, :band]
-    bits, samples = spec.bits, spec.samples
-    most = int(np.floor(bits / 2 * (1 - np.exp(-4 * samples * (1 - spec.sketch_bound) / bits))))
-    first, second, far = [none], [none], [none]
+    first, second = [none], [none]
     for at in range(0, len(ids), 256):
         rows = slice(at, at + 256)
         off = np.zeros((len(ids[rows]), len(ids)), np.uint16)
         for w in range(bitmaps.shape[1]):
             off += np.bitwise_count(bitmaps[rows, w, None] ^ bitmaps[None, :, w])
-        fits = (off <= most) & (ids[rows, None] < ids[None, :]) & (label[rows, None] != label[None, :])
+        fits = (off <= spec.most_differing) & (ids[rows, None] < ids[None, :]) & (label[rows, None] != label[None, :])
         if low != high:
             fits &= side[rows, None] != side[None, :]
         x, y = np.nonzero(fits)
         new = np.ones(len(x), bool)
         for k in range(band):
             new &= tags[x + at, k] != tags[y, k]
-        x, y = x[new], y[new]
-        first.append(x + at)
-        second.append(y)
-        far.append(off[x, y].astype(np.int64))
-    x, y, far = map(np.concatenate, (first, second, far))
-    if forest and len(x):
-        keep = _forest(x, y, far, np.unique(label, return_inverse=True)[1])
-        x, y = x[keep], y[keep]
-    return ids[x], ids[y]
-
-
-def _bucket_pairs(members: DataFrame, spec: NearDuplicates, forest: bool) -> DataFrame:
+        first.append(x[new] + at)
+        second.append(y[new])
+    return ids[np.concatenate(first)], ids[np.concatenate(second)]
+
+
+def _bucket_pairs(members: DataFrame, spec: NearDuplicates) -> DataFrame:
     """Pairs (a, b), a < b, of bucket members with different ``component`` that the sketch can't rule out.
 
-    members: key, band, doc_id, component, sketch, tags. A bucket beyond ``BLOCK`` members is dealt to cells,
-    one for each pair of blocks. ``forest``: of each cell, only a spanning forest of the likeliest pairs.
+    members: key, band, node, component, sketch, tags. The u members outside a bucket's largest component are dealt
+    to blocks 0, 1, ..., the others to blocks -1, -2, ...; a cell is a pair of blocks of which one is of the former.
     """
-    # written first, here and below: a join of two plain exchanges is one whose hot keys can be split
     members = shared.written(members, "members")
-    size = shared.written(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int")
+    parts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    of_key = parts.groupBy("key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main")
+    )
+    size = shared.written(of_key.where("n > n_main"), "sizes")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    outside, hashed = F.col("component") != F.col("main"), F.xxhash64("node")
+    others, mains = F.sequence(F.lit(0), F.col("gu") - 1), F.sequence(F.lit(-1), -F.col("gd"), F.lit(-1))
     cells = (
         members.join(size, "key")
-        .withColumn("g", F.ceil(F.col("n") / BLOCK).cast("int"))
-        .withColumn("i", own)
-        .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+        .withColumn("gu", blocks(F.col("n") - F.col("n_main")))
+        .withColumn("gd", blocks(F.col("n_main")))
+        .withColumn("i", F.when(outside, F.pmod(hashed, F.col("gu"))).otherwise(-1 - F.pmod(hashed, F.col("gd"))).cast("int"))
+        .withColumn("j", F.explode(F.when(outside, F.concat(others, mains)).otherwise(others)))
         .select(
-            "key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "band", "i", "doc_id", "component",
+            "key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "band", "i", "node", "component",
             "sketch", "tags",
         )
     )
@@ -225,7 +248,7 @@ def _bucket_pairs(members: DataFrame, spec: NearDuplicates, forest: bool) -> Dat
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
             edges = np.concatenate([[0], cuts, [table.num_rows]])
             last = len(edges) - 1 if whole else len(edges) - 2
-            found = [_cell_pairs(table.slice(p, q - p), spec, forest) for p, q in zip(edges[:last], edges[1 : last + 1])]
+            found = [_cell_pairs(table.slice(p, q - p), spec) for p, q in zip(edges[:last], edges[1 : last + 1])]
             return found, None if whole else table.slice(int(edges[-2]))
 
         def batch_of(found: list) -> pa.RecordBatch:
@@ -242,14 +265,24 @@ def _bucket_pairs(members: DataFrame, spec: NearDuplicates, forest: bool) -> Dat
             yield batch_of(pairs(waiting, True)[0])
 
     dealt = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    out = shared.written(dealt.mapInArrow(compare, "a long, b long").distinct(), "pairs")
+    for used in (members, size):
+        shared.discard(used)
+    return out
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, spec: NearDuplicates) -> DataFrame:
-    """The pairs whose full sets reach the threshold: 100 * intersection >= percent * union."""
-    body = shared.packed(docs.where("doc_id is not null"))
-    left = body.select(F.col("doc_id").alias("a"), F.col("packed").alias("one"))
-    right = body.select(F.col("doc_id").alias("b"), F.col("packed").alias("two"))
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, spec: NearDuplicates) -> DataFrame:
+    """The pairs whose full sets reach the threshold: 100 * intersection >= percent * union; written.
+
+    nodes: node, class_id, text_hash: the text that stands for a node. Only texts of nodes in ``pairs`` are packed.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = shared.written(nodes.join(ends, "node").select("node", F.col("class_id").alias("doc_id"), "text_hash"), "wanted")
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    held = texts.join(wanted, ["doc_id", "text_hash"]).select("node", "text")
+    body = shared.written(shared.packed(held, "node").dropDuplicates(["node"]), "bodies")
+    left = body.select(F.col("node").alias("a"), F.col("packed").alias("one"))
+    right = body.select(F.col("node").alias("b"), F.col("packed").alias("two"))
     k, percent = spec.shingle, spec.percent
 
     def sets(column: pa.Array) -> list[np.ndarray]:
@@ -272,9 +305,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, spec: NearDuplicates) -> DataFr
                     keep.append(100 * inter >= percent * (len(x) + len(y) - inter) and inter > 0)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return (
-        pairs.join(right, "b").join(left, "a").select("a", "b", "one", "two").mapInArrow(check, "a long, b long").distinct()
-    )
+    checked = pairs.join(right, "b").join(left, "a").select("a", "b", "one", "two").mapInArrow(check, "a long, b long")
+    out = shared.written(checked.distinct(), "confirmed")
+    for used in (wanted, body, pairs):
+        shared.discard(used)
+    return out
 
 
 def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) -> DataFrame:
@@ -283,50 +318,73 @@ def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) ->
     class_id: smallest id with the same set; component_id: smallest id that can be reached by links;
     kept: doc_id = component_id.
     """
+    of_set = ["n_shingles", "s1", "s2"]
     signed = shared.written(signatures(docs, spec), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = shared.written(full.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("class_id")), "class-ids")
-    of_doc = shared.written(
-        full.join(classes, ["n_shingles", "s1", "s2"]).select(
-            "doc_id", "class_id", "n_shingles", "s1", "keys", "sketch", "tags"
-        ),
-        "classes",
+    classes = shared.written(full.groupBy(*of_set).agg(F.min("doc_id").alias("class_id")), "class-ids")
+    # of a class, a row of its smallest id; several only if that id repeats
+    chosen = full.withColumnRenamed("doc_id", "class_id").join(classes, [*of_set, "class_id"], "left_semi").dropDuplicates(of_set)
+    nodes = shared.written(chosen.select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
+    shared.discard(classes)
+    rows = shared.written(
+        signed.select("doc_id", *of_set).join(nodes.select("node", "class_id", *of_set), of_set, "left"), "rows"
     )
-    largest = F.max_by(F.struct("keys", "sketch", "tags"), F.struct("n_shingles", "s1")).alias("own")
-    chosen = of_doc.where("doc_id = class_id").groupBy("doc_id").agg(largest).select("doc_id", "own.*")
-    def bucket_members(nodes: DataFrame) -> DataFrame:
-        """Members of the buckets that hold more than one component; sketches come in by id."""
-        keys = nodes.select(F.posexplode("keys").alias("band", "key"), "doc_id", "component")
+    shared.discard(signed)
+    first = rows.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"))
+    several = shared.written(first.where("a <> z").select("doc_id", "a"), "several")
+    links = shared.written(rows.join(several, "doc_id").select("a", F.col("node").alias("b")).where("a <> b").distinct(), "own")
+    found: DataFrame | None = None
+    if not links.isEmpty():
+        found = shared.components(links)
+
+    def placed() -> DataFrame:
+        """Nodes with the component that links have given them so far."""
+        if found is None:
+            return nodes.withColumn("component", F.col("node"))
+        known = found.withColumnRenamed("node", "known")
+        joined = nodes.join(known, F.col("node") == F.col("known"), "left").drop("known")
+        return joined.withColumn("component", F.coalesce("component", "node"))
+
+    def bucket_members(now: DataFrame) -> DataFrame:
+        """Members of the buckets that hold more than one component; sketches come in by node."""
+        keys = now.select(F.posexplode("keys").alias("band", "key"), "node", "component")
         ends = keys.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-        several = shared.written(ends.where("x <> y").select("key"), "buckets")
-        return keys.join(several, "key").join(nodes.select("doc_id", "sketch", "tags"), "doc_id")
-
-    nodes = chosen.select("doc_id", F.col("doc_id").alias("component"), "keys", "sketch", "tags")
-    tried = shared.written(_bucket_pairs(bucket_members(nodes), spec, forest=True), "pairs")
-    links = shared.written(confirmed(tried, docs, spec), "confirmed")
-    found = shared.components(links)
-    shared.release(docs.sparkSession)
-    nodes = (
-        nodes.drop("component")
-        .join(found, nodes.doc_id == found.node, "left")
-        .select("doc_id", F.coalesce("component", "doc_id").alias("component"), "keys", "sketch", "tags")
-    )
-    rest = _bucket_pairs(bucket_members(nodes), spec, forest=False).join(tried, ["a", "b"], "left_anti")
-    more = shared.written(confirmed(shared.written(rest, "pairs"), docs, spec), "confirmed")
-    found = shared.components(links.unionByName(more))
-    labels = (
-        of_doc.select("doc_id", "class_id").distinct()
-        .join(found, F.col("class_id") == F.col("node"), "left")
-        .select("doc_id", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    )
-    return (
-        signed.select("doc_id", "n_shingles")
-        .join(labels, "doc_id", "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.coalesce("class_id", "doc_id").alias("class_id"),
-            F.coalesce("component_id", "doc_id").alias("component_id"),
-            F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
-        )
+        open_keys = shared.written(ends.where("x <> y").select("key"), "buckets")
+        used.append(open_keys)
+        return keys.join(open_keys, "key").join(now.select("node", "sketch", "tags"), "node")
+
+    used: list[DataFrame] = []
+    for turn in range(spec.star_rounds + 1):
+        now = shared.written(placed().select("node", "component", "keys", "sketch", "tags"), "placed")
+        members = bucket_members(now)
+        pairs = _star_pairs(members, now, spec, turn) if turn < spec.star_rounds else _bucket_pairs(members, spec)
+        new = confirmed(pairs, nodes, docs, spec)
+        used += [now, new]
+        if not new.isEmpty():
+            before, every = found, new
+            if before is not None:  # each node and its component stand for all links before
+                known = before.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+                every = new.unionByName(known)
+                used.append(before)
+            found = shared.components(every)
+        while used:
+            shared.discard(used.pop())
+        shared.release(docs.sparkSession)
+    shared.discard(links)
+    shared.discard(several)
+    named = placed().select("node", "component", "class_id")
+    least = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    label = shared.written(named.join(least, "component").select("node", "component_id"), "labels")
+    shared.discard(nodes)
+    labelled = rows.join(label, "node", "left")
+    # an empty text of an id that also has words
+    blank = rows.where("node is null and doc_id is not null").select("doc_id").distinct()
+    same_id = labelled.where("node is not null").join(blank, "doc_id", "left_semi")
+    same_id = same_id.groupBy("doc_id").agg(F.min("component_id").alias("of_id"))
+    return labelled.join(same_id, "doc_id", "left").select(
+        "doc_id",
+        "n_shingles",
+        F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.coalesce("component_id", "of_id", "doc_id").alias("component_id"),
+        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "of_id", "doc_id"), F.lit(True)).alias("kept"),
     )

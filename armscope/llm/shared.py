@@ -50,11 +50,12 @@ def unpacked(bodies: list[bytes]) -> list[bytes]:
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) of every node in ``links`` (a, b): the smallest node that can be reached.
+    """(node, component) of every node in ``links`` (a, b), written: the smallest node that can be reached.
 
     Large-star and small-star by turns: each round is two grouped joins over the links, and the number of
     rounds grows with the logarithm of the longest chain. A node with very many links is never gathered:
     minima are combined before the shuffle. No links: no rows. Raises if ``max_rounds`` do not suffice.
+    A round's table is deleted when the next one is written.
     """
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -79,12 +80,16 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     before = count(edges)
     for _ in range(max_rounds):
-        edges = written(star(star(edges, True), False), "links")
+        old, edges = edges, written(star(star(edges, True), False), "links")
+        discard(old)
         after = count(edges)
         if after == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+            found = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
                 edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             )
+            out = written(found, "components")
+            discard(edges)
+            return out
         before = after
     raise RuntimeError(f"links did not settle in {max_rounds} rounds")
 

@@ -38,6 +38,56 @@ def test_a_chain_and_unlike_texts(spark):
     assert {r.doc_id: r.component_id for r in got} == brute.near_components(rows)
 
 
+def near_rows(spark, rows, spec=near.NearDuplicates()):
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), spec).collect()
+    assert len(got) == len(rows)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    assert {r.doc_id: r.component_id for r in got} == brute.near_components(rows)
+    return got
+
+
+def test_texts_under_one_id_link_it(spark):
+    import random
+
+    rng = random.Random(4)
+    a, b, c = (brute.prose(rng, n) for n in (100, 140, 90))
+    near_rows(spark, [(1, a), (2, a), (2, b)])
+    near_rows(spark, [(1, a), (2, a + " more"), (2, b), (3, b), (4, "z " + b)])
+    near_rows(spark, [(5, a), (5, b), (5, ""), (5, None), (6, b + " end"), (7, c), (3, c + " end"), (7, a), (8, "")])
+
+
+def test_a_third_of_the_rows_under_one_id(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(i, brute.prose(rng, 30)) for i in range(60)] + [(17, brute.prose(rng, 30)) for _ in range(30)]
+    rows += [(100, rows[70][1] + " end"), (101, rows[20][1] + " end")]
+    got = near_rows(spark, rows)
+    assert {r.component_id for r in got if r.doc_id in (17, 100)} == {17}
+
+
+def test_a_hot_bucket_makes_few_pairs(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    words, rows = brute.prose(rng, 300).split(), []
+    for i in range(3000):
+        own = list(words)
+        own[rng.randrange(300)] = f"edit{i}"
+        rows.append((i, " ".join(own)))
+    rows += [(5000 + i, " ".join(words[: 200 + i]) + " " + brute.prose(rng, 100 - i)) for i in range(40)]
+    checked, real = [], near.confirmed
+
+    def counted(pairs, *more):
+        checked.append(pairs.count())
+        return real(pairs, *more)
+
+    monkeypatch.setattr(near, "confirmed", counted)
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got if r.doc_id < 3000} == {0}
+    assert sum(checked) < 4 * len(rows)  # of 4.5 million
+
+
 def test_empty_table(spark):
     assert near.near_duplicates(brute.empty_documents(spark)).count() == 0
 
