@@ -15,8 +15,15 @@ from armscope.llm.ship import ship
 from armscope.session import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: The public vocabulary file of the token query; a parameter, never copied.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def tokenizer() -> str:
+    """The public vocabulary file of the token query; a parameter, never copied."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -63,7 +70,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_rans_tokens")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = token_files.TokenSpec(TOKENIZER)
+    spec = token_files.TokenSpec(tokenizer())
     return token_files.token_digest(table(spark, sf_dir, "documents"), new_folder(spark, "tokens"), spec)
 
 

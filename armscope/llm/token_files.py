@@ -45,6 +45,12 @@ class TokenSpec:
 _OTHER_SPACE = re.compile("[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 
 
+#: How a byte-level vocabulary writes a space and a line feed.
+_MARKS = ("\u0120", "\u010a")
+#: New words in one text for the tokenizer: short texts are encoded fastest, very short ones cost a call each.
+JOINED = 200
+
+
 class _Places(dict):
     """Word -> place; unknown words get the next place and are noted as new."""
 
@@ -70,11 +76,30 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.spec = Tokenizer.from_file(spec.tokenizer), spec
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a space or a line feed
+        self.begins[[i for piece, i in vocabulary.items() if piece[:1] in _MARKS]] = True
+        self.places = self.flat = self.starts = self.ends = self.uses = np.zeros(0, np.int64)
+        self.n_known = 0
         self._forget()
 
     def _forget(self) -> None:
+        """Of the words known, keep those looked up most often since the last time: half of them at most."""
+        old, flat, starts, ends, uses = self.places, self.flat, self.starts, self.ends, self.uses
+        known = self.n_known
         self.places, self.flat, self.n_flat = _Places(), np.zeros(1 << 16, np.uint32), 0
         self.starts, self.ends, self.n_known = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+        self.uses = np.zeros(1 << 16, np.int64)
+        if not known:
+            return
+        often = np.sort(uses[:known])[known // 2]
+        stay = np.flatnonzero(uses[:known] > often)
+        names = list(old)
+        for i in stay.tolist():
+            self.places[names[i]]
+        self.places.new.clear()
+        sizes = ends[stay] - starts[stay]
+        self._add(sizes, flat[words.spread(starts[stay], sizes)])
 
     def _room(self, name: str, size: int) -> None:
         own = getattr(self, name)
@@ -82,48 +107,47 @@ class Encoder:
             own = np.concatenate([own, np.zeros_like(own)])
         setattr(self, name, own)
 
+    def _add(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """The ids of the next words, one after the other."""
+        n = self.n_known + len(sizes)
+        for name in ("starts", "ends", "uses"):
+            self._room(name, n)
+        self._room("flat", self.n_flat + len(ids))
+        self.flat[self.n_flat : self.n_flat + len(ids)] = ids
+        self.ends[self.n_known : n] = self.n_flat + np.cumsum(sizes)
+        self.starts[self.n_known : n] = self.ends[self.n_known : n] - sizes
+        self.n_known, self.n_flat = n, self.n_flat + len(ids)
+
     def _learn(self) -> None:
-        """Encodes the new words. A comma or full stop after a letter is a piece of its own, so such words are
-        put together from the word and the mark."""
-        places, new = self.places, self.places.new
+        """Encodes the new words, ``JOINED`` of them in a text: its ids are cut where one begins with white space.
+
+        A text's first word has none before it, and is encoded alone.
+        """
+        new = self.places.new
         if not new:
             return
-        plain, joint, marks, at = [], [], [], 0
-        while at < len(new):  # grows while words are split
-            w = new[at]
-            if w[-1] in ",." and len(w) > 1 and w[-2].isalpha():
-                joint.append((self.n_known + at, places[w[:-1]], places["\0" + w[-1]]))
-            else:
-                plain.append(self.n_known + at)
-            at += 1
-        texts = [new[i - self.n_known] for i in plain]
-        texts = [w[1:] if w[0] == "\0" else w if w[0] == "\n" else " " + w for w in texts]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.n_known += len(new)
-        self._room("starts", self.n_known)
-        self._room("ends", self.n_known)
-        own = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-        self._put(np.array(plain, np.int64), sizes, own)
-        if joint:
-            place, core, mark = np.array(joint, np.int64).T
-            sizes = self.ends[core] - self.starts[core]
-            whole = np.zeros(int(sizes.sum()) + len(joint), np.uint32)
-            last = np.cumsum(sizes + 1) - 1
-            stay = np.ones(len(whole), bool)
-            stay[last] = False
-            whole[stay] = self.flat[words.spread(self.starts[core], sizes)]
-            whole[last] = self.flat[self.starts[mark]]
-            self._put(place, sizes + 1, whole)
+        alone = [i for i, w in enumerate(new) if w[0] == "\0"]
+        joint = [w if w[0] == "\n" else " " + w for w in new if w[0] != "\0"]
+        texts = ["".join(joint[i : i + JOINED]) for i in range(0, len(joint), JOINED)] + [new[i][1:] for i in alone]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        own = np.fromiter(itertools.chain.from_iterable(found), np.uint32, sum(map(len, found)))
+        begins = self.begins[own]
+        n_alone = np.array([len(x) for x in found[len(found) - len(alone) :]], np.int64)
+        last = len(own) - int(n_alone.sum())
+        begins[last:] = False
+        begins[last + np.cumsum(n_alone) - n_alone] = True
+        cuts = np.flatnonzero(begins)
+        if len(cuts) != len(new):
+            raise ValueError("a word's first id does not begin with the white space before it: not a byte-level tokenizer")
+        # from the order of ``texts`` back to that of ``new``
+        order = np.ones(len(new), bool)
+        order[alone] = False
+        place = np.concatenate([np.flatnonzero(order), np.array(alone, np.int64)])
+        sizes, firsts = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        sizes[place], firsts[place] = np.diff(np.append(cuts, len(own))), cuts
+        self._add(sizes, own[words.spread(firsts, sizes)])
         new.clear()
 
-    def _put(self, place: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
-        self._room("flat", self.n_flat + len(ids))
-        self.flat[self.n_flat : self.n_flat + len(ids)] = ids
-        self.ends[place] = self.n_flat + np.cumsum(sizes)
-        self.starts[place] = self.ends[place] - sizes
-        self.n_flat += len(ids)
-
     def many(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         if self.n_known > self.spec.kept_words:
@@ -149,6 +173,7 @@ class Encoder:
         find = map(self.places.__getitem__, itertools.chain.from_iterable(pieces))
         at = np.fromiter(find, np.int64, sum(counts))
         self._learn()
+        self.uses[: self.n_known] += np.bincount(at, minlength=self.n_known)
         starts, sizes = self.starts[at], self.ends[at] - self.starts[at]
         ids = self.flat[words.spread(starts, sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
@@ -165,11 +190,12 @@ _BLOCK = "file int, block int, doc_ids array<long>, doc_tokens array<long>, ids
 
 def token_blocks(docs: DataFrame, spec: TokenSpec) -> DataFrame:
     """(file, block, doc_ids, doc_tokens, ids): blocks of whole documents in ascending order; ids: u32, packed."""
-    body = shared.packed(docs).withColumn("h", F.xxhash64("packed"))
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(1, -(-n_bytes // spec.file_bytes))
+    # texts are shuffled as they are: bounds are found by a scan that does no more than hash them
+    body = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
     dealt = body.repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h")
-    numbered = dealt.select(F.spark_partition_id().alias("file"), "doc_id", "packed")
+    numbered = dealt.select(F.spark_partition_id().alias("file"), "doc_id", "text")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, press = worker_encoder(spec), zstandard.ZstdCompressor(level=1)
@@ -191,8 +217,8 @@ def token_blocks(docs: DataFrame, spec: TokenSpec) -> DataFrame:
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                files, doc_ids, bodies = (c.to_pylist() for c in batch.slice(at, 256).columns)
-                found = encoder.many([t.decode() for t in shared.unpacked(bodies)])
+                files, doc_ids, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
+                found = encoder.many([t or "" for t in texts])
                 for file, d, x in zip(files, doc_ids, found):
                     ids.append(d)
                     own.append(np.concatenate([x, end]))

@@ -12,17 +12,17 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
 from armscope.llm import mixing, rans, token_files  # noqa: E402
-from armscope.llm.queries import TOKENIZER  # noqa: E402
+from armscope.llm.queries import tokenizer as tokenizer_file  # noqa: E402
 from armscope.session import new_folder  # noqa: E402
 
-SPEC = token_files.TokenSpec(TOKENIZER, block_tokens=500)
+SPEC = token_files.TokenSpec(tokenizer_file(), block_tokens=500)
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(TOKENIZER)
+    return Tokenizer.from_file(tokenizer_file())
 
 
 @pytest.mark.parametrize("n", [0, 1, 5, 1023, 1024, 1025, 300_000])
@@ -47,8 +47,10 @@ def test_frequencies_cover_every_symbol():
     assert out.sum() == 1 << rans.BITS and (out[[2, 5, 9]] > 0).all() and out[3] == 0
 
 
-def test_remembered_words_change_no_id(tokenizer):
-    encoder, rng = token_files.Encoder(SPEC), random.Random(3)
+@pytest.mark.parametrize("kept,joined", [(600_000, 200), (40, 3)])
+def test_remembered_words_change_no_id(tokenizer, monkeypatch, kept, joined):
+    monkeypatch.setattr(token_files, "JOINED", joined)
+    encoder, rng = token_files.Encoder(token_files.TokenSpec(tokenizer_file(), kept_words=kept)), random.Random(3)
     bits = ["a", "the", "'s", " ", "  ", "\n", "\n\n", "\t", "23", "é", "ß!", "<|endoftext|>", " ", "　", "Ä", "don't", ".", ",", "\0", "x\x1cy"]
     plain = ["a", "the's", "é,", "23.", "\nA", "b\nc", "<|endoftext|>", "!?.", "end.", "ab,,", "1,", "ª."]
     for i in range(6000):
