@@ -46,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, read back: doc_id, start, n_tokens, ids_crc32."""
     ship(spark)
-    return token_files.token_digest(docs, new_folder(spark, "tokens"), token_files.TokenSpec(queries.TOKENIZER, kept_words=100_000))
+    return token_files.token_digest(docs, new_folder(spark, "tokens"), token_files.TokenSpec(queries.tokenizer(), kept_words=100_000))
 
 
 STAGES = [
