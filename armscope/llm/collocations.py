@@ -58,7 +58,7 @@ class Sieve:
     """Bits of a set of 64-bit hashes: never misses a member, lets some others through."""
 
     def __init__(self, spark: SparkSession, hashes: DataFrame) -> None:
-        """hashes: (h long); counted and combined in Spark, at most ``SIEVE_BITS`` bits come to the driver."""
+        """hashes: (h long), counted and combined in Spark; at most ``SIEVE_BITS`` bits come to the driver."""
         size = max(1 << 16, min(SIEVE_BITS, 1 << (16 * hashes.count()).bit_length()))
         places = F.array(F.col("h").bitwiseAND(size - 1), F.shiftrightunsigned("h", 32).bitwiseAND(size - 1))
         fields = (
@@ -122,8 +122,10 @@ class Reading:
         return line[words.spread(at, to - at)], to - at
 
 
-def readings(batch: pa.RecordBatch, codes: dict[str, int]) -> Iterator[Reading]:
-    """The texts of a batch (lang, text); ``codes`` numbers the languages met so far."""
+def readings(batch: pa.RecordBatch, codes: dict[str, int], langs: Sieve | None) -> Iterator[Reading]:
+    """The texts of a batch (lang, text, hash of lang) in ``langs``; ``codes`` numbers the languages met so far."""
+    if langs:
+        batch = batch.filter(pa.array(langs.passes(batch.column(2).to_numpy().view(np.uint64))))
     own = np.array([codes.setdefault(x, len(codes)) for x in batch.column(0).to_pylist()], np.int64)
     seeds = [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in codes]
     for part in words.parts(batch.column(1), 1 << 21, _BREAKS):
@@ -131,7 +133,8 @@ def readings(batch: pa.RecordBatch, codes: dict[str, int]) -> Iterator[Reading]:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
+    named = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
+    return named.withColumn("h", F.xxhash64("lang"))
 
 
 def _strings(line: np.ndarray, lengths: np.ndarray) -> pa.Array:
@@ -139,10 +142,12 @@ def _strings(line: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(line.tobytes())).cast(pa.string())
 
 
-def counted_phrases(docs: DataFrame, lengths: tuple[int, ...], wanted: Sieve | None = None) -> DataFrame:
+def counted_phrases(
+    docs: DataFrame, lengths: tuple[int, ...], wanted: Sieve | None = None, langs: Sieve | None = None
+) -> DataFrame:
     """(lang, phrase, h, f, left_least, left_most, right_least, right_most): exact counts by text.
 
-    ``wanted``: only phrases whose hash passes. The last four are the least and greatest word hash beside an
+    ``wanted``: only phrases whose hash passes; ``langs``: only texts whose language does. The last four are the least and greatest word hash beside an
     occurrence, 0 where the piece ends: equal and not 0 if all occurrences have the same neighbour.
     """
     names = ["lang", "phrase", "h", "f", "left_least", "left_most", "right_least", "right_most"]
@@ -150,7 +155,7 @@ def counted_phrases(docs: DataFrame, lengths: tuple[int, ...], wanted: Sieve | N
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[str, int] = {}
         for batch in batches:
-            for read in readings(batch, codes):
+            for read in readings(batch, codes, langs):
                 for k in lengths:
                     fits, keys = read.whole(k), read.grams(k)
                     if wanted:
@@ -180,7 +185,9 @@ def counted_phrases(docs: DataFrame, lengths: tuple[int, ...], wanted: Sieve | N
     return rows.groupBy("lang", "phrase").agg(*sums, *[(F.min if n.endswith("least") else F.max)(n).alias(n) for n in names[4:]])
 
 
-def hash_counts(docs: DataFrame, lengths: tuple[int, ...], next_words: Sieve, gate: Sieve, gate_length: int) -> DataFrame:
+def hash_counts(
+    docs: DataFrame, lengths: tuple[int, ...], next_words: Sieve, gate: Sieve, gate_length: int, langs: Sieve
+) -> DataFrame:
     """(h, f, rests) of phrases that begin with a prefix of ``gate_length`` words in ``gate`` and go on with ``next_words``.
 
     rests: the hashes of the phrase without its first word, first two words, ... down to two words.
@@ -200,7 +207,7 @@ def hash_counts(docs: DataFrame, lengths: tuple[int, ...], next_words: Sieve, ga
             return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
-            for read in readings(batch, codes):
+            for read in readings(batch, codes, langs):
                 open_to = gate.passes(read.grams(gate_length))
                 ready = next_words.passes(read.keys)
                 for step in range(gate_length, min(lengths) - 1):
@@ -258,10 +265,11 @@ def scored(phrases: DataFrame, known: DataFrame, totals: DataFrame) -> DataFrame
 def grown(docs: DataFrame, frontier: DataFrame, next_words: Sieve, spec: Collocations) -> DataFrame:
     """Exact counts (as ``counted_phrases``) of all frequent phrases that begin in ``frontier``, and of their rests."""
     spark = docs.sparkSession
+    langs = Sieve(spark, frontier.select(F.xxhash64("lang").alias("h")).distinct())
     gate, length, found = Sieve(spark, frontier.select("h")), 1, []
     for lengths in [(2,), (3,), tuple(range(4, spec.longest + 1))]:
         if lengths and max(lengths) <= spec.longest:
-            level = hash_counts(docs, lengths, next_words, gate, length).where(F.col("f") >= spec.least)
+            level = hash_counts(docs, lengths, next_words, gate, length, langs).where(F.col("f") >= spec.least)
             found.append(shared.written(level, "prefixes"))
             gate, length = Sieve(spark, found[-1].select("h")), max(lengths)
     hashes = [f.select(F.explode(F.concat(F.array("h"), "rests")).alias("h")) for f in found]
@@ -269,7 +277,7 @@ def grown(docs: DataFrame, frontier: DataFrame, next_words: Sieve, spec: Colloca
     for more in hashes[1:]:
         every = every.unionByName(more)
     wanted = Sieve(spark, every.where("h <> 0").distinct())
-    counts = counted_phrases(docs, tuple(range(2, spec.longest + 1)), wanted)
+    counts = counted_phrases(docs, tuple(range(2, spec.longest + 1)), wanted, langs)
     out = shared.written(counts.where(F.col("f") >= spec.least), "phrases")
     for used in found:
         shared.discard(used)
@@ -299,8 +307,7 @@ def collocations(docs: DataFrame, spec: Collocations = Collocations()) -> DataFr
         frontier = shared.written(frontier, "frontier")
         if frontier.isEmpty():
             continue
-        open_docs = _texts(docs).join(frontier.select("lang").distinct(), "lang", "left_semi")
-        phrases = grown(open_docs, frontier, next_words, spec)
+        phrases = grown(docs, frontier, next_words, spec)
         words_in = F.size(F.split("phrase", " "))
         alone = lambda side: ~((F.col(f"{side}_least") == F.col(f"{side}_most")) & (F.col(f"{side}_least") != 0))
         kept = phrases.where((words_in == spec.longest) | (alone("left") & alone("right")))
