@@ -168,10 +168,10 @@ def counted_phrases(
                     cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                     first = where[cuts]
                     sides = [read.beside(where, -1), read.beside(where, k)]
-                    langs = np.array(list(codes), object)[read.codes[first]]
+                    named = np.array(list(codes), object)[read.codes[first]]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(langs, pa.string()),
+                            pa.array(named, pa.string()),
                             _strings(*read.texts(first, k)),
                             pa.array(own[cuts].view(np.int64)),
                             pa.array(np.diff(np.append(cuts, len(own)))),
