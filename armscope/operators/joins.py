@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from armscope.session import materialise
@@ -12,6 +12,14 @@ from armscope.session import materialise
 BROADCAST_ROWS = 200_000
 
 
+def same_keys(groups: Sequence[str], prefix: str) -> Column:
+    """Join condition: each group column equals ``<prefix><its position>``; null keys match null keys."""
+    same = F.lit(True)
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"{prefix}{i}"))
+    return same
+
+
 def attach_per_group(
     rows: DataFrame, per_group: DataFrame, groups: Sequence[str], broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
@@ -29,7 +37,4 @@ def attach_per_group(
     )
     if small.count() <= broadcast_rows:
         small = F.broadcast(small)
-    same = F.lit(True)
-    for i, g in enumerate(groups):
-        same = same & F.col(g).eqNullSafe(F.col(f"_key{i}"))
-    return rows.join(small, same).drop(*[f"_key{i}" for i in range(len(groups))])
+    return rows.join(small, same_keys(groups, "_key")).drop(*[f"_key{i}" for i in range(len(groups))])

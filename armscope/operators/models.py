@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 
-import numpy as np
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -18,11 +16,12 @@ from pyspark.sql import functions as F
 
 from armscope.functions.effects import ratio
 from armscope.functions.tails import two_sided_p
+from armscope.operators import newton
 from armscope.operators.joins import attach_per_group
 from armscope.operators.ranks import auc
 from armscope.operators.summaries import share_of_total
 from armscope.operators.variance import cuped_report
-from armscope.session import shared_folder
+from armscope.session import cached, written
 from armscope.spec import ExperimentSpec
 
 # Seed and settings of the forest and the boosted trees.
@@ -55,25 +54,21 @@ def interaction_features(strata: Sequence[str]) -> list[str]:
     return ["treatment_x_time", *[f"treatment_x_{s}" for s in strata[:-1]], "treatment_x_quick"]
 
 
-@contextmanager
-def cached(df: DataFrame):
-    """Keep a training frame for the passes of an iterative fit; lost blocks are recomputed."""
-    shared_folder(df.sparkSession)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield df
-    finally:
-        df.unpersist()
-
-
 def training_frame(df: DataFrame, columns: Sequence[str], label: str, extra: Sequence[str] = ()) -> DataFrame:
     """Only the columns a fit reads, as doubles, rows with nulls left out."""
     wanted = [c for c in dict.fromkeys([*columns, label]) if c not in extra]
     return df.select(*extra, *[F.col(c).cast("double").alias(c) for c in wanted]).dropna(subset=wanted)
 
 
+def scoring_frame(df: DataFrame, columns: Sequence[str], label: str, extra: Sequence[str] = ()) -> DataFrame:
+    """As ``training_frame``, with all rows: ``fit`` leaves out those with nulls, ``scored`` gives them a null score."""
+    wanted = [c for c in dict.fromkeys([*columns, label]) if c not in extra]
+    return df.select(*extra, *[F.col(c).cast("double").alias(c) for c in wanted])
+
+
 def assembler(columns: Sequence[str], out: str = "features") -> VectorAssembler:
-    return VectorAssembler(inputCols=list(columns), outputCol=out, handleInvalid="error")
+    """Rows with a null are kept, for ``scored``; fits leave them out first."""
+    return VectorAssembler(inputCols=list(columns), outputCol=out, handleInvalid="keep")
 
 
 def scaled_stages(columns: Sequence[str], only: Sequence[str] | None = None) -> list:
@@ -87,7 +82,7 @@ def scaled_stages(columns: Sequence[str], only: Sequence[str] | None = None) ->
     return [
         assembler(only, "to_scale"),
         StandardScaler(inputCol="to_scale", outputCol="scaled", withMean=True, withStd=True),
-        VectorAssembler(inputCols=["scaled", *rest], outputCol="features", handleInvalid="error"),
+        VectorAssembler(inputCols=["scaled", *rest], outputCol="features", handleInvalid="keep"),
     ]
 
 
@@ -169,74 +164,12 @@ def fleet_glm(
     steps: int = 30,
     tol: float = 1e-10,
 ) -> DataFrame:
-    """A logit (binomial) or log-linear (poisson) model of every experiment, all fitted together.
+    """A logit (binomial) or log-linear (poisson) model of every experiment, all fitted together in tasks.
 
-    Each Newton step is one grouped aggregate of the weighted sums over all experiments; only those sums, a
-    row an experiment, come to the driver, where the small systems are solved. An experiment whose system is
-    singular (an empty arm, a constant column) gets null estimates.
+    ``converged`` tells whether the estimates are final; otherwise they are null (see ``newton.newton_fits``).
     """
-    if family not in ("binomial", "poisson"):
-        raise ValueError(family)
-    keys, k = list(spec.keys), len(columns) + 1
-    x = [F.lit(1.0), *[F.col(c) for c in columns]]
-    cells = [(i, j) for i in range(k) for j in range(i, k)]
-    off = F.col(offset).cast("double") if offset else F.lit(0.0)
-    fits: dict[tuple, dict] = {}
-    with cached(training_frame(df, columns, label, [*keys, *([offset] if offset else [])])) as rows:
-        y = F.col(label)
-        for r in rows.groupBy(*keys).agg(F.sum(y).alias("_y"), F.sum(F.exp(off)).alias("_e"), F.count(y).alias("_n")).collect():
-            beta = np.zeros(k)
-            if family == "poisson" and r["_y"] and r["_e"]:
-                beta[0] = np.log(r["_y"] / r["_e"])
-            fits[tuple(r[c] for c in keys)] = {"beta": beta, "n": r["_n"], "cov": None, "open": True}
-        fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keys]
-        schema = ", ".join([*[f.replace(" ", "_fit ", 1) for f in fields], *[f"b{i} double" for i in range(k)]])
-        for _ in range(steps):
-            live = {key: fit for key, fit in fits.items() if fit["open"]}
-            if not live:
-                break
-            betas = rows.sparkSession.createDataFrame([(*key, *map(float, fit["beta"])) for key, fit in live.items()], schema)
-            same = F.lit(True)
-            for c in keys:
-                same = same & F.col(c).eqNullSafe(F.col(f"{c}_fit"))
-            eta = off
-            for i in range(k):
-                eta = eta + F.col(f"b{i}") * x[i]
-            mu = 1 / (1 + F.exp(-F.col("_eta"))) if family == "binomial" else F.exp("_eta")
-            weight = F.col("_mu") * (1 - F.col("_mu")) if family == "binomial" else F.col("_mu")
-            sums = (
-                rows.join(betas, same)
-                .withColumn("_eta", eta)
-                .withColumn("_mu", mu)
-                .withColumn("_w", weight)
-                .groupBy(*keys)
-                .agg(
-                    *[F.sum(F.col("_w") * x[i] * x[j]).alias(f"a{i}_{j}") for i, j in cells],
-                    *[F.sum((y - F.col("_mu")) * x[i]).alias(f"g{i}") for i in range(k)],
-                )
-            )
-            for r in sums.collect():
-                fit = live[tuple(r[c] for c in keys)]
-                information = np.zeros((k, k))
-                for i, j in cells:
-                    information[i, j] = information[j, i] = r[f"a{i}_{j}"]
-                try:
-                    if not np.isfinite(information).all() or np.linalg.cond(information) > 1e14:
-                        raise np.linalg.LinAlgError
-                    fit["cov"] = np.linalg.inv(information)
-                except np.linalg.LinAlgError:
-                    fit |= {"cov": None, "open": False}
-                    continue
-                step = fit["cov"] @ np.array([r[f"g{i}"] for i in range(k)])
-                fit["beta"] = fit["beta"] + step
-                fit["open"] = bool(np.abs(step).max() > tol)
-    out = []
-    for key, fit in fits.items():
-        done = fit["cov"] is not None and not fit["open"]
-        for i, term in enumerate(["intercept", *columns]):
-            estimate = (float(fit["beta"][i]), float(np.sqrt(fit["cov"][i, i]))) if done else (None, None)
-            out.append((*key, term, fit["n"], *estimate))
-    table = df.sparkSession.createDataFrame(out, ", ".join([*fields, "term string, n long, coef double, se double"]))
+    keys = list(spec.keys)
+    table = newton.terms(newton.newton_fits(df, keys, label, columns, family, offset, steps, tol), keys, columns)
     ratio_name = "odds_ratio" if family == "binomial" else "rate_ratio"
     return table.withColumn("z", F.col("coef") / F.col("se")).withColumns(
         {
@@ -325,21 +258,35 @@ def with_positive_weight(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("class_weight", F.when(F.col(label) == 1, F.lit(weight)).otherwise(F.lit(1.0)))
 
 
+def _read_by(stages: Sequence) -> list[str]:
+    """The columns that a pipeline's assemblers and its last stage read and no stage makes."""
+    made, read = set(), []
+    for stage in stages:
+        if isinstance(stage, VectorAssembler):
+            read += stage.getInputCols()
+        made.add(stage.getOutputCol() if stage.hasParam("outputCol") else stage.getPredictionCol())
+    return [c for c in dict.fromkeys(read) if c not in made]
+
+
 def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
-    with cached(train) as data:
+    """Fit on the rows that have all columns and the label."""
+    stages = pipeline.getStages()
+    with cached(train.dropna(subset=[*_read_by(stages), stages[-1].getLabelCol()])) as data:
         return pipeline.fit(data)
 
 
 def scored(model: PipelineModel, df: DataFrame, out: str = "score") -> DataFrame:
-    """The probability of class 1 as a column of the row."""
-    keep = df.columns
+    """The probability of class 1 as a column of the row; null where a feature is null."""
+    keep, there = df.columns, F.lit(True)
+    for c in _read_by(model.stages):
+        there = there & F.col(c).isNotNull() & ~F.isnan(c)
     predicted = model.transform(df)
     if "probability" in predicted.columns:
         chance = vector_to_array("probability")[1]
     else:
         # A generalised linear model predicts the mean itself.
         chance = F.col("prediction")
-    return predicted.withColumn(out, chance).select(*keep, out)
+    return predicted.withColumn(out, F.when(there, chance)).select(*keep, out)
 
 
 def coefficient_table(model: PipelineModel, names: Sequence[str], spark) -> DataFrame:
@@ -378,9 +325,11 @@ def fold_aucs(
 ) -> DataFrame:
     """Exact held-out AUC of every fold: each row is scored by the model that did not see it.
 
-    Scaling sits inside the estimator, so no fold sees the others' moments. Fits are submitted side by
-    side, and no final model is fitted on all rows.
+    The rows, with their folds, are written once; all fits and scores read that table. Scaling sits inside the
+    estimator, so no fold sees the others' moments. Fits are submitted side by side, and no final model is
+    fitted on all rows.
     """
+    df = written(df, "folds")
     with cached(df) as data, ThreadPool(min(parallelism, folds)) as pool:
         fit_one = inheritable_thread_target(df.sparkSession)(
             lambda k: estimator.fit(data.filter(F.col(fold) != k))
@@ -393,11 +342,25 @@ def fold_aucs(
     return auc(held_out, [fold], "score", label)
 
 
+def logistic_fold_aucs(
+    df: DataFrame, spec: ExperimentSpec, label: str, columns: Sequence[str], fold: str = "fold", folds: int = FOLDS
+) -> DataFrame:
+    """Held-out AUC of every experiment and fold by logits that are all fitted together; rows are scored in one pass."""
+    keys = list(spec.keys)
+    held_out = newton.out_of_fold_scores(df, keys, label, columns, fold, folds)
+    return auc(held_out, [*keys, fold], "score", label)
+
+
 def cross_validated_auc(
     estimator: Estimator, df: DataFrame, label: str, fold: str = "fold", folds: int = FOLDS, parallelism: int = FOLDS
 ) -> DataFrame:
     """Mean, population sd, least and greatest held-out AUC over the folds."""
-    return fold_aucs(estimator, df, label, fold, folds, parallelism).agg(
+    return auc_summary(fold_aucs(estimator, df, label, fold, folds, parallelism))
+
+
+def auc_summary(aucs: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """Mean, population sd, least and greatest AUC over the folds of each group."""
+    return aucs.groupBy(*groups).agg(
         F.count("auc").cast("int").alias("folds"),
         F.avg("auc").alias("auc_mean"),
         F.stddev_pop("auc").alias("auc_sd"),

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from armscope.functions.hashing import hash_arm
-from armscope.operators import models, ranks, sampling
+from armscope.operators import models, newton, ranks, sampling
 from armscope.plans.cat_clean import _BUCKET_SQL
 from armscope.plans.cat_power import _CUPED_COLUMNS, _CUPED_SQL
 from armscope.plans.registry import REGIONS, SPEC, events_features, fleet_units, prepost_units, query, rounded
-from armscope.plans.sqltext import EVENTS_ROWS, FLEET_UNITS, PREPOST, div, glm, mid_ranked, p_two, r, rs
+from armscope.plans.sqltext import EVENTS_ROWS, FLEET_UNITS, PREPOST, div, glm, hashed, mid_ranked, p_two, r, rs
 from armscope.sources import views
 
 MAIN = models.main_features(SPEC, REGIONS)
@@ -63,20 +65,44 @@ def st16(spark, sf_dir):
 
 _PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 _FLEET_LOGIT = " UNION ALL ".join(
-    f"""SELECT '{name}' AS experiment, * FROM (WITH {FLEET_UNITS},
+    f"""SELECT '{name}' AS experiment, *, true AS converged FROM (WITH {FLEET_UNITS},
 fx AS (SELECT *, cast(arm = 'treatment' as int) AS is_treatment, amount / 100000 AS size FROM u WHERE experiment = '{name}'),
 {glm('fx', 'converted', ['size', 'is_treatment'])} {_wald_sql()})"""
     for name in _PRIORITIES
 )
 
 
+def _fleet_frame(spark, sf_dir):
+    return fleet_units(spark, sf_dir).withColumns(
+        {"is_treatment": (F.col("group") == "treatment").cast("int"), "size": F.col("amount") / 100000}
+    )
+
+
 @query("st15_fleet_logit", _FLEET_LOGIT)
 def st15_fleet(spark, sf_dir):
     """A logit of every experiment of the fleet, fitted together, never pooled."""
-    units = fleet_units(spark, sf_dir).withColumns(
-        {"is_treatment": (F.col("group") == "treatment").cast("int"), "size": F.col("amount") / 100000}
+    return rounded(models.fleet_glm(_fleet_frame(spark, sf_dir), SPEC, "converted", ["size", "is_treatment"]).drop("n"))
+
+
+_COUNTRY_RATES = " UNION ALL ".join(
+    f"""SELECT 'events' AS experiment, '{c}' AS country, *, true AS converged FROM (WITH {PREPOST},
+px AS (SELECT *, cast(arm = 'treatment' as int) AS is_treatment, ln(n_events::double) AS log_exposure FROM pp WHERE n_events > 0 AND country = '{c}'),
+{glm('px', 'purchases', ['is_treatment'], 'poisson', 'log_exposure')} {_wald_sql('rate_ratio')})"""
+    for c in REGIONS
+)
+
+
+@query("mb11_fleet_rate_ratio", _COUNTRY_RATES)
+def mb11_fleet(spark, sf_dir):
+    """MB11 for many groups: a Poisson regression with exposure for every experiment and country, fitted together."""
+    units = prepost_units(spark, sf_dir).filter("n_events > 0").withColumns(
+        {
+            "is_treatment": (F.col("group") == "treatment").cast("int"),
+            "log_exposure": F.log(F.col("n_events").cast("double")),
+        }
     )
-    return rounded(models.fleet_glm(units, SPEC, "converted", ["size", "is_treatment"]).drop("n"))
+    by_country = replace(SPEC, keys=(*SPEC.keys, "country"))
+    return rounded(models.fleet_glm(units, by_country, "purchases", ["is_treatment"], "poisson", "log_exposure").drop("n"))
 
 
 def _scaled_sql(columns: list[str], table: str = "fs") -> str:
@@ -143,6 +169,10 @@ def _frame(spark, sf_dir, columns):
     return models.training_frame(events_features(spark, sf_dir), columns, "converted", ["experiment", "group", "seq"])
 
 
+def _rows(spark, sf_dir, columns):
+    return models.scoring_frame(events_features(spark, sf_dir), columns, "converted", ["experiment", "group", "seq"])
+
+
 _TIME_SCALED = """ft AS MATERIALIZED (SELECT * REPLACE ((time_seconds - avg(time_seconds) OVER ()) / stddev_samp(time_seconds) OVER () AS time_seconds) FROM fx)"""
 _LOGIT_SQL = f"WITH {EVENTS_ROWS}, {_F}, {_TIME_SCALED}, {glm('ft', 'converted', MAIN, rounds=7)}"
 
@@ -171,13 +201,47 @@ _ETA = " + ".join(
 )
 def ml04(spark, sf_dir):
     """Probability of conversion on every row."""
-    frame = _frame(spark, sf_dir, MAIN)
+    frame = _rows(spark, sf_dir, MAIN)
     model = models.fit(models.logistic("converted", MAIN, ["time_seconds"]), frame)
     return rounded(
         models.scored(model, frame).select("seq", F.col("converted").cast("int").alias("converted"), "score")
     )
 
 
+_NULL_TIME = "CASE WHEN seq % 10 <> 3 THEN time_seconds END"
+_LOGIT_NULLS = f"""WITH {EVENTS_ROWS}, {_F}, fn AS (SELECT * REPLACE ({_NULL_TIME} AS time_seconds) FROM fx),
+fc AS (SELECT * FROM fn WHERE time_seconds IS NOT NULL), {glm('fc', 'converted', ['time_seconds', 'is_treatment'], rounds=7)}"""
+
+
+@query(
+    "ml04_with_nulls",
+    f"""{_LOGIT_NULLS} SELECT seq, {r("1 / (1 + exp(-((SELECT coef FROM glm WHERE term = 'intercept') + (SELECT coef FROM glm WHERE term = 'time_seconds') * time_seconds + (SELECT coef FROM glm WHERE term = 'is_treatment') * is_treatment)))")} AS score FROM fn""",
+)
+def ml04_nulls(spark, sf_dir):
+    """Every row gets a line: those with a missing feature a null score, and no part in the fit."""
+    frame = _rows(spark, sf_dir, ["time_seconds", "is_treatment"]).withColumn("time_seconds", F.expr(_NULL_TIME))
+    model = models.fit(models.logistic("converted", ["time_seconds", "is_treatment"]), frame)
+    return rounded(models.scored(model, frame).select("seq", "score"))
+
+
+@query(
+    "ml04_fleet_scores",
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS experiment, * FROM (WITH {FLEET_UNITS},
+fx AS (SELECT *, cast(arm = 'treatment' as int) AS is_treatment, amount / 100000 AS size FROM u WHERE experiment = '{name}'),
+{glm('fx', 'converted', ['size', 'is_treatment'])}
+SELECT seq, {r("1 / (1 + exp(-((SELECT coef FROM glm WHERE term = 'intercept') + (SELECT coef FROM glm WHERE term = 'size') * size + (SELECT coef FROM glm WHERE term = 'is_treatment') * is_treatment)))")} AS score FROM fx)"""
+        for name in _PRIORITIES
+    ),
+)
+def ml04_fleet(spark, sf_dir):
+    """ML4 for a fleet: each row scored by the model of its experiment, all models fitted together."""
+    units = _fleet_frame(spark, sf_dir)
+    fits = newton.newton_fits(units, ["experiment"], "converted", ["size", "is_treatment"])
+    scored = newton.scores(units, fits, ["experiment"], ["size", "is_treatment"])
+    return rounded(scored.select("experiment", "seq", "score"))
+
+
 @query(
     "ml05_logistic_auc",
     f"""{_LOGIT_SQL}, scores AS MATERIALIZED (SELECT experiment, converted, 1 / (1 + exp(-({_ETA}))) AS score FROM ft),
@@ -224,11 +288,45 @@ def ml09(spark, sf_dir):
     return models.importance_table(models.fit(models.boosting("converted", columns), frame), columns, spark)
 
 
-@query("ml06_cv_auc_logistic")
+def _out_of_fold_sql(columns: list[str]) -> str:
+    """CTE chain: stratified folds by md5, five unrolled fits, each row scored by the one that did not see it; ends in ``oof``."""
+    eta = " + ".join(["b0", *[f"b{i} * {c}" for i, c in enumerate(columns, 1)]])
+    fits, rows = [], []
+    for k in range(5):
+        pick = ", ".join(f"max(coef) FILTER (term = '{t}') AS b{i}" for i, t in enumerate(["intercept", *columns]))
+        fits.append(
+            f"c{k} AS MATERIALIZED (WITH part AS (SELECT * FROM folded WHERE fold <> {k}), {glm('part', 'converted', columns, rounds=7)} SELECT {pick} FROM glm)"
+        )
+        rows.append(f"SELECT experiment, seq, fold, converted, 1 / (1 + exp(-({eta}))) AS score FROM folded, c{k} WHERE fold = {k}")
+    return f"""folded AS MATERIALIZED (SELECT *, cast((row_number() OVER (PARTITION BY experiment, converted
+  ORDER BY {hashed("'fold42' || chr(58) || seq")}, seq) - 1) % 5 as int) AS fold FROM ft),
+{', '.join(fits)}, oof AS MATERIALIZED ({' UNION ALL '.join(rows)})"""
+
+
+_OOF = f"WITH {EVENTS_ROWS}, {_F}, {_TIME_SCALED}, {_out_of_fold_sql(MAIN)}"
+
+
+def _folded(spark, sf_dir):
+    """Rows with their fold; scaling time makes the Newton steps of both sides alike, not the predictions."""
+    return sampling.stratified_folds(_rows(spark, sf_dir, MAIN), ["experiment"], "converted", ["seq"])
+
+
+@query("ml06_out_of_fold_scores", f"{_OOF} SELECT seq, fold, {r('score')} AS score FROM oof")
+def ml06_scores(spark, sf_dir):
+    """ML6: every row's probability from the fit that did not see its fold."""
+    scored = newton.out_of_fold_scores(_folded(spark, sf_dir), ["experiment"], "converted", MAIN)
+    return rounded(scored.select("seq", "fold", "score"))
+
+
+@query(
+    "ml06_cv_auc_logistic",
+    f"""{_OOF}, {mid_ranked('oof', 'score', 'fold', 'converted = 1')},
+a AS (SELECT fold, {div('u', 'cast(n1 as double) * n2')} AS auc FROM mw)
+SELECT cast(count(auc) as int) AS folds, {rs('auc_mean=avg(auc)', 'auc_sd=stddev_pop(auc)', 'auc_min=min(auc)', 'auc_max=max(auc)')} FROM a""",
+)
 def ml06(spark, sf_dir):
-    """ML6, AG16: five stratified folds."""
-    folds = sampling.stratified_folds(_frame(spark, sf_dir, MAIN), ["experiment"], "converted", ["seq"])
-    return models.cross_validated_auc(models.logistic("converted", MAIN, ["time_seconds"]), folds, "converted")
+    """ML6, AG16: five stratified folds, fitted together."""
+    return rounded(models.auc_summary(models.logistic_fold_aucs(_folded(spark, sf_dir), SPEC, "converted", MAIN)))
 
 
 @query("ml06_cv_auc_forest")
