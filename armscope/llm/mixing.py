@@ -208,6 +208,7 @@ def mix(docs: DataFrame, spec: MixSpec = MixSpec()) -> Mix:
         .drop("first", "inside", "bin"),
         "placed",
     )
+    shared.discard(sized)
     uses = slots(spark, quota, n_blocks, spec).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("uses"))
     b, end = F.lit(spec.block), F.col("start") + F.col("size")
     pieces = placed.where("size > 0").select(
@@ -275,4 +276,5 @@ def mixed_documents(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
                 columns["n_chars"] = pa.array([len(t.decode()) for t in texts]).cast(columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
-    return tagged.join(pieces, "row").select("doc", "pieces").mapInArrow(rebuild, schema)
+    # pieces grow with the documents: never broadcast, however few they look
+    return tagged.join(pieces.hint("merge"), "row").select("doc", "pieces").mapInArrow(rebuild, schema)

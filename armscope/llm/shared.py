@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import zstandard
@@ -13,12 +14,19 @@ from pyspark.sql import functions as F
 from armscope.session import new_folder
 
 
+#: Tables that a stage of a pipeline has left for its result to read; None outside of stages.
+_LEFT: list[DataFrame] = []
+_IN_STAGE = False
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage, survives executors."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
+    if _IN_STAGE:
+        _LEFT.append(out)
     return out
 
 
@@ -27,6 +35,27 @@ def discard(table: DataFrame) -> None:
     spark = table.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _LEFT[:] = [t for t in _LEFT if t.written_to != table.written_to]
+
+
+@contextmanager
+def stage(docs: DataFrame) -> Iterator[None]:
+    """Around one stage of a pipeline, whose input ``docs`` is a written table.
+
+    A stage's result reads tables that the stage wrote, so they stay until it has been written itself: the next
+    stage deletes them, unless its own input reads them.
+    """
+    global _IN_STAGE
+    read = docs.inputFiles()
+    for table in list(_LEFT):
+        if not any(table.written_to.rpartition("/")[2] in file for file in read):
+            discard(table)
+    release(docs.sparkSession)
+    _IN_STAGE = True
+    try:
+        yield
+    finally:
+        _IN_STAGE = False
 
 
 def packed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

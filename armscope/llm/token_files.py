@@ -289,6 +289,7 @@ def write_tokens(docs: DataFrame, folder: str, spec: TokenSpec) -> None:
     blocks.select(*_NAMES, "ids").mapInArrow(frames, _BLOCK.replace("ids binary", "frame binary")).write.parquet(
         f"{folder}/blocks"
     )
+    shared.discard(blocks)
 
 
 _NAMES = ["file", "block", "doc_ids", "doc_tokens"]
