@@ -1,22 +1,43 @@
 """From raw documents to a mixed, tokenized corpus: each stage works on all that the one before it kept.
 
 Each stage takes (spark, docs, sf_dir) and returns the columns of documents; the last returns the digest of
-the token files it wrote. Between stages rows are written as Parquet and read again.
+the token files it wrote. Between stages rows are written as Parquet and read again; what a stage wrote on its way is
+deleted when the next one starts.
+
+In every stage: a null text is an empty one, and stays; texts of any length are taken whole; repeated rows stay
+repeated rows, but in near-duplicate removal, where all rows of an id go if the id is a copy of a smaller one; a null
+id is a document of its own that nothing removes as a near copy; columns beyond those of documents, whatever their
+names, are passed on as they are; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from armscope.llm import decontaminate, mixing, near_duplicates, queries, token_files, toxicity
-from armscope.llm.shared import written
+from armscope.llm import decontaminate, mixing, near_duplicates, queries, shared, token_files, toxicity
 from armscope.llm.ship import ship
 from armscope.session import new_folder
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def stage(work: Stage) -> Stage:
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        with shared.stage(docs):
+            return work(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain calls toxic go."""
-    ship(spark)
     return toxicity.without_toxic(docs, queries.table(spark, sf_dir, "labels"))
 
 
@@ -24,28 +45,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 NEAR = near_duplicates.NearDuplicates(percent=80, bands=37)
 
 
+@stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays; rows of one id are one document."""
-    ship(spark)
     found = near_duplicates.near_duplicates(docs, NEAR)
     return docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
+@stage
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, exactly or within the edit tolerance, go."""
-    ship(spark)
     return decontaminate.without_leaks(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix at the target weights; a document's text becomes the words that the mix takes of it."""
-    ship(spark)
     return mixing.mixed_documents(docs)
 
 
+@stage
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, read back: doc_id, start, n_tokens, ids_crc32."""
-    ship(spark)
     return token_files.token_digest(docs, new_folder(spark, "tokens"), token_files.TokenSpec(queries.tokenizer(), kept_words=100_000))
 
 
@@ -63,7 +84,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    docs = queries.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    docs, before = queries.table(spark, sf_dir, "documents"), None
+    for name, work in STAGES[:-1]:
+        docs = shared.written(work(spark, docs, sf_dir), name)
+        if before is not None:
+            shared.discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
