@@ -40,7 +40,11 @@ BLOCK = 1024
 
 @dataclass(frozen=True)
 class NearDuplicates:
-    """Parameters: similarity in percent, words of a shingle, bands and rows, samples and bits of a sketch."""
+    """Parameters: similarity in percent, words of a shingle, bands and rows, samples and bits of a sketch.
+
+    ``ids_link``: texts under one id are one document. Otherwise each text stands for itself, named by its id: an id may
+    then have rows in several components.
+    """
 
     percent: int = 85
     shingle: int = 5
@@ -50,6 +54,7 @@ class NearDuplicates:
     bits: int = 1024
     sigmas: float = 5.0
     star_rounds: int = 2
+    ids_link: bool = True
     seed: int = 17
 
     @property
@@ -313,7 +318,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, spec: NearDup
 
 
 def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id, kept) of every row of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, class_id, component_id, kept, text_hash) of every row of ``docs`` (doc_id, text).
 
     class_id: smallest id with the same set; component_id: smallest id that can be reached by links;
     kept: doc_id = component_id.
@@ -327,14 +332,14 @@ def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) ->
     nodes = shared.written(chosen.select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
     shared.discard(classes)
     rows = shared.written(
-        signed.select("doc_id", *of_set).join(nodes.select("node", "class_id", *of_set), of_set, "left"), "rows"
+        signed.select("doc_id", "text_hash", *of_set).join(nodes.select("node", "class_id", *of_set), of_set, "left"), "rows"
     )
     shared.discard(signed)
     first = rows.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"))
     several = shared.written(first.where("a <> z").select("doc_id", "a"), "several")
     links = shared.written(rows.join(several, "doc_id").select("a", F.col("node").alias("b")).where("a <> b").distinct(), "own")
     found: DataFrame | None = None
-    if not links.isEmpty():
+    if spec.ids_link and not links.isEmpty():
         found = shared.components(links)
 
     def placed() -> DataFrame:
@@ -377,14 +382,22 @@ def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) ->
     label = shared.written(named.join(least, "component").select("node", "component_id"), "labels")
     shared.discard(nodes)
     labelled = rows.join(label, "node", "left")
+    if not spec.ids_link:
+        return _digest(labelled.withColumn("of_id", F.lit(None).cast("long")))
     # an empty text of an id that also has words
     blank = rows.where("node is null and doc_id is not null").select("doc_id").distinct()
     same_id = labelled.where("node is not null").join(blank, "doc_id", "left_semi")
     same_id = same_id.groupBy("doc_id").agg(F.min("component_id").alias("of_id"))
-    return labelled.join(same_id, "doc_id", "left").select(
+    return _digest(labelled.join(same_id, "doc_id", "left"))
+
+
+def _digest(labelled: DataFrame) -> DataFrame:
+    component = F.coalesce("component_id", "of_id", "doc_id")
+    return labelled.select(
         "doc_id",
         "n_shingles",
         F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("component_id", "of_id", "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "of_id", "doc_id"), F.lit(True)).alias("kept"),
+        component.alias("component_id"),
+        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+        "text_hash",
     )

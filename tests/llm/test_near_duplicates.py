@@ -56,6 +56,20 @@ def test_texts_under_one_id_link_it(spark):
     near_rows(spark, [(5, a), (5, b), (5, ""), (5, None), (6, b + " end"), (7, c), (3, c + " end"), (7, a), (8, "")])
 
 
+def test_texts_on_their_own(spark):
+    import random
+
+    rng = random.Random(14)
+    a, b, c = (brute.prose(rng, n) for n in (100, 140, 90))
+    rows = [(1, a), (2, a), (2, b), (3, b + " end"), (4, c), (4, c), (4, None), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near.near_duplicates(docs, near.NearDuplicates(ids_link=False)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id) == sorted(
+        [(1, 96, 1, True), (2, 96, 1, False), (2, 136, 2, True), (3, 137, 2, False), (4, 86, 4, True), (4, 86, 4, True), (4, 0, 4, True)]
+    )
+    assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
+
+
 def test_a_third_of_the_rows_under_one_id(spark):
     import random
 
