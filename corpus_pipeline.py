@@ -5,8 +5,8 @@ the token files it wrote. Between stages rows are written as Parquet and read ag
 deleted when the next one starts.
 
 In every stage: a null text is an empty one, and stays; texts of any length are taken whole; repeated rows stay
-repeated rows, but in near-duplicate removal, where all rows of an id go if the id is a copy of a smaller one; a null
-id is a document of its own that nothing removes as a near copy; columns beyond those of documents, whatever their
+repeated rows (a copy under the same id is no near duplicate); a null id is a document of its own that is never removed
+as a near copy; columns beyond those of documents, whatever their
 names, are passed on as they are; an empty table gives an empty one.
 """
 
@@ -16,12 +16,12 @@ import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from armscope.llm import decontaminate, mixing, near_duplicates, queries, shared, token_files, toxicity
 from armscope.llm.ship import ship
 from armscope.session import new_folder
 
-
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -41,15 +41,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, queries.table(spark, sf_dir, "labels"))
 
 
-#: The stage links at a similarity of 0.8; with 37 bands a pair there is missed with a chance of 4e-7.
-NEAR = near_duplicates.NearDuplicates(percent=80, bands=37)
+#: The stage links at a similarity of 0.8; with 37 bands a pair there is missed with a chance of 4e-7. Each text stands
+#: for itself: a copy goes, another text under its id stays.
+NEAR = near_duplicates.NearDuplicates(percent=80, bands=37, ids_link=False)
 
 
 @stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; rows of one id are one document."""
-    found = near_duplicates.near_duplicates(docs, NEAR)
-    return docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies the document with the smallest id stays."""
+    gone = near_duplicates.near_duplicates(docs, NEAR).where("not kept").select("doc_id", "text_hash").distinct()
+    same = (docs["doc_id"] == gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["text_hash"])
+    return docs.join(gone, same, "left_anti")
 
 
 @stage
