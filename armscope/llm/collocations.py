@@ -14,7 +14,7 @@ often as the phrase. So first words make the frontier, the rarest (of those freq
 4. Survivors get their scores. A language whose ``first``-th score is above the bounds of all further first words
    is settled; words with a lower bound are not expanded, those that tie are.
 
-What tasks get to know of frequent words and prefixes are bit fields of at most ``SIEVE_BITS`` bits. With very many
+What tasks get to know of frequent words and prefixes are bit fields of at most ``shared.SIEVE_BITS`` bits. With very many
 members a field lets more through, which the exact count throws out: results do not depend on its size.
 
 Defined cases: null text: empty; null lang: ``und``, one language with a literal ``und``. Rows are texts of their own:
@@ -29,12 +29,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from armscope.llm import shared, words
+from armscope.llm.shared import Sieve
 
-SIEVE_BITS = 1 << 28
 PENDING = 1 << 21
 _U = np.uint64
 _PIECE_ENDS = np.zeros(256, bool)
@@ -54,29 +54,6 @@ class Collocations:
     growth: float = 8.0
 
 
-class Sieve:
-    """Bits of a set of 64-bit hashes: never misses a member, lets some others through."""
-
-    def __init__(self, spark: SparkSession, hashes: DataFrame) -> None:
-        """hashes: (h long), counted and combined in Spark; at most ``SIEVE_BITS`` bits come to the driver."""
-        size = max(1 << 16, min(SIEVE_BITS, 1 << (16 * hashes.count()).bit_length()))
-        places = F.array(F.col("h").bitwiseAND(size - 1), F.shiftrightunsigned("h", 32).bitwiseAND(size - 1))
-        fields = (
-            hashes.select(F.explode(places).alias("p"))
-            .groupBy(F.shiftright("p", 6).alias("at"))
-            .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(63).cast("int"))).alias("bits"))
-        )
-        found, bits = fields.toArrow(), np.zeros(size // 64, np.int64)
-        bits[found.column("at").to_numpy()] = found.column("bits").to_numpy()
-        self.sent, self.mask = spark.sparkContext.broadcast(bits.view(np.uint64)), _U(size - 1)
-
-    def passes(self, hashes: np.ndarray) -> np.ndarray:
-        bits, out = self.sent.value, np.ones(len(hashes), bool)
-        for place in (hashes & self.mask, (hashes >> _U(32)) & self.mask):
-            out &= ((bits[place >> _U(6)] >> (place & _U(63))) & _U(1)).astype(bool)
-        return out
-
-
 class Reading:
     """The words of a batch of texts: a hash with the language in it, and the piece each lies in."""
 

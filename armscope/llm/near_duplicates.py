@@ -6,12 +6,12 @@
 2. MinHash samples of the set give band keys, and are folded into a parity bitmap (odd sketch): sample i
    flips the bit that a hash of (i, sample) names. Two bitmaps differ in the parity of the samples that the
    sets do not share, so their XOR population count estimates high similarities precisely.
-3. ``star_rounds`` times, each bucket of nodes with one band key that still holds several components gets a leader.
-   Of its leaders, a node takes the one with the nearest sketch; those that the sketch can't rule out are confirmed
-   on the full sets. So most of a large group is one component after as many pairs as it has members.
+3. Nodes that share a band key make a bucket, cut into blocks of ``BLOCK``; the bucket's leader joins all of its
+   blocks. Inside a block, a spanning forest of the pairs that the sketches hold likeliest is confirmed on the full
+   sets. So a large group is mostly one component after about as many pairs as it has members.
 4. Then, in buckets that still hold several components, every further pair across components that the sketch can't
    rule out is confirmed. Members of a bucket's largest component only meet those outside it: n nodes of which u are
-   outside make n * u pairs of bitmaps to compare, dealt to cells of two blocks of ``BLOCK`` nodes.
+   outside make n * u pairs of bitmaps to compare, dealt to cells of two blocks.
 5. Links give components. Pairs that are already connected are not looked at again: they change nothing.
 
 A pair at the threshold is missed with probability (1 - t^r)^b, 5e-7 with the defaults, plus about as much
@@ -53,7 +53,6 @@ class NearDuplicates:
     samples: int = 384
     bits: int = 1024
     sigmas: float = 5.0
-    star_rounds: int = 2
     ids_link: bool = True
     seed: int = 17
 
@@ -152,43 +151,32 @@ def signatures(docs: DataFrame, spec: NearDuplicates) -> DataFrame:
     )
 
 
-def _star_pairs(members: DataFrame, nodes: DataFrame, spec: NearDuplicates, turn: int) -> DataFrame:
-    """Pairs (a, b), a < b: each node and the nearest, by sketch, of the leaders of its buckets in other components.
-
-    members: key, node, component, sketch; nodes: node, component, sketch. A bucket's leader is the member of least hash; ``turn`` changes the hash.
+def _forest(x: np.ndarray, y: np.ndarray, far: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Kruskal: which of the edges x-y between ``node`` labels make a spanning forest, the least ``far`` first."""
+    root, keep = np.arange(node.max() + 1), []
+    order = np.argsort(far, kind="stable")
+    while len(order):
+        for e in order[: 4 * len(root)].tolist():
+            p, q = node[x[e]], node[y[e]]
+            while root[p] != p:
+                root[p] = p = root[root[p]]
+            while root[q] != q:
+                root[q] = q = root[root[q]]
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                keep.append(e)
+        while (root != root[root]).any():
+            root = root[root]
+        order = order[4 * len(root) :]
+        order = order[root[node[x[order]]] != root[node[y[order]]]]
+    return np.array(keep, np.int64)
+
+
+def _cell_pairs(cell: pa.Table, spec: NearDuplicates, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (a, b), a < b, of one cell; of all shared bands, only the first one yields a pair.
+
+    ``forest``: only a spanning forest of the likeliest pairs.
     """
-    members = shared.written(members.select("key", "node", "component", "sketch"), "members")
-    by_hash = F.struct(F.xxhash64("node", F.lit(turn)), "node")
-    leaders = members.groupBy("key").agg(F.min_by("node", by_hash).alias("leader"))
-    of_leader = leaders.join(
-        nodes.select(F.col("node").alias("leader"), F.col("component").alias("other"), F.col("sketch").alias("its_sketch")), "leader"
-    )
-    # written first: a join of two plain exchanges is one whose hot keys can be split
-    of_leader = shared.written(of_leader, "leaders")
-    both = members.join(of_leader, "key").where("component <> other").select("node", "leader", "sketch", "its_sketch")
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            one, two = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in (2, 3)
-            )
-            off = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)
-            kept = pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(off)], ["node", "leader", "off"])
-            yield kept.filter(pa.array(off <= spec.most_differing))
-
-    found = both.mapInArrow(near, "node long, leader long, off long")
-    best = found.groupBy("node").agg(F.min_by("leader", F.struct("off", "leader")).alias("leader"))
-    pairs = best.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    out = shared.written(pairs, "pairs")
-    for used in (members, of_leader):
-        shared.discard(used)
-    return out
-
-
-def _cell_pairs(cell: pa.Table, spec: NearDuplicates) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (a, b), a < b, of one cell; of all shared bands, only the first one yields a pair."""
     ids, one = np.unique(cell.column("node").to_numpy(), return_index=True)
     none = np.zeros(0, np.int64)
     if len(ids) < 2:
@@ -198,7 +186,7 @@ def _cell_pairs(cell: pa.Table, spec: NearDuplicates) -> tuple[np.ndarray, np.nd
     sketch, tags = cell.column("sketch").to_pylist(), cell.column("tags").to_pylist()
     bitmaps = np.frombuffer(b"".join(sketch[i] for i in one), np.uint64).reshape(len(ids), -1)
     tags = np.frombuffer(b"".join(tags[i] for i in one), np.uint32).reshape(len(ids), -1)[:, :band]
-    first, second = [none], [none]
+    first, second, far = [none], [none], [none]
     for at in range(0, len(ids), 256):
         rows = slice(at, at + 256)
         off = np.zeros((len(ids[rows]), len(ids)), np.uint16)
@@ -211,18 +199,32 @@ def _cell_pairs(cell: pa.Table, spec: NearDuplicates) -> tuple[np.ndarray, np.nd
         new = np.ones(len(x), bool)
         for k in range(band):
             new &= tags[x + at, k] != tags[y, k]
-        first.append(x[new] + at)
-        second.append(y[new])
-    return ids[np.concatenate(first)], ids[np.concatenate(second)]
-
-
-def _bucket_pairs(members: DataFrame, spec: NearDuplicates) -> DataFrame:
-    """Pairs (a, b), a < b, of bucket members with different ``component`` that the sketch can't rule out.
-
-    members: key, band, node, component, sketch, tags. The u members outside a bucket's largest component are dealt
-    to blocks 0, 1, ..., the others to blocks -1, -2, ...; a cell is a pair of blocks of which one is of the former.
-    """
-    members = shared.written(members, "members")
+        x, y = x[new], y[new]
+        first.append(x + at)
+        second.append(y)
+        far.append(off[x, y].astype(np.int64))
+    x, y, far = map(np.concatenate, (first, second, far))
+    if forest and len(x):
+        keep = _forest(x, y, far, np.unique(label, return_inverse=True)[1])
+        x, y = x[keep], y[keep]
+    return ids[x], ids[y]
+
+
+def _block_cells(members: DataFrame, spec: NearDuplicates) -> tuple[DataFrame, DataFrame]:
+    """Cells of the buckets' blocks: each node is in one block of each of its buckets, a bucket's leader in all of them."""
+    by_hash = F.struct(F.xxhash64("node"), "node")
+    of_key = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", by_hash).alias("leader"))
+    size = shared.written(of_key, "sizes")
+    g = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.array(F.pmod(F.xxhash64("node"), g).cast("int"))
+    every = F.when(F.col("node") == F.col("leader"), F.sequence(F.lit(0), g - 1)).otherwise(own)
+    cells = members.join(size, "key").withColumn("low", F.explode(every)).withColumn("i", F.col("low"))
+    return cells.withColumn("high", F.col("low")), size
+
+
+def _cross_cells(members: DataFrame, spec: NearDuplicates) -> tuple[DataFrame, DataFrame]:
+    """Cells for all pairs across components: the u members outside a bucket's largest component are dealt to blocks
+    0, 1, ..., the others to blocks -1, -2, ...; a cell is a pair of blocks of which one is of the former."""
     parts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     of_key = parts.groupBy("key").agg(
         F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main")
@@ -237,11 +239,20 @@ def _bucket_pairs(members: DataFrame, spec: NearDuplicates) -> DataFrame:
         .withColumn("gd", blocks(F.col("n_main")))
         .withColumn("i", F.when(outside, F.pmod(hashed, F.col("gu"))).otherwise(-1 - F.pmod(hashed, F.col("gd"))).cast("int"))
         .withColumn("j", F.explode(F.when(outside, F.concat(others, mains)).otherwise(others)))
-        .select(
-            "key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "band", "i", "node", "component",
-            "sketch", "tags",
-        )
-    )
+        .withColumns({"low": F.least("i", "j"), "high": F.greatest("i", "j")})
+    )
+    return cells, size
+
+
+def _bucket_pairs(members: DataFrame, spec: NearDuplicates, forest: bool) -> DataFrame:
+    """Pairs (a, b), a < b, of bucket members with different ``component`` that the sketch can't rule out, written.
+
+    members: key, band, node, component, sketch, tags. ``forest``: only the likeliest pairs inside blocks.
+    """
+    # written first: a join of two plain exchanges is one whose hot keys can be split
+    members = shared.written(members, "members")
+    cells, size = (_block_cells if forest else _cross_cells)(members, spec)
+    cells = cells.select("key", "low", "high", "band", "i", "node", "component", "sketch", "tags")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cells come one after the other; what a batch leaves of its last cell waits for the next batch."""
@@ -253,7 +264,7 @@ def _bucket_pairs(members: DataFrame, spec: NearDuplicates) -> DataFrame:
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
             edges = np.concatenate([[0], cuts, [table.num_rows]])
             last = len(edges) - 1 if whole else len(edges) - 2
-            found = [_cell_pairs(table.slice(p, q - p), spec) for p, q in zip(edges[:last], edges[1 : last + 1])]
+            found = [_cell_pairs(table.slice(p, q - p), spec, forest) for p, q in zip(edges[:last], edges[1 : last + 1])]
             return found, None if whole else table.slice(int(edges[-2]))
 
         def batch_of(found: list) -> pa.RecordBatch:
@@ -284,7 +295,10 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, spec: NearDup
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = shared.written(nodes.join(ends, "node").select("node", F.col("class_id").alias("doc_id"), "text_hash"), "wanted")
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    held = texts.join(wanted, ["doc_id", "text_hash"]).select("node", "text")
+    sieve = shared.Sieve(docs.sparkSession, wanted.select(F.xxhash64("doc_id", "text_hash").alias("h")))
+    near = shared.sifted(texts.withColumn("h", F.xxhash64("doc_id", "text_hash")), sieve)
+    # what is wanted grows with the documents: never broadcast
+    held = near.join(wanted.hint("merge"), ["doc_id", "text_hash"]).select("node", "text")
     body = shared.written(shared.packed(held, "node").dropDuplicates(["node"]), "bodies")
     left = body.select(F.col("node").alias("a"), F.col("packed").alias("one"))
     right = body.select(F.col("node").alias("b"), F.col("packed").alias("two"))
@@ -331,9 +345,9 @@ def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) ->
     chosen = full.withColumnRenamed("doc_id", "class_id").join(classes, [*of_set, "class_id"], "left_semi").dropDuplicates(of_set)
     nodes = shared.written(chosen.select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
     shared.discard(classes)
-    rows = shared.written(
-        signed.select("doc_id", "text_hash", *of_set).join(nodes.select("node", "class_id", *of_set), of_set, "left"), "rows"
-    )
+    classed = signed.select("doc_id", "text_hash", *of_set).join(nodes.select("node", "class_id", *of_set), of_set, "left")
+    named = [F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("node", "class_id")]
+    rows = shared.written(classed.select("doc_id", "text_hash", "n_shingles", *named), "rows")
     shared.discard(signed)
     first = rows.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"))
     several = shared.written(first.where("a <> z").select("doc_id", "a"), "several")
@@ -359,10 +373,10 @@ def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) ->
         return keys.join(open_keys, "key").join(now.select("node", "sketch", "tags"), "node")
 
     used: list[DataFrame] = []
-    for turn in range(spec.star_rounds + 1):
+    for forest in (True, False):
         now = shared.written(placed().select("node", "component", "keys", "sketch", "tags"), "placed")
         members = bucket_members(now)
-        pairs = _star_pairs(members, now, spec, turn) if turn < spec.star_rounds else _bucket_pairs(members, spec)
+        pairs = _bucket_pairs(members, spec, forest)
         new = confirmed(pairs, nodes, docs, spec)
         used += [now, new]
         if not new.isEmpty():

@@ -6,6 +6,7 @@ import gc
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from armscope.session import new_folder
 
 
+#: The most bits of a ``Sieve``: 32 MB.
+SIEVE_BITS = 1 << 28
 #: Tables that a stage of a pipeline has left for its result to read; None outside of stages.
 _LEFT: list[DataFrame] = []
 _IN_STAGE = False
@@ -78,6 +81,40 @@ def unpacked(bodies: list[bytes]) -> list[bytes]:
     return [loosen.decompress(b) for b in bodies]
 
 
+class Sieve:
+    """Bits of a set of 64-bit hashes: never misses a member, lets some others through."""
+
+    def __init__(self, spark: SparkSession, hashes: DataFrame) -> None:
+        """hashes: (h long), counted and combined in Spark; at most ``SIEVE_BITS`` bits come to the driver."""
+        size = max(1 << 16, min(SIEVE_BITS, 1 << (16 * hashes.count()).bit_length()))
+        places = F.array(F.col("h").bitwiseAND(size - 1), F.shiftrightunsigned("h", 32).bitwiseAND(size - 1))
+        fields = (
+            hashes.select(F.explode(places).alias("p"))
+            .groupBy(F.shiftright("p", 6).alias("at"))
+            .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(63).cast("int"))).alias("bits"))
+        )
+        found, bits = fields.toArrow(), np.zeros(size // 64, np.int64)
+        bits[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+        self.sent, self.mask = spark.sparkContext.broadcast(bits.view(np.uint64)), np.uint64(size - 1)
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        bits, out = self.sent.value, np.ones(len(hashes), bool)
+        for place in (hashes & self.mask, (hashes >> np.uint64(32)) & self.mask):
+            out &= ((bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
+        return out
+
+
+def sifted(rows: DataFrame, sieve: Sieve) -> DataFrame:
+    """The rows whose last column, a hash, passes; without that column."""
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            passes = sieve.passes(batch.column(batch.num_columns - 1).to_numpy().view(np.uint64))
+            yield batch.filter(pa.array(passes))
+
+    return rows.mapInArrow(sift, rows.schema).drop(rows.columns[-1])
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node in ``links`` (a, b), written: the smallest node that can be reached.
 

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 from armscope.llm import collocations as co
+from armscope.llm import shared
 
 SCHEMA = "doc_id long, lang string, text string, phrase string, f long, h long, rank int, source string"
 
@@ -78,7 +79,7 @@ def mined(docs, spec):
     ],
 )
 def test_phrases_equal_brute_force(spark, monkeypatch, spec, bits, pending):
-    monkeypatch.setattr(co, "SIEVE_BITS", bits)
+    monkeypatch.setattr(shared, "SIEVE_BITS", bits)
     monkeypatch.setattr(co, "PENDING", pending)
     want = brute(texts(), spec)
     assert {r[0] for r in want} == {"en", "de", "und", ""} and max(r[1] for r in want) == spec.first
