@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from armscope.functions.effects import ratio, verdict
 from armscope.functions.tails import student_p, two_sided_p
-from armscope.operators.joins import attach_per_group
-from armscope.operators.ranks import quantiles
+from armscope.operators.ranks import described
 from armscope.operators.summaries import paired_arms
 from armscope.spec import ExperimentSpec
 
@@ -100,15 +99,15 @@ def two_sample_z(
 def location_summary(
     df: DataFrame, spec: ExperimentSpec, value: str | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
-    """n, mean and exact median per arm, in seconds and minutes, and the mean difference to the control."""
+    """n, mean and exact median per arm, in seconds and minutes, and the mean difference to the control.
+
+    An arm whose values are all null has n 0.
+    """
     value = value or spec.time
     data = df.withColumn("arm", F.col(spec.arm))
     groups = [*spec.keys, *by, "arm"]
-    means = data.groupBy(*groups).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean_s"), F.stddev_samp(value).alias("sd_s")
-    )
-    medians = quantiles(data, groups, value, {"median_s": 0.5})
-    both = attach_per_group(means, medians, groups)
+    named = {"mean": "mean_s", "sd": "sd_s"}
+    both = described(data, groups, value, {"median_s": 0.5}).withColumnsRenamed(named)
     control = F.max(F.when(F.col("arm") == spec.control, F.col("mean_s"))).over(
         Window.partitionBy(*spec.keys, *by)
     )

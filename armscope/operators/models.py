@@ -9,16 +9,17 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from armscope.functions.effects import ratio
 from armscope.functions.tails import two_sided_p
-from armscope.operators import newton
+from armscope.operators import crossfit, newton
 from armscope.operators.joins import attach_per_group
 from armscope.operators.ranks import auc
+from armscope.operators.sampling import hash_folds
 from armscope.operators.summaries import share_of_total
 from armscope.operators.variance import cuped_report
 from armscope.session import cached, written
@@ -431,23 +432,26 @@ def uplift_deciles(scored_rows: DataFrame, spec: ExperimentSpec, label: str | No
     )
 
 
+def cuped_by_linear(
+    df: DataFrame, spec: ExperimentSpec, columns: Sequence[str], unit: Sequence[str], label: str | None = None, ridge: float = 0.0
+) -> DataFrame:
+    """Adjustment by a linear prediction from columns, cross-fitted: a row's prediction has not seen its outcome."""
+    label = label or spec.metric
+    frame = df.withColumn("_x", crossfit.with_intercept(*columns))
+    return _cuped_cross_fitted(frame, spec, unit, label, ridge)
+
+
 def cuped_by_embedding(
-    df: DataFrame, spec: ExperimentSpec, embedding: str, label: str, ridge: float = 1.0
+    df: DataFrame, spec: ExperimentSpec, embedding: str, label: str, unit: Sequence[str], ridge: float = 1.0
 ) -> DataFrame:
-    """Adjustment by a linear prediction of the outcome from an embedding array."""
-    single_experiment(df, spec)
-    frame = df.select(
-        *spec.keys,
-        spec.arm,
-        F.col(label).cast("double").alias(label),
-        array_to_vector(F.col(embedding).cast("array<double>")).alias("features"),
-    )
-    learner = LinearRegression(
-        labelCol=label, featuresCol="features", predictionCol="score", regParam=ridge, elasticNetParam=0.0
-    )
-    with cached(frame) as train:
-        model = learner.fit(train)
-    # fitted on the outcomes it then adjusts, so it does not precede the experiment
-    return cuped_report(model.transform(frame), spec, label, "score", pre_period=False)
+    """Adjustment by a cross-fitted linear prediction of the outcome from an embedding array, for every experiment."""
+    vector = F.concat(F.array(F.lit(1.0)), F.col(embedding).cast("array<double>"))
+    return _cuped_cross_fitted(df.withColumn("_x", vector), spec, unit, label, ridge)
 
 
+def _cuped_cross_fitted(frame: DataFrame, spec: ExperimentSpec, unit: Sequence[str], label: str, ridge: float) -> DataFrame:
+    wanted = [*spec.keys, spec.arm, F.col(label).cast("double").alias(label), "_x", "fold"]
+    folded = hash_folds(frame, unit, FOLDS).select(*wanted)
+    scored_rows = crossfit.cross_fitted(folded, list(spec.keys), label, "_x", ridge=ridge)
+    # made of outcomes, if not of the row's own: it does not precede the experiment
+    return cuped_report(scored_rows, spec, label, "score", pre_period=False)

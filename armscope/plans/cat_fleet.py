@@ -48,6 +48,23 @@ def fleet_describe(spark, sf_dir):
     return rounded(ranks.describe(units, ["experiment", "arm"], "amount"))
 
 
+_ONE_EMPTY = "CASE WHEN experiment = '1-URGENT' AND {arm} = 'control' THEN NULL ELSE amount END"
+
+
+@query(
+    "ag07_null_group",
+    f"""WITH {FLEET_UNITS}, v AS (SELECT experiment, arm, {_ONE_EMPTY.format(arm='arm')} AS amount FROM u)
+SELECT experiment, arm, count(amount) AS n, {rs('mean=avg(amount)', 'sd=stddev_samp(amount)', 'min=min(amount)',
+ 'q25=quantile_cont(amount, 0.25)', 'q50=quantile_cont(amount, 0.5)', 'q75=quantile_cont(amount, 0.75)', 'max=max(amount)')}
+FROM v GROUP BY experiment, arm""",
+)
+def null_group(spark, sf_dir):
+    """A group whose values are all null stays, with n 0."""
+    units = fleet_units(spark, sf_dir).withColumn("arm", F.col("group"))
+    units = units.withColumn("amount", F.expr(_ONE_EMPTY.format(arm="arm")))
+    return rounded(ranks.describe(units, ["experiment", "arm"], "amount"))
+
+
 @query(
     "st17_fleet_sample_sizes",
     f"""WITH {FLEET_UNITS}, cells AS ({paired('u', 'converted')}),

@@ -7,11 +7,11 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from armscope.functions.hashing import hash_arm
-from armscope.operators import models, newton, ranks, sampling
+from armscope.operators import models, newton, ranks, sampling, trees
 from armscope.plans.cat_clean import _BUCKET_SQL
 from armscope.plans.cat_power import _CUPED_COLUMNS, _CUPED_SQL
 from armscope.plans.registry import REGIONS, SPEC, events_features, fleet_units, prepost_units, query, rounded
-from armscope.plans.sqltext import EVENTS_ROWS, FLEET_UNITS, PREPOST, div, glm, hashed, mid_ranked, p_two, r, rs
+from armscope.plans.sqltext import EVENTS_ROWS, FLEET_UNITS, PREPOST, arm, cross_fit, div, glm, hashed, mid_ranked, p_two, r, rs
 from armscope.sources import views
 
 MAIN = models.main_features(SPEC, REGIONS)
@@ -275,9 +275,67 @@ def st26(spark, sf_dir):
 
 @query("ml07_forest_importances")
 def ml07(spark, sf_dir):
-    """ML7, ML8, SL1, CD7: forest of 100 trees, ranked importances."""
+    """ML7, ML8, SL1, CD7: forest of 100 trees, ranked importances from its table of nodes."""
     frame = models.with_balanced_weights(_frame(spark, sf_dir, MAIN), "converted")
-    return models.importance_table(models.fit(models.forest("converted", MAIN), frame), MAIN, spark)
+    forest = models.fit(models.forest("converted", MAIN), frame).stages[-1]
+    return rounded(trees.node_importances(trees.tree_nodes(forest, spark, MAIN), MAIN, True))
+
+
+_FLAGS = ["is_treatment", *[f"country_{c}" for c in REGIONS[:-1]], "quick_user"]
+
+
+def _stump_sql(value: str, weight: str, impurity: str) -> str:
+    """CTE chain: the best first split on 0/1 columns; ``impurity`` of a cell (w, s1, s2: weight, weighted sum of ``value``
+    and of its square); ends in ``best(feature, gain, ...)`` with the cells of both sides."""
+    side = lambda p: impurity.format(w=f"w{p}", s1=f"s{p}", s2=f"q{p}")
+    cells = ", ".join(
+        f"sum(cw) FILTER (x = {k}) AS w{k}, sum(cw * v) FILTER (x = {k}) AS s{k}, sum(cw * v * v) FILTER (x = {k}) AS q{k}, count(*) FILTER (x = {k}) AS n{k}"
+        for k in (0, 1)
+    )
+    listed = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS x, v, cw FROM st" for c in _FLAGS)
+    return f"""
+cn AS (SELECT count(*) FILTER (converted = 0)::double AS c0, count(*) FILTER (converted = 1)::double AS c1 FROM fx),
+st AS MATERIALIZED (SELECT fx.*, {value} AS v, {weight} AS cw FROM fx, cn),
+cells AS (SELECT feature, {cells} FROM ({listed}) GROUP BY feature HAVING n0 > 0 AND n1 > 0),
+gains AS (SELECT *, w0 + w1 AS w, s0 + s1 AS s, q0 + q1 AS q FROM cells),
+best AS MATERIALIZED (SELECT *, {side('')} - w0 / w * {side('0')} - w1 / w * {side('1')} AS gain FROM gains ORDER BY gain DESC LIMIT 1)"""
+
+
+_GINI = "(1 - ({s1} / {w}) * ({s1} / {w}) - (1 - {s1} / {w}) * (1 - {s1} / {w}))"
+_VARIANCE = "({s2} / {w} - ({s1} / {w}) * ({s1} / {w}))"
+_BALANCED = "CASE WHEN converted = 1 THEN (c0 + c1) / (2 * c1) ELSE (c0 + c1) / (2 * c0) END"
+_POSITIVE = "CASE WHEN converted = 1 THEN c0 / c1 ELSE 1.0 END"
+_STUMP = {"maxDepth": 1, "minInstancesPerNode": 1, "featureSubsetStrategy": "all", "subsamplingRate": 1.0}
+
+
+@query(
+    "ml07_one_tree_nodes",
+    f"""WITH {EVENTS_ROWS}, {_F}, {_stump_sql('converted::double', _BALANCED, _GINI)}
+SELECT 0 AS node, feature, 0.5::double AS threshold, {r('gain')} AS gain, {r('w')} AS weight, n0 + n1 AS n FROM best
+UNION ALL SELECT 1, NULL, NULL, NULL, {r('w0')}, n0 FROM best UNION ALL SELECT 2, NULL, NULL, NULL, {r('w1')}, n1 FROM best""",
+)
+def ml07_nodes(spark, sf_dir):
+    """ML7: the node table of a forest of one tree of one level, on all rows and columns of zeros and ones."""
+    frame = models.with_balanced_weights(_frame(spark, sf_dir, _FLAGS), "converted")
+    forest = models.fit(models.forest("converted", _FLAGS, numTrees=1, bootstrap=False, **_STUMP), frame).stages[-1]
+    nodes = trees.tree_nodes(forest, spark, _FLAGS)
+    return rounded(nodes.select("node", "feature", "threshold", "gain", "weight", "n"))
+
+
+@query(
+    "ml09_one_round_importances",
+    f"""WITH {EVENTS_ROWS}, {_F}, {_stump_sql('(2 * converted - 1)::double', _POSITIVE, _VARIANCE)},
+names AS (SELECT unnest({_FLAGS!r}) AS feature),
+i AS (SELECT feature, cast(b.gain IS NOT NULL as double) AS importance, cast(b.gain IS NOT NULL as bigint) AS splits,
+  {r('coalesce(b.gain * b.w, 0)')} AS total_gain, {r('b.gain * b.w')} AS gain_per_split FROM names LEFT JOIN best b USING (feature))
+SELECT feature, importance, importance AS importance_norm, CASE WHEN feature = 'is_treatment' THEN 'main' ELSE 'control' END AS kind,
+  splits, total_gain, gain_per_split, cast(row_number() OVER (ORDER BY importance DESC, feature) as int) AS importance_rank FROM i""",
+)
+def ml09_importances(spark, sf_dir):
+    """ML9, ML10, AG15: importances of one boosting round of one level, from its table of nodes."""
+    frame = models.with_positive_weight(_frame(spark, sf_dir, _FLAGS), "converted")
+    boosted = models.fit(models.boosting("converted", _FLAGS, maxIter=1, **_STUMP), frame).stages[-1]
+    return rounded(trees.node_importances(trees.tree_nodes(boosted, spark, _FLAGS), _FLAGS, False))
 
 
 @query("ml09_boosting_importances")
@@ -285,7 +343,8 @@ def ml09(spark, sf_dir):
     """ML9, ML10, ML11, AG15, CD8: 200 boosting rounds with interactions, ranked and labelled by kind."""
     columns = MAIN + CROSSED
     frame = models.with_positive_weight(_frame(spark, sf_dir, columns), "converted")
-    return models.importance_table(models.fit(models.boosting("converted", columns), frame), columns, spark)
+    boosted = models.fit(models.boosting("converted", columns), frame).stages[-1]
+    return rounded(trees.node_importances(trees.tree_nodes(boosted, spark, columns), columns, False))
 
 
 def _out_of_fold_sql(columns: list[str]) -> str:
@@ -370,15 +429,36 @@ def mb23(spark, sf_dir):
     return models.uplift_deciles(rows, SPEC)
 
 
-@query("mb28_cuped_by_embedding")
+_MB28 = f"""WITH RECURSIVE vx AS MATERIALIZED (SELECT 'vectors' AS experiment, {arm('vec_id')} AS arm,
+  cast({hashed("'fold42' || chr(58) || vec_id")} % 5 as int) AS fold, cast(label = 2 as double) AS y,
+  list_concat([1.0::double], embedding::double[]) AS x FROM embeddings),
+{cross_fit('vx', 65, 1.0)}, {_CUPED_SQL.format(src='cf', y='y', x='score')}
+SELECT experiment, {_CUPED_COLUMNS}, false AS covariate_pre_period FROM q"""
+
+
+@query("mb28_cuped_by_embedding", _MB28)
 def mb28(spark, sf_dir):
-    """Outcome: label 2; covariate: a linear prediction from the embedding."""
+    """Outcome: label 2; covariate: a cross-fitted linear prediction from the embedding."""
     vectors = views.table(spark, sf_dir, "embeddings").select(
         F.lit("vectors").alias("experiment"),
         hash_arm(views.SALT, F.col("vec_id")).alias("group"),
+        "vec_id",
         "embedding",
         (F.col("label") == 2).cast("double").alias("outcome"),
     )
-    return models.cuped_by_embedding(vectors, SPEC, "embedding", "outcome")
+    return rounded(models.cuped_by_embedding(vectors, SPEC, "embedding", "outcome", ["vec_id"]))
 
 
+_LINEAR_X = ", ".join(["1.0::double", *[f"{c}::double" for c in _COVARIATES]])
+
+
+@query(
+    "st26_cuped_linear",
+    f"""WITH RECURSIVE {EVENTS_ROWS}, {_F},
+vx AS MATERIALIZED (SELECT experiment, arm, cast({hashed("'fold42' || chr(58) || seq")} % 5 as int) AS fold, converted::double AS y, [{_LINEAR_X}] AS x FROM fx),
+{cross_fit('vx', len(_COVARIATES) + 1)}, {_CUPED_SQL.format(src='cf', y='y', x='score')}
+SELECT experiment, {_CUPED_COLUMNS}, false AS covariate_pre_period FROM q""",
+)
+def st26_linear(spark, sf_dir):
+    """Covariate: a cross-fitted linear prediction on the non-treatment features."""
+    return rounded(models.cuped_by_linear(events_features(spark, sf_dir), SPEC, _COVARIATES, ["seq"]))

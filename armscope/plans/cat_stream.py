@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
+from armscope.functions.hashing import hash_arm
 from armscope.plans.registry import SPEC, query, rounded
-from armscope.plans.sqltext import EVENTS_LOG, WRONG, div, p_two, r, rs, z_test
+from armscope.plans.sqltext import EVENTS_LOG, WRONG, div, hashed, p_two, r, rs, z_test
 from armscope.session import new_folder
 from armscope.sources import views
 from armscope.streaming import monitor
@@ -25,8 +28,8 @@ def _run(spark, stream):
 
 
 _CLOSED = f"""WITH {EVENTS_LOG},
-w AS (SELECT experiment, cast(ts as date) AS day, arm, count(*) AS n, cast(sum(converted) as bigint) AS total, count(*) FILTER {WRONG} AS mismatched
-  FROM log GROUP BY ALL),
+w AS (SELECT experiment, cast(ts as date) AS day, arm, count(*) FILTER (NOT {WRONG}) AS n, cast(sum(converted) FILTER (NOT {WRONG}) as bigint) AS total,
+  count(*) FILTER {WRONG} AS mismatched FROM log GROUP BY ALL),
 closed AS (SELECT * FROM w WHERE day + 1 <= (SELECT max(ts) - INTERVAL 1 HOUR FROM log))"""
 
 
@@ -47,23 +50,45 @@ def _utc(column):
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
 
 
-@query(
-    "mb26_effect_drift",
-    f"""{_CLOSED},
-d AS (SELECT experiment, day, coalesce(sum(n) FILTER (arm = 'control'), 0) AS n_c, coalesce(sum(n) FILTER (arm = 'treatment'), 0) AS n_t,
-  coalesce(sum(total) FILTER (arm = 'control'), 0) AS x_c, coalesce(sum(total) FILTER (arm = 'treatment'), 0) AS x_t FROM closed GROUP BY ALL),
-q AS (SELECT *, sum(x_t) OVER k AS sxt, sum(n_t) OVER k AS snt, sum(x_c) OVER k AS sxc, sum(n_c) OVER k AS snc FROM d
-  WINDOW k AS (PARTITION BY experiment ORDER BY day))
-SELECT experiment, strftime(day, '%Y-%m-%d %H:%M:%S') AS window_start, cast(n_c as bigint) AS n_c, cast(n_t as bigint) AS n_t,
- {r(f"({div('x_t', 'n_t')} - {div('x_c', 'n_c')}) * 100")} AS lift_pp,
- {r(f"({div('sxt', 'snt')} - {div('sxc', 'snc')}) * 100")} AS running_lift_pp FROM q""",
-)
+def _drift_sql(treatment: str) -> str:
+    return f"""SELECT experiment, strftime(day, '%Y-%m-%d %H:%M:%S') AS window_start, '{treatment}' AS treatment, cast(n_c as bigint) AS n_c, cast(n_t as bigint) AS n_t,
+ {r(f"({div('x_t', 'n_t')} - {div('x_c', 'n_c')}) * 100")} AS lift_pp, {r(f"({div('sxt', 'snt')} - {div('sxc', 'snc')}) * 100")} AS running_lift_pp
+FROM (SELECT *, sum(x_t) OVER k AS sxt, sum(n_t) OVER k AS snt, sum(x_c) OVER k AS sxc, sum(n_c) OVER k AS snc
+  FROM (SELECT experiment, day, coalesce(sum(n) FILTER (arm = 'control'), 0) AS n_c, coalesce(sum(n) FILTER (arm = '{treatment}'), 0) AS n_t,
+    coalesce(sum(total) FILTER (arm = 'control'), 0) AS x_c, coalesce(sum(total) FILTER (arm = '{treatment}'), 0) AS x_t FROM closed GROUP BY ALL)
+  WINDOW k AS (PARTITION BY experiment ORDER BY day))"""
+
+
+@query("mb26_effect_drift", f"{_CLOSED} {_drift_sql('treatment')}")
 def mb26(spark, sf_dir):
     out = _run(spark, monitor.windowed_counts(_event_stream(spark, sf_dir), SPEC))
     drift = monitor.effect_drift(out, SPEC)
     return rounded(drift.withColumn("window_start", _utc("window_start")))
 
 
+_THREE = replace(
+    SPEC, treatments=("blue", "green"), arm_pages={"control": "old_page", "blue": "new_page", "green": "new_page"}
+)
+_THREE_ARM = hashed("'exp3' || chr(58) || user_id")
+_THREE_CLOSED = f"""WITH log AS (
+  SELECT experiment, seq, user_id, ts, converted, page,
+    CASE {_THREE_ARM} % 3 WHEN 0 THEN 'control' WHEN 1 THEN 'blue' ELSE 'green' END AS arm
+  FROM (WITH {EVENTS_LOG} SELECT * FROM log)
+),
+w AS (SELECT experiment, cast(ts as date) AS day, arm, count(*) FILTER (good) AS n, cast(sum(converted) FILTER (good) as bigint) AS total
+  FROM (SELECT *, (arm = 'control') = (page = 'old_page') AS good FROM log) GROUP BY ALL),
+closed AS (SELECT * FROM w WHERE day + 1 <= (SELECT max(ts) - INTERVAL 1 HOUR FROM log))"""
+
+
+@query("mb26_three_arms", f"{_THREE_CLOSED} {_drift_sql('blue')} UNION ALL {_drift_sql('green')}")
+def mb26_three(spark, sf_dir):
+    """Two treatments against the control, mismatched rows left out: a row for each treatment and day."""
+    arm = hash_arm("exp3", F.col("user_id"), ("control", "blue", "green"))
+    out = _run(spark, monitor.windowed_counts(_event_stream(spark, sf_dir).withColumn("group", arm), _THREE))
+    drift = monitor.effect_drift(out, _THREE)
+    return rounded(drift.withColumn("window_start", _utc("window_start")))
+
+
 @query(
     "sm02_first_exposures",
     f"""WITH {EVENTS_LOG} SELECT experiment, user_id, count(DISTINCT arm) AS n_arms FROM log GROUP BY ALL""",

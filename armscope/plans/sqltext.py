@@ -255,3 +255,24 @@ def glm(source: str, y: str, xs: list[str], family: str = "binomial", offset: st
         f"SELECT '{n}' AS term, b{i} AS coef, sqrt(a{i}_{k + i}) AS se FROM inv_{k - 1}" for i, n in enumerate(names)
     )
     return ", ".join(out) + f", glm AS ({rows})"
+
+
+def cross_fit(source: str, d: int, ridge: float = 0.0, folds: int = 5) -> str:
+    """CTE chain: ``source`` (fold, y, x: list of ``d`` numbers) with ``score``, the prediction by the normal equations
+    of all other folds, eliminated row by row; ends in ``cf``. Needs WITH RECURSIVE."""
+    return f"""
+cf_a AS MATERIALIZED (SELECT fold, i, j, sum(x[i] * x[j]) AS v FROM {source}, range(1, {d + 1}) t(i), range(1, {d + 1}) u(j) GROUP BY ALL),
+cf_b AS MATERIALIZED (SELECT fold, i, {d + 1} AS j, sum(x[i] * y) AS v FROM {source}, range(1, {d + 1}) t(i) GROUP BY ALL),
+cf_left AS (SELECT k, i, j, sum(v) + CASE WHEN i = j AND i > 1 THEN {ridge} ELSE 0 END AS v
+  FROM (SELECT * FROM cf_a UNION ALL SELECT * FROM cf_b), range(0, {folds}) f(k) WHERE fold <> k GROUP BY k, i, j),
+cf_rows AS (SELECT k, i, list(v ORDER BY j) AS line FROM cf_left GROUP BY ALL),
+cf_sys AS MATERIALIZED (SELECT k, list(line ORDER BY i) AS m FROM cf_rows GROUP BY k),
+cf_step(k, p, m) AS (
+  SELECT k, 1, m FROM cf_sys
+  UNION ALL
+  SELECT k, p + 1, list_transform(m, lambda line, i: list_transform(line, lambda v, j:
+    CASE WHEN i = p THEN v / m[p][p] ELSE v - line[p] / m[p][p] * m[p][j] END))
+  FROM cf_step WHERE p <= {d}
+),
+cf_fit AS MATERIALIZED (SELECT k, list_transform(m, lambda line: line[{d + 1}]) AS beta FROM cf_step WHERE p = {d + 1}),
+cf AS MATERIALIZED (SELECT s.*, list_inner_product(beta, x) AS score FROM {source} s JOIN cf_fit ON k = fold)"""

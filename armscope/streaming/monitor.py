@@ -32,16 +32,18 @@ def windowed_counts(
 ) -> DataFrame:
     """Exposures and conversions per arm in tumbling windows; rows later than the watermark drop out.
 
-    In append mode a window appears once the watermark has passed its end.
+    n and total are without mismatched rows, as batch tests take them; ``mismatched`` counts those. In append mode a window appears once the watermark has passed its end.
     """
+    bad = F.coalesce(mismatch(spec), F.lit(False))
+    good = F.when(~bad, F.col(spec.metric))
     return (
         with_event_time(log, ts)
         .withWatermark(ts, lateness)
         .groupBy(F.window(ts, width), *spec.keys, F.col(spec.arm).alias("arm"))
         .agg(
-            F.count(spec.metric).alias("n"),
-            F.sum(spec.metric).alias("total"),
-            F.count_if(mismatch(spec)).alias("mismatched"),
+            F.count(good).alias("n"),
+            F.sum(good).alias("total"),
+            F.count_if(bad).alias("mismatched"),
         )
         .select(
             F.col("window.start").alias("window_start"),
@@ -193,26 +195,31 @@ def run_alarms(
 
 
 def effect_drift(windows: DataFrame, spec: ExperimentSpec) -> DataFrame:
-    """Post-launch view of the windowed counts: lift per window and its running value.
+    """Post-launch view of the windowed counts: lift of each treatment per window and its running value.
 
-    Windows are days, so the ordered frame covers few rows.
+    Every treatment has a row for every window in which any arm has one. Windows are days, so the ordered frame
+    covers few rows.
     """
+
+    def of(arm: str, name: str):
+        return F.coalesce(F.sum(F.when(F.col("arm") == arm, F.col(name))), F.lit(0))
+
+    names = ("n", "total")
+    treated = [F.struct(F.lit(t).alias("treatment"), *[of(t, c).alias(f"{c}_t") for c in names]) for t in spec.treatments]
     wide = windows.groupBy(*spec.keys, "window_start").agg(
-        *[
-            F.coalesce(F.sum(F.when(F.col("arm") == arm, F.col(c))), F.lit(0)).alias(f"{c}_{suffix}")
-            for suffix, arm in (("c", spec.control), ("t", spec.treatments[0]))
-            for c in ("n", "total")
-        ]
+        *[of(spec.control, c).alias(f"{c}_c") for c in names], F.array(*treated).alias("_arms")
     )
-    sofar = Window.partitionBy(*spec.keys).orderBy("window_start").rowsBetween(Window.unboundedPreceding, 0)
+    paired = wide.select(*spec.keys, "window_start", *[f"{c}_c" for c in names], F.inline("_arms"))
+    own = Window.partitionBy(*spec.keys, "treatment")
+    sofar = own.orderBy("window_start").rowsBetween(Window.unboundedPreceding, 0)
     rate = {s: ratio(F.col(f"total_{s}"), F.col(f"n_{s}")) for s in ("c", "t")}
     running = {s: ratio(F.sum(f"total_{s}").over(sofar), F.sum(f"n_{s}").over(sofar)) for s in ("c", "t")}
-    return wide.select(
+    return paired.select(
         *spec.keys,
         "window_start",
+        "treatment",
         "n_c",
         "n_t",
         ((rate["t"] - rate["c"]) * 100).alias("lift_pp"),
         ((running["t"] - running["c"]) * 100).alias("running_lift_pp"),
     )
-

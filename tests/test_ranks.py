@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from armscope.operators import ranks, sampling
+from armscope.operators import means, ranks, sampling
 
 
 def mid_ranks(values):
@@ -161,3 +161,42 @@ def test_poststratification_weights(spark):
     sample = sampling.stratified_sample(df, ["e"], "s", ["id"], 100)
     rows = rows_by(sampling.poststratification_weights(sample, df, ["e"], "s"), "s")
     assert rows["a"].weight == pytest.approx(0.5) and rows["b"].weight == pytest.approx(1.5)
+
+
+def test_no_job_runs_before_the_action(spark, spec):
+    df = spark.range(500).select(
+        F.lit("x").alias("experiment"), F.when(F.col("id") % 2 == 0, "control").otherwise("treatment").alias("group"),
+        (F.col("id") % 37).cast("double").alias("time_seconds"),
+    )
+    spark.sparkContext.setJobGroup("ranks", "ranks")
+    for plan in (ranks.mann_whitney(df, spec), ranks.normality(df, spec), ranks.describe(df, ["group"], "time_seconds")):
+        assert plan.columns
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("ranks")
+
+
+@pytest.mark.parametrize("slices", [1, 2, 7, 50])
+def test_running_sums_for_any_number_of_slices(spark, slices):
+    values = [("a", float(v), v % 4) for v in range(-40, 60, 3)] + [(None, v / 8, 1) for v in range(30)] + [("a", None, 5), ("c", None, 0)]
+    df = spark.createDataFrame(values, "g string, value double, c int")
+    got = ranks.running_sums(df, ["g"], "value", ["c"], slices).collect()
+    assert len(got) == len(values)
+    for r in got:
+        own = [(v, c) for g, v, c in values if g == r.g]
+        assert r.c_total == sum(c for _, c in own)
+        assert r.c_before == sum(c for v, c in own if r.value is not None and (v is None or v < r.value))
+
+
+def test_groups_of_nulls_stay(spark, spec):
+    rows = [("x", "control", None), ("x", "control", None), ("x", "treatment", 5.0), ("x", "treatment", 7.0)]
+    df = spark.createDataFrame(rows, "experiment string, group string, time_seconds double")
+    found = {r.group: r for r in ranks.describe(df, ["group"], "time_seconds").collect()}
+    assert (found["control"].n, found["control"].mean, found["control"].q50) == (0, None, None)
+    assert (found["treatment"].n, found["treatment"].q50, found["treatment"].mean) == (2, 6.0, 6.0)
+    places = {r.arm: r for r in means.location_summary(df, spec).collect()}
+    assert places["control"].n == 0 and places["treatment"].median_s == 6.0
+
+
+def test_a_large_mean_keeps_a_small_spread(spark):
+    df = spark.range(1000).select(F.lit("a").alias("g"), (1e9 + F.col("id") % 2).alias("v"))
+    row = ranks.describe(df, ["g"], "v").first()
+    assert row.sd == pytest.approx(0.5002501876563868, rel=1e-9)
