@@ -96,6 +96,15 @@ def left_out_fits(sums: DataFrame, keys: Sequence[str], fold: str, ridge: float)
     return listed.mapInPandas(solve, ", ".join([*kinds, "n bigint, beta array<double>"]))
 
 
+def group_fits(sums: DataFrame, groups: Sequence[str], ridge: float = 0.0) -> DataFrame:
+    """(groups, n, beta): the least squares fit of each group; null beta if it has no solution."""
+    whole = sums.withColumn("_none", F.lit(-1))
+    # a fold of its own, without rows, sees all others
+    none = whole.select(*groups, F.lit(0).cast("bigint").alias("n"), F.transform("sums", lambda _: F.lit(0.0)).alias("sums"), F.lit(-2).alias("_none"))
+    fits = left_out_fits(whole.unionByName(none, allowMissingColumns=True), groups, "_none", ridge)
+    return fits.where("_none = -2").select(*groups, "n", "beta")
+
+
 def cross_fitted(
     rows: DataFrame, keys: Sequence[str], label: str, x: str, fold: str = "fold", ridge: float = 0.0, out: str = "score"
 ) -> DataFrame:

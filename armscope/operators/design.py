@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,21 +62,45 @@ def contingency_chi_square(cells: DataFrame, groups: Sequence[str], row: str, co
 
 
 def layer_independence(units: DataFrame, unit: str, salts: Sequence[str]) -> DataFrame:
-    """Chi-square of every pair of layers: orthogonal layers show no association."""
-    arms = {salt: hash_arm(salt, F.col(unit)) for salt in salts}
-    tagged = units.select(*[arm.alias(salt) for salt, arm in arms.items()])
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("layer_a"), F.lit(b).alias("layer_b"), F.col(a).alias("arm_a"), F.col(b).alias("arm_b")
-            )
-            for a, b in itertools.combinations(salts, 2)
-        ]
-    )
-    cells = tagged.select(F.inline(pairs)).groupBy("layer_a", "layer_b", "arm_a", "arm_b").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return contingency_chi_square(cells, ["layer_a", "layer_b"], "arm_a", "arm_b")
+    """Chi-square of every pair of layers: orthogonal layers show no association.
+
+    A unit is one vector of zeros and ones, 1 where the layer gives it the control. Tasks add up the products of
+    those vectors, one matrix of layers by layers each; no row is copied for a pair.
+    """
+    names = list(salts)
+    control = lambda salt: (hash_arm(salt, F.col(unit)) == "control").cast("int")
+    vectors = units.select(F.transform(F.array(*[F.lit(s) for s in names]), control).alias("x"))
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, both = 0, np.zeros((len(names), len(names)))
+        for batch in batches:
+            m = np.stack(batch["x"].to_numpy()).astype(np.float64)
+            n, both = n + len(m), both + m.T @ m
+        if n:
+            yield pd.DataFrame({"i": range(len(names)), "n": n, "row": list(both.astype(np.int64))})
+
+    # one column at a time: the counts of layer i with every layer
+    partial = vectors.mapInPandas(add, "i int, n bigint, row array<bigint>")
+    cells = partial.select("i", "n", F.posexplode("row").alias("j", "c")).where("j >= i").groupBy("i", "j").agg(
+        F.sum("c").alias("both"), F.sum("n").alias("n")
+    )
+    alone = cells.where("i = j").select(F.col("i").alias("k"), F.col("both").alias("s"))
+    pairs = (
+        cells.where("i < j").join(alone.select(F.col("k").alias("i"), F.col("s").alias("s_i")), "i")
+        .join(alone.select(F.col("k").alias("j"), F.col("s").alias("s_j")), "j")
+    )
+    d = lambda c: F.col(c).cast("double")
+    n, s_i, s_j, both = d("n"), d("s_i"), d("s_j"), d("both")
+    # (a d - b c) of the two by two table
+    cross = both * (n - s_i - s_j + both) - (s_i - both) * (s_j - both)
+    name = lambda c: F.array(*[F.lit(s) for s in names])[F.col(c)]
+    sides = lambda s: F.when((s > 0) & (s < n), 2).otherwise(1).cast("bigint")
+    out = pairs.select(
+        name("i").alias("layer_a"), name("j").alias("layer_b"), "n", sides(s_i).alias("n_rows"), sides(s_j).alias("n_columns"),
+        F.coalesce(ratio(n * cross * cross, s_i * (n - s_i) * s_j * (n - s_j)), F.lit(0.0)).alias("chi2"),
+    )
+    out = out.withColumn("df", (F.col("n_rows") - 1) * (F.col("n_columns") - 1))
+    return out.withColumn("p_value", chi_square_tail(F.col("chi2"), F.col("df")))
 
 
 def aa_replicates(units: DataFrame, spec: ExperimentSpec, salts: Sequence[str]) -> DataFrame:

@@ -108,18 +108,32 @@ def daily_units(log: DataFrame, spec: ExperimentSpec, ts: str = "ts") -> DataFra
     )
 
 
+def planned_units(h: Column, share_c: Column, share_t: Column, spec: ExperimentSpec) -> Column:
+    """Units of the whole experiment until two arms with these shares of it reach the power: with n_c and n_t units,
+    h^2 n_c n_t / (n_c + n_t) has to be (z_alpha/2 + z_beta)^2."""
+    return ratio(F.lit((spec.z_alpha + spec.z_power) ** 2) * (share_c + share_t), h * h * share_c * share_t)
+
+
 def duration_days(
     log: DataFrame, base: DataFrame, spec: ExperimentSpec, mde: float = TARGET_MDE, ts: str = "ts"
 ) -> DataFrame:
-    """Days to reach the required n of all arms at the average daily traffic: whole weeks, 7 at least."""
+    """Days until each treatment and the control have the units they need under the planned shares, at the average
+    daily traffic: whole weeks, 7 days at least. n_required is the treatment's, n_control the control's."""
     traffic = daily_units(log, spec, ts).groupBy(*spec.keys).agg(F.avg("units").alias("daily_units"))
+    shares = spec.planned_shares
+    share_t = F.lit(None).cast("double")
+    for t in spec.treatments:
+        share_t = F.when(F.col("treatment") == t, shares[t]).otherwise(share_t)
+    share_c = F.lit(shares[spec.control])
     sized = target_shortfall(base, spec, mde).join(traffic, list(spec.keys))
-    days = F.ceil(ratio(F.col("n_required") * len(spec.arms), F.col("daily_units")))
+    whole = planned_units(F.col("h"), share_c, share_t, spec)
+    days = F.ceil(ratio(whole, F.col("daily_units")))
     return sized.select(
         *spec.keys,
         "treatment",
         "mde",
-        "n_required",
+        (whole * share_t).alias("n_required"),
+        (whole * share_c).alias("n_control"),
         "daily_units",
         days.alias("min_days"),
         (F.when(days.isNotNull(), F.greatest(F.ceil(days / 7), F.lit(1))) * 7).alias("planned_days"),

@@ -429,6 +429,30 @@ def mb23(spark, sf_dir):
     return models.uplift_deciles(rows, SPEC)
 
 
+_UPLIFT_COLUMNS = ["time_seconds", *[f"country_{c}" for c in REGIONS[:-1]], "quick_user", "time_min_bucket"]
+_UPLIFT_X = ", ".join(["1.0::double", *[f"{c}::double" for c in _UPLIFT_COLUMNS]])
+
+
+@query(
+    "mb23_linear_uplift",
+    f"""WITH RECURSIVE {EVENTS_ROWS}, {_F},
+vx AS MATERIALIZED (SELECT experiment, arm, cast(arm = 'treatment' as int) AS fold, converted::double AS y, [{_UPLIFT_X}] AS x FROM fx),
+{cross_fit('vx', len(_UPLIFT_COLUMNS) + 1, folds=2)},
+up AS MATERIALIZED (SELECT experiment, arm, y, round(list_inner_product(list_transform(b_t, lambda b, i: b - b_c[i]), x), 9) AS uplift
+  FROM vx, (SELECT beta AS b_t FROM cf_fit WHERE k = 0), (SELECT beta AS b_c FROM cf_fit WHERE k = 1)),
+cuts AS (SELECT experiment, quantile_cont(uplift, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM up GROUP BY experiment),
+dc AS (SELECT up.*, cast(len(list_filter(q, lambda c: c < uplift)) + 1 as int) AS decile FROM up JOIN cuts USING (experiment)),
+de AS (SELECT experiment, 'treatment' AS treatment, decile, avg(uplift) AS predicted_uplift,
+  count(y) FILTER (arm = 'control') AS n_c, avg(y) FILTER (arm = 'control') AS mean_c,
+  count(y) FILTER (arm = 'treatment') AS n_t, avg(y) FILTER (arm = 'treatment') AS mean_t FROM dc GROUP BY experiment, decile)
+SELECT experiment, treatment, decile, {rs('predicted_uplift')}, n_c, {rs('mean_c')}, n_t, {rs('mean_t', 'observed_uplift=mean_t - mean_c')} FROM de""",
+)
+def mb23_linear(spark, sf_dir):
+    """MB23: two learners by least squares, exact deciles of predicted uplift for every experiment and treatment."""
+    rows = models.linear_uplift(events_features(spark, sf_dir), SPEC, _UPLIFT_COLUMNS)
+    return rounded(models.exact_uplift_deciles(rows, SPEC))
+
+
 _MB28 = f"""WITH RECURSIVE vx AS MATERIALIZED (SELECT 'vectors' AS experiment, {arm('vec_id')} AS arm,
   cast({hashed("'fold42' || chr(58) || vec_id")} % 5 as int) AS fold, cast(label = 2 as double) AS y,
   list_concat([1.0::double], embedding::double[]) AS x FROM embeddings),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from armscope.operators import multiple, power, sampling, variance
@@ -76,13 +78,17 @@ def st20(spark, sf_dir):
 c AS (SELECT *, cast(point as int) AS pt, 10000 + point * (1990000.0::double / 99) AS m
   FROM n, range(0, 100) AS points(point)),
 s AS (SELECT *, abs(h) * sqrt(m / 2) - {_ZA!r} AS a, -abs(h) * sqrt(m / 2) - {_ZA!r} AS b FROM c)
-SELECT experiment, country, treatment, pt AS point, {r('m', 3)} AS n, {rs(f"power={cdf('a')} + {cdf('b')}")} FROM s""",
+SELECT experiment, country, treatment, pt AS point, {r('m', 3)} AS n, {rs(f"power={cdf('a')} + {cdf('b')}")},
+ current_n, {r('n_required', 3)} AS n_required FROM s""",
 )
 def st19(spark, sf_dir):
-    """ST19 and CD5, per stratum."""
+    """ST19 and CD5, per stratum, with the two marks of the chart: the current and the required n."""
     curve = power.power_curve(power.baselines(orders_units(spark, sf_dir), SPEC, by=["country"]), SPEC)
     return rounded(
-        curve.select("experiment", "country", "treatment", "point", F.round("n", 3).alias("n"), "power")
+        curve.select(
+            "experiment", "country", "treatment", "point", F.round("n", 3).alias("n"), "power", "current_n",
+            F.round("n_required", 3).alias("n_required"),
+        )
     )
 
 
@@ -99,20 +105,31 @@ def st20_power(spark, sf_dir):
     )
 
 
-@query(
-    "mb04_duration",
-    f"""{_sizes(mdes='0.05')},
+def _duration_sql(share_c: float, share_t: float) -> str:
+    return f"""{_sizes(mdes='0.05')},
 t AS (SELECT experiment, avg(units) AS daily_units FROM (
   SELECT experiment, cast(ts as date) AS day, count(DISTINCT user_id) AS units FROM log GROUP BY ALL) GROUP BY experiment),
-d AS (SELECT n.*, daily_units, cast(ceil({div('n_required * 2', 'daily_units')}) as bigint) AS days FROM n JOIN t USING (experiment))
-SELECT experiment, treatment, {rs('mde', 'daily_units')}, {r('n_required', 3)} AS n_required, days AS min_days,
- cast(greatest(ceil(days / 7.0), 1) * 7 as bigint) AS planned_days FROM d""",
-)
+w AS (SELECT n.*, daily_units, {div(repr((_ZA + _ZB) ** 2 * (share_c + share_t)), f'h * h * {share_c * share_t!r}')} AS whole FROM n JOIN t USING (experiment)),
+d AS (SELECT *, cast(ceil({div('whole', 'daily_units')}) as bigint) AS days FROM w)
+SELECT experiment, treatment, {rs('mde', 'daily_units')}, {r(f'whole * {share_t}', 3)} AS n_required, {r(f'whole * {share_c}', 3)} AS n_control,
+ days AS min_days, cast(greatest(ceil(days / 7.0), 1) * 7 as bigint) AS planned_days FROM d"""
+
+
+def _duration(spark, sf_dir, spec):
+    base = power.baselines(orders_units(spark, sf_dir), spec)
+    out = power.duration_days(orders_log(spark, sf_dir), base, spec, mde=0.05)
+    return rounded(out.withColumns({c: F.round(c, 3) for c in ("n_required", "n_control")}))
+
+
+@query("mb04_duration", _duration_sql(0.5, 0.5))
 def mb04(spark, sf_dir):
-    log = orders_log(spark, sf_dir)
-    base = power.baselines(orders_units(spark, sf_dir), SPEC)
-    out = power.duration_days(log, base, SPEC, mde=0.05)
-    return rounded(out.withColumn("n_required", F.round("n_required", 3)))
+    return _duration(spark, sf_dir, SPEC)
+
+
+@query("mb04_planned_split", _duration_sql(0.9, 0.1))
+def mb04_split(spark, sf_dir):
+    """A plan of 90:10 waits for the small arm."""
+    return _duration(spark, sf_dir, replace(SPEC, shares=(0.9, 0.1)))
 
 
 _CUPED_SQL = """

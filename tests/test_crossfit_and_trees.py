@@ -1,5 +1,7 @@
 """Cross-fitted predictions against plain least squares; tree tables against MLlib's own importances."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +81,22 @@ def test_an_ensemble_without_splits(spark):
     fitted = models.fit(models.forest("converted", ["x"], numTrees=2), df).stages[-1]
     row = trees.node_importances(trees.tree_nodes(fitted, spark, ["x"]), ["x"], True).first()
     assert (row.importance, row.splits, row.importance_rank) == (0.0, 0, 1)
+
+
+def test_linear_uplift_of_two_treatments(spark, spec):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(3000):
+        x, arm = float(rng.normal()), ("control", "blue", "green")[i % 3]
+        lift = {"control": 0.0, "blue": 2.0 * x, "green": 1.0}[arm]
+        rows.append(("e" if i % 2 else None, arm, None if i % 100 == 7 else x, float(1 + x + lift + rng.normal(0, 0.1))))
+    df = spark.createDataFrame(rows, "experiment string, `group` string, x double, converted double")
+    three = replace(spec, treatments=("blue", "green"))
+    scored = models.linear_uplift(df, three, ["x"])
+    assert scored.count() == 4000  # the control's rows stand in both comparisons
+    deciles = models.exact_uplift_deciles(scored, three).collect()
+    assert {(r.experiment, r.treatment) for r in deciles} == {(e, t) for e in ("e", None) for t in ("blue", "green")}
+    for e in ("e", None):
+        blue = sorted((r.decile, r.predicted_uplift, r.observed_uplift, r.n_c + r.n_t) for r in deciles if r.treatment == "blue" and r.experiment == e)
+        assert [d for d, *_ in blue] == list(range(1, 11)) and all(abs(p - o) < 0.2 for _, p, o, _ in blue)
+        assert blue[0][1] < -2 and blue[-1][1] > 2 and max(n for *_, n in blue) - min(n for *_, n in blue) <= 1

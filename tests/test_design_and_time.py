@@ -1,5 +1,7 @@
+import hashlib
 import itertools
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -216,3 +218,34 @@ def test_peeking_guard(dated, spec):
     assert verdicts[first] is not None and [v for v in verdicts if v] == [verdicts[first]]
     stopped = [r.peeker_stopped for r in out]
     assert stopped == sorted(stopped)
+
+
+def test_a_thousand_layers(spark):
+    units = spark.range(400).withColumnRenamed("id", "u")
+    salts = [f"s{i}" for i in range(1000)] + ["s0 again"]
+    table = design.layer_independence(units, "u", salts[:1000])
+    assert table.count() == 1000 * 999 // 2
+    assert 0.03 < table.where("p_value < 0.05").count() / table.count() < 0.07
+    row = design.layer_independence(units.unionByName(units), "u", ["a", "b"]).first()
+    arms = [(hashlib.md5(f"a:{u}".encode()).hexdigest(), hashlib.md5(f"b:{u}".encode()).hexdigest()) for u in range(400)]
+    cells = Counter((int(a[:8], 16) % 2, int(b[:8], 16) % 2) for a, b in arms for _ in range(2))
+    n = 800
+    want = n * (cells[0, 0] * cells[1, 1] - cells[0, 1] * cells[1, 0]) ** 2
+    for side in (0, 1):
+        want /= sum(v for k, v in cells.items() if k[0] == side) * sum(v for k, v in cells.items() if k[1] == side)
+    assert row.chi2 == pytest.approx(want) and (row.n, row.df) == (800, 1)
+
+
+def test_planned_shares_lengthen_the_run(spark, units, spec):
+    from dataclasses import replace
+
+    df = units([("control", "A", 1, 300), ("control", "A", 0, 700), ("treatment", "A", 1, 300), ("treatment", "A", 0, 700)])
+    log = df.withColumn("ts", F.lit("2024-01-01").cast("date"))
+    days = {}
+    for shares in ((0.5, 0.5), (0.9, 0.1)):
+        own = replace(spec, shares=shares)
+        days[shares] = power.duration_days(log, power.baselines(df, own), own, 0.05).first()
+    even, split = days[0.5, 0.5], days[0.9, 0.1]
+    assert even.n_control == pytest.approx(even.n_required) == pytest.approx(power.sample_size_for(0.3, 0.05, spec))
+    assert split.n_control == pytest.approx(9 * split.n_required)
+    assert split.planned_days > 2 * even.planned_days
