@@ -248,4 +248,4 @@ def test_planned_shares_lengthen_the_run(spark, units, spec):
     even, split = days[0.5, 0.5], days[0.9, 0.1]
     assert even.n_control == pytest.approx(even.n_required) == pytest.approx(power.sample_size_for(0.3, 0.05, spec))
     assert split.n_control == pytest.approx(9 * split.n_required)
-    assert split.planned_days > 2 * even.planned_days
+    assert split.min_days > 2 * even.min_days
