@@ -4,12 +4,12 @@ Categories are predicted one after the other. Each is a linear model over words
 over the probabilities of the categories before it. While a chain is fitted those probabilities come from
 models that did not see the row (out-of-fold); the model used later is fitted on all rows of the sample.
 
-The chain is fitted on a bounded sample of labelled rows: ``sample_rows`` rows with the smallest id hashes.
+The chain is fitted on a bounded sample of labelled rows: at most ``sample_rows`` texts, those of the smallest id hashes.
 Scoring reads every whole text once and moves no rows.
 
 Defined cases: null or empty text has no features; its probabilities are those of the intercepts. Labels
 without a document, null ids and documents without a label are left out of the fit; of repeated labels the
-largest value counts, of repeated documents with one id all rows are used. Without labels of both kinds a
+largest value counts; different texts of one id all have its label, a repeated row counts once. Without labels of both kinds a
 category's probability is its share in the sample (0 without labels). Extra columns are ignored. An empty
 table gives an empty result.
 """
@@ -130,8 +130,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     targets = labels.where("doc_id is not null").groupBy("doc_id").agg(
         *[F.coalesce(F.max(c.cast("double")), F.lit(0.0)).alias(f"y_{i}") for i, c in enumerate(categories.values())]
     )
-    there = targets.join(docs.select("doc_id"), "doc_id", "left_semi")
-    sample = there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(spec.sample_rows)
+    # a sample of texts, not of ids: one labelled id may stand on any number of rows
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
+    there = texts.join(targets, "doc_id").distinct()
+    sample = there.orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash").limit(spec.sample_rows)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,8 +151,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     columns = [f"y_{i}" for i in range(len(names))]
     rows = (
         # the sample is bounded by its parameter, so it may be broadcast
-        docs.select("doc_id", "text")
-        .join(F.broadcast(sample), "doc_id")
+        docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+        .join(F.broadcast(sample), ["doc_id", "text_hash"])
+        .dropDuplicates(["doc_id", "text_hash"])  # a repeated row counts once
         .select("text", *columns, F.xxhash64("doc_id").alias("h"))
         .mapInArrow(featurise, "found binary, " + "".join(f"{c} double, " for c in columns) + "h long")
         .collect()
