@@ -91,17 +91,29 @@ def mb26_three(spark, sf_dir):
 
 @query(
     "sm02_first_exposures",
-    f"""WITH {EVENTS_LOG} SELECT experiment, user_id, count(DISTINCT arm) AS n_arms FROM log GROUP BY ALL""",
+    f"""WITH {EVENTS_LOG} SELECT experiment, user_id, seq, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, arm
+FROM log QUALIFY row_number() OVER (PARTITION BY experiment, user_id ORDER BY ts, seq) = 1""",
 )
 def sm02(spark, sf_dir):
-    """Every user seen; within one micro-batch each passes once."""
-    out = _run(
-        spark,
-        monitor.first_exposures(_event_stream(spark, sf_dir), SPEC, lateness="40 days").select(
-            "experiment", "user_id", "group", "ts"
-        ),
+    """The first row of every user by event time, from four batches whose rows lie across all times."""
+    home = new_folder(spark, "stream")
+    events = views.table(spark, sf_dir, "events")
+    for part in range(4):
+        events.where(F.col("event_id") % 4 == part).coalesce(1).write.parquet(f"{home}/in/part={part}")
+    stream = views.as_exposures(monitor.stream_files(spark, f"{home}/in/part=*", events.schema, per_trigger=1))
+    running = (
+        stream.select("experiment", "user_id", "seq", "ts", "group")
+        .writeStream.foreachBatch(monitor.first_exposure_writer(SPEC, f"{home}/first"))
+        .option("checkpointLocation", f"{home}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    running.awaitTermination()
+    schema = stream.select("experiment", "user_id", "seq", "ts", "group").schema
+    found = monitor.read_first_exposures(spark, schema, SPEC, f"{home}/first", 4)
+    return found.select(
+        "experiment", "user_id", "seq", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), F.col("group").alias("arm")
     )
-    return out.groupBy("experiment", "user_id").agg(F.count("group").alias("n_arms"))
 
 
 @query(

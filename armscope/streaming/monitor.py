@@ -12,6 +12,7 @@ from armscope.functions.tails import two_sided_p
 from armscope.operators.prepare import mismatch
 from armscope.operators.proportions import with_z_test
 from armscope.spec import ExperimentSpec
+from armscope.streaming.segments import Segments
 
 
 def stream_files(spark: SparkSession, path: str, schema: StructType, per_trigger: int | None = None) -> DataFrame:
@@ -68,6 +69,34 @@ def first_exposures(
     )
 
 
+def _survivors(rows: DataFrame, spec: ExperimentSpec) -> DataFrame:
+    """Of each unit the row that comes first in the order of the spec; partial sums before the shuffle."""
+    key = [*spec.keys, spec.unit]
+    first = F.min_by(F.struct(*rows.columns), F.struct(*spec.order)).alias("_first")
+    return rows.groupBy(*[F.col(k).alias(f"_by{i}") for i, k in enumerate(key)]).agg(first).select("_first.*")
+
+
+def first_exposure_writer(spec: ExperimentSpec, folder: str):
+    """A ``foreachBatch`` function that keeps, of each unit, its first row by event time over all batches so far.
+
+    Rows may come in any order and any number of batches late: nothing is dropped by a watermark, and no state is held
+    beside the table. A batch that is run again changes nothing.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        store = Segments(batch.sparkSession, folder)
+        store.clean(batch_id)
+        store.add(_survivors(batch, spec), batch_id, lambda rows: _survivors(rows, spec))
+
+    return write
+
+
+def read_first_exposures(spark: SparkSession, schema: StructType, spec: ExperimentSpec, folder: str, batches: int) -> DataFrame:
+    """The first row of each unit after ``batches`` batches of ``first_exposure_writer``."""
+    found = Segments(spark, folder).read(schema, batches)
+    return spark.createDataFrame([], schema) if found is None else _survivors(found, spec)
+
+
 def append_to_folder(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Append-mode parquet sink; runs over what is available and stops."""
     return (
@@ -138,7 +167,7 @@ def alarm_writer(
 
     Each batch adds its rows to the totals of the batch before it and owns the folders it overwrites, so a
     batch that is run again counts once. Units are counted at their first batch: the units of a batch that
-    no batch before it has seen are kept in a table of their own.
+    no batch before it has seen go to a table kept in few segments, so batch b reads log2(b) of them.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -147,14 +176,16 @@ def alarm_writer(
         good = F.when(~bad, F.col(spec.metric))
         keys = [*spec.keys, spec.unit, "arm"]
         seen = batch.where(F.col(spec.unit).isNotNull()).select(*spec.keys, spec.unit, arm).distinct()
-        if batch_id > 0:
-            known = spark.read.schema(seen.schema).parquet(
-                *[f"{totals_folder}/units/batch={b}" for b in range(batch_id)]
-            )
+        store = Segments(spark, f"{totals_folder}/units")
+        store.clean(batch_id)
+        known = store.read(seen.schema, batch_id)
+        if known is not None:
             same = [seen[c].eqNullSafe(known[c]) for c in keys]
             seen = seen.join(known, same, "left_anti")
-        seen.write.mode("overwrite").parquet(f"{totals_folder}/units/batch={batch_id}")
-        new = spark.read.schema(seen.schema).parquet(f"{totals_folder}/units/batch={batch_id}")
+        # the batch's own, apart, to be counted; the merged segment holds others too
+        seen.write.mode("overwrite").parquet(f"{totals_folder}/new_units")
+        new = spark.read.schema(seen.schema).parquet(f"{totals_folder}/new_units")
+        store.add(new, batch_id)
         counted = batch.groupBy(*spec.keys, arm).agg(
             F.count(F.lit(1)).alias("n_rows"),
             F.count_if(bad).alias("mismatched"),

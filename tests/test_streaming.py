@@ -5,6 +5,7 @@ from conftest import rows_by
 from pyspark.sql import functions as F
 
 from armscope.streaming import monitor
+from armscope.streaming.segments import covering
 
 SCHEMA = "experiment string, seq long, user_id long, ts timestamp_ntz, `group` string, landing_page string, converted int"
 
@@ -110,3 +111,42 @@ def test_alarm_stream_and_drift(spark, spec, tmp_path):
     windows = run(spark, monitor.windowed_counts(source(spark, folder), spec), f"{home}/w")
     drift = monitor.effect_drift(windows, spec).orderBy("window_start").collect()
     assert [r.lift_pp for r in drift] == [50.0, 50.0] and drift[-1].running_lift_pp == 50.0
+
+
+def test_segments_stay_few():
+    for n in range(200):
+        own = covering(n)
+        assert [b for s, e in own for b in range(s, e)] == list(range(n)) and len(own) == bin(n).count("1")
+
+
+def test_alarms_over_many_batches_read_few_segments(spark, spec, tmp_path):
+    home = str(tmp_path / "run")
+    write = monitor.alarm_writer(spec, f"{home}/totals", f"{home}/alarms")
+    for b in range(9):
+        rows = [row(100 * b + i, (17 * b + i) % 60, "2024-01-01 10:00:00", "control" if (17 * b + i) % 2 else "treatment", i % 2) for i in range(12)]
+        batch = spark.createDataFrame([(*r[:3], None, *r[4:]) for r in rows], SCHEMA)
+        write(batch, b)
+        if b == 6:
+            write(batch, b)  # a batch that runs again
+    seen = {(17 * b + i) % 60 for b in range(9) for i in range(12)}
+    last = rows_by(spark.read.parquet(f"{home}/alarms"), "batch")[8]
+    assert last.n_units_c + last.n_units_t == len(seen)
+    folders = {p.name for p in (tmp_path / "run/totals/units").iterdir() if p.name.startswith("batches=")}
+    assert folders == {"batches=0-8", "batches=8-9"}
+
+
+def test_first_exposures_by_event_time_over_batches(spark, spec, tmp_path):
+    home = str(tmp_path / "first")
+    write = monitor.first_exposure_writer(spec, home)
+    every = []
+    for b in range(6):
+        rows = [("x", 10 * b + i, (b + i) % 7, f"2024-01-{(5 * b + 3 * i) % 28 + 1:02d} 10:00:00", "control", "old_page", 0) for i in range(8)]
+        every += rows
+        batch = spark.createDataFrame(rows, SCHEMA.replace("timestamp_ntz", "string")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        for _ in range(1 + b % 2):  # some batches run again
+            write(batch, b)
+        got = monitor.read_first_exposures(spark, batch.schema, spec, home, b + 1).collect()
+        want = {}
+        for r in every:
+            want[r[2]] = min(want.get(r[2], (r[3], r[1])), (r[3], r[1]))
+        assert {r.user_id: (str(r.ts), r.seq) for r in got} == want and len(got) == len(want)
