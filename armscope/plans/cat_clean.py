@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from armscope.functions import timing
 from armscope.operators import prepare as prep
-from armscope.operators import ranks, summaries
+from armscope.operators import ranks, strata, summaries
 from armscope.plans.registry import (
     REGIONS,
     SPEC,
@@ -120,6 +120,37 @@ _BUCKET_SQL = """cast(coalesce(CASE WHEN m <= 0 THEN NULL WHEN m <= 10 THEN 0 WH
   WHEN m <= 40 THEN 3 WHEN m <= 50 THEN 4 WHEN m <= 60 THEN 5 WHEN m <= 90 THEN 6 END, 0) as int)"""
 
 
+def _one_hot(column: str, by: str) -> str:
+    """The indicators of a 0-based level among n levels, one more for null, as text."""
+    return f"array_to_string(list_transform(range(0, n_{column} + 1), lambda i: cast(i = l_{column} as int) * {by}), ' ')"
+
+
+_IS_TREATED = "cast(arm = 'treatment' as int)"
+
+
+@query(
+    "pf11_open_strata",
+    f"""WITH {EVENTS_ROWS}, s AS (SELECT *, CASE WHEN seq % 11 <> 5 THEN country END AS place FROM e),
+p AS (SELECT place, row_number() OVER (ORDER BY place) - 1 AS l FROM s WHERE place IS NOT NULL GROUP BY place),
+t AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS l FROM s GROUP BY event_type),
+n AS (SELECT (SELECT count(*) FROM p) AS n_place, (SELECT count(*) FROM t) AS n_event_type),
+f AS (SELECT s.seq, s.arm, n.*, coalesce(p.l, n_place) AS l_place, t.l AS l_event_type
+  FROM s LEFT JOIN p ON s.place = p.place JOIN t ON s.event_type = t.event_type, n)
+SELECT seq, cast(l_place as int) AS place_level, {_one_hot('place', '1')} AS place_strata, {_one_hot('place', _IS_TREATED)} AS treatment_x_place,
+  cast(l_event_type as int) AS event_type_level, {_one_hot('event_type', '1')} AS event_type_strata,
+  {_one_hot('event_type', _IS_TREATED)} AS treatment_x_event_type FROM f""",
+)
+def pf11_open(spark, sf_dir):
+    """PF10, PF11 with the levels found in the data, and an entry for rows that have none."""
+    rows = events_rows(spark, sf_dir).withColumn("place", F.expr("CASE WHEN seq % 11 <> 5 THEN country END"))
+    names = ["place", "event_type"]
+    found = strata.with_strata(rows, strata.find_strata(rows, names), SPEC)
+    text = lambda c: F.array_join(strata.dense(c).cast("array<string>"), " ").alias(c)
+    return found.select(
+        "seq", *[x for c in names for x in (F.col(f"{c}_level"), text(f"{c}_strata"), text(f"treatment_x_{c}"))]
+    )
+
+
 @query(
     "pf11_features",
     f"""WITH {EVENTS_ROWS}, f AS (SELECT *, time_seconds / 60 AS m FROM e)

@@ -108,3 +108,15 @@ def test_profile_and_sink(spark, tmp_path):
     assert got == {"a": (3, "id"), "b": (1, "id")}
     paths = tables.write_tables({"a": a.withColumn("b", F.lit(1))}, str(tmp_path))
     assert spark.read.parquet(paths["a"]).count() == 3
+
+
+def test_strata_come_from_the_data(spark, spec):
+    from armscope.operators import strata
+
+    seen = spark.createDataFrame([("treatment", "US"), ("control", "CA"), ("treatment", None)], "`group` string, country string")
+    model = strata.find_strata(seen, ["country"])
+    assert strata.level_names(model) == [["CA", "US"]]
+    new = spark.createDataFrame([("treatment", "US"), ("control", "US"), ("treatment", "FR"), (None, None)], "`group` string, country string")
+    out = strata.with_strata(new, model, spec)
+    rows = out.select("country_level", strata.dense("country_strata"), strata.dense("treatment_x_country")).collect()
+    assert [tuple(r) for r in rows] == [(1, [0, 1, 0], [0, 1, 0]), (1, [0, 1, 0], [0, 0, 0]), (2, [0, 0, 1], [0, 0, 1]), (2, [0, 0, 1], [0, 0, 0])]
