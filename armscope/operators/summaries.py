@@ -3,14 +3,62 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from armscope.functions.effects import ratio
+from armscope.session import written
 from armscope.spec import ExperimentSpec
 
 
+@dataclass(frozen=True)
+class Cells:
+    """Sufficient statistics by experiment, ``by`` column, arm and metric, stored once; ``paired_arms``, and so every
+    test of means and rates, takes them in place of rows. Coarser cells are sums of finer ones."""
+
+    table: DataFrame
+    by: tuple[str, ...]
+    metrics: tuple[str, ...]
+
+    def of(self, metric: str, by: Sequence[str]) -> None:
+        if metric not in self.metrics or not set(by) <= set(self.by):
+            raise ValueError(f"cells hold {self.metrics} by {self.by}, not {metric} by {tuple(by)}")
+
+
+def cells(
+    df: DataFrame, spec: ExperimentSpec, by: Sequence[str] = (), metrics: Sequence[str] | None = None
+) -> Cells:
+    """One scan of the rows: count, sum, mean and sum of squared deviations of each metric, by cell and arm; written."""
+    names = tuple(metrics or [spec.metric])
+    columns = []
+    for m in names:
+        y = F.col(m).cast("double")
+        columns += [
+            F.count(m).alias(f"{m}_n"), F.sum(m).alias(f"{m}_total"), F.avg(y).alias(f"{m}_mean"),
+            (F.var_pop(y) * F.count(m)).alias(f"{m}_spread"),
+        ]
+    grouped = df.groupBy(*spec.keys, *by, F.col(spec.arm).alias("_arm")).agg(*columns)
+    return Cells(written(grouped, "cells"), tuple(by), names)
+
+
+def _merged(stored: Cells, spec: ExperimentSpec, metric: str, by: Sequence[str]) -> DataFrame:
+    """(keys, by, _arm, n, total, mean, var): cells put together; spreads about their own means add up by the distance
+    of those from the common mean, so that nothing cancels."""
+    stored.of(metric, by)
+    n, total, mean, spread = (F.col(f"{metric}_{c}") for c in ("n", "total", "mean", "spread"))
+    key = [*spec.keys, *by, "_arm"]
+    common = stored.table.groupBy(*key).agg(F.sum(n).alias("n"), F.sum(total).alias("total"))
+    common = common.withColumn("mean", ratio(F.col("total").cast("double"), F.col("n"))).withColumn("_key", F.struct(*key))
+    apart = stored.table.select(F.struct(*key).alias("_key"), n.alias("_n"), mean.alias("_mean"), spread.alias("_spread"))
+    both = common.join(apart, "_key")
+    off = F.col("_mean") - F.col("mean")
+    spreads = both.groupBy("_key").agg(F.sum(F.col("_spread") + F.col("_n") * off * off).alias("_all"))
+    out = common.join(spreads, "_key")
+    return out.withColumn("var", ratio(F.col("_all"), F.when(F.col("n") > 1, F.col("n") - 1)))
+
+
 def arm_summary(
     df: DataFrame, spec: ExperimentSpec, metric: str | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
@@ -38,7 +86,7 @@ def arm_moments(
 
 
 def paired_arms(
-    df: DataFrame,
+    df: DataFrame | Cells,
     spec: ExperimentSpec,
     metric: str | None = None,
     by: Sequence[str] = (),
@@ -59,9 +107,18 @@ def paired_arms(
         stats["mean"] = lambda c: F.avg(c.cast("double"))
         stats["var"] = lambda c: F.var_samp(c.cast("double"))
     columns = []
-    for i, arm in enumerate(spec.arms):
-        mine = F.when(F.col(spec.arm) == arm, y)
-        columns += [fn(mine).alias(f"_{name}_{i}") for name, fn in stats.items()]
+    if isinstance(df, Cells):
+        if where is not None:
+            raise ValueError("cells are not told apart by a condition on rows")
+        df = _merged(df, spec, metric or spec.metric, by)
+        for i, arm in enumerate(spec.arms):
+            mine = F.col("_arm") == arm  # one row an arm
+            columns += [F.max(F.when(mine, F.col(name))).alias(f"_{name}_{i}") for name in stats]
+            columns[-len(stats)] = F.coalesce(F.max(F.when(mine, F.col("n"))), F.lit(0)).alias(f"_n_{i}")
+    else:
+        for i, arm in enumerate(spec.arms):
+            mine = F.when(F.col(spec.arm) == arm, y)
+            columns += [fn(mine).alias(f"_{name}_{i}") for name, fn in stats.items()]
     cells = df.groupBy(*spec.keys, *by).agg(*columns)
     treatments = F.array(
         *[

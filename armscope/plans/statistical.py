@@ -51,18 +51,23 @@ def record_for(
     guardrails: Sequence[Metric] = (),
     has_date: bool = True,
 ) -> DataFrame:
-    """All test results of cleaned units joined into decision records."""
+    """All test results of cleaned units joined into decision records.
+
+    Rates, strata, power and subgroups come from one table of cells: the units are read for those, for the
+    guardrails and for the ranks, once each.
+    """
+    stored = summaries.cells(units, spec, [spec.stratum])
     tests = metric_tests(units, spec, guardrails) if guardrails else None
     return decide.decision_record(
-        z_tests=proportions.two_proportion_z(units, spec),
-        simpson=proportions.simpson_check(units, spec),
-        power=power.target_shortfall(power.baselines(units, spec), spec),
+        z_tests=proportions.two_proportion_z(stored, spec),
+        simpson=proportions.simpson_check(stored, spec),
+        power=power.target_shortfall(power.baselines(stored, spec), spec),
         quality=quality_facts(log, units, spec, has_date),
         spec=spec,
         min_effect=min_effect,
         guardrails=decide.guardrail_status(tests, spec) if tests is not None else None,
         subgroups=decide.subgroup_consistency(
-            proportions.subgroup_effects(units, spec, [spec.stratum]), spec
+            proportions.subgroup_effects(stored, spec, [spec.stratum]), spec
         ),
         auxiliary=auxiliary_tests(units, spec, auxiliary),
     )
@@ -79,17 +84,18 @@ def statistical_analysis(
 ) -> dict[str, DataFrame]:
     """Every step's result table, by name. The cleaned units are written out once and reused."""
     units = materialise(prepare.prepare(log, countries, spec))
-    base = power.baselines(units, spec)
+    stored = summaries.cells(units, spec, [spec.stratum])
+    base = power.baselines(stored, spec)
     record = record_for(log, units, spec, min_effect, auxiliary, guardrails, has_date)
     return {
         "mismatches": prepare.mismatch_counts(log, spec),
         "duplicates": prepare.duplicate_counts(prepare.drop_mismatched(log, spec), spec),
         "arm_summary": summaries.arm_summary(units, spec),
         "stratum_summary": summaries.arm_summary(units, spec, by=[spec.stratum]),
-        "lift": proportions.lift(units, spec),
-        "z_test": proportions.two_proportion_z(units, spec),
-        "stratified_z": proportions.stratified_z(units, spec),
-        "simpson": proportions.simpson_check(units, spec),
+        "lift": proportions.lift(stored, spec),
+        "z_test": proportions.two_proportion_z(stored, spec),
+        "stratified_z": proportions.stratified_z(stored, spec),
+        "simpson": proportions.simpson_check(stored, spec),
         "auxiliary": auxiliary_tests(units, spec, auxiliary),
         "sample_sizes": power.sample_sizes(base, spec),
         "power_curve": power.power_curve(base, spec),

@@ -1,4 +1,5 @@
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -185,3 +186,22 @@ def test_summaries(units, spec):
     assert ratio.ratio == pytest.approx(325 / 75)
     shares = summaries.share_of_total(summaries.arm_summary(df, spec), "total").collect()
     assert sum(r.share for r in shares) == pytest.approx(1)
+
+
+def test_cells_stand_for_rows(spark, units, spec):
+    three = replace(spec, treatments=("treatment", "other"))
+    df = units([("control", "US", 1, 40), ("control", "US", 0, 60), ("treatment", "US", 1, 55), ("treatment", "US", 0, 45), ("control", "CA", 1, 10),
+                ("control", "CA", 0, 130), ("treatment", "CA", 0, 120), ("treatment", "CA", 1, 9), ("other", "CA", 1, 30)])
+    df = df.unionByName(df.where("country = 'CA'").withColumn("country", F.lit(None).cast("string")))
+    stored = summaries.cells(df, three, ["country"], ["converted", "time_seconds"])
+    for metric in ("converted", "time_seconds"):
+        for by in ((), ("country",)):
+            a, b = (sorted(summaries.paired_arms(x, three, metric, by).collect(), key=repr) for x in (df, stored))
+            assert len(a) == len(b)
+            for r, q in zip(a, b):
+                for c in r.asDict():
+                    assert r[c] == (pytest.approx(q[c]) if isinstance(r[c], float) else q[c]), c
+    z, same = (x.orderBy("treatment").collect() for x in (proportions.two_proportion_z(df, three), proportions.two_proportion_z(stored, three)))
+    assert [r.z for r in z] == pytest.approx([r.z for r in same])
+    with pytest.raises(ValueError):
+        summaries.paired_arms(stored, three, "converted", ("speed",))
