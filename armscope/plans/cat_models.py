@@ -87,14 +87,18 @@ def st15_fleet(spark, sf_dir):
 _COUNTRY_RATES = " UNION ALL ".join(
     f"""SELECT 'events' AS experiment, '{c}' AS country, *, true AS converged FROM (WITH {PREPOST},
 px AS (SELECT *, cast(arm = 'treatment' as int) AS is_treatment, ln(n_events::double) AS log_exposure FROM pp WHERE n_events > 0 AND country = '{c}'),
-{glm('px', 'purchases', ['is_treatment'], 'poisson', 'log_exposure')} {_wald_sql('rate_ratio')})"""
+{glm('px', 'purchases', ['is_treatment'], 'poisson', 'log_exposure')}
+SELECT * FROM ({_wald_sql('rate_ratio')}) WHERE (SELECT count(DISTINCT arm) FROM px WHERE purchases > 0) = 2)"""
     for c in REGIONS
 )
 
 
 @query("mb11_fleet_rate_ratio", _COUNTRY_RATES)
 def mb11_fleet(spark, sf_dir):
-    """MB11 for many groups: a Poisson regression with exposure for every experiment and country, fitted together."""
+    """MB11 for many groups: a Poisson regression with exposure for every experiment and country, fitted together.
+
+    A country in which an arm has no purchase has no estimate, and no row here.
+    """
     units = prepost_units(spark, sf_dir).filter("n_events > 0").withColumns(
         {
             "is_treatment": (F.col("group") == "treatment").cast("int"),
@@ -102,7 +106,8 @@ def mb11_fleet(spark, sf_dir):
         }
     )
     by_country = replace(SPEC, keys=(*SPEC.keys, "country"))
-    return rounded(models.fleet_glm(units, by_country, "purchases", ["is_treatment"], "poisson", "log_exposure").drop("n"))
+    fits = models.fleet_glm(units, by_country, "purchases", ["is_treatment"], "poisson", "log_exposure")
+    return rounded(fits.where("converged").drop("n"))
 
 
 def _scaled_sql(columns: list[str], table: str = "fs") -> str:
