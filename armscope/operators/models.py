@@ -37,6 +37,8 @@ BOOSTING = {
     "minInstancesPerNode": 100,
 }
 FOLDS = 5
+# A tree fit reads its rows once a level: a task gets this many while there are cores for more, and never above the second.
+ROWS_A_TASK, MOST_ROWS_A_TASK = 20_000, 1_000_000
 
 
 def main_features(spec: ExperimentSpec, strata: Sequence[str]) -> list[str]:
@@ -269,10 +271,22 @@ def _read_by(stages: Sequence) -> list[str]:
     return [c for c in dict.fromkeys(read) if c not in made]
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt evenly over as many tasks as their number is worth, up to the cores there are.
+
+    A frame of few bytes comes as one partition from a scan or a join, and every pass of a tree fit, a thousand in
+    boosting, would then be one task.
+    """
+    n = rows.count()
+    tasks = max(min(-(-n // ROWS_A_TASK), rows.sparkSession.sparkContext.defaultParallelism), -(-n // MOST_ROWS_A_TASK))
+    return rows.repartition(tasks) if tasks > 1 else rows
+
+
 def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
     """Fit on the rows that have all columns and the label."""
     stages = pipeline.getStages()
-    with cached(train.dropna(subset=[*_read_by(stages), stages[-1].getLabelCol()])) as data:
+    rows = train.dropna(subset=[*_read_by(stages), stages[-1].getLabelCol()])
+    with cached(dealt(rows) if stages[-1].hasParam("maxBins") else rows) as data:
         return pipeline.fit(data)
 
 
@@ -393,12 +407,16 @@ def cuped_by_model(
 def t_learner(
     df: DataFrame, spec: ExperimentSpec, columns: Sequence[str], label: str | None = None, **settings
 ) -> DataFrame:
-    """Uplift per row: the difference of two boosted regressions, one fitted on each arm."""
+    """Uplift per row: the difference of two boosted regressions, one fitted on each arm.
+
+    The columns of the fits are written once; the check, the fits and what reads the uplift start from that table.
+    """
     label = label or spec.metric
-    single_experiment(df, spec)
     if len(spec.treatments) > 1:
         raise ValueError("uplift compares one treatment with the control: choose one")
-    frame = training_frame(df, columns, label, [*spec.keys, spec.arm])
+    frame = written(training_frame(df, columns, label, [*spec.keys, spec.arm]), "learners")
+    single_experiment(frame, spec)
+    frame = dealt(frame)
     options = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "minInstancesPerNode": 50, **settings}
     out = assembler(columns).transform(frame)
     for suffix, arm in (("c", spec.control), ("t", spec.treatments[0])):

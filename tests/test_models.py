@@ -114,3 +114,29 @@ def test_population_scaling(spark, spec):
     got = [r.v_std for r in models.standardised(df, spec, ["v"]).orderBy("v").collect()]
     v = np.arange(10.0)
     assert got == pytest.approx(list((v - v.mean()) / v.std()))
+
+
+def test_tree_fits_are_dealt_over_the_cores(spark, monkeypatch):
+    """Small in bytes, a frame is one partition; every pass of a tree fit would then be one task."""
+    few = spark.range(900).coalesce(1)
+    assert models.dealt(few).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(models, "ROWS_A_TASK", 300)
+    many = models.dealt(few)
+    assert many.rdd.getNumPartitions() == 3 and sorted(r.id for r in many.collect()) == list(range(900))
+    assert models.dealt(spark.range(9000).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(models, "MOST_ROWS_A_TASK", 900)
+    assert models.dealt(spark.range(9000).coalesce(1)).rdd.getNumPartitions() == 10
+    rows = few.select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 2).cast("double").alias("converted"))
+    passes = []
+    monkeypatch.setattr(models.Pipeline, "fit", lambda self, data: passes.append(data.rdd.getNumPartitions()))
+    models.fit(models.forest("converted", ["x"], numTrees=1), rows)
+    models.fit(models.logistic("converted", ["x"]), rows)
+    assert passes == [3, 1]
+
+
+def test_two_learners_read_their_rows_once(spark, spec, tmp_path):
+    cells = [("x", arm, float(x), y) for arm in ("control", "treatment") for x in range(4) for y in (0, 1)] * 40
+    df = spark.createDataFrame(cells, "experiment string, group string, x double, converted int")
+    df.write.parquet(str(tmp_path / "log"))
+    out = models.t_learner(spark.read.parquet(str(tmp_path / "log")), spec, ["x"], maxIter=2)
+    assert out.count() == 640 and all("/learners-" in f for f in out.inputFiles())
