@@ -12,6 +12,7 @@ from armscope.plans.cat_clean import _BUCKET_SQL
 from armscope.plans.cat_power import _CUPED_COLUMNS, _CUPED_SQL
 from armscope.plans.registry import REGIONS, SPEC, events_features, fleet_units, prepost_units, query, rounded
 from armscope.plans.sqltext import EVENTS_ROWS, FLEET_UNITS, PREPOST, arm, cross_fit, div, glm, hashed, mid_ranked, p_two, r, rs
+from armscope.session import written
 from armscope.sources import views
 
 MAIN = models.main_features(SPEC, REGIONS)
@@ -174,6 +175,11 @@ def _frame(spark, sf_dir, columns):
     return models.training_frame(events_features(spark, sf_dir), columns, "converted", ["experiment", "group", "seq"])
 
 
+def _tree_frame(spark, sf_dir, columns):
+    """As ``_frame``, written once: class counts, fits and scores read it."""
+    return written(_frame(spark, sf_dir, columns), "rows")
+
+
 def _rows(spark, sf_dir, columns):
     return models.scoring_frame(events_features(spark, sf_dir), columns, "converted", ["experiment", "group", "seq"])
 
@@ -281,7 +287,7 @@ def st26(spark, sf_dir):
 @query("ml07_forest_importances")
 def ml07(spark, sf_dir):
     """ML7, ML8, SL1, CD7: forest of 100 trees, ranked importances from its table of nodes."""
-    frame = models.with_balanced_weights(_frame(spark, sf_dir, MAIN), "converted")
+    frame = models.with_balanced_weights(_tree_frame(spark, sf_dir, MAIN), "converted")
     forest = models.fit(models.forest("converted", MAIN), frame).stages[-1]
     return rounded(trees.node_importances(trees.tree_nodes(forest, spark, MAIN), MAIN, True))
 
@@ -321,7 +327,7 @@ UNION ALL SELECT 1, NULL, NULL, NULL, {r('w0')}, n0 FROM best UNION ALL SELECT 2
 )
 def ml07_nodes(spark, sf_dir):
     """ML7: the node table of a forest of one tree of one level, on all rows and columns of zeros and ones."""
-    frame = models.with_balanced_weights(_frame(spark, sf_dir, _FLAGS), "converted")
+    frame = models.with_balanced_weights(_tree_frame(spark, sf_dir, _FLAGS), "converted")
     forest = models.fit(models.forest("converted", _FLAGS, numTrees=1, bootstrap=False, **_STUMP), frame).stages[-1]
     nodes = trees.tree_nodes(forest, spark, _FLAGS)
     return rounded(nodes.select("node", "feature", "threshold", "gain", "weight", "n"))
@@ -338,7 +344,7 @@ SELECT feature, importance, importance AS importance_norm, CASE WHEN feature = '
 )
 def ml09_importances(spark, sf_dir):
     """ML9, ML10, AG15: importances of one boosting round of one level, from its table of nodes."""
-    frame = models.with_positive_weight(_frame(spark, sf_dir, _FLAGS), "converted")
+    frame = models.with_positive_weight(_tree_frame(spark, sf_dir, _FLAGS), "converted")
     boosted = models.fit(models.boosting("converted", _FLAGS, maxIter=1, **_STUMP), frame).stages[-1]
     return rounded(trees.node_importances(trees.tree_nodes(boosted, spark, _FLAGS), _FLAGS, False))
 
@@ -347,7 +353,7 @@ def ml09_importances(spark, sf_dir):
 def ml09(spark, sf_dir):
     """ML9, ML10, ML11, AG15, CD8: 200 boosting rounds with interactions, ranked and labelled by kind."""
     columns = MAIN + CROSSED
-    frame = models.with_positive_weight(_frame(spark, sf_dir, columns), "converted")
+    frame = models.with_positive_weight(_tree_frame(spark, sf_dir, columns), "converted")
     boosted = models.fit(models.boosting("converted", columns), frame).stages[-1]
     return rounded(trees.node_importances(trees.tree_nodes(boosted, spark, columns), columns, False))
 
@@ -396,7 +402,7 @@ def ml06(spark, sf_dir):
 @query("ml06_cv_auc_forest")
 def ml06_forest(spark, sf_dir):
     folds = sampling.stratified_folds(
-        models.with_balanced_weights(_frame(spark, sf_dir, MAIN), "converted"), ["experiment"], "converted", ["seq"]
+        models.with_balanced_weights(_tree_frame(spark, sf_dir, MAIN), "converted"), ["experiment"], "converted", ["seq"]
     )
     return models.cross_validated_auc(models.forest("converted", MAIN), folds, "converted")
 
@@ -405,7 +411,7 @@ def ml06_forest(spark, sf_dir):
 def ml06_boosting(spark, sf_dir):
     columns = MAIN + CROSSED
     folds = sampling.stratified_folds(
-        models.with_positive_weight(_frame(spark, sf_dir, columns), "converted"), ["experiment"], "converted", ["seq"]
+        models.with_positive_weight(_tree_frame(spark, sf_dir, columns), "converted"), ["experiment"], "converted", ["seq"]
     )
     return models.cross_validated_auc(models.boosting("converted", columns), folds, "converted")
 
@@ -414,16 +420,17 @@ def ml06_boosting(spark, sf_dir):
 def ml13(spark, sf_dir):
     """ML13, CD11: in-sample AUC of the three models, ranked together."""
     columns = MAIN + CROSSED
-    frame = _frame(spark, sf_dir, columns)
+    frame = _tree_frame(spark, sf_dir, columns)
     fits = {
         "logistic_regression": (models.logistic("converted", MAIN, ["time_seconds"]), frame),
         "random_forest": (models.forest("converted", MAIN), models.with_balanced_weights(frame, "converted")),
         "gradient_boosting": (models.boosting("converted", columns), models.with_positive_weight(frame, "converted")),
     }
-    scores = frame
+    scores = models.dealt(frame)
     for name, (pipeline, train) in fits.items():
         scores = models.scored(models.fit(pipeline, train), scores, name)
-    return models.compare_models(scores, list(fits), "converted")
+    # ranking takes several passes over the scores
+    return models.compare_models(written(scores.select("converted", *fits), "scores"), list(fits), "converted")
 
 
 @query("mb23_uplift_deciles")
