@@ -340,20 +340,21 @@ def fold_aucs(
 ) -> DataFrame:
     """Exact held-out AUC of every fold: each row is scored by the model that did not see it.
 
-    The rows, with their folds, are written once; all fits and scores read that table. Scaling sits inside the
-    estimator, so no fold sees the others' moments. Fits are submitted side by side, and no final model is
-    fitted on all rows.
+    The rows, with their folds, are written once and dealt over the cores; all fits and scores read that table.
+    Scaling sits inside the estimator, so no fold sees the others' moments. Fits are submitted side by side, and no
+    final model is fitted on all rows. The scores are written, as ranking them takes several passes.
     """
     df = written(df, "folds")
-    with cached(df) as data, ThreadPool(min(parallelism, folds)) as pool:
+    with cached(dealt(df)) as data, ThreadPool(min(parallelism, folds)) as pool:
         fit_one = inheritable_thread_target(df.sparkSession)(
             lambda k: estimator.fit(data.filter(F.col(fold) != k))
         )
         fitted = pool.map(fit_one, range(folds))
-    held_out = None
-    for k, model in enumerate(fitted):
-        part = scored(model, df.filter(F.col(fold) == k)).select(fold, label, "score")
-        held_out = part if held_out is None else held_out.unionByName(part)
+        held_out = None
+        for k, model in enumerate(fitted):
+            part = scored(model, data.filter(F.col(fold) == k)).select(fold, label, "score")
+            held_out = part if held_out is None else held_out.unionByName(part)
+        held_out = written(held_out, "held-out")
     return auc(held_out, [fold], "score", label)
 
 

@@ -140,3 +140,14 @@ def test_two_learners_read_their_rows_once(spark, spec, tmp_path):
     df.write.parquet(str(tmp_path / "log"))
     out = models.t_learner(spark.read.parquet(str(tmp_path / "log")), spec, ["x"], maxIter=2)
     assert out.count() == 640 and all("/learners-" in f for f in out.inputFiles())
+
+
+def test_held_out_scores_are_written(spark):
+    """The ranking passes over them several times; the trees score each row once."""
+    df = spark.range(400).select(
+        (F.col("id") % 5).cast("int").alias("fold"), (F.col("id") % 2).cast("double").alias("converted"),
+        (F.col("id") % 3).cast("double").alias("x"), F.lit(1.0).alias("class_weight"),
+    )
+    aucs = models.fold_aucs(models.forest("converted", ["x"], numTrees=2), df, "converted")
+    assert sorted((r.fold, r.n_positive, r.n_negative) for r in aucs.collect()) == [(k, 40, 40) for k in range(5)]
+    assert all("/held-out-" in f for f in aucs.inputFiles())
