@@ -502,11 +502,14 @@ def cuped_by_linear(
 
 
 def cuped_by_embedding(
-    df: DataFrame, spec: ExperimentSpec, embedding: str, label: str, unit: Sequence[str], ridge: float = 1.0
+    df: DataFrame, spec: ExperimentSpec, embedding: str, label: str, unit: Sequence[str] = (), ridge: float = 1.0
 ) -> DataFrame:
-    """Adjustment by a cross-fitted linear prediction of the outcome from an embedding array, for every experiment."""
+    """Adjustment by a cross-fitted linear prediction of the outcome from an embedding array, for every experiment.
+
+    ``unit`` names the columns whose hash deals the folds; without them rows of equal vectors share a fold.
+    """
     vector = F.concat(F.array(F.lit(1.0)), F.col(embedding).cast("array<double>"))
-    return _cuped_cross_fitted(df.withColumn("_x", vector), spec, unit, label, ridge)
+    return _cuped_cross_fitted(df.withColumn("_x", vector), spec, unit or [embedding], label, ridge)
 
 
 def _cuped_cross_fitted(frame: DataFrame, spec: ExperimentSpec, unit: Sequence[str], label: str, ridge: float) -> DataFrame:
