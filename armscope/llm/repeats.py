@@ -7,7 +7,9 @@ Symbols are words or bytes. The search is exact and moves little:
 2. Anchors are counted; pieces whose anchor occurs once are done.
 3. Pieces with the same content are copies of one another, window by window: one of them stands for all.
 4. Anchors with several different pieces are mixed. Their distinct pieces, with how often each occurs, meet
-   in one shard, where a ``decide`` function finds the windows that repeat across pieces.
+   in one shard. Of an anchor's pieces those go on that agree with another one in half a window's length beyond
+   the anchor, before or behind it: no others can have a common window. A ``decide`` function then finds the
+   windows that repeat across pieces.
 5. Mixed anchors with more than ``HOT`` distinct pieces are not gathered: their windows are hashed (two
    64-bit hashes) and counted, with partial sums before the shuffle.
 
@@ -16,6 +18,7 @@ Nothing is capped or dropped; hot anchors and hot pieces only meet in joins that
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,6 +31,8 @@ from armscope.llm import shared, words
 
 HOT = 20_000
 SHARD_SYMBOLS = 100_000
+#: Bytes of text worked on at a time: few enough for the arrays of one part to stay in a core's cache.
+PART_BYTES = 1 << 16
 PLACE = (1 << 20) - 1
 
 
@@ -78,12 +83,12 @@ class Sequence:
         return words.mixed((self.total[ends] - self.total[starts]) * self.down[starts])
 
 
-def pieces(symbols: np.ndarray, offsets: np.ndarray, spec: Windows) -> tuple[np.ndarray, ...]:
-    """(row, start of the first window, windows, anchor hash, content hash) of every piece."""
+def pieces(symbols: np.ndarray, offsets: np.ndarray, spec: Windows, located: bool = False) -> tuple[np.ndarray, ...]:
+    """(row, start of the first window, windows, anchor hash, content hash[, the anchor's place in it]) of every piece."""
     empty = np.zeros(0, np.int64)
     n, width = len(symbols), spec.window - spec.gram + 1
     if n < spec.window:
-        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), *[empty] * located
     stretch = Sequence(symbols)
     grams = stretch.each(spec.gram)
     at = np.arange(len(grams))
@@ -105,31 +110,54 @@ def pieces(symbols: np.ndarray, offsets: np.ndarray, spec: Windows) -> tuple[np.
     start, anchor = start[first], anchor[first]
     end = start + count + spec.window - 1
     row = np.searchsorted(offsets, start, "right") - 1
-    return row, start - offsets[row], count, grams[anchor], words.mixed(stretch(start, end) + (end - start).astype(np.uint64))
+    content = words.mixed(stretch(start, end) + (end - start).astype(np.uint64))
+    return row, start - offsets[row], count, grams[anchor], content, *[anchor - start] * located
 
 
 def occurrences(tagged: DataFrame, spec: Windows) -> DataFrame:
-    """(row, a, p, start, n) of every piece: anchor and content hash, place in the text, windows."""
+    """(row, a, p, start, n, g) of every piece: anchor and content hash, place in the text, windows, the anchor's place."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for part, first in unpacked_parts(batch.column(1)):
-                row, start, count, a, p = pieces(*spec.symbols(part), spec)
-                columns = [ids[first + part.first_row + row], a.view(np.int64), p.view(np.int64), start, count]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "a", "p", "start", "n"])
+                row, start, count, a, p, g = pieces(*spec.symbols(part), spec, located=True)
+                columns = [ids[first + part.first_row + row], a.view(np.int64), p.view(np.int64), start, count, g]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "a", "p", "start", "n", "g"])
 
-    return tagged.select("row", "packed").mapInArrow(cut, "row long, a long, p long, start long, n long")
+    return tagged.select("row", "packed").mapInArrow(cut, "row long, a long, p long, start long, n long, g long")
 
 
 def unpacked_parts(column: pa.Array) -> Iterator[tuple[words.Part, int]]:
     """Parts of a column of packed texts, some hundred texts at a time, with the place of the first of those."""
     for first in range(0, len(column), 256):
         texts = pa.array(shared.unpacked(column.slice(first, 256).to_pylist()), pa.large_binary())
-        for part in words.parts(texts):
+        for part in words.parts(texts, PART_BYTES):
             yield part, first
 
 
+def may_share(lot: list[Piece], anchors: list[int], spec: Windows) -> list[Piece]:
+    """Of pieces with one anchor, at place ``anchors[i]`` of piece i, all that can hold a window of another.
+
+    A window reaches over half of its other symbols beyond the anchor, before or behind it. Pieces with a common
+    window agree in the anchor and so many symbols on that side.
+    """
+    size = 8 if spec.unit == "word" else 1
+    gram, half = size * spec.gram, size * ((spec.window - spec.gram + 1) // 2)
+    sides: list[tuple[bytes | None, bytes | None]] = []
+    for piece, place in zip(lot, anchors):
+        body, at = piece.body, size * place
+        sides.append(
+            (body[at - half : at + gram] if at >= half else None, body[at : at + gram + half] if at + gram + half <= len(body) else None)
+        )
+    before, behind = (Counter(x) for x in zip(*sides))
+    return [
+        piece
+        for piece, (one, two) in zip(lot, sides)
+        if (one is not None and before[one] > 1) or (two is not None and behind[two] > 1)
+    ]
+
+
 def repeated(tagged: DataFrame, spec: Windows, decide: Decide) -> DataFrame:
     """(row, spans): stretches [start, end) of symbols that repeated windows cover, unmerged, of rows that have some."""
     spark = tagged.sparkSession
@@ -148,7 +176,7 @@ def repeated(tagged: DataFrame, spec: Windows, decide: Decide) -> DataFrame:
     kinds = shared.written(
         again.groupBy("a", "p").agg(
             F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "start")).alias("first"), F.max("n").alias("n"),
-            F.max("mixed").alias("mixed"),
+            F.max("g").alias("g"), F.max("mixed").alias("mixed"),
         ),
         "kinds",
     )
@@ -175,12 +203,12 @@ def _across(tagged: DataFrame, kinds: DataFrame, spec: Windows, decide: Decide)
     hot = mixed.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("a", F.lit(True).alias("hot"))
     wanted = (
         mixed.join(hot, "a", "left")
-        .select("first.row", F.struct("a", "times", "first.start", "n", F.coalesce("hot", F.lit(False)).alias("hot")).alias("w"))
+        .select("first.row", F.struct("a", "times", "first.start", "n", "g", F.coalesce("hot", F.lit(False)).alias("hot")).alias("w"))
         .groupBy("row")
         .agg(F.collect_list("w").alias("wanted"))  # of one text
     )
     window, word = spec.window, spec.unit == "word"
-    names = ["a", "b", "times", "row", "start", "n", "body"]
+    names = ["a", "b", "times", "row", "start", "n", "g", "body"]
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,20 +225,20 @@ def _across(tagged: DataFrame, kinds: DataFrame, spec: Windows, decide: Decide)
                             stretch = stretch or (Sequence(symbols), Sequence(words.mixed(symbols + np.uint64(1))))
                             at = np.arange(s, s + n)
                             one, two = (x(at, at + window).view(np.int64).tolist() for x in stretch)
-                            lot = [one, two, [w["times"]] * n, [rows[place]] * n, range(w["start"], w["start"] + n), [1] * n, [None] * n]
+                            lot = [one, two, [w["times"]] * n, [rows[place]] * n, range(w["start"], w["start"] + n), [1] * n, [0] * n, [None] * n]
                         else:
                             body = source[s : s + n + window - 1].tobytes()
-                            lot = [[w["a"]], [0], [w["times"]], [rows[place]], [w["start"]], [n], [body]]
+                            lot = [[w["a"]], [0], [w["times"]], [rows[place]], [w["start"]], [n], [w["g"]], [body]]
                         for column, more in zip(out, lot):
                             column.extend(more)
-                types = [pa.int64()] * 6 + [pa.binary()]
+                types = [pa.int64()] * 7 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
 
     cut = shared.written(
         tagged.select("row", "packed")
         .join(wanted, "row")
         .select("row", "packed", "wanted")
-        .mapInArrow(bodies, "a long, b long, times long, row long, start long, n long, body binary"),
+        .mapInArrow(bodies, "a long, b long, times long, row long, start long, n long, g long, body binary"),
         "bodies",
     )
     shared.release(tagged.sparkSession)
@@ -224,6 +252,8 @@ def _across(tagged: DataFrame, kinds: DataFrame, spec: Windows, decide: Decide)
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole anchors are put together to shards of about SHARD_SYMBOLS symbols."""
         lot: list[Piece] = []
+        own: list[Piece] = []  # of the anchor being read
+        anchors: list[int] = []
         size, last = 0, None
 
         def decided() -> pa.RecordBatch:
@@ -239,25 +269,38 @@ def _across(tagged: DataFrame, kinds: DataFrame, spec: Windows, decide: Decide)
             )
 
         for batch in batches:
-            for a, times, row, start, n, body in zip(*(c.to_pylist() for c in batch.columns)):
-                if a != last and size >= SHARD_SYMBOLS:
-                    yield decided()
-                    lot, size = [], 0
-                lot.append(Piece(times, row, start, n, body))
-                size, last = size + n + window - 1, a
+            for a, times, row, start, n, g, body in zip(*(c.to_pylist() for c in batch.columns)):
+                if a != last and own:
+                    able = may_share(own, anchors, spec)
+                    lot, size = lot + able, size + sum(p.windows + window - 1 for p in able)
+                    own, anchors = [], []
+                    if size >= SHARD_SYMBOLS:
+                        yield decided()
+                        lot, size = [], 0
+                own.append(Piece(times, row, start, n, body))
+                anchors.append(g)
+                last = a
+        if own:
+            lot = lot + may_share(own, anchors, spec)
         if lot:
             yield decided()
 
-    dealt = cut.where("body is not null").select("a", "times", "row", "start", "n", "body")
+    dealt = cut.where("body is not null").select("a", "times", "row", "start", "n", "g", "body")
     found = dealt.repartition("a").sortWithinPartitions("a", "row", "start").mapInArrow(
         shards, "row long, start long, end long"
     )
     return found.unionByName(counted), cut
 
 
-def covered(spans: list[dict], n: int) -> np.ndarray:
-    """Which of ``n`` symbols some span covers."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, [s["start"] for s in spans], 1)
-    np.add.at(edge, [s["end"] for s in spans], -1)
+def spans_of_rows(column: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(starts, ends) of the spans of each row; of a null, none."""
+    flat = column.flatten()
+    starts, ends = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("start", "end"))
+    to = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+    return [(starts[a:b], ends[a:b]) for a, b in zip([0, *to], to)]
+
+
+def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` symbols some span [start, end) covers."""
+    edge = np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1)
     return np.cumsum(edge)[:-1] > 0

@@ -124,11 +124,12 @@ def without_repeats(docs: DataFrame, spec: SubstringSpec = SubstringSpec(), with
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            lists = repeats.spans_of_rows(batch.column(2))
             for part, first in repeats.unpacked_parts(batch.column(1)):
                 body, out = part.data.tobytes(), []
                 for r, (a, b) in enumerate(zip(part.first_word[:-1], part.first_word[1:])):
                     place = first + part.first_row + r
-                    gone = repeats.covered(batch.column(2)[place].as_py() or [], int(b - a))
+                    gone = repeats.covered(*lists[place], int(b - a))
                     stay = np.flatnonzero(~gone) + a
                     kept = b" ".join([body[s:e] for s, e in zip(part.starts[stay].tolist(), part.ends[stay].tolist())])
                     n_spans = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1))

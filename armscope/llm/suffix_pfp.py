@@ -45,7 +45,7 @@ def _refined(rank: np.ndarray, place: np.ndarray, key: np.ndarray) -> None:
     """Splits the groups of equal ``rank`` among ``place`` by ``key``; a rank is the place of its group's first."""
     own = rank[place]
     # one sort key where it fits: ranks are below the length, and so are keys after the first round
-    order = np.argsort(own * (len(rank) + 2) + key if own.any() else key, kind="stable")
+    order = np.argsort(own * (len(rank) + 2) + key if own.any() else key)  # ties get one rank, in any order
     r, k = own[order], key[order]
     index = np.arange(len(order))
     new_group = np.ones(len(order), bool)
@@ -120,7 +120,7 @@ def suffix_order(strings: list[bytes], places: np.ndarray, spec: ParsingSpec) ->
     phrase = np.minimum(np.searchsorted(ends, places + spec.trigger, "right"), np.searchsorted(ends, bounds[string + 1]))
     rest = word_rank[begin[parse[phrase]] + places - starts[phrase]]
     behind = np.where(last[phrase], 0, ahead[np.minimum(phrase + 1, len(parse) - 1)])
-    return places[np.argsort(rest * (len(parse) + 1) + behind, kind="stable")]
+    return places[np.argsort(rest * (len(parse) + 1) + behind)]
 
 
 def decide_by_suffix_order(spec: ParsingSpec) -> repeats.Decide:
@@ -163,16 +163,18 @@ def without_repeats(docs: DataFrame, spec: ParsingSpec = ParsingSpec(), with_tex
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for body, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                data = np.frombuffer(shared.unpacked([body])[0], np.uint8)
-                gone = repeats.covered(own or [], len(data))
-                kept = data[~gone].tobytes()
-                n_spans = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1))
-                out.append((len(data), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept))
-            columns = [pa.array(x) for x in zip(*out)][: len(names) - 1]
-            if out:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
+            for at in range(0, batch.num_rows, 256):
+                some, out = batch.slice(at, 256), []
+                for body, own in zip(shared.unpacked(some.column(1).to_pylist()), repeats.spans_of_rows(some.column(2))):
+                    kept, n_removed, n_spans = body, 0, 0
+                    if len(own[0]):
+                        gone = repeats.covered(*own, len(body))
+                        kept = np.frombuffer(body, np.uint8)[~gone].tobytes()
+                        n_removed = len(body) - len(kept)
+                        n_spans = int(gone[0]) + int(np.count_nonzero(gone[1:] > gone[:-1]))
+                    out.append((len(body), n_removed, n_spans, hashlib.sha256(kept).hexdigest(), kept))
+                columns = [pa.array(x) for x in zip(*out)][: len(names) - 1]
+                yield pa.RecordBatch.from_arrays([some.column(0), *columns], names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_text
     return tagged.join(spans, "row", "left").select("doc_id", "packed", "spans").mapInArrow(rebuild, schema)

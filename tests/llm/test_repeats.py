@@ -4,6 +4,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -84,3 +85,42 @@ def test_shard_decisions_equal_brute_force():
         count = Counter(p.body[k : k + w] for p in pieces for k in range(p.windows))
         for p, gone in zip(pieces, substring_automata.decide_by_automaton(w)(longs)):
             assert gone.tolist() == [count[p.body[k : k + w]] > 1 for k in range(p.windows)]
+
+
+@pytest.mark.parametrize("unit,window,gram", [("byte", 12, 4), ("byte", 11, 4), ("word", 9, 2)])
+def test_of_an_anchor_only_pieces_that_can_share_a_window_meet(unit, window, gram):
+    spec, rng, n_left, n_all = repeats.Windows(unit, window, gram, True), random.Random(7), 0, 0
+    for _ in range(40):
+        kinds = {}
+        for row in range(12):
+            text = b" ".join(rng.choice([b"a", b"b", b"cd"]) for _ in range(rng.randint(0, 40)))
+            part = next(words.parts(pa.array([text], pa.large_binary())))
+            symbols, offsets = spec.symbols(part)
+            for _, start, n, a, p, g in zip(*repeats.pieces(symbols, offsets, spec, located=True)):
+                end = start + n + window - 1
+                body = (symbols.astype("<u8") if unit == "word" else part.data)[start:end].tobytes()
+                kinds.setdefault(int(a), {}).setdefault(body, (repeats.Piece(1, row, int(start), int(n), body), int(g)))
+        size = 8 if unit == "word" else 1
+        for own in (list(zip(*x.values())) for x in kinds.values()):
+            pieces, anchors = map(list, own)
+            held = [{p.body[size * k : size * (k + window)] for k in range(p.windows)} for p in pieces]
+            left = repeats.may_share(pieces, anchors, spec)
+            for p, mine in zip(pieces, held):
+                if any(mine & other for other in held if other is not mine):
+                    assert p in left
+            n_left, n_all = n_left + len(left), n_all + len(pieces)
+    assert 0 < n_left < n_all
+
+
+def test_pieces_alike_at_their_anchor_only_do_not_meet():
+    spec = repeats.Windows("byte", 12, 4, True)
+    bodies = [b"01234567ANCH89012345", b"ghijklmnANCHopqrstuv", b"ghijABCDANCHEFGHopqr", b"01234567ANCH8901wxyz"]
+    pieces = [repeats.Piece(1, i, 0, 9, b) for i, b in enumerate(bodies)]
+    assert [p.row for p in repeats.may_share(pieces, [8] * 4, spec)] == [0, 3]
+
+
+def test_spans_of_rows_and_what_they_cover():
+    spans = pa.array([[(1, 3), (2, 5)], None, [], [(0, 1), (6, 7)]], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+    for first in range(4):
+        got = [np.flatnonzero(repeats.covered(*x, 7)).tolist() for x in repeats.spans_of_rows(spans.slice(first))]
+        assert got == [[1, 2, 3, 4], [], [], [0, 6]][first:]
