@@ -17,6 +17,7 @@ written. Extra columns are ignored. An empty table makes an empty folder, and re
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 import zlib
@@ -49,6 +50,9 @@ _OTHER_SPACE = re.compile("[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-
 _MARKS = ("\u0120", "\u010a")
 #: New words in one text for the tokenizer: short texts are encoded fastest, very short ones cost a call each.
 JOINED = 200
+#: What a byte-level pre-tokenizer keeps together: letters (of blocks that no version of Unicode changes), and a run of marks.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u0233]+")
+_ASCII_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class _Places(dict):
@@ -69,6 +73,9 @@ class Encoder:
     A byte-level pre-tokenizer always cuts before a single space or line feed between two other characters,
     and never merges across a cut. So a text without other white space or white space in a row is the ids of
     its words, each with the space or line feed before it. Other texts are encoded as they are.
+
+    A new word after a space that is letters and then marks is put together from the ids of both, as the pre-tokenizer
+    cuts between them; ASCII letters go to the tokenizer's model as the pre-tokenizer would hand them over.
     """
 
     def __init__(self, spec: TokenSpec):
@@ -79,10 +86,24 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a space or a line feed
         self.begins[[i for piece, i in vocabulary.items() if piece[:1] in _MARKS]] = True
+        self.model = Tokenizer(self.tokenizer.model) if self._cuts_at_marks() else None
         self.places = self.flat = self.starts = self.ends = self.uses = np.zeros(0, np.int64)
         self.n_known = 0
         self._forget()
 
+    def _cuts_at_marks(self) -> bool:
+        """Does this tokenizer encode the letters and the marks of a word apart, and words that follow each other too?"""
+        parts = json.loads(self.tokenizer.to_str())
+        before, after = (parts[k] or {} for k in ("pre_tokenizer", "post_processor"))
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+        # added tokens are found anywhere in a text: each has a mark before a letter, so none lies in letters and then marks
+        apart = all(re.search(r"[\W\d_].*[^\W\d_]", t["content"], re.S) for t in parts["added_tokens"])
+        model = parts["model"]
+        options = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")
+        merges = model["type"] == "BPE" and not any(model.get(o) for o in options)
+        alone = not any(re.search(f"[A-Za-z]{_MARKS[0]}", piece) for piece in model.get("vocab", ())) if merges else False
+        return plain and apart and alone and parts["normalizer"] is None and after.get("type", "ByteLevel") == "ByteLevel"
+
     def _forget(self) -> None:
         """Of the words known, keep those looked up most often since the last time: half of them at most."""
         old, flat, starts, ends, uses = self.places, self.flat, self.starts, self.ends, self.uses
@@ -107,46 +128,70 @@ class Encoder:
             own = np.concatenate([own, np.zeros_like(own)])
         setattr(self, name, own)
 
-    def _add(self, sizes: np.ndarray, ids: np.ndarray) -> None:
-        """The ids of the next words, one after the other."""
-        n = self.n_known + len(sizes)
+    def _add(self, sizes: np.ndarray, ids: np.ndarray, at: np.ndarray | None = None) -> None:
+        """The ids of the words at places ``at``, or else of the first ones, one after the other."""
+        if at is None:
+            at = np.arange(len(sizes))
+        n = len(self.places)
         for name in ("starts", "ends", "uses"):
             self._room(name, n)
         self._room("flat", self.n_flat + len(ids))
         self.flat[self.n_flat : self.n_flat + len(ids)] = ids
-        self.ends[self.n_known : n] = self.n_flat + np.cumsum(sizes)
-        self.starts[self.n_known : n] = self.ends[self.n_known : n] - sizes
+        ends = self.n_flat + np.cumsum(sizes)
+        self.ends[at], self.starts[at] = ends, ends - sizes
         self.n_known, self.n_flat = n, self.n_flat + len(ids)
 
     def _learn(self) -> None:
-        """Encodes the new words, ``JOINED`` of them in a text: its ids are cut where one begins with white space.
-
-        A text's first word has none before it, and is encoded alone.
-        """
-        new = self.places.new
+        """Finds the ids of the new words, and of what they are put together from: letters, and the marks behind them."""
+        places, new = self.places, self.places.new
         if not new:
             return
-        alone = [i for i, w in enumerate(new) if w[0] == "\0"]
-        joint = [w if w[0] == "\n" else " " + w for w in new if w[0] != "\0"]
-        texts = ["".join(joint[i : i + JOINED]) for i in range(0, len(joint), JOINED)] + [new[i][1:] for i in alone]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        first = self.n_known
+        whole, plain, both, stems, tails = [], [], [], [], []
+        for place, word in enumerate(new, first):  # which grows by stems and tails
+            stem = word.rstrip(_ASCII_MARKS)
+            if not self.model or not stem.isalpha() or not (stem.isascii() or _LETTERS.fullmatch(stem)):
+                whole.append(place)
+            elif len(stem) < len(word):
+                both.append(place)
+                stems.append(places[stem])
+                tails.append(places["\0" + word[len(stem) :]])
+            elif stem.isascii():
+                plain.append(place)
+            else:
+                whole.append(place)
+        texts = ["".join([_MARKS[0] + new[p - first] for p in plain[i : i + JOINED]]) for i in range(0, len(plain), JOINED)]
+        if texts:
+            self._cut(self.model, texts, 0, np.array(plain, np.int64))
+        # a text's first word has no white space before it, and is encoded alone
+        alone = [p for p in whole if new[p - first][0] == "\0"]
+        others = [p for p in whole if new[p - first][0] != "\0"]
+        joint = [w if w[0] == "\n" else " " + w for w in (new[p - first] for p in others)]
+        texts = ["".join(joint[i : i + JOINED]) for i in range(0, len(joint), JOINED)] + [new[p - first][1:] for p in alone]
+        if texts:
+            self._cut(self.tokenizer, texts, len(alone), np.array(others + alone, np.int64))
+        # the ids of the letters and those of the marks, by turns
+        source = np.array([stems, tails], np.int64).T.ravel()
+        starts, sizes = self.starts[source], self.ends[source] - self.starts[source]
+        self._add(sizes.reshape(-1, 2).sum(axis=1), self.flat[words.spread(starts, sizes)], np.array(both, np.int64))
+        new.clear()
+
+    def _cut(self, tokenizer, texts: list[str], n_alone: int, at: np.ndarray) -> None:
+        """Encodes ``JOINED`` words in a text, for places ``at``: its ids are cut where one begins with white space.
+
+        The last ``n_alone`` texts are one word each.
+        """
+        found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         own = np.fromiter(itertools.chain.from_iterable(found), np.uint32, sum(map(len, found)))
         begins = self.begins[own]
-        n_alone = np.array([len(x) for x in found[len(found) - len(alone) :]], np.int64)
-        last = len(own) - int(n_alone.sum())
+        alone = np.array([len(x) for x in found[len(found) - n_alone :]], np.int64)
+        last = len(own) - int(alone.sum())
         begins[last:] = False
-        begins[last + np.cumsum(n_alone) - n_alone] = True
+        begins[last + np.cumsum(alone) - alone] = True
         cuts = np.flatnonzero(begins)
-        if len(cuts) != len(new):
+        if len(cuts) != len(at):
             raise ValueError("a word's first id does not begin with the white space before it: not a byte-level tokenizer")
-        # from the order of ``texts`` back to that of ``new``
-        order = np.ones(len(new), bool)
-        order[alone] = False
-        place = np.concatenate([np.flatnonzero(order), np.array(alone, np.int64)])
-        sizes, firsts = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
-        sizes[place], firsts[place] = np.diff(np.append(cuts, len(own))), cuts
-        self._add(sizes, own[words.spread(firsts, sizes)])
-        new.clear()
+        self._add(np.diff(np.append(cuts, len(own))), own, at)
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""

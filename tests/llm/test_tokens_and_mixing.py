@@ -1,3 +1,4 @@
+import json
 import random
 import re
 import sys
@@ -60,6 +61,47 @@ def test_remembered_words_change_no_id(tokenizer, monkeypatch, kept, joined):
         assert encoder.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+class _Noted:
+    """A tokenizer that notes what it is given."""
+
+    def __init__(self, own):
+        self.own, self.seen = own, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.seen += texts
+        return self.own.encode_batch_fast(texts, **options)
+
+
+def test_letters_are_encoded_once_for_all_marks_behind_them(tokenizer):
+    encoder = token_files.Encoder(token_files.TokenSpec(tokenizer_file()))
+    encoder.model, encoder.tokenizer = _Noted(encoder.model), _Noted(encoder.tokenizer)
+    text = "a quixotry, quixotry. quixotry quixotry!?) naïvetéx; naïvetéx don't' x'' <|endoftext|>, b2. ª."
+    for _ in range(2):
+        assert encoder.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    seen = " ".join(encoder.model.seen + encoder.tokenizer.seen)
+    assert seen.count("quixotry") == 1 and seen.count("naïvetéx") == 1
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        {"added_tokens": [{"id": 50257, "content": "ab,", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}]},
+        {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}},
+        {"normalizer": {"type": "Lowercase"}},
+    ],
+)
+def test_tokenizers_that_may_not_cut_at_marks_get_whole_words(tmp_path, change):
+    from tokenizers import Tokenizer
+
+    path = tmp_path / "tokenizer.json"
+    path.write_text(json.dumps({**json.loads(Path(tokenizer_file()).read_text()), **change}))
+    encoder = token_files.Encoder(token_files.TokenSpec(str(path)))
+    assert encoder.model is None
+    text = "The Ab, ab, cab. Cab!"
+    if "pre_tokenizer" not in change:
+        assert encoder.ids(text).tolist() == Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids
+
+
 def test_files_hold_every_document_in_order(spark, tokenizer):
     docs = brute.odd_documents(spark)
     folder = new_folder(spark, "tokens")
