@@ -33,6 +33,8 @@ HOT = 20_000
 SHARD_SYMBOLS = 100_000
 #: Bytes of text worked on at a time: few enough for the arrays of one part to stay in a core's cache.
 PART_BYTES = 1 << 16
+#: Pieces of several parts are handed over so many at a time.
+ROWS = 20_000
 PLACE = (1 << 20) - 1
 
 
@@ -119,11 +121,19 @@ def occurrences(tagged: DataFrame, spec: Windows) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, lots, n = batch.column(0).to_numpy(), [], 0
             for part, first in unpacked_parts(batch.column(1)):
                 row, start, count, a, p, g = pieces(*spec.symbols(part), spec, located=True)
-                columns = [ids[first + part.first_row + row], a.view(np.int64), p.view(np.int64), start, count, g]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "a", "p", "start", "n", "g"])
+                lots.append([ids[first + part.first_row + row], a.view(np.int64), p.view(np.int64), start, count, g])
+                n += len(row)
+                if n >= ROWS:
+                    yield joined(lots)
+                    lots, n = [], 0
+            if n:
+                yield joined(lots)
+
+    def joined(lots: list[list[np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*lots)], ["row", "a", "p", "start", "n", "g"])
 
     return tagged.select("row", "packed").mapInArrow(cut, "row long, a long, p long, start long, n long, g long")
 
@@ -211,28 +221,35 @@ def _across(tagged: DataFrame, kinds: DataFrame, spec: Windows, decide: Decide)
     names = ["a", "b", "times", "row", "start", "n", "g", "body"]
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64()] * 7 + [pa.binary()]
         for batch in batches:
-            rows, lists = batch.column(0).to_pylist(), batch.column(2)
+            rows, lists = batch.column(0).to_numpy(), batch.column(2)
+            flat, sizes = lists.flatten(), lists.value_lengths().to_numpy()
+            to = np.concatenate([[0], np.cumsum(sizes)])
+            fields = [flat.field(k).to_numpy(zero_copy_only=False) for k in ("a", "times", "start", "n", "g", "hot")]
             for part, first in unpacked_parts(batch.column(1)):
-                symbols, offsets = spec.symbols(part)
-                stretch, source = None, symbols.astype("<u8") if word else part.data
-                out: list[list] = [[] for _ in names]
-                for r in range(part.n_rows):
-                    place = first + part.first_row + r
-                    for w in lists[place].as_py():
-                        s, n = int(offsets[r]) + w["start"], w["n"]
-                        if w["hot"]:
-                            stretch = stretch or (Sequence(symbols), Sequence(words.mixed(symbols + np.uint64(1))))
-                            at = np.arange(s, s + n)
-                            one, two = (x(at, at + window).view(np.int64).tolist() for x in stretch)
-                            lot = [one, two, [w["times"]] * n, [rows[place]] * n, range(w["start"], w["start"] + n), [1] * n, [0] * n, [None] * n]
-                        else:
-                            body = source[s : s + n + window - 1].tobytes()
-                            lot = [[w["a"]], [0], [w["times"]], [rows[place]], [w["start"]], [n], [w["g"]], [body]]
-                        for column, more in zip(out, lot):
-                            column.extend(more)
-                types = [pa.int64()] * 7 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
+                low, high = first + part.first_row, first + part.first_row + part.n_rows
+                a, times, start, n, g, hot = (x[to[low] : to[high]] for x in fields)
+                inside = np.repeat(np.arange(part.n_rows), sizes[low:high])
+                row = rows[low + inside]
+                at = (part.first_word if word else part.offsets)[inside] + start
+                symbols = spec.symbols(part)[0] if word or hot.any() else None
+                source, size = (symbols.astype("<u8").tobytes(), 8) if word else (part.data.tobytes(), 1)
+                own = np.flatnonzero(~hot)
+                ends = at + n + window - 1
+                body = [source[f:t] for f, t in zip((size * at[own]).tolist(), (size * ends[own]).tolist())]
+                lot = [a[own], np.zeros(len(own), np.int64), times[own], row[own], start[own], n[own], g[own], body]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(lot, types)], names)
+                own = np.flatnonzero(hot)
+                if not len(own):
+                    continue
+                piece, places = np.repeat(own, n[own]), words.spread(at[own], n[own])
+                one, two = (
+                    Sequence(x)(places, places + window).view(np.int64) for x in (symbols, words.mixed(symbols + np.uint64(1)))
+                )
+                begin, ones = start[piece] + places - at[piece], np.ones(len(piece), np.int64)
+                lot = [one, two, times[piece], row[piece], begin, ones, 0 * ones, pa.nulls(len(piece), pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(lot, types)], names)
 
     cut = shared.written(
         tagged.select("row", "packed")
