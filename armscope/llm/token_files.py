@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from armscope.llm import rans, shared, words
+from armscope.llm.word_table import SPARE, WordTable, roomy
 
 
 @dataclass(frozen=True)
@@ -42,29 +43,55 @@ class TokenSpec:
     kept_words: int = 600_000  # words whose ids a worker remembers before it starts anew
 
 
-# White space other than space and line feed: texts that hold some are encoded as a whole.
-_OTHER_SPACE = re.compile("[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-
-
 #: How a byte-level vocabulary writes a space and a line feed.
 _MARKS = ("\u0120", "\u010a")
 #: New words in one text for the tokenizer: short texts are encoded fastest, very short ones cost a call each.
 JOINED = 200
-#: What a byte-level pre-tokenizer keeps together: letters (of blocks that no version of Unicode changes), and a run of marks.
-_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u0233]+")
-_ASCII_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-
-
-class _Places(dict):
-    """Word -> place; unknown words get the next place and are noted as new."""
+_ASCII_MARKS = np.zeros(256, bool)
+_ASCII_MARKS[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+_ASCII_LETTERS = np.array([b < 0x80 and chr(b).isalpha() for b in range(256)])
+_SPACE, _LINE_FEED = 0x20, 0x0A
+# Of a byte: white space between words; never in texts looked up by words; may begin a space of several bytes.
+_WHITE, _OTHER, _MAY_BE_SPACE = 1, 2, 3
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[[_SPACE, _LINE_FEED]] = _WHITE
+_KINDS[[0x00, 0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F]] = _OTHER
+_KINDS[[0xC2, 0xE1, 0xE2, 0xE3]] = _MAY_BE_SPACE
+
+
+def _wide_spaces(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Where these three bytes begin with white space beyond ASCII."""
+    general = (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F)
+    return (
+        (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+        | (a == 0xE1) & (b == 0x9A) & (c == 0x80)
+        | (a == 0xE2) & general
+        | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+    )
+
+
+def _single_spaced(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Of each text: it is words with one space or line feed between them, and holds no other white space or zero byte."""
+    kinds = _KINDS[data[: offsets[-1]]]
+    white, other = kinds == _WHITE, kinds == _OTHER
+    other[1:] |= white[1:] & white[:-1]
+    may = np.flatnonzero(kinds == _MAY_BE_SPACE)
+    other[may] |= _wide_spaces(data[may], data[may + 1], data[may + 2])
+    out = np.diff(offsets) > 0
+    out[np.searchsorted(offsets, np.flatnonzero(other), "right") - 1] = False
+    there = np.flatnonzero(out)
+    out[there] = ~(white[offsets[there]] | white[offsets[there + 1] - 1])
+    return out
 
-    def __init__(self):
-        self.new: list[str] = []
 
-    def __missing__(self, word: str) -> int:
-        place = self[word] = len(self)
-        self.new.append(word)
-        return place
+def _letters(data: np.ndarray) -> np.ndarray:
+    """Bytes of letters, of blocks that no version of Unicode changes: a-z, \u00c0 to \u0233, not \u00d7 or \u00f7."""
+    out = _ASCII_LETTERS[data]
+    at = np.flatnonzero((data >= 0xC3) & (data <= 0xC8))
+    a, b = data[at], data[at + 1]
+    at = at[~((a == 0xC3) & ((b == 0x97) | (b == 0xB7))) & ((a < 0xC8) | (b <= 0xB3))]
+    out[at] = out[at + 1] = True
+    return out
 
 
 class Encoder:
@@ -87,9 +114,8 @@ class Encoder:
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a space or a line feed
         self.begins[[i for piece, i in vocabulary.items() if piece[:1] in _MARKS]] = True
         self.model = Tokenizer(self.tokenizer.model) if self._cuts_at_marks() else None
-        self.places = self.flat = self.starts = self.ends = self.uses = np.zeros(0, np.int64)
-        self.n_known = 0
-        self._forget()
+        self.known, self.flat, self.n_flat = WordTable(), np.zeros(1 << 14, np.uint32), 0
+        self.starts, self.ends, self.uses = (np.zeros(1 << 12, np.int64) for _ in range(3))
 
     def _cuts_at_marks(self) -> bool:
         """Does this tokenizer encode the letters and the marks of a word apart, and words that follow each other too?"""
@@ -106,78 +132,74 @@ class Encoder:
 
     def _forget(self) -> None:
         """Of the words known, keep those looked up most often since the last time: half of them at most."""
-        old, flat, starts, ends, uses = self.places, self.flat, self.starts, self.ends, self.uses
-        known = self.n_known
-        self.places, self.flat, self.n_flat = _Places(), np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.ends, self.n_known = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
-        self.uses = np.zeros(1 << 16, np.int64)
-        if not known:
-            return
-        often = np.sort(uses[:known])[known // 2]
-        stay = np.flatnonzero(uses[:known] > often)
-        names = list(old)
-        for i in stay.tolist():
-            self.places[names[i]]
-        self.places.new.clear()
+        n, flat, starts, ends = self.known.n, self.flat, self.starts, self.ends
+        often = np.sort(self.uses[1 : n + 1])[n // 2]
+        stay = 1 + np.flatnonzero(self.uses[1 : n + 1] > often)
+        self.known, self.flat, self.n_flat = self.known.only(stay), np.zeros(1 << 14, np.uint32), 0
+        self.starts, self.ends, self.uses = (np.zeros(len(stay) + 1, np.int64) for _ in range(3))
         sizes = ends[stay] - starts[stay]
-        self._add(sizes, flat[words.spread(starts[stay], sizes)])
-
-    def _room(self, name: str, size: int) -> None:
-        own = getattr(self, name)
-        while len(own) < size:
-            own = np.concatenate([own, np.zeros_like(own)])
-        setattr(self, name, own)
-
-    def _add(self, sizes: np.ndarray, ids: np.ndarray, at: np.ndarray | None = None) -> None:
-        """The ids of the words at places ``at``, or else of the first ones, one after the other."""
-        if at is None:
-            at = np.arange(len(sizes))
-        n = len(self.places)
-        for name in ("starts", "ends", "uses"):
-            self._room(name, n)
-        self._room("flat", self.n_flat + len(ids))
+        self._put(sizes, flat[words.spread(starts[stay], sizes)])
+
+    def _put(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """The ids of the words known last, one word after the other."""
+        n = self.known.n
+        self.flat = roomy(self.flat, self.n_flat + len(ids))
+        self.starts, self.ends, self.uses = (roomy(x, n + 1) for x in (self.starts, self.ends, self.uses))
         self.flat[self.n_flat : self.n_flat + len(ids)] = ids
         ends = self.n_flat + np.cumsum(sizes)
-        self.ends[at], self.starts[at] = ends, ends - sizes
-        self.n_known, self.n_flat = n, self.n_flat + len(ids)
-
-    def _learn(self) -> None:
-        """Finds the ids of the new words, and of what they are put together from: letters, and the marks behind them."""
-        places, new = self.places, self.places.new
-        if not new:
-            return
-        first = self.n_known
-        whole, plain, both, stems, tails = [], [], [], [], []
-        for place, word in enumerate(new, first):  # which grows by stems and tails
-            stem = word.rstrip(_ASCII_MARKS)
-            if not self.model or not stem.isalpha() or not (stem.isascii() or _LETTERS.fullmatch(stem)):
-                whole.append(place)
-            elif len(stem) < len(word):
-                both.append(place)
-                stems.append(places[stem])
-                tails.append(places["\0" + word[len(stem) :]])
-            elif stem.isascii():
-                plain.append(place)
-            else:
-                whole.append(place)
-        texts = ["".join([_MARKS[0] + new[p - first] for p in plain[i : i + JOINED]]) for i in range(0, len(plain), JOINED)]
-        if texts:
-            self._cut(self.model, texts, 0, np.array(plain, np.int64))
+        self.ends[n + 1 - len(sizes) : n + 1], self.starts[n + 1 - len(sizes) : n + 1] = ends, ends - sizes
+        self.n_flat += len(ids)
+
+    def _places(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Places of the words at these bytes of ``data``, each with the white space before it; new ones are encoded."""
+        low, high = self.known.keys(data, starts, ends)
+        out = self.known.find(low, high)
+        new = np.flatnonzero(out == 0)
+        if len(new):
+            order = new[np.lexsort((high[new], low[new]))]
+            first = np.ones(len(order), bool)
+            first[1:] = (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])
+            own = order[first]
+            self._learn(data, starts[own], ends[own], low[own], high[own])
+            out[new] = self.known.find(low[new], high[new])
+        return out
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """Finds the ids of new words, and of what they are put together from: letters, and the marks behind them."""
+        sizes = ends - starts
+        data = np.concatenate([data[words.spread(starts, sizes)], np.zeros(SPARE, np.uint8)])
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        begin, plain, both = data[starts], np.zeros(len(starts), bool), np.zeros(len(starts), bool)
+        if self.model:
+            at = np.where(_ASCII_MARKS[data], -1, np.arange(len(data)))
+            stems = np.maximum(np.maximum.accumulate(at)[ends - 1] + 1, starts)  # where the marks begin
+            letters, wide = (np.concatenate([[0], np.cumsum(x)]) for x in (_letters(data), data >= 0x80))
+            n_letters = stems - starts - 1
+            lettered = (begin == _SPACE) & (n_letters > 0) & (letters[stems] - letters[starts + 1] == n_letters)
+            both = lettered & (stems < ends)
+            plain = lettered & ~both & (wide[ends] == wide[starts])
+        if plain.any():
+            text = data[words.spread(starts[plain], sizes[plain])].tobytes().decode().replace(" ", _MARKS[0])
+            self._cut(self.model, _split(text, sizes[plain]), 0, low[plain], high[plain])
         # a text's first word has no white space before it, and is encoded alone
-        alone = [p for p in whole if new[p - first][0] == "\0"]
-        others = [p for p in whole if new[p - first][0] != "\0"]
-        joint = [w if w[0] == "\n" else " " + w for w in (new[p - first] for p in others)]
-        texts = ["".join(joint[i : i + JOINED]) for i in range(0, len(joint), JOINED)] + [new[p - first][1:] for p in alone]
-        if texts:
-            self._cut(self.tokenizer, texts, len(alone), np.array(others + alone, np.int64))
-        # the ids of the letters and those of the marks, by turns
-        source = np.array([stems, tails], np.int64).T.ravel()
-        starts, sizes = self.starts[source], self.ends[source] - self.starts[source]
-        self._add(sizes.reshape(-1, 2).sum(axis=1), self.flat[words.spread(starts, sizes)], np.array(both, np.int64))
-        new.clear()
-
-    def _cut(self, tokenizer, texts: list[str], n_alone: int, at: np.ndarray) -> None:
-        """Encodes ``JOINED`` words in a text, for places ``at``: its ids are cut where one begins with white space.
+        spaced, others = (begin == _SPACE) | (begin == _LINE_FEED), ~(plain | both)
+        own = np.concatenate([np.flatnonzero(others & spaced), alone := np.flatnonzero(others & ~spaced)])
+        if len(own):
+            joint = own[: len(own) - len(alone)]
+            text = data[words.spread(starts[joint], sizes[joint])].tobytes()
+            texts = _split(text, sizes[joint]) + [data[starts[i] : ends[i]].tobytes() for i in alone.tolist()]
+            self._cut(self.tokenizer, [t.decode() for t in texts], len(alone), low[own], high[own])
+        if both.any():
+            # the ids of the letters and those of the marks, by turns
+            source = [self._places(data, starts[both], stems[both]), self._places(data, stems[both], ends[both])]
+            source = np.array(source).T.ravel()
+            starts, sizes = self.starts[source], self.ends[source] - self.starts[source]
+            self.known.add(low[both], high[both])
+            self._put(sizes.reshape(-1, 2).sum(axis=1), self.flat[words.spread(starts, sizes)])
+
+    def _cut(self, tokenizer, texts: list[str], n_alone: int, low: np.ndarray, high: np.ndarray) -> None:
+        """Encodes ``JOINED`` words in a text, for new words with these keys: its ids are cut where one begins with white space.
 
         The last ``n_alone`` texts are one word each.
         """
@@ -189,45 +211,54 @@ class Encoder:
         begins[last:] = False
         begins[last + np.cumsum(alone) - alone] = True
         cuts = np.flatnonzero(begins)
-        if len(cuts) != len(at):
+        if len(cuts) != len(low):
             raise ValueError("a word's first id does not begin with the white space before it: not a byte-level tokenizer")
-        self._add(np.diff(np.append(cuts, len(own))), own, at)
+        self.known.add(low, high)
+        self._put(np.diff(np.append(cuts, len(own))), own)
 
-    def many(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        if self.n_known > self.spec.kept_words:
+    def many(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; a null text has none."""
+        if self.known.n > self.spec.kept_words:
             self._forget()
-        out: list[np.ndarray | None] = [None] * len(texts)
-        pieces, counts, looked_up = [], [], []
-        for i, text in enumerate(texts):
-            if not text:
-                out[i] = np.zeros(0, np.uint32)
-            elif (
-                text[0] in " \n" or text[-1] in " \n" or "\0" in text
-                or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text)
-            ):
-                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-            else:
-                # keys: a word after a space as it is, after a line feed with it, the text's first word with \0
-                own = ("\0" + text).replace("\n", " \n").split(" ")
-                pieces.append(own)
-                counts.append(len(own))
-                looked_up.append(i)
-        if not looked_up:
+        column = texts.cast(pa.large_binary()).fill_null(b"")
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        out = [np.zeros(0, np.uint32)] * len(column)
+        if offsets[0] == offsets[-1]:
             return out
-        find = map(self.places.__getitem__, itertools.chain.from_iterable(pieces))
-        at = np.fromiter(find, np.int64, sum(counts))
-        self._learn()
-        self.uses[: self.n_known] += np.bincount(at, minlength=self.n_known)
-        starts, sizes = self.starts[at], self.ends[at] - self.starts[at]
-        ids = self.flat[words.spread(starts, sizes)]
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
-        for i, own in zip(looked_up, np.split(ids, ends[:-1])):
-            out[i] = own
+        own = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        data, offsets = np.concatenate([own, np.zeros(SPARE, np.uint8)]), offsets - offsets[0]
+        sizes, by_words = np.diff(offsets), _single_spaced(data, offsets)
+        whole = np.flatnonzero(~by_words & (sizes > 0))
+        for i in whole.tolist():
+            text = data[offsets[i] : offsets[i + 1]].tobytes().decode()
+            out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        looked_up = np.flatnonzero(by_words)
+        if not len(looked_up):
+            return out
+        if len(whole):
+            data = np.concatenate([data[: offsets[-1]][np.repeat(by_words, sizes)], np.zeros(SPARE, np.uint8)])
+        texts_end = np.cumsum(sizes[looked_up])
+        begins = _KINDS[data[: texts_end[-1]]] == _WHITE
+        begins[0] = begins[texts_end[:-1]] = True
+        starts = np.flatnonzero(begins)
+        at = self._places(data, starts, np.append(starts[1:], texts_end[-1]))
+        np.add.at(self.uses, at, 1)
+        starts_of, n_ids = self.starts[at], self.ends[at] - self.starts[at]
+        ids = self.flat[words.spread(starts_of, n_ids)]
+        ends = np.concatenate([[0], np.cumsum(n_ids)])[np.searchsorted(starts, texts_end)].tolist()
+        for i, first, last in zip(looked_up.tolist(), [0, *ends], ends):
+            out[i] = ids[first:last]
         return out
 
     def ids(self, text: str) -> np.ndarray:
-        return self.many([text])[0]
+        return self.many(pa.array([text], pa.string()))[0]
+
+
+def _split(text: str | bytes, sizes: np.ndarray) -> list:
+    """``text``, which is words of these sizes, in texts of ``JOINED`` words."""
+    bounds = [0, *np.cumsum(sizes).tolist()]
+    cuts = [*bounds[: len(sizes) : JOINED], bounds[-1]]
+    return [text[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 _BLOCK = "file int, block int, doc_ids array<long>, doc_tokens array<long>, ids binary"
@@ -262,9 +293,9 @@ def token_blocks(docs: DataFrame, spec: TokenSpec) -> DataFrame:
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                files, doc_ids, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
-                found = encoder.many([t or "" for t in texts])
-                for file, d, x in zip(files, doc_ids, found):
+                files, doc_ids, texts = batch.slice(at, 256).columns
+                found = encoder.many(texts)
+                for file, d, x in zip(files.to_pylist(), doc_ids.to_pylist(), found):
                     ids.append(d)
                     own.append(np.concatenate([x, end]))
                     n += len(own[-1])
