@@ -9,15 +9,18 @@ import zipfile
 from pyspark.sql import SparkSession
 
 BATCH_ROWS = 1000
+#: A batch on its way to Python ends with the row that passes this: it lies in direct memory several times over.
+BATCH_BYTES = 2 << 20
 _SENT: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Once a Spark application: hand the package to the executors as ``--py-files`` would.
 
-    Batches are set to so many rows that a batch of whole texts takes megabytes, not hundreds of them.
+    Batches are set to so many rows and bytes that a batch of whole texts, or of blocks, takes megabytes, not tens of them.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     context = spark.sparkContext
     if context.applicationId in _SENT:
         return

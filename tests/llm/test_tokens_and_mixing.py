@@ -7,12 +7,13 @@ from collections import defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from armscope.llm import mixing, rans, token_files  # noqa: E402
+from armscope.llm import mixing, rans, ship, token_files, word_table  # noqa: E402
 from armscope.llm.queries import tokenizer as tokenizer_file  # noqa: E402
 from armscope.session import new_folder  # noqa: E402
 
@@ -82,6 +83,44 @@ def test_letters_are_encoded_once_for_all_marks_behind_them(tokenizer):
     assert seen.count("quixotry") == 1 and seen.count("naïvetéx") == 1
 
 
+def test_words_are_looked_up_by_arrays():
+    rng = random.Random(4)
+    texts = [bytes(rng.choice(b"ab\xc3\xa9") for _ in range(rng.randint(1, 20))) for _ in range(20_000)]
+    order = list(dict.fromkeys(texts))
+    data = np.frombuffer(b"".join(texts) + bytes(word_table.SPARE), np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    known = word_table.WordTable()
+    low, high = known.keys(data, ends - [len(t) for t in texts], ends)
+    assert not known.find(low, high).any()
+    first = np.array([texts.index(t) for t in order[:500]])
+    known.add(low[first], high[first])
+    want = {t: i for i, t in enumerate(order[:500], 1)}
+    assert known.find(low, high).tolist() == [want.get(t, 0) for t in texts]
+    kept = known.only(np.arange(2, 501, 2))
+    want = {t: i // 2 for t, i in want.items() if i % 2 == 0}
+    assert kept.find(low, high).tolist() == [want.get(t, 0) for t in texts]
+
+
+def test_texts_of_one_batch_do_not_touch(tokenizer):
+    encoder = token_files.Encoder(token_files.TokenSpec(tokenizer_file(), kept_words=20))
+    texts = ["one two", None, "two", "", "three, two", " two", "two\n", "one\ntwo", "one\u2003two", "\u2019two\u2019 two", "two\u3000", "\u30b3two", "x" * 40 + " two;"]
+    for _ in range(3):
+        found = encoder.many(pa.array(["cut off", *texts])[1:])
+        assert [x.tolist() for x in found] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_batches_of_long_rows_are_small(spark):
+    ship.ship(spark)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    rows = spark.range(0, 40, 1, 1).selectExpr("cast(repeat('x', 500000) as binary) AS b")
+    got = rows.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in got) == 40 and max(r.size for r in got) < ship.BATCH_BYTES + 600_000
+
+
 @pytest.mark.parametrize(
     "change",
     [
