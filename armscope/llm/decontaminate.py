@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from armscope.llm import words
+from armscope.llm import shared, words
 
 
 @dataclass(frozen=True)
@@ -221,7 +221,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, spec: LeakSpec = LeakSpec()) ->
 
         def search(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
             find = finder(block, spec)
-            for batch in batches:
+            for batch in shared.lean(batches):
                 found = find(batch.column(1))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -245,7 +245,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, spec: LeakSpec = LeakSp
 
         def keep(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
             find = finder(block, spec)
-            for batch in batches:
+            for batch in shared.lean(batches):
                 clean = np.ones(batch.num_rows, bool)
                 clean[[f[0] for f in find(batch.column(text))]] = False
                 yield batch.filter(pa.array(clean))

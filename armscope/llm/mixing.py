@@ -132,7 +132,7 @@ def slots(spark: SparkSession, quota: np.ndarray, n_blocks: np.ndarray, spec: Mi
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict = {}
-        for batch in batches:
+        for batch in shared.lean(batches):
             for shard in batch["id"]:
                 before, here = shard_counts(quota, int(shard), spec, known)
                 source = np.repeat(np.arange(len(quota)), here)
@@ -156,7 +156,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     fields = docs.select(*names).schema.add("size", "long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in shared.lean(batches):
             size = [np.diff(p.first_word) for p in words.parts(batch.column(0))]
             column = pa.array(np.concatenate(size) if size else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], column], [*names, "size"])
@@ -253,7 +253,7 @@ def mixed_documents(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
     names, schema = docs.columns, docs.schema
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in shared.lean(batches):
             own, texts = pa.RecordBatch.from_struct_array(batch.column(0)), []
             for part in words.parts(own.column(names.index("text"))):
                 body = part.data.tobytes()

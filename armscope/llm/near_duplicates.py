@@ -113,7 +113,7 @@ def signatures(docs: DataFrame, spec: NearDuplicates) -> DataFrame:
     band_no = np.arange(spec.bands, dtype=np.uint64) + np.uint64(spec.seed)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in shared.lean(batches):
             counts, one, two, keys, sketches, tags = [], [], [], [], [], []
             for part in words.parts(batch.column(2)):
                 for found in shingle_sets(part, spec.shingle):
@@ -272,7 +272,7 @@ def _bucket_pairs(members: DataFrame, spec: NearDuplicates, forest: bool) -> Dat
                 [pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in (0, 1)], ["a", "b"]
             )
 
-        for batch in batches:
+        for batch in shared.lean(batches):
             table = pa.Table.from_batches([batch])
             found, waiting = pairs(table if waiting is None else pa.concat_tables([waiting, table]), False)
             if found:
@@ -313,7 +313,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, spec: NearDup
         return [found[place[x]] for x in bodies]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in shared.lean(batches):
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 keep = []

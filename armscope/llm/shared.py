@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterator
 from contextlib import contextmanager
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,17 +17,24 @@ from pyspark.sql import functions as F
 from armscope.session import new_folder
 
 
+Batch = TypeVar("Batch")
 #: The most bits of a ``Sieve``: 32 MB.
 SIEVE_BITS = 1 << 28
+#: For files of few large rows that are compressed already. A page ends with the row that fills it, not after 100 rows at
+#: least, and is not compressed again: the codec would hold whole pages in direct memory.
+COMPACT = {"compression": "uncompressed", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 #: Tables that a stage of a pipeline has left for its result to read; None outside of stages.
 _LEFT: list[DataFrame] = []
 _IN_STAGE = False
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts the lineage, survives executors."""
+def written(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: cuts the lineage, survives executors.
+
+    ``compact``: its rows are large and compressed already.
+    """
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**COMPACT if compact else {}).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
     if _IN_STAGE:
@@ -67,7 +76,7 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in lean(batches):
             bodies = [press.compress(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary())], ["key", "packed"])
 
@@ -81,6 +90,20 @@ def unpacked(bodies: list[bytes]) -> list[bytes]:
     return [loosen.decompress(b) for b in bodies]
 
 
+def lean(batches: Iterator[Batch]) -> Iterator[Batch]:
+    """The batches, of Arrow or pandas; after each one the worker gives back to the system what its allocators hold free.
+
+    Spark keeps Python workers from task to task: else each holds the most that any step before has taken.
+    """
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        if trim:
+            trim(0)
+
+
 class Sieve:
     """Bits of a set of 64-bit hashes: never misses a member, lets some others through."""
 
@@ -108,7 +131,7 @@ def sifted(rows: DataFrame, sieve: Sieve) -> DataFrame:
     """The rows whose last column, a hash, passes; without that column."""
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             passes = sieve.passes(batch.column(batch.num_columns - 1).to_numpy().view(np.uint64))
             yield batch.filter(pa.array(passes))
 

@@ -291,7 +291,7 @@ def token_blocks(docs: DataFrame, spec: TokenSpec) -> DataFrame:
                 ["file", "block", "doc_ids", "doc_tokens", "ids"],
             )
 
-        for batch in batches:
+        for batch in shared.lean(batches):
             for at in range(0, batch.num_rows, 256):
                 files, doc_ids, texts = batch.slice(at, 256).columns
                 found = encoder.many(texts)
@@ -329,7 +329,7 @@ def count_ids(blocks: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
-        for batch in batches:
+        for batch in shared.lean(batches):
             for body in batch.column(0).to_pylist():
                 own = np.bincount(unpacked_ids(body))
                 if len(own) > len(total):
@@ -344,7 +344,7 @@ def count_ids(blocks: DataFrame) -> DataFrame:
 def write_tokens(docs: DataFrame, folder: str, spec: TokenSpec) -> None:
     """Encode all texts of ``docs`` (doc_id, text) and write ``folder``."""
     spark = docs.sparkSession
-    blocks = shared.written(token_blocks(docs, spec), "token-blocks")
+    blocks = shared.written(token_blocks(docs, spec), "token-blocks", compact=True)
     counts = count_ids(blocks).collect()  # as many rows as the vocabulary has ids
     ids = np.array([r.id for r in counts], np.int64)
     by_id = np.argsort(ids)
@@ -356,15 +356,14 @@ def write_tokens(docs: DataFrame, folder: str, spec: TokenSpec) -> None:
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = rans.Table(frequency)
-        for batch in batches:
+        for batch in shared.lean(batches):
             for i, body in enumerate(batch.column(4).to_pylist()):
                 frame = rans.encode(unpacked_ids(body).astype(np.int64), table)
                 own = batch.slice(i, 1)
                 yield pa.RecordBatch.from_arrays([*own.columns[:4], pa.array([frame], pa.binary())], [*_NAMES, "frame"])
 
-    blocks.select(*_NAMES, "ids").mapInArrow(frames, _BLOCK.replace("ids binary", "frame binary")).write.parquet(
-        f"{folder}/blocks"
-    )
+    coded = blocks.select(*_NAMES, "ids").mapInArrow(frames, _BLOCK.replace("ids binary", "frame binary"))
+    coded.write.options(**shared.COMPACT).parquet(f"{folder}/blocks")
     shared.discard(blocks)
 
 
@@ -388,7 +387,7 @@ def read_documents(spark: SparkSession, folder: str, with_ids: bool = False) ->
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = rans.Table(frequency)
-        for batch in batches:
+        for batch in shared.lean(batches):
             for file, block, docs, sizes, frame in zip(*(c.to_pylist() for c in batch.columns)):
                 ids = rans.decode(frame, table).astype("<u4")
                 ends = np.cumsum(sizes)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from armscope.llm import words
+from armscope.llm import shared, words
 
 
 @dataclass(frozen=True)
@@ -136,7 +136,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     sample = there.orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash").limit(spec.sample_rows)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in shared.lean(batches):
             lists: list[np.ndarray] = []
             for part in words.parts(batch.column(0), breaks=words.LETTERS_ONLY):
                 row, feature = found_features(part, spec)
@@ -212,7 +212,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probabilities = scorer(chain)
-        for batch in batches:
+        for batch in shared.lean(batches):
             p = probabilities(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x) for x in p]], names)
 
@@ -238,7 +238,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, spec: ChainSpec = ChainSpe
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probabilities = scorer(chain)
-        for batch in batches:
+        for batch in shared.lean(batches):
             yield batch.filter(pa.array(probabilities(batch.column(text))[-1] < spec.threshold))
 
     return docs.mapInArrow(keep, schema)

@@ -23,12 +23,15 @@ from armscope.llm.ship import ship
 from armscope.session import new_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Rows of Parquet that a scan holds as arrays at once: thousands of whole texts are tens of MB a task, a few hundred are one or two.
+SCAN_ROWS = 256
 
 
 def stage(work: Stage) -> Stage:
     @functools.wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", SCAN_ROWS)
         with shared.stage(docs):
             return work(spark, docs, sf_dir)
 
