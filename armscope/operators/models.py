@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from armscope.functions.effects import ratio
 from armscope.functions.tails import two_sided_p
-from armscope.operators import arms, crossfit, newton
+from armscope.operators import arms, cells, crossfit, newton
 from armscope.operators.joins import attach_per_group
 from armscope.operators.ranks import auc, quantiles
 from armscope.operators.sampling import hash_folds
@@ -342,19 +343,24 @@ def fold_aucs(
 
     The rows, with their folds, are written once and dealt over the cores; all fits and scores read that table.
     Scaling sits inside the estimator, so no fold sees the others' moments. Fits are submitted side by side, and no
-    final model is fitted on all rows. The scores are written, as ranking them takes several passes.
+    final model is fitted on all rows; trees on many rows are grown from counts of them (``cells``), of all folds in
+    the same passes. The scores are written, as ranking them takes several passes.
     """
     df = written(df, "folds")
+
+    def scores(fitted: Sequence[PipelineModel], data: DataFrame) -> DataFrame:
+        parts = [scored(m, data.filter(F.col(fold) == k)).select(fold, label, "score") for k, m in enumerate(fitted)]
+        return written(reduce(DataFrame.unionByName, parts), "held-out")
+
+    if cells.suits(estimator) and df.count() > cells.ROWS_FROM:
+        rows = df.dropna(subset=[*_read_by(estimator.getStages()), label])
+        if grown := cells.ensembles(estimator, rows, fold, folds):
+            return auc(scores(grown, dealt(df)), [fold], "score", label)
     with cached(dealt(df)) as data, ThreadPool(min(parallelism, folds)) as pool:
         fit_one = inheritable_thread_target(df.sparkSession)(
             lambda k: estimator.fit(data.filter(F.col(fold) != k))
         )
-        fitted = pool.map(fit_one, range(folds))
-        held_out = None
-        for k, model in enumerate(fitted):
-            part = scored(model, data.filter(F.col(fold) == k)).select(fold, label, "score")
-            held_out = part if held_out is None else held_out.unionByName(part)
-        held_out = written(held_out, "held-out")
+        held_out = scores(pool.map(fit_one, range(folds)), data)
     return auc(held_out, [fold], "score", label)
 
 
