@@ -284,9 +284,11 @@ def dealt(rows: DataFrame) -> DataFrame:
 
 
 def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
-    """Fit on the rows that have all columns and the label."""
+    """Fit on the rows that have all columns and the label. Trees on many rows are grown from counts of them (``cells``)."""
     stages = pipeline.getStages()
     rows = train.dropna(subset=[*_read_by(stages), stages[-1].getLabelCol()])
+    if cells.suits(pipeline) and rows.count() > cells.ROWS_FROM and (grown := cells.ensembles(pipeline, rows)):
+        return grown[0]
     with cached(dealt(rows) if stages[-1].hasParam("maxBins") else rows) as data:
         return pipeline.fit(data)
 

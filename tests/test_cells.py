@@ -67,6 +67,7 @@ def test_rows_are_read_a_few_times_however_many_trees(spark, rows, monkeypatch):
         context.setLocalProperty("spark.jobGroup.id", None)
         return len(context.statusTracker().getJobIdsForGroup(name))
 
+    assert jobs("one fit", lambda: models.fit(plan, train)) < 50
     assert jobs("folds", lambda: models.fold_aucs(plan, train, "converted", folds=3).collect()) < 100
 
 
@@ -119,4 +120,6 @@ def test_other_rows_and_settings_are_left_to_mllib(spark, rows, monkeypatch):
     assert cells.ensembles(plan, train.withColumn("t", F.lit(float("inf")))) is None
     assert not cells.suits(models.forest("converted", NAMES, impurity="entropy")) and not cells.suits(models.logistic("converted", NAMES))
     monkeypatch.setattr(cells, "MOST_CELLS", 100)
+    monkeypatch.setattr(cells, "ROWS_FROM", 1000)
     assert cells.ensembles(plan, train) is None
+    assert models.fit(plan, train).stages[-1].getNumTrees == 2
